@@ -75,6 +75,25 @@ def _codes(codes: Iterable[str]) -> list[str]:
     return sorted({str(c) for c in codes})
 
 
+def _sql_literals(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+                     for v in values)
+
+
+def _sql_ref(c: ColumnOrName) -> str | None:
+    """SQL text for a plain column name, else None."""
+    if isinstance(c, str) and "`" not in c:
+        return ".".join(f"`{part}`" for part in c.split("."))
+    return None
+
+
+# Large code lists are emitted as one SQL expression, parsed once on the JVM:
+# building ``isin`` from Python costs one gateway call per code.
+def _array_has_any_sql(array_sql: str, values: Sequence[str]) -> Column:
+    return F.expr(f"CASE WHEN {array_sql} IS NULL THEN NULL ELSE coalesce("
+                  f"exists({array_sql}, x -> x IN ({_sql_literals(values)})), false) END")
+
+
 def has_any(diagnosis: ColumnOrName, codes: Iterable[str]) -> Column:
     """True when the array holds at least one of ``codes`` (exact match).
 
@@ -85,18 +104,42 @@ def has_any(diagnosis: ColumnOrName, codes: Iterable[str]) -> Column:
     overlaps nothing.
     """
     values = _codes(codes)
+    ref = _sql_ref(diagnosis)
     d = _col(diagnosis)
     if not values:
         return F.when(d.isNotNull(), F.lit(False))
+    if ref is not None:
+        return _array_has_any_sql(ref, values)
     return F.when(d.isNotNull(),
                   F.coalesce(F.exists(d, lambda x: x.isin(values)), F.lit(False)))
 
 
+def secondary_has_any(diagnosis: str, codes: Iterable[str]) -> Column:
+    """``has_any(secondary_codes(diagnosis), codes)`` for a named column."""
+    values = _codes(codes)
+    ref = _sql_ref(diagnosis)
+    if ref is None or not values:
+        return has_any(secondary_codes(diagnosis), values)
+    return _array_has_any_sql(f"slice({ref}, 2, greatest(size({ref}) - 1, 0))", values)
+
+
+def primary_code_in(diagnosis: str, codes: Iterable[str]) -> Column:
+    """``code_in(primary_code(diagnosis), codes)`` for a named column."""
+    values = _codes(codes)
+    ref = _sql_ref(diagnosis)
+    if ref is None or not values:
+        return code_in(primary_code(diagnosis), values)
+    return F.expr(f"get({ref}, 0) IN ({_sql_literals(values)})")
+
+
 def code_in(code: ColumnOrName, codes: Iterable[str]) -> Column:
     """Scalar membership ``code IN (...)``; an empty list matches nothing."""
     values = _codes(codes)
     if not values:
         return F.lit(False)
+    ref = _sql_ref(code)
+    if ref is not None:
+        return F.expr(f"{ref} IN ({_sql_literals(values)})")
     return _col(code).isin(values)
 
 

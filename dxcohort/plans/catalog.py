@@ -1,6 +1,7 @@
 """Named queries over the claims tables derived from a test-data folder.
 
-Each entry takes ``(spark, sf_dir)`` and returns a DataFrame (no action).
+Each builder takes ``(spark, claims)`` and returns a DataFrame (no action);
+``queries()`` binds them to the claims derived from a test-data folder.
 Parameters follow the reference's own runs: year 1998 for the zip queries (a
 year present in the data), bands 0-18, 0-12 and 13-18, the current lists for
 cohort queries and the older 290-319 list for list-restricted code counts.
@@ -52,9 +53,11 @@ COHORT_LIST = "icd9_all"
 RANGE_LIST = "icd9"
 
 Query = Callable[[SparkSession, str], DataFrame]
+Builder = Callable[[SparkSession, Claims], DataFrame]
 
 
 def claims(spark: SparkSession, sf_dir: str) -> Claims:
+    """Claims tables derived from the test tables in ``sf_dir`` (lazy)."""
     return claims_from_testdata(spark, sf_dir)
 
 
@@ -62,9 +65,8 @@ def _lists(spark: SparkSession) -> dict[str, list[str]]:
     return reference_lists(spark)
 
 
-def _zip_query(fn, with_codes: bool = True) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _zip_query(fn, with_codes: bool = True) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         args = [c.admissions, c.beneficiaries, c.enrollments, ZIP_YEAR, *FULL_BAND]
         if with_codes:
             args.append(_lists(spark)[COHORT_LIST])
@@ -72,67 +74,59 @@ def _zip_query(fn, with_codes: bool = True) -> Query:
     return run
 
 
-def _top(position: str, list_name: str | None, code_col: str = "diag") -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _top(position: str, list_name: str | None, code_col: str = "diag") -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         codes = _lists(spark)[list_name] if list_name else None
         return C.top_codes(c.admissions, c.beneficiaries, *FULL_BAND, position, codes,
                            20, code_col)
     return run
 
 
-def _counts(position: str, band, list_name: str | None = None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _counts(position: str, band, list_name: str | None = None) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         codes = _lists(spark)[list_name] if list_name else None
         return C.code_counts_in_band(c.admissions, c.beneficiaries, *band, position, codes)
     return run
 
 
-def _first_counts(position: str, band, list_name: str | None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _first_counts(position: str, band, list_name: str | None) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         codes = _lists(spark)[list_name] if list_name else None
         return C.first_admission_counts_in_band(c.admissions, c.beneficiaries, *band,
                                                 position, codes)
     return run
 
 
-def _first_total(position: str, band) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _first_total(position: str, band) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         return C.first_admission_total_in_band(c.admissions, c.beneficiaries, *band, position)
     return run
 
 
-def _extract(band, blank: bool = False) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _extract(band, blank: bool = False) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         lists = _lists(spark)
         return X.individual_extract(c.admissions, c.beneficiaries, c.enrollments, *band,
                                     lists[COHORT_LIST], lists, blank_ambiguous=blank)
     return run
 
 
-def _counts_all_bands(position: str, list_name: str | None = None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _counts_all_bands(position: str, list_name: str | None = None) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         codes = _lists(spark)[list_name] if list_name else None
         return C.code_counts(c.admissions, c.beneficiaries, ALL_BANDS, position, codes)
     return run
 
 
-def _first_counts_all_bands(position: str, list_name: str | None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = claims(spark, sf_dir)
+def _first_counts_all_bands(position: str, list_name: str | None) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
         codes = _lists(spark)[list_name] if list_name else None
         return C.first_admission_counts(c.admissions, c.beneficiaries, ALL_BANDS, position,
                                         codes)
     return run
 
 
-def _extract_all_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = claims(spark, sf_dir)
+def _extract_all_bands(spark: SparkSession, c: Claims) -> DataFrame:
     lists = _lists(spark)
     return X.individual_extract_bands(c.admissions, c.beneficiaries, c.enrollments,
                                       lists[COHORT_LIST], lists, ALL_BANDS)
@@ -140,105 +134,101 @@ def _extract_all_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- operator-level queries --------------------------------------------------------
 
-def _age_at_admission(spark, sf_dir):
-    c = claims(spark, sf_dir)
+def _age_at_admission(spark, c):
     return (c.admissions.join(c.beneficiaries, "bene_id")
             .select("admission_id", age_at_admission().alias("age")))
 
 
-def _age_in_year(spark, sf_dir):
-    c = claims(spark, sf_dir)
+def _age_in_year(spark, c):
     return (c.enrollments.where(F.col("year") == ZIP_YEAR).join(c.beneficiaries, "bene_id")
             .select("bene_id", "zip", age_in_year(ZIP_YEAR).alias("age")))
 
 
-def _primary_code(spark, sf_dir):
-    return claims(spark, sf_dir).admissions.select(
+def _primary_code(spark, c):
+    return c.admissions.select(
         "admission_id", primary_code().alias("primary_diag"))
 
 
-def _secondary_codes(spark, sf_dir):
-    return claims(spark, sf_dir).admissions.select(
+def _secondary_codes(spark, c):
+    return c.admissions.select(
         "admission_id", secondary_codes().alias("secondary_diag"))
 
 
-def _positional_codes(spark, sf_dir):
-    return claims(spark, sf_dir).admissions.select("admission_id", *positional_codes())
+def _positional_codes(spark, c):
+    return c.admissions.select("admission_id", *positional_codes())
 
 
-def _has_any_code(spark, sf_dir):
+def _has_any_code(spark, c):
     codes = _lists(spark)[COHORT_LIST]
-    return claims(spark, sf_dir).admissions.select(
+    return c.admissions.select(
         "admission_id", has_any("diagnosis", codes).alias("has_code"))
 
 
-def _disease_flags(spark, sf_dir):
-    return X.admission_flags(claims(spark, sf_dir).admissions, _lists(spark))
+def _disease_flags(spark, c):
+    return X.admission_flags(c.admissions, _lists(spark))
 
 
-def _running_admission_number(spark, sf_dir):
-    c = claims(spark, sf_dir)
+def _running_admission_number(spark, c):
     rows = X.listed_admissions(c.admissions, c.beneficiaries, c.enrollments,
                                _lists(spark)[COHORT_LIST])
     return running_count(rows).select("bene_id", "year", "admission_date", "zip",
                                       "n_th_admission")
 
 
-def _first_per_person(spark, sf_dir):
-    c = claims(spark, sf_dir)
+def _first_per_person(spark, c):
     return C.first_admission_rows(c.admissions, c.beneficiaries, FULL_BAND, "secondary",
                                   _lists(spark)[RANGE_LIST]).drop("age_low", "age_high")
 
 
-def _suppress_small_cells(spark, sf_dir):
-    c = claims(spark, sf_dir)
+def _suppress_small_cells(spark, c):
     counts = C.code_counts_in_band(c.admissions, c.beneficiaries, *FULL_BAND, "all")
     return suppress_small_cells(counts, "diag_count", 10)
 
 
-def _data_codes(spark, sf_dir):
-    return codes_in_admissions(claims(spark, sf_dir).admissions)
+def _data_codes(spark, c):
+    return codes_in_admissions(c.admissions)
 
 
-def _expand_children(spark, sf_dir):
+def _expand_children(spark, c):
     parents = spark.createDataFrame([(p, p) for p in ICD9_ALL_PARENTS],
                                     "parent string, root string")
-    return expand_children(_data_codes(spark, sf_dir), parents).select("root", "code")
+    return expand_children(_data_codes(spark, c), parents).select("root", "code")
 
 
-def _expand_range(spark, sf_dir):
-    return expand_range(_data_codes(spark, sf_dir), "E950", "E959").select("code")
+def _expand_range(spark, c):
+    return expand_range(_data_codes(spark, c), "E950", "E959").select("code")
 
 
-def _code_lists(spark, sf_dir):
-    return build_code_lists(spark, _data_codes(spark, sf_dir), REFERENCE_RULES)
+def _code_lists(spark, c):
+    return build_code_lists(spark, _data_codes(spark, c), REFERENCE_RULES)
 
 
-def _blank_sex(spark, sf_dir):
-    b = claims(spark, sf_dir).beneficiaries
+def _blank_sex(spark, c):
+    b = c.beneficiaries
     return blank_values(b, "sex", AMBIGUOUS_SEX).select("bene_id", "sex")
 
 
-def _blank_race(spark, sf_dir):
-    b = claims(spark, sf_dir).beneficiaries
+def _blank_race(spark, c):
+    b = c.beneficiaries
     return blank_matching(b, "race_ethnicity_code", AMBIGUOUS_RACE_PATTERN).select(
         "bene_id", "race_ethnicity_code")
 
 
-def _blank_beneficiaries(spark, sf_dir):
-    return blank_ambiguous_demographics(claims(spark, sf_dir).beneficiaries)
+def _blank_beneficiaries(spark, c):
+    return blank_ambiguous_demographics(c.beneficiaries)
 
 
-def _csv_round_trip(spark, sf_dir):
+def _csv_round_trip(spark, c):
     from dxcohort.plans.export import write_extract, read_extract
     from dxcohort.session import scratch_path
     path = scratch_path(spark, "extract-csv")
-    write_extract(_extract(FULL_BAND)(spark, sf_dir), path)
+    write_extract(_extract(FULL_BAND)(spark, c), path)
     return read_extract(spark, path)
 
 
-def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
+def builders() -> dict[str, Builder]:
+    """Every named query as ``(spark, claims) -> DataFrame``."""
+    q: dict[str, Builder] = {
         "diag_count_by_zip": _zip_query(R.diag_count_by_zip),
         "admission_count_by_zip": _zip_query(R.admission_count_by_zip, with_codes=False),
         "diag_share_of_admissions": _zip_query(R.diag_share_of_admissions),
@@ -283,3 +273,11 @@ def queries() -> dict[str, Query]:
         "csv_round_trip": _csv_round_trip,
     })
     return q
+
+
+def queries() -> dict[str, Query]:
+    """Every named query as ``(spark, sf_dir) -> DataFrame`` over the claims
+    tables derived from the test tables in ``sf_dir``."""
+    def bind(build: Builder) -> Query:
+        return lambda spark, sf_dir: build(spark, claims(spark, sf_dir))
+    return {name: bind(b) for name, b in builders().items()}

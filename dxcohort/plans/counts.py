@@ -20,7 +20,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxcohort.functions.expr import code_in, has_any, primary_code, secondary_codes
+from dxcohort.functions.expr import code_in, has_any, primary_code_in, secondary_has_any
 from dxcohort.operators.codes import (
     code_counts as _count_codes,
     explode_codes,
@@ -46,8 +46,8 @@ def _prefilter(admissions: DataFrame, position: str, codes: Sequence[str] | None
     if position == "all":
         return admissions.where(has_any("diagnosis", codes))
     if position == "secondary":
-        return admissions.where(has_any(secondary_codes("diagnosis"), codes))
-    return admissions.where(code_in(primary_code("diagnosis"), codes))
+        return admissions.where(secondary_has_any("diagnosis", codes))
+    return admissions.where(primary_code_in("diagnosis", codes))
 
 
 def banded_codes(admissions: DataFrame, beneficiaries: DataFrame,

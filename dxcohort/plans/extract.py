@@ -27,19 +27,23 @@ from dxcohort.operators.clean import blank_ambiguous_demographics
 from dxcohort.operators.cohort import Band, normalize_bands, with_bands
 from dxcohort.operators.running import running_count
 from dxcohort.schema import EXTRACT, FLAG_LISTS
+from dxcohort.sources.tables import stage_table
 
 EXTRACT_COLUMNS = [f.name for f in EXTRACT.fields]
 
 
 def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
                       enrollments: DataFrame, codes: Iterable[str]) -> DataFrame:
-    """Step 1: listed admissions x people x enrollments of the same year."""
+    """Step 1: listed admissions x people x enrollments of the same year.
+
+    Enrollments are joined to people first (on ``bene_id``), so the large
+    admissions side is shuffled once, on ``(bene_id, year)``.
+    """
     adm = admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
         has_any("diagnosis", codes))
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
-    enr = enrollments.select("bene_id", "year", "zip")
-    return (adm.join(people, "bene_id", "inner")
-            .join(enr, ["bene_id", "year"], "inner"))
+    person_years = enrollments.select("bene_id", "year", "zip").join(people, "bene_id", "inner")
+    return adm.join(person_years, ["bene_id", "year"], "inner")
 
 
 def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
@@ -47,10 +51,21 @@ def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
                              flag_lists: Mapping[str, Sequence[str]],
                              bands: Band | Sequence[Band],
                              flag_names: Sequence[str] = FLAG_LISTS,
-                             blank_ambiguous: bool = False) -> DataFrame:
+                             blank_ambiguous: bool = False,
+                             stage: bool | str = True) -> DataFrame:
     """The extract for several bands in one pass: the 23 columns plus
-    ``age_low``, ``age_high`` (a row appears once per band it falls in)."""
-    rows = running_count(listed_admissions(admissions, beneficiaries, enrollments, codes))
+    ``age_low``, ``age_high`` (a row appears once per band it falls in).
+
+    ``stage`` writes the listed rows once as a Parquet table (``True``: a new
+    folder under the shared checkpoint folder; a string: that path) before
+    numbering them: both the per-day totals and the rows then read that table
+    instead of scanning and joining the admissions twice, and the lineage is
+    cut. ``False`` keeps one lazy plan.
+    """
+    rows = listed_admissions(admissions, beneficiaries, enrollments, codes)
+    if stage:
+        rows = stage_table(rows, "extract-rows", stage if isinstance(stage, str) else None)
+    rows = running_count(rows)
     rows = with_bands(rows.withColumn("age", age_at_admission()), normalize_bands(bands))
     out = rows.select(
         *positional_codes("diagnosis"), "diagnosis", "year", "admission_date", "bene_id",
@@ -63,11 +78,11 @@ def individual_extract(admissions: DataFrame, beneficiaries: DataFrame,
                        enrollments: DataFrame, age_low: int, age_high: int,
                        codes: Iterable[str], flag_lists: Mapping[str, Sequence[str]],
                        flag_names: Sequence[str] = FLAG_LISTS,
-                       blank_ambiguous: bool = False) -> DataFrame:
+                       blank_ambiguous: bool = False, stage: bool | str = True) -> DataFrame:
     """The 23-column extract for one band."""
     return individual_extract_bands(admissions, beneficiaries, enrollments, codes,
                                     flag_lists, (age_low, age_high), flag_names,
-                                    blank_ambiguous).drop("age_low", "age_high")
+                                    blank_ambiguous, stage).drop("age_low", "age_high")
 
 
 def admission_flags(admissions: DataFrame, flag_lists: Mapping[str, Sequence[str]],
