@@ -1,0 +1,106 @@
+import json
+import os
+
+import pytest
+
+from dxcohort.operators.hierarchy import (
+    REFERENCE_RULES,
+    Rule,
+    build_code_lists,
+    expand_children,
+    expand_range,
+)
+from dxcohort.sources.codelists import (
+    code_list,
+    code_list_dict,
+    icd9_codes,
+    read_code_lists,
+    read_code_table,
+    read_parent_codes,
+    write_code_lists,
+)
+from dxcohort.session import scratch_path
+
+
+def test_reference_list_sizes(lists):
+    sizes = {k: len(v) for k, v in lists.items()}
+    assert sizes == {"icd9_all": 265, "depression": 16, "anxiety": 7, "emotion_disturb": 14,
+                     "adole_reaction": 18, "disturb_conduct": 30, "icd9": 585}
+
+
+def test_disease_lists_are_subsets_of_icd9_all(lists):
+    for name in ("depression", "anxiety", "emotion_disturb", "adole_reaction", "disturb_conduct"):
+        assert set(lists[name]) <= set(lists["icd9_all"])
+
+
+def test_range_list_is_categories_290_to_319(lists):
+    assert all("290" <= c[:3] <= "319" for c in lists["icd9"])
+    assert {c[:3] for c in lists["icd9"]} == {str(i) for i in range(290, 320)}
+
+
+def test_anxiety_follows_the_list_not_the_prose(lists):
+    # 300.0x + 30029 + 3004 only: 3001x / 3002x other than 30029 are not in it
+    assert sorted(lists["anxiety"]) == ["3000", "30000", "30001", "30002", "30009", "30029", "3004"]
+    assert "30021" in lists["icd9_all"] and "30021" not in lists["anxiety"]
+
+
+def test_expand_children_keeps_parent_and_is_exact_prefix(spark):
+    codes = spark.createDataFrame([(c,) for c in ["296", "2962", "29620", "2970", "E950", "E9500"]],
+                                  "code string")
+    parents = spark.createDataFrame([("2962",), ("E950",)], "parent string")
+    got = sorted(r.code for r in expand_children(codes, parents).collect())
+    assert got == ["2962", "29620", "E950", "E9500"]
+
+
+def test_expand_range_uses_categories_and_kind(spark):
+    codes = spark.createDataFrame([(c,) for c in ["E949", "E950", "E9591", "E960", "2950", "290",
+                                                  "31999", "320", "V290"]], "code string")
+    assert sorted(r.code for r in expand_range(codes, "E950", "E959").collect()) == ["E950", "E9591"]
+    assert sorted(r.code for r in expand_range(codes, "290", "319").collect()) == ["290", "2950", "31999"]
+    with pytest.raises(ValueError):
+        expand_range(codes, "290", "E959")
+
+
+def test_exact_codes_are_added_and_duplicates_removed(spark):
+    codes = spark.createDataFrame([("3000",), ("30001",)], "code string")
+    rules = [Rule("x", "children", "3000"), Rule("x", "exact", "30001"), Rule("x", "exact", "9999")]
+    got = sorted(r.code for r in build_code_lists(spark, codes, rules).collect())
+    assert got == ["3000", "30001", "9999"]
+
+
+def test_read_double_encoded_and_plain_json(spark, tmp_path):
+    payload = {"icd_cust_range": {"a": ["1", "2"], "b": ["3"]}}
+    (tmp_path / "double.json").write_text(json.dumps([json.dumps(payload)]))
+    (tmp_path / "plain.json").write_text(json.dumps(payload))
+    for name in ("double.json", "plain.json"):
+        df = read_code_lists(spark, str(tmp_path / name))
+        assert code_list_dict(df) == {"a": ["1", "2"], "b": ["3"]}
+
+
+def test_code_list_size_bound(spark):
+    df = spark.createDataFrame([("a", str(i)) for i in range(5)], "list_name string, code string")
+    assert code_list(df, "a") == sorted(str(i) for i in range(5))
+    with pytest.raises(ValueError):
+        code_list(df, "a", max_codes=3)
+
+
+def test_code_table_round_trip(spark):
+    lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
+    path = scratch_path(spark, "lists")
+    write_code_lists(lists, path)
+    back = read_code_table(spark, path)
+    assert back.count() == lists.count() == 265 + 16 + 7 + 14 + 18 + 30 + 585
+
+
+def test_read_parent_codes(spark, tmp_path):
+    p = tmp_path / "parents.txt"
+    p.write_text("296,299, 300,308\n")
+    assert [r.parent for r in read_parent_codes(spark, str(p)).collect()] == ["296", "299", "300", "308"]
+
+
+def test_packaged_dimension_is_sorted_and_unique():
+    from dxcohort.sources.codelists import _packaged_codes
+    codes = _packaged_codes()
+    assert codes == sorted(set(codes)) and len(codes) == 639
+    assert os.path.exists(os.path.join(os.path.dirname(__file__), os.pardir, "dxcohort", "data",
+                                       "icd9cm_codes.txt"))

@@ -1,0 +1,109 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from dxcohort.functions import (
+    age_at_admission,
+    age_in_year,
+    blank_if_in,
+    blank_if_matches,
+    code_in,
+    dob_for_age_in_year,
+    flag,
+    has_any,
+    positional_codes,
+    primary_code,
+    primary_code_in,
+    secondary_codes,
+    secondary_has_any,
+    share,
+)
+
+SCHEMA = "id int, d array<string>"
+ARRAYS = [(1, None), (2, []), (3, ["a"]), (4, ["a", "b", None]), (5, [None, "c"]),
+          (6, [str(i) for i in range(12)])]
+
+
+def _arrays(spark):
+    return spark.createDataFrame(ARRAYS, SCHEMA)
+
+
+def test_age_is_calendar_year_difference(spark):
+    df = spark.createDataFrame(
+        [(dt.date(2000, 1, 1), dt.date(1999, 12, 31)), (dt.date(2000, 12, 31), dt.date(2000, 1, 1)),
+         (dt.date(2000, 6, 1), None), (dt.date(1995, 1, 1), dt.date(1997, 5, 5))],
+        "admission_date date, dob date")
+    assert [r.age for r in df.select(age_at_admission().alias("age")).collect()] == [1, 0, None, -2]
+
+
+def test_age_in_year_and_dob_range_agree(spark):
+    dobs = [dt.date(y, m, 15) for y in range(1975, 2005) for m in (1, 12)] + [None]
+    df = spark.createDataFrame([(d,) for d in dobs], "dob date")
+    a = df.where(age_in_year(1998).between(0, 18)).count()
+    b = df.where(dob_for_age_in_year(1998, 0, 18)).count()
+    assert a == b == 38
+
+
+def test_primary_and_secondary_never_raise(spark):
+    out = {r.id: (r.p, r.s) for r in _arrays(spark).select(
+        "id", primary_code("d").alias("p"), secondary_codes("d").alias("s")).collect()}
+    assert out[1] == (None, None)
+    assert out[2] == (None, [])
+    assert out[3] == ("a", [])
+    assert out[4] == ("a", ["b", None])
+    assert out[5] == (None, ["c"])
+
+
+def test_positional_codes_stop_at_nine(spark):
+    r = _arrays(spark).where("id = 6").select(*positional_codes("d")).first()
+    assert list(r) == [str(i) for i in range(9)]
+    r = _arrays(spark).where("id = 4").select(*positional_codes("d")).first()
+    assert list(r) == ["a", "b"] + [None] * 7
+
+
+def test_has_any_follows_postgres_overlap(spark):
+    out = {r.id: r.h for r in _arrays(spark).select("id", has_any("d", ["c", "x"]).alias("h")).collect()}
+    # NULL array -> NULL; NULL elements without a match -> false (not NULL)
+    assert out == {1: None, 2: False, 3: False, 4: False, 5: True, 6: False}
+    # the Column path gives the same answers as the SQL-text path
+    out2 = {r.id: r.h for r in _arrays(spark).select(
+        "id", has_any(F.col("d"), ["c", "x"]).alias("h")).collect()}
+    assert out2 == out
+
+
+def test_empty_code_list_matches_nothing(spark):
+    df = _arrays(spark)
+    assert df.where(has_any("d", [])).count() == 0
+    assert df.where(code_in(F.col("id").cast("string"), [])).count() == 0
+    assert df.where(secondary_has_any("d", [])).count() == 0
+
+
+def test_secondary_and_primary_membership(spark):
+    df = _arrays(spark)
+    assert sorted(r.id for r in df.where(secondary_has_any("d", ["b", "c"])).collect()) == [4, 5]
+    assert sorted(r.id for r in df.where(primary_code_in("d", ["a"])).collect()) == [3, 4]
+    assert sorted(r.id for r in df.where(code_in(F.get("d", 0), ["a"])).collect()) == [3, 4]
+
+
+def test_codes_with_quotes_are_escaped(spark):
+    df = spark.createDataFrame([(1, ["it's"]), (2, ["a\\b"])], SCHEMA)
+    assert df.where(has_any("d", ["it's"])).count() == 1
+    assert df.where(has_any("d", ["a\\b"])).count() == 1
+
+
+def test_flag_is_zero_for_null_array(spark):
+    out = {r.id: r.f for r in _arrays(spark).select("id", flag("d", ["a"]).alias("f")).collect()}
+    assert out == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
+def test_share_is_a_fraction(spark):
+    r = spark.createDataFrame([(1, 4)], "n long, d long").select(share("n", "d").alias("s")).first()
+    assert r.s == 0.25
+
+
+def test_blanking(spark):
+    df = spark.createDataFrame(
+        [("M,U", "10"), ("F", "1"), (None, None), ("F,M,U", "1,2"), ("U", "0")], "sex string, race string")
+    out = df.select(blank_if_in("sex", ["M,U", "F,U", "F,M", "F,M,U"]).alias("sex"),
+                    blank_if_matches("race", ",|0").alias("race")).collect()
+    assert [tuple(r) for r in out] == [(None, None), ("F", "1"), (None, None), (None, None), ("U", None)]
