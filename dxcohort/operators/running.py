@@ -12,8 +12,9 @@ person may hold a large share of all rows. Instead:
 2. run the cumulative sum over those day rows (per person, bounded by the
    number of days in the data span);
 3. join the day totals back on (person, date). This equi-join spreads a person
-   over their distinct dates, and AQE splits any remaining hot partition
-   (the day side holds one row per key).
+   over their distinct dates, and it is salted: a person-day with a large
+   share of the rows is split over many tasks (the day side holds one row per
+   key, replicated per salt for hot keys only).
 
 The result is identical to the RANGE window, including ties.
 """
@@ -23,13 +24,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dxcohort.operators.skew import hot_keys_from_counts, salted_join
+
 
 def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_date",
                   out: str = "n_th_admission") -> DataFrame:
-    per_day = df.groupBy(key, order).agg(F.count(F.lit(1)).alias("_n_day"))
-    w = (Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+    """Add ``out``: rows of the same ``key`` with ``order`` at or before this
+    row's (PostgreSQL's ``ORDER BY ... ASC`` puts a NULL ``order`` last).
+
+    ``order`` must be a date column.
+    """
+    # NULL-safe day key: (is NULL, date or a fixed stand-in).
+    marked = (df.withColumn("_on", F.col(order).isNull())
+              .withColumn("_od", F.coalesce(F.col(order), F.lit("0001-01-01").cast("date"))))
+    day_keys = [key, "_on", "_od"]
+    per_day = marked.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_n_day"))
+    w = (Window.partitionBy(key).orderBy("_on", "_od")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = (per_day.withColumn(out, F.sum("_n_day").over(w).cast("long"))
-              .select(F.col(key).alias("_k"), F.col(order).alias("_o"), out))
-    cond = (df[key] == totals["_k"]) & df[order].eqNullSafe(totals["_o"])
-    return df.join(totals, cond, "inner").drop("_k", "_o")
+    totals = per_day.select(*day_keys, F.sum("_n_day").over(w).cast("long").alias(out))
+    # The per-day counts are the join-back's key counts: hot keys come free.
+    hot = hot_keys_from_counts(per_day, day_keys, "_n_day")
+    return salted_join(marked, totals, day_keys, hot=hot).drop("_on", "_od")

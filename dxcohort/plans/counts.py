@@ -7,10 +7,13 @@ Every function takes several age bands at once and returns them as
 all bands (the bands overlap, so rows fan out to each band they fall in).
 The ``*_in_band`` wrappers run one band and return the reference's columns.
 
-Shuffles, at any scale: the person join on ``bene_id`` (skipped when Spark
-measures a side under the broadcast threshold), the first-admission reduction
-on ``bene_id`` (reusing the join's distribution; partial aggregation first),
-and the per-code count (partial aggregation first, bounded by distinct codes).
+Skew and shuffles: age is a calendar-year difference, so it is fixed for a
+person within one admission year. Every query therefore first reduces the
+admissions per (person, admission year[, code]) - a ``groupBy`` that Spark
+combines on the map side - and only then joins people and applies bands. A
+person with a third of all admissions sends at most one row per year (and
+code) per task through the shuffle, and the person join sees a bounded number
+of rows per person. The final per-code count is bounded by distinct codes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from dxcohort.operators.codes import (
     suppress_small_cells,
     top_k,
 )
-from dxcohort.operators.cohort import Band, normalize_bands, with_age, with_bands
+from dxcohort.operators.cohort import Band, normalize_bands, with_bands
 from dxcohort.operators.first import first_per_group
 
 BAND_COLS = ("age_low", "age_high")
@@ -50,23 +53,32 @@ def _prefilter(admissions: DataFrame, position: str, codes: Sequence[str] | None
     return admissions.where(primary_code_in("diagnosis", codes))
 
 
-def banded_codes(admissions: DataFrame, beneficiaries: DataFrame,
-                 bands: Band | Sequence[Band], position: str = "all",
-                 codes: Iterable[str] | None = None) -> DataFrame:
-    """One row per (band, admission, code at ``position``), codes restricted
-    to ``codes`` when given; columns include ``bene_id``, ``admission_date``,
-    ``admission_id`` (when present), ``pos``, ``diag``, ``age`` and the band."""
-    codes = None if codes is None else sorted(set(codes))
+def _code_rows(admissions: DataFrame, position: str,
+               codes: Sequence[str] | None) -> DataFrame:
+    """Admission codes at ``position`` (restricted to ``codes``), with the
+    calendar year of admission ``adm_year`` that fixes the age."""
     cols = [c for c in ("admission_id", "bene_id", "admission_date", "diagnosis")
             if c in admissions.columns]
     adm = _prefilter(admissions.select(*cols), position, codes)
-    people = beneficiaries.select("bene_id", "dob")
-    rows = with_bands(with_age(adm.join(people, "bene_id", "inner")),
-                      normalize_bands(bands))
-    rows = explode_codes(rows.drop("dob"), position)
+    rows = explode_codes(adm, position).drop("diagnosis")
     if codes is not None:
         rows = rows.where(code_in("diag", codes))
-    return rows.drop("diagnosis")
+    return rows.withColumn("adm_year", F.year("admission_date"))
+
+
+def _with_person_bands(per_year: DataFrame, beneficiaries: DataFrame,
+                       bands: Band | Sequence[Band]) -> DataFrame:
+    """Join rows keyed by (person, admission year) to the person's birth year,
+    then keep and tag the bands the age falls in.
+
+    Age is the calendar-year difference, so it is fixed for a person within
+    one admission year: everything upstream may be reduced per person-year
+    before this join, which bounds what any one person sends through it.
+    """
+    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
+    joined = per_year.join(people, "bene_id", "inner").withColumn(
+        "age", (F.col("adm_year") - F.col("_birth_year")).cast("int")).drop("_birth_year")
+    return with_bands(joined, normalize_bands(bands))
 
 
 def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
@@ -74,12 +86,20 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
                 codes: Iterable[str] | None = None, limit: int | None = None,
                 keep_null: bool | None = None) -> DataFrame:
     """Counts per code over every admission: ``age_low, age_high, diag,
-    diag_count``. ``limit`` keeps the top codes per band (ties by code)."""
-    rows = banded_codes(admissions, beneficiaries, bands, position, codes)
+    diag_count``. ``limit`` keeps the top codes per band (ties by code).
+
+    Codes are counted per (person, admission year, code) first: partial
+    aggregation on the map side, and then at most one row per person-year and
+    code reaches the person join, however many admissions a person has.
+    """
+    codes = None if codes is None else sorted(set(codes))
+    rows = _code_rows(admissions, position, codes)
     keep = KEEP_NULL_DEFAULT[position] if keep_null is None else keep_null
     if not keep:
         rows = rows.where(F.col("diag").isNotNull())
-    counts = _count_codes(rows, BAND_COLS)
+    per_year = rows.groupBy("bene_id", "adm_year", "diag").agg(F.count("diag").alias("_n"))
+    banded = _with_person_bands(per_year, beneficiaries, bands)
+    counts = banded.groupBy(*BAND_COLS, "diag").agg(F.sum("_n").cast("long").alias("diag_count"))
     return top_k(counts, limit, BAND_COLS) if limit else counts
 
 
@@ -90,11 +110,16 @@ def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,
     person, the code row of the earliest admission *inside* the band and list.
 
     Ties on the date are broken by admission id, then code position, so the
-    result is fixed where the source leaves it arbitrary.
+    result is fixed where the source leaves it arbitrary. The earliest row is
+    found per person-year first (one partial-aggregated reduction), then per
+    band over the person's years.
     """
-    rows = banded_codes(admissions, beneficiaries, bands, position, codes)
+    codes = None if codes is None else sorted(set(codes))
+    rows = _code_rows(admissions, position, codes)
     order = [c for c in ("admission_date", "admission_id", "pos") if c in rows.columns]
-    return first_per_group(rows, [*BAND_COLS, "bene_id"], order,
+    per_year = first_per_group(rows, ["bene_id", "adm_year"], order, [*order, "diag"])
+    banded = _with_person_bands(per_year, beneficiaries, bands)
+    return first_per_group(banded, [*BAND_COLS, "bene_id"], order,
                            ["admission_date", "diag", "age"])
 
 
@@ -109,13 +134,22 @@ def first_admission_counts(admissions: DataFrame, beneficiaries: DataFrame,
     return counts if min_cell is None else suppress_small_cells(counts, "diag_count", min_cell)
 
 
+def _people_in_bands(admissions: DataFrame, beneficiaries: DataFrame,
+                     bands: Band | Sequence[Band], position: str,
+                     codes: Iterable[str] | None) -> DataFrame:
+    """Distinct (band, person) with at least one qualifying code row."""
+    codes = None if codes is None else sorted(set(codes))
+    per_year = _code_rows(admissions, position, codes).select("bene_id", "adm_year").distinct()
+    return _with_person_bands(per_year, beneficiaries, bands).select(
+        *BAND_COLS, "bene_id").distinct()
+
+
 def first_admission_total(admissions: DataFrame, beneficiaries: DataFrame,
                           bands: Band | Sequence[Band], position: str = "secondary",
                           codes: Iterable[str] | None = None) -> DataFrame:
     """``total_hosp`` per band: people with at least one qualifying row (the
     size of the first-admission set, computed as distinct people)."""
-    rows = banded_codes(admissions, beneficiaries, bands, position, codes)
-    return (rows.select(*BAND_COLS, "bene_id").distinct()
+    return (_people_in_bands(admissions, beneficiaries, bands, position, codes)
             .groupBy(*BAND_COLS).agg(F.count(F.lit(1)).alias("total_hosp")))
 
 
@@ -156,5 +190,5 @@ def first_admission_total_in_band(admissions: DataFrame, beneficiaries: DataFram
                                   position: str = "secondary",
                                   codes: Iterable[str] | None = None) -> DataFrame:
     """One row ``total_hosp`` (0 when nobody qualifies)."""
-    rows = banded_codes(admissions, beneficiaries, (age_low, age_high), position, codes)
-    return rows.select("bene_id").distinct().agg(F.count(F.lit(1)).alias("total_hosp"))
+    people = _people_in_bands(admissions, beneficiaries, (age_low, age_high), position, codes)
+    return people.agg(F.count(F.lit(1)).alias("total_hosp"))

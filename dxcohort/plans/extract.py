@@ -26,6 +26,7 @@ from dxcohort.functions.expr import age_at_admission, disease_flags, has_any, po
 from dxcohort.operators.clean import blank_ambiguous_demographics
 from dxcohort.operators.cohort import Band, normalize_bands, with_bands
 from dxcohort.operators.running import running_count
+from dxcohort.operators.skew import salted_join
 from dxcohort.schema import EXTRACT, FLAG_LISTS
 from dxcohort.sources.tables import stage_table
 
@@ -37,13 +38,17 @@ def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
     """Step 1: listed admissions x people x enrollments of the same year.
 
     Enrollments are joined to people first (on ``bene_id``), so the large
-    admissions side is shuffled once, on ``(bene_id, year)``.
+    admissions side is shuffled once, on ``(bene_id, year)``. That join is
+    salted (``dxcohort.operators.skew``): a person-year holding a large share
+    of the admissions is spread over many tasks; hot keys are counted on the
+    admissions' key columns alone.
     """
     adm = admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
         has_any("diagnosis", codes))
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
     person_years = enrollments.select("bene_id", "year", "zip").join(people, "bene_id", "inner")
-    return adm.join(person_years, ["bene_id", "year"], "inner")
+    return salted_join(adm, person_years, ["bene_id", "year"],
+                       hot_source=admissions.select("bene_id", "year"))
 
 
 def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,

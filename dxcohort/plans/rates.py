@@ -10,9 +10,12 @@ and year multiply admissions, as in the source SQL. The zip is the enrollment
 zip of that year; a NULL zip is a group of its own but never matches in the
 left join of the source, so its share is NULL (admissions) or 0 (enrolled).
 
-Every query joins on ``bene_id`` only (the year is a literal on both sides), so
-the enrollment join and the person join share one distribution, and ends in a
-per-zip ``groupBy`` with partial aggregation: a hot zip sends one row per task.
+Every query reduces admissions per person (and admission year) and
+enrollments per (person, zip) before joining, so no person - however many rows
+they hold - sends more than a few rows through a join; the joins are on
+``bene_id`` alone (the year is a literal on both sides) and share one
+distribution; a per-zip ``groupBy`` with partial aggregation ends each query, so
+a hot zip sends one row per task.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dxcohort.functions.expr import (
-    age_at_admission,
     dob_for_age_in_year,
     has_any,
     in_band,
@@ -31,39 +33,53 @@ from dxcohort.functions.expr import (
 )
 
 
-def _admissions_in_year(admissions: DataFrame, beneficiaries: DataFrame,
-                        enrollments: DataFrame, year: int, age_low: int,
-                        age_high: int, codes: Iterable[str] | None = None) -> DataFrame:
-    """Admissions of ``year`` x enrollments of ``year`` x people, age at
-    admission in band; restricted to listed admissions when ``codes`` is set."""
-    adm = admissions.where(F.col("year") == int(year)).select("bene_id", "admission_date",
-                                                              "diagnosis")
-    if codes is not None:
-        adm = adm.where(has_any("diagnosis", codes))
-    enr = enrollments.where(F.col("year") == int(year)).select("bene_id", "zip")
-    people = beneficiaries.select("bene_id", "dob")
-    return (adm.join(enr, "bene_id", "inner").join(people, "bene_id", "inner")
-            .where(in_band(age_at_admission(), age_low, age_high)))
+def _enrollment_counts(enrollments: DataFrame, year: int) -> DataFrame:
+    """Enrollment rows of ``year`` per (person, zip): duplicates collapse to a
+    count, which multiplies admissions exactly as the row join does."""
+    return (enrollments.where(F.col("year") == int(year))
+            .groupBy("bene_id", "zip").agg(F.count(F.lit(1)).alias("_n_enr")))
+
+
+def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
+                enrollments: DataFrame, year: int, age_low: int, age_high: int,
+                codes: Iterable[str] | None) -> DataFrame:
+    """Per zip: ``_admissions`` (all) and ``_listed`` (with a listed code),
+    counting admission x enrollment rows of ``year`` with age at admission in
+    band.
+
+    Admissions are first counted per (person, calendar year of admission) -
+    the age is fixed within it - so at most a few rows per person reach the
+    joins, whatever the skew; the joins are then on ``bene_id`` alone.
+    """
+    adm = admissions.where(F.col("year") == int(year))
+    listed = (F.coalesce(has_any("diagnosis", codes), F.lit(False)) if codes is not None
+              else F.lit(False))
+    per_year = (adm.groupBy("bene_id", F.year("admission_date").alias("adm_year"))
+                .agg(F.count(F.lit(1)).alias("_n_adm"), F.count_if(listed).alias("_n_listed")))
+    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
+    rows = (per_year.join(_enrollment_counts(enrollments, year), "bene_id", "inner")
+            .join(people, "bene_id", "inner")
+            .where(in_band(F.col("adm_year") - F.col("_birth_year"), age_low, age_high)))
+    return rows.groupBy("zip").agg(
+        F.sum(F.col("_n_adm") * F.col("_n_enr")).cast("long").alias("_admissions"),
+        F.sum(F.col("_n_listed") * F.col("_n_enr")).cast("long").alias("_listed"))
 
 
 def diag_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,
                       enrollments: DataFrame, year: int, age_low: int, age_high: int,
                       codes: Iterable[str]) -> DataFrame:
-    """``diag_count, zip``: admissions carrying a listed code."""
-    rows = _admissions_in_year(admissions, beneficiaries, enrollments, year, age_low,
-                               age_high, codes)
-    return rows.groupBy("zip").agg(F.count("bene_id").alias("diag_count")).select(
-        "diag_count", "zip")
+    """``diag_count, zip``: admissions carrying a listed code (zips with at
+    least one)."""
+    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high, codes)
+    return totals.where(F.col("_listed") > 0).select(F.col("_listed").alias("diag_count"), "zip")
 
 
 def admission_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,
                            enrollments: DataFrame, year: int, age_low: int,
                            age_high: int) -> DataFrame:
     """``admin_count, zip``: all admissions."""
-    rows = _admissions_in_year(admissions, beneficiaries, enrollments, year, age_low,
-                               age_high)
-    return rows.groupBy("zip").agg(F.count("bene_id").alias("admin_count")).select(
-        "admin_count", "zip")
+    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high, None)
+    return totals.select(F.col("_admissions").alias("admin_count"), "zip")
 
 
 def diag_share_of_admissions(admissions: DataFrame, beneficiaries: DataFrame,
@@ -73,19 +89,14 @@ def diag_share_of_admissions(admissions: DataFrame, beneficiaries: DataFrame,
     NULL last.
 
     The source joins two aggregates of the same rows; here both counts come
-    from one pass (a filtered count beside a plain one). ``diag_count`` is NULL
-    where the source's left join finds no match: no listed admission in the
-    zip, or a NULL zip.
+    from one pass. ``diag_count`` is NULL where the source's left join finds
+    no match: no listed admission in the zip, or a NULL zip.
     """
-    rows = _admissions_in_year(admissions, beneficiaries, enrollments, year, age_low,
-                               age_high)
-    listed = F.count_if(F.coalesce(has_any("diagnosis", codes), F.lit(False)))
-    agg = rows.groupBy("zip").agg(F.count("bene_id").alias("admin_count"),
-                                  listed.alias("_listed"))
+    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high, codes)
     diag_count = F.when(F.col("zip").isNotNull() & (F.col("_listed") > 0), F.col("_listed"))
-    return (agg.withColumn("diag_count", diag_count)
-            .select(share("diag_count", "admin_count").alias("diag_vs_all_diag"),
-                    "diag_count", "admin_count", "zip")
+    return (totals.withColumn("diag_count", diag_count)
+            .select(share("diag_count", "_admissions").alias("diag_vs_all_diag"),
+                    "diag_count", F.col("_admissions").alias("admin_count"), "zip")
             .orderBy(F.col("diag_vs_all_diag").desc_nulls_last(), F.col("zip").asc_nulls_last()))
 
 
@@ -99,21 +110,21 @@ def diag_share_of_enrolled(admissions: DataFrame, beneficiaries: DataFrame,
     restated as a ``dob`` range so it reaches the Parquet scan. The share can
     exceed 1: its numerator counts admissions, its denominator enrollments.
 
-    Enrollment rows (numerator 0) and listed admission x enrollment rows
-    (numerator 1) are unioned and joined to people once; one ``groupBy(zip)``
-    then yields both counts, in place of two aggregates and a join.
+    Listed admissions are counted per person; each enrollment row of the
+    person in a zip adds that count to the numerator and 1 to the
+    denominator, so one ``groupBy(zip)`` yields both, in place of two
+    aggregates and a join.
     """
-    enr = enrollments.where(F.col("year") == int(year)).select("bene_id", "zip")
-    adm = (admissions.where((F.col("year") == int(year)) & has_any("diagnosis", codes))
-           .select("bene_id"))
-    listed = adm.join(enr, "bene_id", "inner").withColumn("_d", F.lit(1))
-    both = enr.withColumn("_d", F.lit(0)).unionByName(listed)
+    listed = (admissions.where((F.col("year") == int(year)) & has_any("diagnosis", codes))
+              .groupBy("bene_id").agg(F.count(F.lit(1)).alias("_n_listed")))
     people = beneficiaries.where(dob_for_age_in_year(year, age_low, age_high)).select("bene_id")
-    agg = (both.join(people, "bene_id", "inner").groupBy("zip")
-           .agg(F.count_if(F.col("_d") == 0).alias("enroll_count"),
-                F.count_if(F.col("_d") == 1).alias("_listed")))
+    rows = (_enrollment_counts(enrollments, year).join(people, "bene_id", "inner")
+            .join(listed, "bene_id", "left"))
+    agg = rows.groupBy("zip").agg(
+        F.sum("_n_enr").cast("long").alias("enroll_count"),
+        F.sum(F.col("_n_enr") * F.coalesce(F.col("_n_listed"), F.lit(0))).cast("long")
+        .alias("_listed"))
     diag_final = F.when(F.col("zip").isNull(), F.lit(0).cast("long")).otherwise(F.col("_listed"))
-    return (agg.where(F.col("enroll_count") > 0)
-            .withColumn("diag_final", diag_final)
+    return (agg.withColumn("diag_final", diag_final)
             .select(share("diag_final", "enroll_count").alias("diag_vs_all_enroll"),
                     "diag_final", "enroll_count", "zip"))

@@ -1,0 +1,74 @@
+"""Skewed keys: salting must return exactly the rows of a plain join, and
+every query must give the same answer when one person is very hot."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from dxcohort.operators import skew
+from dxcohort.operators.skew import hot_keys, salted_join
+from dxcohort.plans import counts as C
+from dxcohort.plans import extract as X
+from dxcohort.plans import rates as R
+
+
+@pytest.fixture
+def low_threshold(monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEY_ROWS", 3)
+    monkeypatch.setattr(skew, "MAX_SALTS", 4)
+
+
+def test_hot_keys_are_bounded(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"))
+    hot = hot_keys(df, ["k"], min_rows=100, max_keys=2, max_salts=8).collect()
+    assert len(hot) == 2 and all(r._salts == 4 for r in hot)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_plain_join(spark, how):
+    big = spark.range(2000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("v"))
+    small = spark.createDataFrame([(k, f"s{k}", j) for k in range(0, 60, 2) for j in range(2)],
+                                  "k long, s string, j int")
+    plain = big.join(small, "k", how)
+    salted = salted_join(big, small, ["k"], how, min_rows=20, max_keys=3, max_salts=16)
+    assert rows(salted, "k", "v", "s", "j") == rows(plain, "k", "v", "s", "j")
+
+
+def test_cap_on_hot_keys_keeps_all_rows(spark):
+    big = spark.range(3000).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([(k, k * 10) for k in range(10)], "k long, s long")
+    # ten keys are hot but only two are salted: the rest join unsalted
+    salted = salted_join(big, small, ["k"], min_rows=10, max_keys=2, max_salts=8)
+    assert salted.count() == 3000
+    assert rows(salted, "k", "v", "s") == rows(big.join(small, "k"), "k", "v", "s")
+
+
+def _hot(claims):
+    a, b, e = claims
+    # person 1 takes over two thirds of all admissions (and keeps their enrollments)
+    hot = a.withColumn("bene_id", F.when(F.col("admission_id") % 3 != 0, F.lit(1))
+                       .otherwise(F.col("bene_id")))
+    return hot, b, e
+
+
+def test_queries_identical_with_salting(spark, small_claims, lists, low_threshold):
+    a, b, e = _hot(small_claims)
+    codes = lists["icd9_all"]
+    salted = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
+              rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
+              rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)))
+    skew.HOT_KEY_ROWS = 10 ** 12                       # nothing is hot
+    plain = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
+             rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
+             rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)))
+    assert salted == plain
+    assert len(salted[0]) > 100
+
+
+def test_salting_shows_in_plan(spark, small_claims, lists, low_threshold):
+    a, b, e = _hot(small_claims)
+    df = X.individual_extract(a, b, e, 0, 18, lists["icd9_all"], lists, stage=False)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in text and "xxhash64" in text
