@@ -1,0 +1,2 @@
+"""Reusable DataFrame operators (no session state, no actions except where a
+size bound is checked)."""

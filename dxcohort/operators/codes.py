@@ -71,3 +71,39 @@ def suppress_small_cells(df: DataFrame, count: str = "diag_count",
                          min_cell: int = 10) -> DataFrame:
     """Disclosure rule: keep only counts strictly greater than ``min_cell``."""
     return df.where(F.col(count) > int(min_cell))
+
+
+# --- code lists held as tables --------------------------------------------------
+
+def checked_code_table(codes: DataFrame, code: str = "code",
+                       max_codes: int | None = None) -> DataFrame:
+    """Distinct codes of a code-list table, after checking it holds at most
+    ``max_codes`` (default: the code-list bound) so it may be broadcast."""
+    from dxcohort.sources.codelists import MAX_LIST_CODES
+    bound = MAX_LIST_CODES if max_codes is None else int(max_codes)
+    table = codes.select(F.col(code).alias("_code")).where(F.col("_code").isNotNull()).distinct()
+    if table.limit(bound + 1).count() > bound:
+        raise ValueError(f"code table holds more than {bound} codes; not a code list")
+    return table
+
+
+def codes_in_table(rows: DataFrame, codes: DataFrame, code: str = "diag") -> DataFrame:
+    """Rows whose ``code`` is in a code-list table: a broadcast left-semi join
+    (``code IN (SELECT code FROM list)``), evaluated map-side."""
+    table = checked_code_table(codes)
+    return rows.join(F.broadcast(table), rows[code] == table["_code"], "left_semi")
+
+
+def rows_with_listed_code(df: DataFrame, codes: DataFrame, keys: Sequence[str],
+                          diagnosis: str = "diagnosis") -> DataFrame:
+    """Rows of ``df`` whose array holds a code of a code-list table
+    (``diagnosis && list`` with the list as a table).
+
+    The codes are exploded, matched map-side against the broadcast list, and
+    the matching ``keys`` (which must identify a row) are semi-joined back.
+    The literal form (:func:`dxcohort.functions.has_any`) needs no shuffle
+    and is used by the queries; this form serves lists that live in tables.
+    """
+    exploded = df.select(*keys, F.explode(diagnosis).alias("_diag"))
+    matched = codes_in_table(exploded, codes, "_diag").select(*keys).distinct()
+    return df.join(matched, list(keys), "left_semi")

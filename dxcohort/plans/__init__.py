@@ -1,0 +1 @@
+"""Composite queries built from the operators, and the named-query catalog."""

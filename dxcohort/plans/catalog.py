@@ -203,6 +203,23 @@ def _code_lists(spark, c):
     return build_code_lists(spark, _data_codes(spark, c), REFERENCE_RULES)
 
 
+def _reference_code_table(spark, name: str):
+    from dxcohort.sources.codelists import icd9_codes
+    lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
+    return lists.where(F.col("list_name") == name).select("code")
+
+
+def _code_counts_by_table(spark, c):
+    return C.code_counts_in_band(c.admissions, c.beneficiaries, *FULL_BAND, "secondary",
+                                 _reference_code_table(spark, RANGE_LIST))
+
+
+def _listed_admissions_by_table(spark, c):
+    from dxcohort.operators.codes import rows_with_listed_code
+    return rows_with_listed_code(c.admissions, _reference_code_table(spark, COHORT_LIST),
+                                 ["admission_id"]).select("admission_id", "bene_id")
+
+
 def _blank_sex(spark, c):
     b = c.beneficiaries
     return blank_values(b, "sex", AMBIGUOUS_SEX).select("bene_id", "sex")
@@ -268,6 +285,8 @@ def builders() -> dict[str, Builder]:
         "suppress_small_cells": _suppress_small_cells,
         "expand_children": _expand_children,
         "expand_range": _expand_range,
+        "code_counts_290_319_secondary_by_table": _code_counts_by_table,
+        "listed_admissions_by_table": _listed_admissions_by_table,
         "blank_sex": _blank_sex,
         "blank_race": _blank_race,
         "csv_round_trip": _csv_round_trip,

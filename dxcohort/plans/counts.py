@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from dxcohort.functions.expr import code_in, has_any, primary_code_in, secondary_has_any
 from dxcohort.operators.codes import (
     code_counts as _count_codes,
+    codes_in_table,
     explode_codes,
     ordered,
     suppress_small_cells,
@@ -53,16 +54,30 @@ def _prefilter(admissions: DataFrame, position: str, codes: Sequence[str] | None
     return admissions.where(primary_code_in("diagnosis", codes))
 
 
+def _normalize_codes(codes):
+    if codes is None or isinstance(codes, DataFrame):
+        return codes
+    return sorted(set(codes))
+
+
 def _code_rows(admissions: DataFrame, position: str,
-               codes: Sequence[str] | None) -> DataFrame:
+               codes: Sequence[str] | DataFrame | None) -> DataFrame:
     """Admission codes at ``position`` (restricted to ``codes``), with the
-    calendar year of admission ``adm_year`` that fixes the age."""
+    calendar year of admission ``adm_year`` that fixes the age.
+
+    ``codes`` is a list of codes (an ``IN`` set, also applied to the arrays
+    before the explode) or a code-list table with a ``code`` column (a
+    broadcast semi join after the explode).
+    """
     cols = [c for c in ("admission_id", "bene_id", "admission_date", "diagnosis")
             if c in admissions.columns]
-    adm = _prefilter(admissions.select(*cols), position, codes)
-    rows = explode_codes(adm, position).drop("diagnosis")
-    if codes is not None:
-        rows = rows.where(code_in("diag", codes))
+    adm = admissions.select(*cols)
+    if isinstance(codes, DataFrame):
+        rows = codes_in_table(explode_codes(adm, position).drop("diagnosis"), codes, "diag")
+    else:
+        rows = explode_codes(_prefilter(adm, position, codes), position).drop("diagnosis")
+        if codes is not None:
+            rows = rows.where(code_in("diag", codes))
     return rows.withColumn("adm_year", F.year("admission_date"))
 
 
@@ -92,7 +107,7 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     aggregation on the map side, and then at most one row per person-year and
     code reaches the person join, however many admissions a person has.
     """
-    codes = None if codes is None else sorted(set(codes))
+    codes = _normalize_codes(codes)
     rows = _code_rows(admissions, position, codes)
     keep = KEEP_NULL_DEFAULT[position] if keep_null is None else keep_null
     if not keep:
@@ -114,7 +129,7 @@ def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,
     found per person-year first (one partial-aggregated reduction), then per
     band over the person's years.
     """
-    codes = None if codes is None else sorted(set(codes))
+    codes = _normalize_codes(codes)
     rows = _code_rows(admissions, position, codes)
     order = [c for c in ("admission_date", "admission_id", "pos") if c in rows.columns]
     per_year = first_per_group(rows, ["bene_id", "adm_year"], order, [*order, "diag"])
@@ -138,7 +153,7 @@ def _people_in_bands(admissions: DataFrame, beneficiaries: DataFrame,
                      bands: Band | Sequence[Band], position: str,
                      codes: Iterable[str] | None) -> DataFrame:
     """Distinct (band, person) with at least one qualifying code row."""
-    codes = None if codes is None else sorted(set(codes))
+    codes = _normalize_codes(codes)
     per_year = _code_rows(admissions, position, codes).select("bene_id", "adm_year").distinct()
     return _with_person_bands(per_year, beneficiaries, bands).select(
         *BAND_COLS, "bene_id").distinct()

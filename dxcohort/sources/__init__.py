@@ -1,0 +1,2 @@
+"""Readers and writers: claims tables, code lists and the code dimension, and
+the test fixture derived from the TPC-H-like test tables."""
