@@ -60,7 +60,8 @@ def main() -> None:
     from dxcohort.sources.tables import read_claims, write_claims
 
     n = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
-    spark: SparkSession = local_session(cores=cpus, shuffle_partitions=2 * n,
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 2 * n))
+    spark: SparkSession = local_session(cores=cpus, shuffle_partitions=partitions,
                                         app_name="dxcohort-bench", memory="16g")
 
     t0 = time.perf_counter()

@@ -48,3 +48,32 @@ def test_sorted_extract_file_order(spark, claims, lists):
     back = export.read_extract(spark, path).collect()
     keys = [(r.bene_id, r.admission_date or dt.date.max) for r in back]
     assert keys == sorted(keys)
+
+
+def test_run_and_export_all_bands_one_output(spark, claims):
+    from functools import partial
+    from dxcohort.plans import counts as C
+    a, b, _ = claims
+    path = scratch_path(spark, "t-bands")
+    export.run_and_export(partial(C.code_counts, a, b, position="all"), [(0, 18), (0, 12), (13, 18)], path)
+    df = spark.read.option("header", True).csv(path)
+    got = {(int(r.age_low), int(r.age_high))
+           for r in df.select("age_low", "age_high").distinct().collect()}
+    assert got == {(0, 18), (0, 12), (13, 18)}
+
+
+def test_bucketed_layout_round_trip(spark, small_claims):
+    from dxcohort.sources.tables import read_claims_tables, write_claims
+    root = scratch_path(spark, "t-bucketed")
+    write_claims(small_claims, root, buckets=4, table_prefix="t_bucketed_")
+    back = read_claims_tables(spark, "t_bucketed_")
+    for before, after in zip(small_claims, back):
+        assert after.count() == before.count()
+    # co-bucketed tables join on bene_id without a shuffle of either side
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = back.admissions.join(back.beneficiaries, "bene_id")._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan

@@ -159,3 +159,10 @@ def test_with_bands_overlapping(spark):
     df = spark.createDataFrame([(1, 5), (2, 13), (3, None), (4, 19)], "id int, age int")
     got = rows(with_bands(df, [(0, 18), (0, 12), (13, 18)]), "id", "age_low", "age_high")
     assert got == [(1, 0, 12), (1, 0, 18), (2, 0, 18), (2, 13, 18)]
+
+
+def test_one_enrollment_per_year_removes_fan_out(claims, lists):
+    from dxcohort.operators.cohort import one_enrollment_per_year
+    a, b, e = claims
+    x = X.individual_extract(a, b, one_enrollment_per_year(e), 0, 18, lists["icd9_all"], lists)
+    assert rows(x.where("bene_id = 8"), "zip", "n_th_admission") == [("10001", 1), (None, 2)]
