@@ -16,7 +16,6 @@ behind that bound so that membership runs as an in-stage hash-set lookup.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from importlib import resources
 
@@ -29,6 +28,7 @@ LISTS_KEY = "icd_cust_range"
 # More codes than any diagnosis classification holds: a list above this is
 # not a code list, and the call fails instead of shipping it to every task.
 MAX_LIST_CODES = 200_000
+MAX_LISTS = 64
 
 _NESTED = f"struct<{LISTS_KEY}:map<string,array<string>>>"
 
@@ -64,7 +64,8 @@ def read_parent_codes(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("parent") != ""))
 
 
-def _packaged_codes() -> list[str]:
+def packaged_codes() -> list[str]:
+    """The packaged code dimension as a list (read on the driver; small)."""
     text = resources.files("dxcohort").joinpath("data", "icd9cm_codes.txt").read_text()
     return [line.strip() for line in text.splitlines()
             if line.strip() and not line.startswith("#")]
@@ -76,7 +77,7 @@ def icd9_codes(spark: SparkSession) -> DataFrame:
     A small packaged file, read on the driver and shipped inside the plan, so
     it needs no shared storage.
     """
-    return spark.createDataFrame([(c,) for c in _packaged_codes()], CODES)
+    return spark.createDataFrame([(c,) for c in packaged_codes()], CODES)
 
 
 def code_list(code_lists: DataFrame, name: str,
@@ -91,11 +92,14 @@ def code_list(code_lists: DataFrame, name: str,
 
 def code_list_dict(code_lists: DataFrame, names: Sequence[str] | None = None,
                    max_codes: int = MAX_LIST_CODES) -> dict[str, list[str]]:
-    """Several named lists at once (one small job), size-checked per list."""
+    """Several named lists at once (one small job), size-checked per list.
+
+    At most ``max_codes`` codes per list and ``MAX_LISTS`` lists are read.
+    """
     df = code_lists.select("list_name", "code").distinct()
     if names is not None:
         df = df.where(F.col("list_name").isin(list(names)))
-    total_max = max_codes * (len(names) if names is not None else 64)
+    total_max = max_codes * (len(names) if names is not None else MAX_LISTS)
     rows = df.limit(total_max + 1).collect()
     if len(rows) > total_max:
         raise ValueError("code lists exceed the size bound")
@@ -121,7 +125,3 @@ def reference_lists(spark: SparkSession) -> dict[str, list[str]]:
         lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
         _REFERENCE_CACHE[key] = {k: tuple(v) for k, v in code_list_dict(lists).items()}
     return {k: list(v) for k, v in _REFERENCE_CACHE[key].items()}
-
-
-def data_path(*parts: str) -> str:
-    return os.path.join(os.path.dirname(__file__), os.pardir, "data", *parts)

@@ -99,8 +99,8 @@ def test_read_parent_codes(spark, tmp_path):
 
 
 def test_packaged_dimension_is_sorted_and_unique():
-    from dxcohort.sources.codelists import _packaged_codes
-    codes = _packaged_codes()
+    from dxcohort.sources.codelists import packaged_codes
+    codes = packaged_codes()
     assert codes == sorted(set(codes)) and len(codes) == 639
     assert os.path.exists(os.path.join(os.path.dirname(__file__), os.pardir, "dxcohort", "data",
                                        "icd9cm_codes.txt"))
