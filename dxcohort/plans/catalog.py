@@ -243,6 +243,33 @@ def _csv_round_trip(spark, c):
     return read_extract(spark, path)
 
 
+def _counts_by_position(spark, c, list_name: str | None, band=FULL_BAND):
+    codes = _lists(spark)[list_name] if list_name else None
+    parts = [C.code_counts(c.admissions, c.beneficiaries, band, p, codes)
+             .drop("age_low", "age_high").withColumn("position", F.lit(p))
+             for p in ("all", "primary", "secondary")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _code_counts_290_319(spark, c):
+    """L13 as one output: every position, band 0-18, the 290-319 list."""
+    return _counts_by_position(spark, c, RANGE_LIST)
+
+
+def _run_and_export(spark, c):
+    """L18: all positions x all bands written as one partitioned CSV output,
+    read back with an explicit schema."""
+    from dxcohort.plans.export import export_code_counts, read_csv
+    from dxcohort.session import scratch_path
+    path = scratch_path(spark, "code-counts-csv")
+    export_code_counts(c.admissions, c.beneficiaries, ALL_BANDS, path)
+    schema = "diag string, diag_count long, position string, age_low int, age_high int"
+    return read_csv(spark, path, schema)
+
+
 def builders() -> dict[str, Builder]:
     """Every named query as ``(spark, claims) -> DataFrame``."""
     q: dict[str, Builder] = {
@@ -274,6 +301,9 @@ def builders() -> dict[str, Builder]:
         "blank_ambiguous_demographics": _extract(FULL_BAND, blank=True),
         "blank_beneficiaries": _blank_beneficiaries,
         "code_lists": _code_lists,
+        "build_code_lists": _code_lists,
+        "code_counts_290_319": _code_counts_290_319,
+        "run_and_export": _run_and_export,
         "age_at_admission": _age_at_admission,
         "age_in_year": _age_in_year,
         "primary_code": _primary_code,
