@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxcohort.operators.skew import hot_keys_from_counts, salted_join
+from dxcohort.operators.skew import cannot_hold_hot_key, hot_keys_from_counts, salted_join
 
 
 def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_date",
@@ -42,6 +42,8 @@ def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_d
     w = (Window.partitionBy(key).orderBy("_on", "_od")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = per_day.select(*day_keys, F.sum("_n_day").over(w).cast("long").alias(out))
+    if cannot_hold_hot_key(df):
+        return marked.join(totals, day_keys, "inner").drop("_on", "_od")
     # The per-day counts are the join-back's key counts: hot keys come free.
     hot = hot_keys_from_counts(per_day, day_keys, "_n_day")
     return salted_join(marked, totals, day_keys, hot=hot).drop("_on", "_od")

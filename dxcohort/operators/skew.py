@@ -53,6 +53,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None,
     return hot_keys_from_counts(counts, keys, "_rows", min_rows, max_keys, max_salts)
 
 
+def cannot_hold_hot_key(source: DataFrame, min_rows: int | None = None) -> bool:
+    """True when ``source`` has at most ``min_rows`` rows, so no key of it can
+    be hot and a plain join is exact and balanced. On a table scan the count
+    reads file metadata only."""
+    min_rows = _limits(min_rows, None, None)[0]
+    return source.count() <= min_rows
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                 min_rows: int | None = None, max_keys: int | None = None,
                 max_salts: int | None = None, hot_source: DataFrame | None = None,
@@ -65,13 +73,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     counted: pass the unfiltered table's key columns when ``big`` is an
     expensive filter of it - its counts bound ``big``'s, so no hot key is
     missed, and only the key columns are read. ``hot`` skips the counting:
-    a bounded table ``keys..., _salts`` the caller already has.
+    a bounded table ``keys..., _salts`` the caller already has. When the
+    source has no more than ``min_rows`` rows in all, no key can be hot and
+    the plain join is returned.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     keys = list(keys)
     if hot is None:
         source = hot_source if hot_source is not None else big
+        if cannot_hold_hot_key(source, min_rows):
+            return big.join(small, keys, how)
         hot = hot_keys(source, keys, min_rows, max_keys, max_salts)
     hot = F.broadcast(hot)
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])

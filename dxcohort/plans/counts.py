@@ -7,13 +7,14 @@ Every function takes several age bands at once and returns them as
 all bands (the bands overlap, so rows fan out to each band they fall in).
 The ``*_in_band`` wrappers run one band and return the reference's columns.
 
-Skew and shuffles: age is a calendar-year difference, so it is fixed for a
-person within one admission year. Every query therefore first reduces the
-admissions per (person, admission year[, code]) - a ``groupBy`` that Spark
-combines on the map side - and only then joins people and applies bands. A
-person with a third of all admissions sends at most one row per year (and
-code) per task through the shuffle, and the person join sees a bounded number
-of rows per person. The final per-code count is bounded by distinct codes.
+Skew and shuffles. Per-code counts join the admission rows (arrays intact,
+the most compact form) to people with a salted join - hot persons spread over
+many tasks - and explode after the join; the per-code count is combined
+map-side and bounded by distinct codes. First-admission queries and totals
+exploit that age is a calendar-year difference, fixed for a person within one
+admission year: they first reduce rows per (person, admission year) - a
+``groupBy`` Spark combines on the map side, one row per person-year per task
+however hot the person - and only then join people and apply bands.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from dxcohort.operators.codes import (
 )
 from dxcohort.operators.cohort import Band, normalize_bands, with_bands
 from dxcohort.operators.first import first_per_group
+from dxcohort.operators.skew import salted_join
 
 BAND_COLS = ("age_low", "age_high")
 # What the source queries do with a NULL code when no list is given: the
@@ -98,23 +100,37 @@ def _with_person_bands(per_year: DataFrame, beneficiaries: DataFrame,
 
 def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
                 bands: Band | Sequence[Band], position: str = "all",
-                codes: Iterable[str] | None = None, limit: int | None = None,
+                codes: Iterable[str] | DataFrame | None = None, limit: int | None = None,
                 keep_null: bool | None = None) -> DataFrame:
     """Counts per code over every admission: ``age_low, age_high, diag,
     diag_count``. ``limit`` keeps the top codes per band (ties by code).
 
-    Codes are counted per (person, admission year, code) first: partial
-    aggregation on the map side, and then at most one row per person-year and
-    code reaches the person join, however many admissions a person has.
+    Admissions (arrays intact, pre-filtered by the list) are joined to the
+    person's birth year with a salted join on ``bene_id``: one shuffle of the
+    compact array rows, and a person holding a large share of them is spread
+    over many tasks. Codes are exploded after the join and counted per band
+    and code with partial aggregation, so the last shuffle is bounded by the
+    number of distinct codes.
     """
     codes = _normalize_codes(codes)
-    rows = _code_rows(admissions, position, codes)
+    cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
+    adm = admissions.select(*cols)
+    if not isinstance(codes, DataFrame):
+        adm = _prefilter(adm, position, codes)
+    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
+    joined = salted_join(adm, people, ["bene_id"], hot_source=admissions.select("bene_id"))
+    aged = joined.withColumn(
+        "age", (F.year("admission_date") - F.col("_birth_year")).cast("int"))
+    rows = explode_codes(with_bands(aged, normalize_bands(bands)).select(
+        *BAND_COLS, "diagnosis"), position).drop("diagnosis")
+    if isinstance(codes, DataFrame):
+        rows = codes_in_table(rows, codes, "diag")
+    elif codes is not None:
+        rows = rows.where(code_in("diag", codes))
     keep = KEEP_NULL_DEFAULT[position] if keep_null is None else keep_null
     if not keep:
         rows = rows.where(F.col("diag").isNotNull())
-    per_year = rows.groupBy("bene_id", "adm_year", "diag").agg(F.count("diag").alias("_n"))
-    banded = _with_person_bands(per_year, beneficiaries, bands)
-    counts = banded.groupBy(*BAND_COLS, "diag").agg(F.sum("_n").cast("long").alias("diag_count"))
+    counts = _count_codes(rows, BAND_COLS)
     return top_k(counts, limit, BAND_COLS) if limit else counts
 
 

@@ -58,17 +58,26 @@ def test_queries_identical_with_salting(spark, small_claims, lists, low_threshol
     codes = lists["icd9_all"]
     salted = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
               rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
-              rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)))
+              rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)),
+              rows(C.code_counts(a, b, [(0, 18), (0, 12), (13, 18)], "all")))
     skew.HOT_KEY_ROWS = 10 ** 12                       # nothing is hot
     plain = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
              rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
-             rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)))
+             rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)),
+             rows(C.code_counts(a, b, [(0, 18), (0, 12), (13, 18)], "all")))
     assert salted == plain
     assert len(salted[0]) > 100
 
 
 def test_salting_shows_in_plan(spark, small_claims, lists, low_threshold):
     a, b, e = _hot(small_claims)
-    df = X.individual_extract(a, b, e, 0, 18, lists["icd9_all"], lists, stage=False)
-    text = df._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in text and "xxhash64" in text
+    for df in (X.individual_extract(a, b, e, 0, 18, lists["icd9_all"], lists, stage=False),
+               C.code_counts(a, b, (0, 18), "all")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in text and "xxhash64" in text
+
+
+def test_small_tables_skip_detection(spark, small_claims):
+    a, b, _ = small_claims
+    text = C.code_counts(a, b, (0, 18), "all")._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in text
