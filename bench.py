@@ -56,7 +56,7 @@ def main() -> None:
 
     from dxcohort.plans import catalog
     from dxcohort.session import local_session, scratch_path
-    from dxcohort.sources.codelists import reference_lists
+    from dxcohort.sources.codelists import standard_lists
     from dxcohort.sources.tables import read_claims, write_claims
 
     n = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
@@ -68,7 +68,7 @@ def main() -> None:
     root = scratch_path(spark, "claims")
     write_claims(catalog.claims(spark, sf_dir), root)
     claims = read_claims(spark, root)
-    reference_lists(spark)
+    standard_lists(spark)
     prepare = time.perf_counter() - t0
 
     build = catalog.builders()

@@ -43,7 +43,7 @@ ICD9_ALL_PARENTS = ("296", "299", "300", "308", "309", "311", "312", "313", "314
                     "315", "317", "318")
 ICD9_ALL_RANGE = ("E950", "E959")
 
-REFERENCE_RULES: tuple[Rule, ...] = (
+STANDARD_RULES: tuple[Rule, ...] = (
     *(Rule("icd9_all", "children", p) for p in ICD9_ALL_PARENTS),
     Rule("icd9_all", "range", *ICD9_ALL_RANGE),
     Rule("depression", "children", "2962"),
@@ -105,7 +105,7 @@ def expand_range(codes: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def build_code_lists(spark: SparkSession, codes: DataFrame,
-                     rules: Iterable[Rule] = REFERENCE_RULES) -> DataFrame:
+                     rules: Iterable[Rule] = STANDARD_RULES) -> DataFrame:
     """Assemble named lists ``(list_name, code)`` from rules, without repeats."""
     rules = list(rules)
     parts: list[DataFrame] = []

@@ -2,7 +2,7 @@
 
 Each builder takes ``(spark, claims)`` and returns a DataFrame (no action);
 ``queries()`` binds them to the claims derived from a test-data folder.
-Parameters follow the reference's own runs: year 1998 for the zip queries (a
+Parameters follow the source queries' own runs: year 1998 for the zip queries (a
 year present in the data), bands 0-18, 0-12 and 13-18, the current lists for
 cohort queries and the older 290-319 list for list-restricted code counts.
 """
@@ -32,7 +32,7 @@ from dxcohort.operators.clean import (
 from dxcohort.operators.codes import suppress_small_cells
 from dxcohort.operators.hierarchy import (
     ICD9_ALL_PARENTS,
-    REFERENCE_RULES,
+    STANDARD_RULES,
     build_code_lists,
     codes_in_admissions,
     expand_children,
@@ -42,7 +42,7 @@ from dxcohort.operators.running import running_count
 from dxcohort.plans import counts as C
 from dxcohort.plans import extract as X
 from dxcohort.plans import rates as R
-from dxcohort.sources.codelists import reference_lists
+from dxcohort.sources.codelists import standard_lists
 from dxcohort.sources.fixture import Claims, claims_from_testdata
 
 ZIP_YEAR = 1998
@@ -62,7 +62,7 @@ def claims(spark: SparkSession, sf_dir: str) -> Claims:
 
 
 def _lists(spark: SparkSession) -> dict[str, list[str]]:
-    return reference_lists(spark)
+    return standard_lists(spark)
 
 
 def _zip_query(fn, with_codes: bool = True) -> Builder:
@@ -200,23 +200,23 @@ def _expand_range(spark, c):
 
 
 def _code_lists(spark, c):
-    return build_code_lists(spark, _data_codes(spark, c), REFERENCE_RULES)
+    return build_code_lists(spark, _data_codes(spark, c), STANDARD_RULES)
 
 
-def _reference_code_table(spark, name: str):
+def _standard_code_table(spark, name: str):
     from dxcohort.sources.codelists import icd9_codes
-    lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
+    lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
     return lists.where(F.col("list_name") == name).select("code")
 
 
 def _code_counts_by_table(spark, c):
     return C.code_counts_in_band(c.admissions, c.beneficiaries, *FULL_BAND, "secondary",
-                                 _reference_code_table(spark, RANGE_LIST))
+                                 _standard_code_table(spark, RANGE_LIST))
 
 
 def _listed_admissions_by_table(spark, c):
     from dxcohort.operators.codes import rows_with_listed_code
-    return rows_with_listed_code(c.admissions, _reference_code_table(spark, COHORT_LIST),
+    return rows_with_listed_code(c.admissions, _standard_code_table(spark, COHORT_LIST),
                                  ["admission_id"]).select("admission_id", "bene_id")
 
 

@@ -5,7 +5,7 @@ restricted to a code list, limited to the top k, or with small cells hidden.
 Every function takes several age bands at once and returns them as
 ``age_low``/``age_high`` columns: one scan, one join and one aggregation serve
 all bands (the bands overlap, so rows fan out to each band they fall in).
-The ``*_in_band`` wrappers run one band and return the reference's columns.
+The ``*_in_band`` wrappers run one band and return the source queries' columns.
 
 Skew and shuffles. Per-code counts join the admission rows (arrays intact,
 the most compact form) to people with a salted join - hot persons spread over

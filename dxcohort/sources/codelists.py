@@ -113,15 +113,15 @@ def code_list_dict(code_lists: DataFrame, names: Sequence[str] | None = None,
     return out
 
 
-_REFERENCE_CACHE: dict[str, dict[str, tuple[str, ...]]] = {}
+_STANDARD_CACHE: dict[str, dict[str, tuple[str, ...]]] = {}
 
 
-def reference_lists(spark: SparkSession) -> dict[str, list[str]]:
+def standard_lists(spark: SparkSession) -> dict[str, list[str]]:
     """The six current lists and the older ``icd9`` (290-319) list, built by
     rule from the packaged dimension (computed once per application)."""
-    from dxcohort.operators.hierarchy import REFERENCE_RULES, build_code_lists
+    from dxcohort.operators.hierarchy import STANDARD_RULES, build_code_lists
     key = spark.sparkContext.applicationId
-    if key not in _REFERENCE_CACHE:
-        lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
-        _REFERENCE_CACHE[key] = {k: tuple(v) for k, v in code_list_dict(lists).items()}
-    return {k: list(v) for k, v in _REFERENCE_CACHE[key].items()}
+    if key not in _STANDARD_CACHE:
+        lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
+        _STANDARD_CACHE[key] = {k: tuple(v) for k, v in code_list_dict(lists).items()}
+    return {k: list(v) for k, v in _STANDARD_CACHE[key].items()}

@@ -19,8 +19,8 @@ def spark():
 
 @pytest.fixture(scope="session")
 def lists(spark):
-    from dxcohort.sources.codelists import reference_lists
-    return reference_lists(spark)
+    from dxcohort.sources.codelists import standard_lists
+    return standard_lists(spark)
 
 
 D = dt.date

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from dxcohort.operators.hierarchy import (
-    REFERENCE_RULES,
+    STANDARD_RULES,
     Rule,
     build_code_lists,
     expand_children,
@@ -85,7 +85,7 @@ def test_code_list_size_bound(spark):
 
 
 def test_code_table_round_trip(spark):
-    lists = build_code_lists(spark, icd9_codes(spark), REFERENCE_RULES)
+    lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
     path = scratch_path(spark, "lists")
     write_code_lists(lists, path)
     back = read_code_table(spark, path)
