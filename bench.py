@@ -34,6 +34,7 @@ HEADLINE = [
     "code_counts_secondary",
     "code_counts_290_319_secondary",
     "code_counts_all_bands",
+    "code_counts_by_position_bands",
     "first_admission_secondary_in_list",
     "first_admission_secondary_all",
     "first_admission_secondary_total",

@@ -245,13 +245,13 @@ def _csv_round_trip(spark, c):
 
 def _counts_by_position(spark, c, list_name: str | None, band=FULL_BAND):
     codes = _lists(spark)[list_name] if list_name else None
-    parts = [C.code_counts(c.admissions, c.beneficiaries, band, p, codes)
-             .drop("age_low", "age_high").withColumn("position", F.lit(p))
-             for p in ("all", "primary", "secondary")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return C.code_counts_by_position(c.admissions, c.beneficiaries, band, codes).drop(
+        "age_low", "age_high")
+
+
+def _counts_by_position_bands(spark, c):
+    """L12 in one pass: every position and every band."""
+    return C.code_counts_by_position(c.admissions, c.beneficiaries, ALL_BANDS)
 
 
 def _code_counts_290_319(spark, c):
@@ -294,6 +294,7 @@ def builders() -> dict[str, Builder]:
         q[f"individual_extract{suffix}"] = _extract(band)
     q.update({
         "code_counts_all_bands": _counts_all_bands("all"),
+        "code_counts_by_position_bands": _counts_by_position_bands,
         "code_counts_secondary_290_319_bands": _counts_all_bands("secondary", RANGE_LIST),
         "first_admission_secondary_in_list_bands": _first_counts_all_bands("secondary", RANGE_LIST),
         "individual_extract_bands": _extract_all_bands,

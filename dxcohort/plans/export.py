@@ -73,13 +73,14 @@ def export_code_counts(admissions: DataFrame, beneficiaries: DataFrame,
                        codes: Sequence[str] | None = None,
                        positions: Sequence[str] = ("all", "primary", "secondary")) -> None:
     """All positions and bands of the code counts in one output
-    ``position=.../age_low=.../age_high=...``, each part ordered by count."""
-    from dxcohort.plans.counts import code_counts
-    parts = [code_counts(admissions, beneficiaries, bands, p, codes)
-             .withColumn("position", F.lit(p)) for p in positions]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    ``position=.../age_low=.../age_high=...``, each part ordered by count.
+
+    The counts come from one pass over the admissions
+    (:func:`dxcohort.plans.counts.code_counts_by_position`); each part holds
+    at most one row per distinct code, so one task writes it in order.
+    """
+    from dxcohort.plans.counts import code_counts_by_position
+    out = code_counts_by_position(admissions, beneficiaries, bands, codes, positions)
     out = out.repartition("position", "age_low", "age_high").sortWithinPartitions(
         "position", "age_low", "age_high", F.col("diag_count").desc(),
         F.col("diag").asc_nulls_last())

@@ -166,3 +166,15 @@ def test_one_enrollment_per_year_removes_fan_out(claims, lists):
     a, b, e = claims
     x = X.individual_extract(a, b, one_enrollment_per_year(e), 0, 18, lists["icd9_all"], lists)
     assert rows(x.where("bene_id = 8"), "zip", "n_th_admission") == [("10001", 1), (None, 2)]
+
+
+def test_all_positions_in_one_pass_equal_separate_runs(claims, small_claims, lists):
+    bands = [(0, 18), (0, 12), (13, 18)]
+    for a, b, _ in (claims, small_claims):
+        for codes in (None, lists["icd9"]):
+            one = rows(C.code_counts_by_position(a, b, bands, codes),
+                       "position", "age_low", "age_high", "diag", "diag_count")
+            sep = sorted((tuple([p, *r]) for p in ("all", "primary", "secondary")
+                          for r in rows(C.code_counts(a, b, bands, p, codes),
+                                        "age_low", "age_high", "diag", "diag_count")), key=repr)
+            assert one == sep
