@@ -3,10 +3,9 @@
 All joins are equi-joins on ``bene_id`` (and ``year``). No broadcast hint is
 placed on a claims table: Spark broadcasts a side only when its measured size is
 under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time), and
-otherwise shuffles both sides on ``bene_id``; AQE splits a hot ``bene_id``
-partition (``spark.sql.adaptive.skewJoin.enabled``). Every later per-person
-step (first admission, running admission number) keys on ``bene_id`` as well, so
-the join's distribution is reused instead of reshuffling.
+otherwise shuffles both sides on the key. Joins of admissions to people or
+enrollments are salted (``dxcohort.operators.skew``), so a person holding a
+large share of the admissions is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -17,14 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dxcohort.functions.expr import age_at_admission
+from dxcohort.operators.skew import salted_join
 
 Band = tuple[int, int]
 
 
-def with_person(admissions: DataFrame, beneficiaries: DataFrame) -> DataFrame:
+def with_person(admissions: DataFrame, beneficiaries: DataFrame,
+                columns: Sequence[str] | None = None) -> DataFrame:
     """Inner join admissions to people on ``bene_id`` (admissions without a
-    person row are dropped)."""
-    return admissions.join(beneficiaries, "bene_id", "inner")
+    person row are dropped), salted so a person with a large share of the
+    admissions is spread over many tasks. ``columns`` limits the person
+    columns carried (``bene_id`` is always kept)."""
+    people = beneficiaries if columns is None else beneficiaries.select(
+        "bene_id", *[c for c in columns if c != "bene_id"])
+    return salted_join(admissions, people, ["bene_id"],
+                       hot_source=admissions.select("bene_id"))
 
 
 def with_age(df: DataFrame, name: str = "age") -> DataFrame:
@@ -34,7 +40,8 @@ def with_age(df: DataFrame, name: str = "age") -> DataFrame:
 
 def with_enrollment(admissions: DataFrame, enrollments: DataFrame,
                     year: int | None = None) -> DataFrame:
-    """Join each admission to the enrollment rows of its own year.
+    """Join each admission to the enrollment rows of its own year (salted on
+    ``(bene_id, year)``).
 
     With ``year`` set, both tables are first restricted to that year (the
     constraint reaches both Parquet scans). Several enrollment rows for one
@@ -44,14 +51,16 @@ def with_enrollment(admissions: DataFrame, enrollments: DataFrame,
     if year is not None:
         admissions = admissions.where(F.col("year") == int(year))
         enrollments = enrollments.where(F.col("year") == int(year))
-    return admissions.join(enrollments, ["bene_id", "year"], "inner")
+    return salted_join(admissions, enrollments, ["bene_id", "year"],
+                       hot_source=admissions.select("bene_id", "year"))
 
 
 def enrolled_people(enrollments: DataFrame, beneficiaries: DataFrame,
                     year: int) -> DataFrame:
-    """Enrollment rows of ``year`` with the person's columns."""
-    return (enrollments.where(F.col("year") == int(year))
-            .join(beneficiaries, "bene_id", "inner"))
+    """Enrollment rows of ``year`` with the person's columns (salted on
+    ``bene_id``, like the admission joins)."""
+    enr = enrollments.where(F.col("year") == int(year))
+    return salted_join(enr, beneficiaries, ["bene_id"], hot_source=enr.select("bene_id"))
 
 
 def one_enrollment_per_year(enrollments: DataFrame) -> DataFrame:

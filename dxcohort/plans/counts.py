@@ -34,9 +34,8 @@ from dxcohort.operators.codes import (
     suppress_small_cells,
     top_k,
 )
-from dxcohort.operators.cohort import Band, normalize_bands, with_bands
+from dxcohort.operators.cohort import Band, normalize_bands, with_age, with_bands, with_person
 from dxcohort.operators.first import first_per_group
-from dxcohort.operators.skew import salted_join
 
 BAND_COLS = ("age_low", "age_high")
 # What the source queries do with a NULL code when no list is given: the
@@ -118,10 +117,7 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     adm = admissions.select(*cols)
     if not isinstance(codes, DataFrame):
         adm = _prefilter(adm, position, codes)
-    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
-    joined = salted_join(adm, people, ["bene_id"], hot_source=admissions.select("bene_id"))
-    aged = joined.withColumn(
-        "age", (F.year("admission_date") - F.col("_birth_year")).cast("int"))
+    aged = with_age(with_person(adm, beneficiaries, ["dob"]))
     rows = explode_codes(with_bands(aged, normalize_bands(bands)).select(
         *BAND_COLS, "diagnosis"), position).drop("diagnosis")
     if isinstance(codes, DataFrame):
@@ -154,10 +150,7 @@ def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
     adm = admissions.select(*cols)
     if codes is not None:
         adm = adm.where(has_any("diagnosis", codes))
-    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
-    joined = salted_join(adm, people, ["bene_id"], hot_source=admissions.select("bene_id"))
-    aged = joined.withColumn(
-        "age", (F.year("admission_date") - F.col("_birth_year")).cast("int"))
+    aged = with_age(with_person(adm, beneficiaries, ["dob"]))
     banded = with_bands(aged, normalize_bands(bands)).select(*BAND_COLS, "diagnosis")
     rows = banded.select(*BAND_COLS, F.posexplode_outer("diagnosis").alias("pos", "diag"))
     pos = F.col("pos")

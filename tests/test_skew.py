@@ -81,3 +81,12 @@ def test_small_tables_skip_detection(spark, small_claims):
     a, b, _ = small_claims
     text = C.code_counts(a, b, (0, 18), "all")._jdf.queryExecution().executedPlan().toString()
     assert "_salt" not in text
+
+
+def test_cohort_joins_equal_plain_joins(spark, small_claims, low_threshold):
+    from dxcohort.operators.cohort import enrolled_people, with_enrollment, with_person
+    a, b, e = _hot(small_claims)
+    assert rows(with_person(a, b)) == rows(a.join(b, "bene_id"))
+    assert rows(with_enrollment(a, e, 1998)) == rows(
+        a.where("year = 1998").join(e.where("year = 1998"), ["bene_id", "year"]))
+    assert rows(enrolled_people(e, b, 1998)) == rows(e.where("year = 1998").join(b, "bene_id"))
