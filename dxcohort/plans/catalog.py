@@ -30,6 +30,7 @@ from dxcohort.operators.clean import (
     blank_values,
 )
 from dxcohort.operators.codes import suppress_small_cells
+from dxcohort.operators.cohort import enrolled_people, with_person
 from dxcohort.operators.hierarchy import (
     ICD9_ALL_PARENTS,
     STANDARD_RULES,
@@ -135,12 +136,12 @@ def _extract_all_bands(spark: SparkSession, c: Claims) -> DataFrame:
 # --- operator-level queries --------------------------------------------------------
 
 def _age_at_admission(spark, c):
-    return (c.admissions.join(c.beneficiaries, "bene_id")
+    return (with_person(c.admissions, c.beneficiaries, ["dob"])
             .select("admission_id", age_at_admission().alias("age")))
 
 
 def _age_in_year(spark, c):
-    return (c.enrollments.where(F.col("year") == ZIP_YEAR).join(c.beneficiaries, "bene_id")
+    return (enrolled_people(c.enrollments, c.beneficiaries, ZIP_YEAR)
             .select("bene_id", "zip", age_in_year(ZIP_YEAR).alias("age")))
 
 
