@@ -62,8 +62,13 @@ def main() -> None:
 
     n = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
     partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", 2 * n))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra = {"spark.eventLog.enabled": "true",
+                 "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
     spark: SparkSession = local_session(cores=cpus, shuffle_partitions=partitions,
-                                        app_name="dxcohort-bench", memory="16g")
+                                        app_name="dxcohort-bench", memory="16g",
+                                        extra_conf=extra)
 
     t0 = time.perf_counter()
     root = scratch_path(spark, "claims")

@@ -25,12 +25,13 @@ DEFAULT_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "dxcohort", memory: str = "8g") -> SparkSession:
+                  app_name: str = "dxcohort", memory: str = "8g",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks (the cluster supplies its own)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", memory))
-    for key, value in DEFAULT_CONF.items():
+    for key, value in {**DEFAULT_CONF, **(extra_conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
