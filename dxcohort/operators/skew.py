@@ -53,12 +53,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None,
     return hot_keys_from_counts(counts, keys, "_rows", min_rows, max_keys, max_salts)
 
 
+# Row counts of key sources already measured, per application and plan. A
+# count only chooses between a salted and a plain join (both exact), so a
+# stale entry can cost balance, never correctness.
+_ROW_COUNTS: dict[tuple[str, int], int] = {}
+
+
 def cannot_hold_hot_key(source: DataFrame, min_rows: int | None = None) -> bool:
     """True when ``source`` has at most ``min_rows`` rows, so no key of it can
     be hot and a plain join is exact and balanced. On a table scan the count
-    reads file metadata only."""
+    reads file metadata only; it is taken once per plan and application."""
     min_rows = _limits(min_rows, None, None)[0]
-    return source.count() <= min_rows
+    key = (source.sparkSession.sparkContext.applicationId, source.semanticHash())
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = source.count()
+    return _ROW_COUNTS[key] <= min_rows
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
