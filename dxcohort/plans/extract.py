@@ -38,15 +38,16 @@ def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
     """Step 1: listed admissions x people x enrollments of the same year.
 
     Enrollments are joined to people first (on ``bene_id``), so the large
-    admissions side is shuffled once, on ``(bene_id, year)``. That join is
-    salted (``dxcohort.operators.skew``): a person-year holding a large share
-    of the admissions is spread over many tasks; hot keys are counted on the
-    admissions' key columns alone.
+    admissions side is shuffled once, on ``(bene_id, year)``. Both joins are
+    salted (``dxcohort.operators.skew``): a person or person-year holding a
+    large share of the rows is spread over many tasks; hot keys are counted
+    on the key columns alone.
     """
     adm = admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
         has_any("diagnosis", codes))
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
-    person_years = enrollments.select("bene_id", "year", "zip").join(people, "bene_id", "inner")
+    enr = enrollments.select("bene_id", "year", "zip")
+    person_years = salted_join(enr, people, ["bene_id"], hot_source=enr.select("bene_id"))
     return salted_join(adm, person_years, ["bene_id", "year"],
                        hot_source=admissions.select("bene_id", "year"))
 
