@@ -22,15 +22,18 @@ Band = tuple[int, int]
 
 
 def with_person(admissions: DataFrame, beneficiaries: DataFrame,
-                columns: Sequence[str] | None = None) -> DataFrame:
+                columns: Sequence[str] | None = None,
+                hot_source: DataFrame | None = None) -> DataFrame:
     """Inner join admissions to people on ``bene_id`` (admissions without a
     person row are dropped), salted so a person with a large share of the
     admissions is spread over many tasks. ``columns`` limits the person
-    columns carried (``bene_id`` is always kept)."""
+    columns carried (``bene_id`` is always kept). Pass the unfiltered
+    admissions as ``hot_source`` when ``admissions`` is an expensive filter
+    of them, so hot keys are counted on the key column alone."""
     people = beneficiaries if columns is None else beneficiaries.select(
         "bene_id", *[c for c in columns if c != "bene_id"])
-    return salted_join(admissions, people, ["bene_id"],
-                       hot_source=admissions.select("bene_id"))
+    source = (hot_source if hot_source is not None else admissions).select("bene_id")
+    return salted_join(admissions, people, ["bene_id"], hot_source=source)
 
 
 def with_age(df: DataFrame, name: str = "age") -> DataFrame:

@@ -56,6 +56,18 @@ def _prefilter(admissions: DataFrame, position: str, codes: Sequence[str] | None
     return admissions.where(primary_code_in("diagnosis", codes))
 
 
+YearRange = tuple[int, int]
+
+
+def _in_years(admissions: DataFrame, year_range: YearRange | None) -> DataFrame:
+    """Admissions of ``year_range`` (inclusive; ``None``: all). On tables
+    partitioned by ``year`` this prunes partitions at planning time."""
+    if year_range is None:
+        return admissions
+    lo, hi = (int(y) for y in year_range)
+    return admissions.where(F.col("year").between(lo, hi))
+
+
 def _normalize_codes(codes):
     if codes is None or isinstance(codes, DataFrame):
         return codes
@@ -101,7 +113,8 @@ def _with_person_bands(per_year: DataFrame, beneficiaries: DataFrame,
 def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
                 bands: Band | Sequence[Band], position: str = "all",
                 codes: Iterable[str] | DataFrame | None = None, limit: int | None = None,
-                keep_null: bool | None = None) -> DataFrame:
+                keep_null: bool | None = None,
+                year_range: YearRange | None = None) -> DataFrame:
     """Counts per code over every admission: ``age_low, age_high, diag,
     diag_count``. ``limit`` keeps the top codes per band (ties by code).
 
@@ -113,11 +126,12 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     number of distinct codes.
     """
     codes = _normalize_codes(codes)
+    admissions = _in_years(admissions, year_range)
     cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
     adm = admissions.select(*cols)
     if not isinstance(codes, DataFrame):
         adm = _prefilter(adm, position, codes)
-    aged = with_age(with_person(adm, beneficiaries, ["dob"]))
+    aged = with_age(with_person(adm, beneficiaries, ["dob"], hot_source=admissions))
     rows = explode_codes(with_bands(aged, normalize_bands(bands)).select(
         *BAND_COLS, "diagnosis"), position).drop("diagnosis")
     if isinstance(codes, DataFrame):
@@ -134,7 +148,8 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
 def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
                             bands: Band | Sequence[Band],
                             codes: Iterable[str] | None = None,
-                            positions: Sequence[str] = POSITIONS) -> DataFrame:
+                            positions: Sequence[str] = POSITIONS,
+                            year_range: YearRange | None = None) -> DataFrame:
     """Counts for several positions in one pass: ``position, age_low,
     age_high, diag, diag_count``, equal to :func:`code_counts` run once per
     position (with each position's NULL-code rule).
@@ -146,11 +161,12 @@ def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
     code.
     """
     codes = _normalize_codes(codes)
+    admissions = _in_years(admissions, year_range)
     cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
     adm = admissions.select(*cols)
     if codes is not None:
         adm = adm.where(has_any("diagnosis", codes))
-    aged = with_age(with_person(adm, beneficiaries, ["dob"]))
+    aged = with_age(with_person(adm, beneficiaries, ["dob"], hot_source=admissions))
     banded = with_bands(aged, normalize_bands(bands)).select(*BAND_COLS, "diagnosis")
     rows = banded.select(*BAND_COLS, F.posexplode_outer("diagnosis").alias("pos", "diag"))
     pos = F.col("pos")
@@ -173,7 +189,8 @@ def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
 
 def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,
                          bands: Band | Sequence[Band], position: str = "secondary",
-                         codes: Iterable[str] | None = None) -> DataFrame:
+                         codes: Iterable[str] | None = None,
+                         year_range: YearRange | None = None) -> DataFrame:
     """``DISTINCT ON (bene_id)`` after the age and code filters: per band and
     person, the code row of the earliest admission *inside* the band and list.
 
@@ -183,7 +200,7 @@ def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,
     band over the person's years.
     """
     codes = _normalize_codes(codes)
-    rows = _code_rows(admissions, position, codes)
+    rows = _code_rows(_in_years(admissions, year_range), position, codes)
     order = [c for c in ("admission_date", "admission_id", "pos") if c in rows.columns]
     per_year = first_per_group(rows, ["bene_id", "adm_year"], order, [*order, "diag"])
     banded = _with_person_bands(per_year, beneficiaries, bands)
@@ -194,30 +211,35 @@ def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,
 def first_admission_counts(admissions: DataFrame, beneficiaries: DataFrame,
                            bands: Band | Sequence[Band], position: str = "secondary",
                            codes: Iterable[str] | None = None,
-                           min_cell: int | None = 10) -> DataFrame:
+                           min_cell: int | None = 10,
+                           year_range: YearRange | None = None) -> DataFrame:
     """Counts per code of first admissions, each person adding at most 1;
     counts ``<= min_cell`` hidden (``None`` keeps all)."""
-    firsts = first_admission_rows(admissions, beneficiaries, bands, position, codes)
+    firsts = first_admission_rows(admissions, beneficiaries, bands, position, codes,
+                                  year_range)
     counts = _count_codes(firsts, BAND_COLS)
     return counts if min_cell is None else suppress_small_cells(counts, "diag_count", min_cell)
 
 
 def _people_in_bands(admissions: DataFrame, beneficiaries: DataFrame,
                      bands: Band | Sequence[Band], position: str,
-                     codes: Iterable[str] | None) -> DataFrame:
+                     codes: Iterable[str] | None,
+                     year_range: YearRange | None = None) -> DataFrame:
     """Distinct (band, person) with at least one qualifying code row."""
     codes = _normalize_codes(codes)
-    per_year = _code_rows(admissions, position, codes).select("bene_id", "adm_year").distinct()
+    per_year = _code_rows(_in_years(admissions, year_range), position, codes).select(
+        "bene_id", "adm_year").distinct()
     return _with_person_bands(per_year, beneficiaries, bands).select(
         *BAND_COLS, "bene_id").distinct()
 
 
 def first_admission_total(admissions: DataFrame, beneficiaries: DataFrame,
                           bands: Band | Sequence[Band], position: str = "secondary",
-                          codes: Iterable[str] | None = None) -> DataFrame:
+                          codes: Iterable[str] | None = None,
+                          year_range: YearRange | None = None) -> DataFrame:
     """``total_hosp`` per band: people with at least one qualifying row (the
     size of the first-admission set, computed as distinct people)."""
-    return (_people_in_bands(admissions, beneficiaries, bands, position, codes)
+    return (_people_in_bands(admissions, beneficiaries, bands, position, codes, year_range)
             .groupBy(*BAND_COLS).agg(F.count(F.lit(1)).alias("total_hosp")))
 
 
@@ -229,34 +251,41 @@ def _one_band(df: DataFrame) -> DataFrame:
 
 def top_codes(admissions: DataFrame, beneficiaries: DataFrame, age_low: int,
               age_high: int, position: str = "all", codes: Iterable[str] | None = None,
-              k: int = 20, code_col: str = "diag") -> DataFrame:
+              k: int = 20, code_col: str = "diag",
+              year_range: YearRange | None = None) -> DataFrame:
     """Top ``k`` codes at a position in one band (``TakeOrderedAndProject``)."""
     counts = _one_band(code_counts(admissions, beneficiaries, (age_low, age_high),
-                                   position, codes, keep_null=None if codes is None else False))
+                                   position, codes, keep_null=None if codes is None else False,
+                                   year_range=year_range))
     return top_k(counts, k).withColumnRenamed("diag", code_col)
 
 
 def code_counts_in_band(admissions: DataFrame, beneficiaries: DataFrame, age_low: int,
                         age_high: int, position: str = "all",
-                        codes: Iterable[str] | None = None) -> DataFrame:
+                        codes: Iterable[str] | None = None,
+                        year_range: YearRange | None = None) -> DataFrame:
     """Every code's count at a position in one band, most frequent first."""
     return ordered(_one_band(code_counts(admissions, beneficiaries, (age_low, age_high),
-                                         position, codes)))
+                                         position, codes, year_range=year_range)))
 
 
 def first_admission_counts_in_band(admissions: DataFrame, beneficiaries: DataFrame,
                                    age_low: int, age_high: int,
                                    position: str = "secondary",
                                    codes: Iterable[str] | None = None,
-                                   min_cell: int | None = 10) -> DataFrame:
+                                   min_cell: int | None = 10,
+                                   year_range: YearRange | None = None) -> DataFrame:
     return ordered(_one_band(first_admission_counts(
-        admissions, beneficiaries, (age_low, age_high), position, codes, min_cell)))
+        admissions, beneficiaries, (age_low, age_high), position, codes, min_cell,
+        year_range)))
 
 
 def first_admission_total_in_band(admissions: DataFrame, beneficiaries: DataFrame,
                                   age_low: int, age_high: int,
                                   position: str = "secondary",
-                                  codes: Iterable[str] | None = None) -> DataFrame:
+                                  codes: Iterable[str] | None = None,
+                                  year_range: YearRange | None = None) -> DataFrame:
     """One row ``total_hosp`` (0 when nobody qualifies)."""
-    people = _people_in_bands(admissions, beneficiaries, (age_low, age_high), position, codes)
+    people = _people_in_bands(admissions, beneficiaries, (age_low, age_high), position, codes,
+                              year_range)
     return people.agg(F.count(F.lit(1)).alias("total_hosp"))

@@ -178,3 +178,13 @@ def test_all_positions_in_one_pass_equal_separate_runs(claims, small_claims, lis
                           for r in rows(C.code_counts(a, b, bands, p, codes),
                                         "age_low", "age_high", "diag", "diag_count")), key=repr)
             assert one == sep
+
+
+def test_year_range_limits_admissions(claims):
+    a, b, _ = claims
+    full = dict(rows(C.code_counts_in_band(a, b, 0, 18, "all")))
+    y2000 = dict(rows(C.code_counts_in_band(a, b, 0, 18, "all", year_range=(2000, 2000))))
+    manual = dict(rows(C.code_counts_in_band(a.where("year = 2000"), b, 0, 18, "all")))
+    assert y2000 == manual and y2000 != full
+    assert C.first_admission_total_in_band(a, b, 0, 18, "primary",
+                                           year_range=(2001, 2002)).first().total_hosp == 4
