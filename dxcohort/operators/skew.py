@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key above this many rows is split; far above any one person's claims.
 HOT_KEY_ROWS = 1_000_000
@@ -70,6 +71,16 @@ def cannot_hold_hot_key(source: DataFrame, min_rows: int | None = None) -> bool:
     return _ROW_COUNTS[key] <= min_rows
 
 
+def _holds_map(dt: T.DataType) -> bool:
+    if isinstance(dt, T.MapType):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _holds_map(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_holds_map(f.dataType) for f in dt.fields)
+    return False
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                 min_rows: int | None = None, max_keys: int | None = None,
                 max_salts: int | None = None, hot_source: DataFrame | None = None,
@@ -95,7 +106,10 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
             return big.join(small, keys, how)
         hot = hot_keys(source, keys, min_rows, max_keys, max_salts)
     hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    # A deterministic salt per row (stable across task retries): a hash of the
+    # row's hashable columns (map columns cannot be hashed; keys always can).
+    hashable = [f.name for f in big.schema.fields if not _holds_map(f.dataType)]
+    row_hash = F.xxhash64(*[F.col(c) for c in hashable])
     big_s = (big.join(hot, keys, "left")
              .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
                          .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int")))

@@ -90,3 +90,12 @@ def test_cohort_joins_equal_plain_joins(spark, small_claims, low_threshold):
     assert rows(with_enrollment(a, e, 1998)) == rows(
         a.where("year = 1998").join(e.where("year = 1998"), ["bene_id", "year"]))
     assert rows(enrolled_people(e, b, 1998)) == rows(e.where("year = 1998").join(b, "bene_id"))
+
+
+def test_salted_join_with_map_column(spark):
+    big = spark.range(400).select((F.col("id") % 2).alias("k"),
+                                  F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    small = spark.createDataFrame([(0, "x"), (1, "y")], "k long, s string")
+    got = salted_join(big, small, ["k"], min_rows=50, max_salts=4)
+    assert got.count() == 400
+    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
