@@ -82,13 +82,17 @@ def main() -> None:
     build["code_counts_all"](spark, claims).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         best = float("inf")
-        for _ in range(repeat):
-            t = time.perf_counter()
-            build[name](spark, claims).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - t)
-        times[name] = round(best, 3)
+        try:
+            for _ in range(repeat):
+                t = time.perf_counter()
+                build[name](spark, claims).write.format("noop").mode("overwrite").save()
+                best = min(best, time.perf_counter() - t)
+            times[name] = round(best, 3)
+        except Exception as exc:  # keep timing the others; report the failure
+            errors[name] = f"{type(exc).__name__}: {exc}"[:300]
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -101,6 +105,7 @@ def main() -> None:
         "cpus": cpus,
         "spark": spark.version,
         "repeat": repeat,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
