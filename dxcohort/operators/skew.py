@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dxcohort.session import app_id
+
 # A key above this many rows is split; far above any one person's claims.
 HOT_KEY_ROWS = 1_000_000
 # Bound on the broadcast table of hot keys (rows); more keys stay unsalted.
@@ -65,7 +67,7 @@ def cannot_hold_hot_key(source: DataFrame, min_rows: int | None = None) -> bool:
     be hot and a plain join is exact and balanced. On a table scan the count
     reads file metadata only; it is taken once per plan and application."""
     min_rows = _limits(min_rows, None, None)[0]
-    key = (source.sparkSession.sparkContext.applicationId, source.semanticHash())
+    key = (app_id(source.sparkSession), source.semanticHash())
     if key not in _ROW_COUNTS:
         _ROW_COUNTS[key] = source.count()
     return _ROW_COUNTS[key] <= min_rows

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dxcohort.schema import CODE_LISTS, CODES
+from dxcohort.session import app_id
 
 LISTS_KEY = "icd_cust_range"
 # More codes than any diagnosis classification holds: a list above this is
@@ -120,7 +121,7 @@ def standard_lists(spark: SparkSession) -> dict[str, list[str]]:
     """The six current lists and the older ``icd9`` (290-319) list, built by
     rule from the packaged dimension (computed once per application)."""
     from dxcohort.operators.hierarchy import STANDARD_RULES, build_code_lists
-    key = spark.sparkContext.applicationId
+    key = app_id(spark)
     if key not in _STANDARD_CACHE:
         lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
         _STANDARD_CACHE[key] = {k: tuple(v) for k, v in code_list_dict(lists).items()}
