@@ -271,6 +271,19 @@ def _run_and_export(spark, c):
     return read_csv(spark, path, schema)
 
 
+def _export_individual_records(spark, c):
+    """L18 for the extract: all bands, cleaned demographics, R-style NA,
+    written as one partitioned CSV output and read back."""
+    from dxcohort.plans.export import export_individual_records, read_individual_records
+    from dxcohort.session import scratch_path
+    lists = _lists(spark)
+    path = scratch_path(spark, "records-csv")
+    export_individual_records(c.admissions, c.beneficiaries, c.enrollments,
+                              lists[COHORT_LIST], lists, ALL_BANDS, path,
+                              blank_ambiguous=True, null_value="NA")
+    return read_individual_records(spark, path, null_value="NA")
+
+
 def builders() -> dict[str, Builder]:
     """Every named query as ``(spark, claims) -> DataFrame``."""
     q: dict[str, Builder] = {
@@ -306,6 +319,7 @@ def builders() -> dict[str, Builder]:
         "build_code_lists": _code_lists,
         "code_counts_290_319": _code_counts_290_319,
         "run_and_export": _run_and_export,
+        "export_individual_records": _export_individual_records,
         "age_at_admission": _age_at_admission,
         "age_in_year": _age_in_year,
         "primary_code": _primary_code,

@@ -87,6 +87,35 @@ def export_code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     write_csv(out, path, ("position", "age_low", "age_high"))
 
 
+def export_individual_records(admissions: DataFrame, beneficiaries: DataFrame,
+                              enrollments: DataFrame, codes: Sequence[str],
+                              flag_lists: Mapping[str, Sequence[str]],
+                              bands: Sequence[tuple[int, int]], path: str,
+                              blank_ambiguous: bool = False,
+                              null_value: str | None = None) -> None:
+    """The individual extract for several bands from one pass, written as one
+    output ``age_low=.../age_high=...``; rows in each band ordered by person
+    and admission date (a range shuffle on the band and sort keys, so no
+    task holds a whole band)."""
+    from dxcohort.plans.extract import individual_extract_bands
+    out = individual_extract_bands(admissions, beneficiaries, enrollments, codes, flag_lists,
+                                   bands, blank_ambiguous=blank_ambiguous)
+    keys = [F.col("age_low"), F.col("age_high"), F.col("bene_id").asc_nulls_last(),
+            F.col("admission_date").asc_nulls_last()]
+    out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    write_csv(out, path, ("age_low", "age_high"), null_value)
+
+
+def read_individual_records(spark: SparkSession, path: str,
+                            null_value: str | None = None) -> DataFrame:
+    """Read an output of :func:`export_individual_records` (bands as columns)."""
+    schema = T.StructType(EXTRACT_CSV.fields + [T.StructField("age_low", T.IntegerType()),
+                                                T.StructField("age_high", T.IntegerType())])
+    df = read_csv(spark, path, schema, null_value)
+    diag_type = EXTRACT["diagnosis"].dataType
+    return df.withColumn("diagnosis", F.from_json("diagnosis", diag_type))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              null_value: str | None = None,
              options: Mapping[str, str] | None = None) -> DataFrame:

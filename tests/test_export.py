@@ -77,3 +77,20 @@ def test_bucketed_layout_round_trip(spark, small_claims):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_export_individual_records_all_bands(spark, claims, lists):
+    path = scratch_path(spark, "t-records")
+    bands = [(0, 18), (0, 12), (13, 18)]
+    export.export_individual_records(*claims, lists["icd9_all"], lists, bands, path,
+                                     blank_ambiguous=True, null_value="NA")
+    back = export.read_individual_records(spark, path, null_value="NA")
+    want = X.individual_extract_bands(*claims, lists["icd9_all"], lists, bands,
+                                      blank_ambiguous=True)
+    cols = want.columns
+    assert rows(back, *cols) == rows(want, *cols)
+    # each band's files are ordered by person and date
+    for lo, hi in bands:
+        part = spark.read.option("header", True).csv(f"{path}/age_low={lo}/age_high={hi}")
+        keys = [(int(r.bene_id), r.admission_date) for r in part.collect()]
+        assert keys == sorted(keys)
