@@ -147,3 +147,29 @@ def test_zip_share_matches_brute_force(spark, data):
     got = {r.zip: (r.diag_vs_all_diag, r.diag_count, r.admin_count) for r in
            R.diag_share_of_admissions(a, b, e, YEAR, *BAND, LIST).collect()}
     assert got == want
+
+
+@given(data=claims_st)
+@SETTINGS
+def test_enrolled_share_matches_brute_force(spark, data):
+    a, b, e, adm, bene, enr = _frames(spark, data)
+    ppl = _people(bene)
+
+    def in_band(bid):
+        dob = ppl[bid][1] if bid in ppl else None
+        return dob is not None and BAND[0] <= YEAR - dob.year <= BAND[1]
+
+    enrolled, listed = Counter(), Counter()
+    for ebid, eyear, z in enr:
+        if eyear == YEAR and in_band(ebid):
+            enrolled[z] += 1
+    for _, bid, year, _, dx in adm:
+        if year != YEAR or not in_band(bid) or not dx or not any(c in LIST for c in dx):
+            continue
+        for ebid, eyear, z in enr:
+            if ebid == bid and eyear == YEAR and z is not None:
+                listed[z] += 1
+    want = {z: (listed[z] / n, listed[z], n) for z, n in enrolled.items()}
+    got = {r.zip: (r.diag_vs_all_enroll, r.diag_final, r.enroll_count) for r in
+           R.diag_share_of_enrolled(a, b, e, YEAR, *BAND, LIST).collect()}
+    assert got == want
