@@ -25,14 +25,25 @@ def _encode_arrays(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _tiebreak(df: DataFrame):
+    """A deterministic row hash used as the last sort key: rows that tie on
+    the sort keys (one person-day with a large share of the rows) can then
+    fall into different range partitions instead of one task."""
+    from dxcohort.operators.skew import _holds_map
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields
+                        if not _holds_map(f.dataType)])
+
+
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (),
               null_value: str | None = None, mode: str = "overwrite",
               sort_by: Sequence[str] = ()) -> None:
     """Header row, no index column. ``null_value='NA'`` writes R-style
-    missing values. ``sort_by`` orders rows globally (a range shuffle)."""
+    missing values. ``sort_by`` orders rows globally (a range shuffle; ties
+    are split by a row hash so no sort key can pin a third of the rows on one
+    task)."""
     out = _encode_arrays(df)
     if sort_by:
-        out = out.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by])
+        out = out.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by], _tiebreak(out))
     writer = out.write.mode(mode).option("header", True)
     if null_value is not None:
         writer = writer.option("nullValue", null_value)
@@ -101,7 +112,7 @@ def export_individual_records(admissions: DataFrame, beneficiaries: DataFrame,
     out = individual_extract_bands(admissions, beneficiaries, enrollments, codes, flag_lists,
                                    bands, blank_ambiguous=blank_ambiguous)
     keys = [F.col("age_low"), F.col("age_high"), F.col("bene_id").asc_nulls_last(),
-            F.col("admission_date").asc_nulls_last()]
+            F.col("admission_date").asc_nulls_last(), _tiebreak(out)]
     out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
     write_csv(out, path, ("age_low", "age_high"), null_value)
 

@@ -99,6 +99,8 @@ def admission_flags(admissions: DataFrame, flag_lists: Mapping[str, Sequence[str
 
 
 def order_extract(extract: DataFrame) -> DataFrame:
-    """``ORDER BY bene_id, admission_date`` (PostgreSQL: NULLS LAST)."""
+    """``ORDER BY bene_id, admission_date`` (PostgreSQL: NULLS LAST); ties are
+    split by a row hash so one person-day cannot pin a range partition."""
+    from dxcohort.plans.export import _tiebreak
     return extract.orderBy(F.col("bene_id").asc_nulls_last(),
-                           F.col("admission_date").asc_nulls_last())
+                           F.col("admission_date").asc_nulls_last(), _tiebreak(extract))

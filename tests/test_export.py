@@ -94,3 +94,11 @@ def test_export_individual_records_all_bands(spark, claims, lists):
         part = spark.read.option("header", True).csv(f"{path}/age_low={lo}/age_high={hi}")
         keys = [(int(r.bene_id), r.admission_date) for r in part.collect()]
         assert keys == sorted(keys)
+
+
+def test_order_extract_splits_ties(spark, claims, lists):
+    df = X.individual_extract(*claims, 0, 18, lists["icd9_all"], lists)
+    ordered = X.order_extract(df)
+    keys = [(r.bene_id, r.admission_date) for r in ordered.collect()]
+    assert keys == sorted(keys)
+    assert "xxhash64" in ordered._jdf.queryExecution().executedPlan().toString()
