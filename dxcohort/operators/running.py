@@ -16,7 +16,9 @@ person may hold a large share of all rows. Instead:
    share of the rows is split over many tasks (the day side holds one row per
    key, replicated per salt for hot keys only).
 
-The result is identical to the RANGE window, including ties.
+The result is identical to the RANGE window, including ties. When the input
+has no more rows than the hot-key threshold in all, no window can exceed that
+bound and the plain window is used.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_d
 
     ``order`` must be a date column.
     """
+    if cannot_hold_hot_key(df):
+        # At most HOT_KEY_ROWS rows in all, so no person's window can exceed
+        # that: the plain RANGE window (one shuffle) is bounded and exact.
+        w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+        return df.withColumn(out, F.count(F.lit(1)).over(w))
     # NULL-safe day key: (is NULL, date or a fixed stand-in).
     marked = (df.withColumn("_on", F.col(order).isNull())
               .withColumn("_od", F.coalesce(F.col(order), F.lit("0001-01-01").cast("date"))))
@@ -42,8 +49,6 @@ def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_d
     w = (Window.partitionBy(key).orderBy("_on", "_od")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = per_day.select(*day_keys, F.sum("_n_day").over(w).cast("long").alias(out))
-    if cannot_hold_hot_key(df):
-        return marked.join(totals, day_keys, "inner").drop("_on", "_od")
     # The per-day counts are the join-back's key counts: hot keys come free.
     hot = hot_keys_from_counts(per_day, day_keys, "_n_day")
     return salted_join(marked, totals, day_keys, hot=hot).drop("_on", "_od")

@@ -99,3 +99,18 @@ def test_salted_join_with_map_column(spark):
     got = salted_join(big, small, ["k"], min_rows=50, max_salts=4)
     assert got.count() == 400
     assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_count_paths_agree(spark, small_claims, lists, monkeypatch):
+    from pyspark.sql import Window
+    from dxcohort.operators.running import running_count
+    a, b, e = _hot(small_claims)
+    q = X.listed_admissions(a, b, e, lists["icd9_all"])
+    w = Window.partitionBy("bene_id").orderBy("admission_date")
+    expect = rows(q.withColumn("n_th_admission", F.count(F.lit(1)).over(w)))
+    cols = q.columns + ["n_th_admission"]
+    assert rows(running_count(q), *cols) == expect                 # plain window (small)
+    monkeypatch.setattr(skew, "HOT_KEY_ROWS", 50)                  # pre-aggregated + salted
+    salted = running_count(q)
+    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+    assert rows(salted, *cols) == expect
