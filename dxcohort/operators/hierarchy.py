@@ -104,31 +104,41 @@ def expand_range(codes: DataFrame, low: str, high: str) -> DataFrame:
                        & category(c).between(F.lit(low), F.lit(high)))
 
 
+def range_categories(low: str, high: str) -> list[str]:
+    """The categories from ``low`` to ``high`` inclusive, by rule: an optional
+    letter (``E``, ``V``) then a zero-padded number of fixed width
+    (``290``-``319``: 30 categories; ``E950``-``E959``: 10)."""
+    if _kind_of(low) != _kind_of(high):
+        raise ValueError(f"range ends differ in kind: {low!r}, {high!r}")
+    lead = low[0] if low[:1].isalpha() else ""
+    width = len(low) - len(lead)
+    first, last = int(low[len(lead):]), int(high[len(lead):])
+    return [f"{lead}{n:0{width}d}" for n in range(first, last + 1)]
+
+
 def build_code_lists(spark: SparkSession, codes: DataFrame,
                      rules: Iterable[Rule] = STANDARD_RULES) -> DataFrame:
-    """Assemble named lists ``(list_name, code)`` from rules, without repeats."""
+    """Assemble named lists ``(list_name, code)`` from rules, without repeats.
+
+    A category range is every code below one of its categories, so children
+    and range rules together become one table of (list, parent) pairs and
+    one broadcast equi-join of the codes' prefixes: the code dimension is read
+    once, however many rules there are (it may be derived from the claims).
+    Exact codes are added as given.
+    """
     rules = list(rules)
-    parts: list[DataFrame] = []
-    children = [(r.list_name, r.a) for r in rules if r.kind == "children"]
-    if children:
-        parents = spark.createDataFrame(children, "list_name string, parent string")
-        parts.append(expand_children(codes.select("code"), parents)
-                     .select("list_name", "code"))
-    for r in rules:
-        if r.kind == "range":
-            parts.append(expand_range(codes.select("code"), r.a, r.b)
-                         .select(F.lit(r.list_name).alias("list_name"), "code"))
-    exact = [(r.list_name, r.a) for r in rules if r.kind == "exact"]
-    if exact:
-        parts.append(spark.createDataFrame(exact, CODE_LISTS))
     unknown = {r.kind for r in rules} - {"children", "range", "exact"}
     if unknown:
         raise ValueError(f"unknown rule kinds: {sorted(unknown)}")
-    if not parts:
-        return spark.createDataFrame([], CODE_LISTS)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    pairs = [(r.list_name, r.a) for r in rules if r.kind == "children"]
+    pairs += [(r.list_name, cat) for r in rules if r.kind == "range"
+              for cat in range_categories(r.a, r.b)]
+    exact = [(r.list_name, r.a) for r in rules if r.kind == "exact"]
+    out = spark.createDataFrame(exact, CODE_LISTS)
+    if pairs:
+        parents = spark.createDataFrame(pairs, "list_name string, parent string")
+        out = expand_children(codes.select("code"), parents).select("list_name", "code") \
+            .unionByName(out)
     return out.dropDuplicates(["list_name", "code"])
 
 

@@ -104,3 +104,30 @@ def test_packaged_dimension_is_sorted_and_unique():
     assert codes == sorted(set(codes)) and len(codes) == 639
     assert os.path.exists(os.path.join(os.path.dirname(__file__), os.pardir, "dxcohort", "data",
                                        "icd9cm_codes.txt"))
+
+
+def test_range_categories_by_rule():
+    from dxcohort.operators.hierarchy import range_categories
+    assert range_categories("E950", "E959") == [f"E95{i}" for i in range(10)]
+    assert len(range_categories("290", "319")) == 30 and range_categories("290", "291") == ["290", "291"]
+    assert range_categories("V01", "V03") == ["V01", "V02", "V03"]
+
+
+def test_range_rule_equals_expand_range(spark):
+    codes = icd9_codes(spark)
+    by_rule = build_code_lists(spark, codes, [Rule("r", "range", "290", "319"),
+                                              Rule("e", "range", "E950", "E959")])
+    for name, lo, hi in (("r", "290", "319"), ("e", "E950", "E959")):
+        want = sorted(r.code for r in expand_range(codes, lo, hi).collect())
+        got = sorted(r.code for r in by_rule.where(f"list_name = '{name}'").collect())
+        assert got == want and got
+
+
+def test_build_code_lists_reads_codes_once(spark):
+    from dxcohort.operators.hierarchy import codes_in_admissions
+    from dxcohort.sources.fixture import claims_from_testdata
+    from conftest import SF_SMALL
+    dim = codes_in_admissions(claims_from_testdata(spark, SF_SMALL).admissions)
+    plan = build_code_lists(spark, dim, STANDARD_RULES)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert plan.count("Generate explode(diagnosis") == 1
