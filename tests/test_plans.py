@@ -52,3 +52,32 @@ def test_first_admission_uses_partial_aggregation(spark):
     text = plan_text(QUERIES["first_admission_secondary_in_list"](spark, SF_SMALL))
     assert "partial_min" in text
     assert "Window" not in text
+
+
+def _exchange_inputs(df):
+    """The input column lists of every Exchange node of the formatted plan."""
+    import re
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    sections = re.split(r"\n\(\d+\) ", text)
+    return [sec for sec in sections if sec.startswith("Exchange")]
+
+
+def test_zip_queries_never_shuffle_arrays(spark, tmp_path):
+    from dxcohort.plans import rates as R
+    from dxcohort.sources.tables import read_claims, write_claims
+    root = str(tmp_path / "claims")
+    write_claims(catalog.claims(spark, SF_SMALL), root)
+    a, b, e = read_claims(spark, root)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (R.diag_share_of_admissions(a, b, e, 1998, 0, 18, ["311"]),
+                   R.diag_share_of_enrolled(a, b, e, 1998, 0, 18, ["311"])):
+            exchanges = _exchange_inputs(df)
+            assert exchanges and not any("diagnosis" in x for x in exchanges)
+        # control: per-code counts do shuffle the array rows (once, to people)
+        from dxcohort.plans import counts as C
+        shuffled = [x for x in _exchange_inputs(C.code_counts(a, b, (0, 18), "all"))
+                    if "diagnosis" in x]
+        assert len(shuffled) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
