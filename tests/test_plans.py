@@ -62,7 +62,7 @@ def _exchange_inputs(df):
     return [sec for sec in sections if sec.startswith("Exchange")]
 
 
-def test_zip_queries_never_shuffle_arrays(spark, tmp_path):
+def test_zip_and_first_admission_queries_never_shuffle_arrays(spark, tmp_path):
     from dxcohort.plans import rates as R
     from dxcohort.sources.tables import read_claims, write_claims
     root = str(tmp_path / "claims")
@@ -70,12 +70,14 @@ def test_zip_queries_never_shuffle_arrays(spark, tmp_path):
     a, b, e = read_claims(spark, root)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        from dxcohort.plans import counts as C
         for df in (R.diag_share_of_admissions(a, b, e, 1998, 0, 18, ["311"]),
-                   R.diag_share_of_enrolled(a, b, e, 1998, 0, 18, ["311"])):
+                   R.diag_share_of_enrolled(a, b, e, 1998, 0, 18, ["311"]),
+                   C.first_admission_counts(a, b, (0, 18), "secondary", ["311"]),
+                   C.first_admission_total(a, b, (0, 18), "secondary")):
             exchanges = _exchange_inputs(df)
             assert exchanges and not any("diagnosis" in x for x in exchanges)
         # control: per-code counts do shuffle the array rows (once, to people)
-        from dxcohort.plans import counts as C
         shuffled = [x for x in _exchange_inputs(C.code_counts(a, b, (0, 18), "all"))
                     if "diagnosis" in x]
         assert len(shuffled) == 1
