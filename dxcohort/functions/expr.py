@@ -37,8 +37,9 @@ def dob_for_age_in_year(year: int, low: int, high: int,
                         dob: ColumnOrName = "dob") -> Column:
     """``age_in_year(year) BETWEEN low AND high`` restated on ``dob`` alone, so
     the predicate reaches the Parquet scan as a min/max range filter."""
-    first = _dt.date(int(year) - int(high), 1, 1)
-    last = _dt.date(int(year) - int(low), 12, 31)
+    clamp = lambda y: min(max(y, _dt.MINYEAR), _dt.MAXYEAR)
+    first = _dt.date(clamp(int(year) - int(high)), 1, 1)
+    last = _dt.date(clamp(int(year) - int(low)), 12, 31)
     return _col(dob).between(F.lit(first), F.lit(last))
 
 

@@ -107,3 +107,9 @@ def test_blanking(spark):
     out = df.select(blank_if_in("sex", ["M,U", "F,U", "F,M", "F,M,U"]).alias("sex"),
                     blank_if_matches("race", ",|0").alias("race")).collect()
     assert [tuple(r) for r in out] == [(None, None), ("F", "1"), (None, None), (None, None), ("U", None)]
+
+
+def test_dob_range_with_extreme_bands(spark):
+    df = spark.createDataFrame([(dt.date(1990, 1, 1),), (None,)], "dob date")
+    assert df.where(dob_for_age_in_year(2000, 0, 5000)).count() == 1
+    assert df.where(dob_for_age_in_year(2000, 20, 10)).count() == 0
