@@ -40,7 +40,9 @@ def dob_for_age_in_year(year: int, low: int, high: int,
     clamp = lambda y: min(max(y, _dt.MINYEAR), _dt.MAXYEAR)
     first = _dt.date(clamp(int(year) - int(high)), 1, 1)
     last = _dt.date(clamp(int(year) - int(low)), 12, 31)
-    return _col(dob).between(F.lit(first), F.lit(last))
+    # ISO text, cast: the gateway cannot pass dates before year 1000.
+    return _col(dob).between(F.lit(first.isoformat()).cast("date"),
+                             F.lit(last.isoformat()).cast("date"))
 
 
 def in_band(age: ColumnOrName, low: int, high: int) -> Column:
