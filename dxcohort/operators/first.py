@@ -17,17 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     payload: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the payload of the row smallest in ``order``.
 
     ``order`` must determine a single row per key for the result to be fixed;
     include a tie-breaker (admission id, code position) when dates can tie.
+    The aggregate is written as one SQL expression (one gateway call).
     """
-    ordering = []
+    fields = []
     for i, c in enumerate(order):
-        ordering.append(F.col(c).isNull().alias(f"_null{i}"))
-        ordering.append(F.col(c).alias(f"_ord{i}"))
-    packed = F.struct(*ordering, *[F.col(c).alias(c) for c in payload])
-    return (df.groupBy(*keys).agg(F.min(packed).alias("_first"))
-            .select(*keys, *[F.col("_first")[c].alias(c) for c in payload]))
+        fields += [f"isnull({_q(c)}) AS _null{i}", f"{_q(c)} AS _ord{i}"]
+    fields += [f"{_q(c)} AS {_q(c)}" for c in payload]
+    first = F.expr(f"min(struct({', '.join(fields)}))").alias("_first")
+    return (df.groupBy(*keys).agg(first)
+            .selectExpr(*[_q(k) for k in keys], *[f"_first.{_q(c)} AS {_q(c)}" for c in payload]))
