@@ -102,3 +102,20 @@ def test_order_extract_splits_ties(spark, claims, lists):
     keys = [(r.bene_id, r.admission_date) for r in ordered.collect()]
     assert keys == sorted(keys)
     assert "xxhash64" in ordered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jdbc_ranges_cover_the_key_space():
+    from dxcohort.sources.tables import jdbc_ranges
+    for lo, hi, parts in [(1, 100, 7), (0, 0, 4), (5, 9, 10), (-50, 50, 3)]:
+        ranges = jdbc_ranges(lo, hi, parts)
+        assert ranges[0][0] == lo and ranges[-1][1] == hi + 1
+        assert all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+        assert len(ranges) <= max(1, parts)
+
+
+def test_jdbc_predicates_split_by_key_and_year():
+    from dxcohort.sources.tables import jdbc_predicates
+    p = jdbc_predicates((1, 100), 4, [1999, 2000])
+    assert len(p) == 8 and p[0] == "bene_id >= 1 AND bene_id < 26 AND year = 1999"
+    assert jdbc_predicates(None, 4, [2000]) == ["1 = 1 AND year = 2000"]
+    assert len(jdbc_predicates((1, 100), 4, None)) == 4
