@@ -70,3 +70,19 @@ def test_first_admission_counts_do_not_add_across_bands(small_claims):
     def total(lo, hi):
         return C.first_admission_total_in_band(a, b, lo, hi, "primary").first().total_hosp
     assert total(0, 12) + total(13, 18) >= total(0, 18)
+
+
+def test_first_admissions_in_one_pass_equal_separate_runs(small_claims, lists):
+    a, b, _ = small_claims
+    bands = [(0, 18), (0, 12), (13, 18)]
+    for position, codes in (("secondary", lists["icd9"]), ("secondary", None), ("primary", None)):
+        one = rows(C.first_admission_counts(a, b, bands, position, codes, min_cell=None),
+                   "age_low", "age_high", "diag", "diag_count")
+        sep = sorted((tuple([lo, hi, *r]) for lo, hi in bands for r in rows(
+            C.first_admission_counts_in_band(a, b, lo, hi, position, codes, min_cell=None),
+            "diag", "diag_count")), key=repr)
+        assert one == sep
+        totals = {(r.age_low, r.age_high): r.total_hosp
+                  for r in C.first_admission_total(a, b, bands, position, codes).collect()}
+        assert totals == {(lo, hi): C.first_admission_total_in_band(
+            a, b, lo, hi, position, codes).first().total_hosp for lo, hi in bands}
