@@ -33,8 +33,13 @@ from dxcohort.sources.tables import stage_table
 EXTRACT_COLUMNS = [f.name for f in EXTRACT.fields]
 
 
+def _standard(df: DataFrame) -> dict[str, list[str]]:
+    from dxcohort.sources.codelists import standard_lists
+    return standard_lists(df.sparkSession)
+
+
 def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
-                      enrollments: DataFrame, codes: Iterable[str]) -> DataFrame:
+                      enrollments: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
     """Step 1: listed admissions x people x enrollments of the same year.
 
     Enrollments are joined to people first (on ``bene_id``), so the large
@@ -43,6 +48,8 @@ def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
     large share of the rows is spread over many tasks; hot keys are counted
     on the key columns alone.
     """
+    if codes is None:
+        codes = _standard(admissions)["icd9_all"]
     adm = admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
         has_any("diagnosis", codes))
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
@@ -53,8 +60,8 @@ def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
 
 
 def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
-                             enrollments: DataFrame, codes: Iterable[str],
-                             flag_lists: Mapping[str, Sequence[str]],
+                             enrollments: DataFrame, codes: Iterable[str] | None,
+                             flag_lists: Mapping[str, Sequence[str]] | None,
                              bands: Band | Sequence[Band],
                              flag_names: Sequence[str] = FLAG_LISTS,
                              blank_ambiguous: bool = False,
@@ -66,8 +73,11 @@ def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
     folder under the shared checkpoint folder; a string: that path) before
     numbering them: both the per-day totals and the rows then read that table
     instead of scanning and joining the admissions twice, and the lineage is
-    cut. ``False`` keeps one lazy plan.
+    cut. ``False`` keeps one lazy plan. ``codes`` and ``flag_lists`` default
+    (``None``) to the standard lists (``icd9_all`` and the five diseases).
     """
+    if flag_lists is None:
+        flag_lists = _standard(admissions)
     rows = listed_admissions(admissions, beneficiaries, enrollments, codes)
     if stage:
         rows = stage_table(rows, "extract-rows", stage if isinstance(stage, str) else None)
@@ -82,7 +92,8 @@ def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
 
 def individual_extract(admissions: DataFrame, beneficiaries: DataFrame,
                        enrollments: DataFrame, age_low: int, age_high: int,
-                       codes: Iterable[str], flag_lists: Mapping[str, Sequence[str]],
+                       codes: Iterable[str] | None = None,
+                       flag_lists: Mapping[str, Sequence[str]] | None = None,
                        flag_names: Sequence[str] = FLAG_LISTS,
                        blank_ambiguous: bool = False, stage: bool | str = True) -> DataFrame:
     """The 23-column extract for one band."""
@@ -91,9 +102,12 @@ def individual_extract(admissions: DataFrame, beneficiaries: DataFrame,
                                     blank_ambiguous, stage).drop("age_low", "age_high")
 
 
-def admission_flags(admissions: DataFrame, flag_lists: Mapping[str, Sequence[str]],
+def admission_flags(admissions: DataFrame,
+                    flag_lists: Mapping[str, Sequence[str]] | None = None,
                     flag_names: Sequence[str] = FLAG_LISTS) -> DataFrame:
     """The five 0/1 disease flags of every admission (key columns kept)."""
+    if flag_lists is None:
+        flag_lists = _standard(admissions)
     keys = [c for c in ("admission_id", "bene_id", "admission_date") if c in admissions.columns]
     return admissions.select(*keys, *disease_flags(flag_lists, flag_names))
 

@@ -33,6 +33,14 @@ from dxcohort.functions.expr import (
 )
 
 
+def _cohort_codes(admissions: DataFrame, codes: Iterable[str] | None) -> Iterable[str]:
+    """``codes``, or the standard ``icd9_all`` list when none is given."""
+    if codes is not None:
+        return codes
+    from dxcohort.sources.codelists import standard_lists
+    return standard_lists(admissions.sparkSession)["icd9_all"]
+
+
 def _enrollment_counts(enrollments: DataFrame, year: int) -> DataFrame:
     """Enrollment rows of ``year`` per (person, zip): duplicates collapse to a
     count, which multiplies admissions exactly as the row join does."""
@@ -67,10 +75,11 @@ def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
 
 def diag_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,
                       enrollments: DataFrame, year: int, age_low: int, age_high: int,
-                      codes: Iterable[str]) -> DataFrame:
+                      codes: Iterable[str] | None = None) -> DataFrame:
     """``diag_count, zip``: admissions carrying a listed code (zips with at
     least one)."""
-    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high, codes)
+    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high,
+                         _cohort_codes(admissions, codes))
     return totals.where(F.col("_listed") > 0).select(F.col("_listed").alias("diag_count"), "zip")
 
 
@@ -84,7 +93,7 @@ def admission_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,
 
 def diag_share_of_admissions(admissions: DataFrame, beneficiaries: DataFrame,
                              enrollments: DataFrame, year: int, age_low: int,
-                             age_high: int, codes: Iterable[str]) -> DataFrame:
+                             age_high: int, codes: Iterable[str] | None = None) -> DataFrame:
     """``diag_vs_all_diag, diag_count, admin_count, zip``, share descending,
     NULL last.
 
@@ -92,7 +101,8 @@ def diag_share_of_admissions(admissions: DataFrame, beneficiaries: DataFrame,
     from one pass. ``diag_count`` is NULL where the source's left join finds
     no match: no listed admission in the zip, or a NULL zip.
     """
-    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high, codes)
+    totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high,
+                         _cohort_codes(admissions, codes))
     diag_count = F.when(F.col("zip").isNotNull() & (F.col("_listed") > 0), F.col("_listed"))
     return (totals.withColumn("diag_count", diag_count)
             .select(share("diag_count", "_admissions").alias("diag_vs_all_diag"),
@@ -102,7 +112,7 @@ def diag_share_of_admissions(admissions: DataFrame, beneficiaries: DataFrame,
 
 def diag_share_of_enrolled(admissions: DataFrame, beneficiaries: DataFrame,
                            enrollments: DataFrame, year: int, age_low: int,
-                           age_high: int, codes: Iterable[str]) -> DataFrame:
+                           age_high: int, codes: Iterable[str] | None = None) -> DataFrame:
     """``diag_vs_all_enroll, diag_final, enroll_count, zip`` per zip with
     enrolled people in the band; zips without listed admissions give 0.
 
@@ -115,6 +125,7 @@ def diag_share_of_enrolled(admissions: DataFrame, beneficiaries: DataFrame,
     denominator, so one ``groupBy(zip)`` yields both, in place of two
     aggregates and a join.
     """
+    codes = _cohort_codes(admissions, codes)
     listed = (admissions.where((F.col("year") == int(year)) & has_any("diagnosis", codes))
               .groupBy("bene_id").agg(F.count(F.lit(1)).alias("_n_listed")))
     people = beneficiaries.where(dob_for_age_in_year(year, age_low, age_high)).select("bene_id")

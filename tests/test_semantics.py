@@ -188,3 +188,13 @@ def test_year_range_limits_admissions(claims):
     assert y2000 == manual and y2000 != full
     assert C.first_admission_total_in_band(a, b, 0, 18, "primary",
                                            year_range=(2001, 2002)).first().total_hosp == 4
+
+
+def test_standard_lists_are_the_default(claims, lists):
+    a, b, e = claims
+    assert rows(X.individual_extract(a, b, e, 0, 18)) == rows(_extract(claims, lists))
+    assert rows(R.diag_share_of_admissions(a, b, e, 2001, 0, 18)) == rows(
+        R.diag_share_of_admissions(a, b, e, 2001, 0, 18, lists["icd9_all"]))
+    assert rows(R.diag_share_of_enrolled(a, b, e, 2001, 0, 18)) == rows(
+        R.diag_share_of_enrolled(a, b, e, 2001, 0, 18, lists["icd9_all"]))
+    assert rows(X.admission_flags(a)) == rows(X.admission_flags(a, lists))
