@@ -131,3 +131,23 @@ def test_build_code_lists_reads_codes_once(spark):
     plan = build_code_lists(spark, dim, STANDARD_RULES)._jdf.queryExecution() \
         .executedPlan().toString()
     assert plan.count("Generate explode(diagnosis") == 1
+
+
+# Digests (SHA-256 of the sorted codes joined by commas, first 16 hex digits)
+# of the seven lists as published, so every code of every list is pinned.
+LIST_DIGESTS = {
+    "adole_reaction": "77e371caea56c9da",
+    "anxiety": "48599e42d8241337",
+    "depression": "606ebbfe05310782",
+    "disturb_conduct": "545322206021ba11",
+    "emotion_disturb": "2e42a48811e7a9cc",
+    "icd9": "f781080431bb4910",
+    "icd9_all": "25a1f69cc561c9de",
+}
+
+
+def test_lists_equal_the_published_lists(lists):
+    import hashlib
+    got = {k: hashlib.sha256(",".join(sorted(v)).encode()).hexdigest()[:16]
+           for k, v in lists.items()}
+    assert got == LIST_DIGESTS
