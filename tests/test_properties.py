@@ -173,3 +173,41 @@ def test_enrolled_share_matches_brute_force(spark, data):
     got = {r.zip: (r.diag_vs_all_enroll, r.diag_final, r.enroll_count) for r in
            R.diag_share_of_enrolled(a, b, e, YEAR, *BAND, LIST).collect()}
     assert got == want
+
+
+numeric_code = st.builds(lambda c, tail: str(c) + tail, st.integers(285, 325),
+                         st.sampled_from(["", "0", "1", "9", "00", "12", "99"]))
+e_code = st.builds(lambda c, tail: f"E{c}" + tail, st.integers(945, 962),
+                   st.sampled_from(["", "0", "5", "9"]))
+rule_st = st.one_of(
+    st.builds(lambda p: ("children", p, None), st.one_of(numeric_code, e_code)),
+    st.builds(lambda a, b: ("range", str(min(a, b)), str(max(a, b))),
+              st.integers(285, 325), st.integers(285, 325)),
+    st.builds(lambda a, b: ("range", f"E{min(a, b)}", f"E{max(a, b)}"),
+              st.integers(945, 962), st.integers(945, 962)),
+    st.builds(lambda c: ("exact", c, None), st.one_of(numeric_code, e_code)))
+
+
+@given(codes=st.sets(st.one_of(numeric_code, e_code), min_size=1, max_size=25),
+       rules=st.lists(rule_st, min_size=1, max_size=5))
+@SETTINGS
+def test_code_lists_match_brute_force(spark, codes, rules):
+    from dxcohort.operators.hierarchy import Rule, build_code_lists
+
+    def category(code):
+        return code[:4] if code.startswith("E") else code[:3]
+
+    want = set()
+    for i, (kind, a, b) in enumerate(rules):
+        name = f"l{i % 2}"
+        if kind == "children":
+            want |= {(name, c) for c in codes if c.startswith(a)}
+        elif kind == "range":
+            want |= {(name, c) for c in codes
+                     if c.startswith("E") == a.startswith("E") and a <= category(c) <= b}
+        else:
+            want.add((name, a))
+    dim = spark.createDataFrame([(c,) for c in sorted(codes)], "code string")
+    got = build_code_lists(spark, dim, [Rule(f"l{i % 2}", k, a, b)
+                                        for i, (k, a, b) in enumerate(rules)])
+    assert {(r.list_name, r.code) for r in got.collect()} == want
