@@ -21,6 +21,15 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
+def _duck_type(t):
+    from pyspark.sql import types as T
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR",
+             T.DoubleType: "DOUBLE", T.DateType: "DATE", T.BooleanType: "BOOLEAN"}
+    if isinstance(t, T.ArrayType):
+        return _duck_type(t.elementType) + "[]"
+    return names.get(type(t), str(t))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
@@ -29,6 +38,9 @@ def test_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     want = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    # same column types in both engines
+    assert {f.name: _duck_type(f.dataType) for f in df.schema.fields} == \
+        {d[0]: str(d[1]) for d in cur.description}
     assert len(got) == len(want)
     assert digest(df.columns, got) == digest(ocols, want)
 
