@@ -1,9 +1,58 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the stage
+before it kept. Every stage is written as Parquet and read again by the next one.
 
-STAGES = []
+1. toxicity: documents that the classifier calls toxic go (operator 6);
+2. exact dedup: of equal texts the smallest ``doc_id`` stays (operator 8);
+3. n-gram Jaccard join: of linked documents the smallest ``doc_id`` stays (operator 4);
+4. benchmark decontamination: documents with a passage of a test item go (operator 7);
+5. packing: what is left, as pieces with their sequence and offset (operator 9).
+
+The first four return the columns of ``documents``; the last one the packed pieces.
+SQL cannot express classifier, edit distance and tokenizer, so the stages are tested
+against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from dxcohort.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
+from dxcohort.llm.common import table, written
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.without_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.without_near_copies(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.assign(packing.digests(packing.pieces(docs)))
+
+
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("decontaminate", benchmark_passages),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages in order to ``documents``."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,3 +12,10 @@ Common conventions, kept by every operator:
   working columns with ``_``;
 * an empty table gives an empty result of the same schema.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
