@@ -179,16 +179,20 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame,
 def decontaminated(docs: DataFrame, benchmark: DataFrame,
                    rate: float = MAX_ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` without a passage of any item, with all columns."""
-    spark = docs.sparkSession
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession, block, rate)(F.col("text").cast("string")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, rate)
-            for texts in batches:
-                yield texts.map(lambda t: next(matcher.passages(normalise(t or "")), None) is None
-                                ).astype(bool)
 
-        docs = docs.where(clean(F.col("text").cast("string")))
-    return docs
+def _clean(spark, block: list[tuple[int, str]], rate: float):
+    """A column function: has the text no passage of an item of the block?"""
+    shared = spark.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for texts in batches:
+            yield texts.map(lambda t: next(matcher.passages(normalise(t or "")), None) is None
+                            ).astype(bool)
+
+    return clean
