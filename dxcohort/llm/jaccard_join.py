@@ -18,8 +18,9 @@ The order of shingles may be any, for right results; frequent shingles are put
 last as far as a sample of ``SAMPLE`` documents shows them. Lists are scanned
 without emitting all pairs: every member is first held against the smallest
 member of its list (and size class); what then lies in one component needs no further
-pairs, and only members of different components are paired. All candidates are
-verified on the whole texts, and no link between different components is left out.
+pairs, and only members of different components are paired. Candidates pass an exact
+bound on their bitmaps (about one bit for each shingle) and are verified on the whole
+texts; no link between different components is left out.
 
 Defined results: null and empty texts have no shingles and link with nothing, not
 even each other; a text of one to three words is one shingle; rows with the same
@@ -48,6 +49,8 @@ SAMPLE = 2_000
 #: Frequent shingles that are known as such: at most so many, by their count.
 FREQUENT = 50_000
 MAX_LIGHT = 20
+#: Identifiers whose texts are fetched by a broadcast join (8 MB); more by a shuffle.
+BROADCAST_IDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,8 +157,48 @@ def _learn(docs: DataFrame, percent: int) -> tuple[int, np.ndarray]:
     return choose_boundary(sizes, float(mean or 1.0), percent), frequent
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole texts."""
+def bitmap(found: np.ndarray) -> bytes:
+    """One bit for each shingle, in the power of two of bits that holds the set."""
+    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _folded(raw: bytes, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(raw, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def least_difference(left: bytes, right: bytes) -> int:
+    """A lower bound of the number of shingles in one set alone: the larger bitmap is
+    folded to the size of the other; each bit that differs is a shingle of its own."""
+    size = min(len(left), len(right))
+    return int(np.bitwise_count(_folded(left, size) ^ _folded(right, size)).sum())
+
+
+def _promising(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their bitmaps (an exact bound: none is lost)."""
+    both = (pairs.join(maps.select(F.col("rep").alias("b"), F.col("n").alias("nb"),
+                                   F.col("bits").alias("_bb")), "b")
+            .join(maps.select(F.col("rep").alias("a"), F.col("n").alias("na"),
+                              F.col("bits").alias("_ba")), "a"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [least_difference(x, y) <= n + m - 2 * common_size(n, m, percent)
+                    for x, y, n, m in zip(batch["_ba"], batch["_bb"], batch["na"], batch["nb"])]
+            yield batch.loc[keep, ["a", "b"]]
+
+    return both.mapInPandas(check, "a long, b long")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole texts; only texts of pairs are moved."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(
+        pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = written(docs.select("doc_id", text_of().alias("_text")).join(
+        wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("_tb")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("_ta")), "a"))
 
@@ -172,7 +215,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * union)
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "_ta", "_tb").mapInPandas(check, "a long, b long")
+    return written(both.select("a", "b", "_ta", "_tb").mapInPandas(check, "a long, b long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -182,29 +225,31 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, digest, keys = [], [], []
+            n, digest, keys, bits = [], [], [], []
             for text in batch["_text"]:
                 found = shingles(text)
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                 keys.append(signatures(found, boundary, shared.value, percent).view(np.int64))
+                bits.append(bitmap(found))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n,
-                                "digest": digest, "keys": keys})
+                                "digest": digest, "keys": keys, "bits": bits})
 
     sets = written(docs.select("doc_id", text_of().alias("_text")).mapInPandas(
-        describe, "doc_id long, n long, digest binary, keys array<long>"), "sets")
+        describe, "doc_id long, n long, digest binary, keys array<long>, bits binary"), "sets")
     known = sets.where("doc_id is not null and n > 0")
     # one representative of each set; copies are links to it
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = written(known.select("doc_id", "digest").join(firsts, "digest")
                       .select("doc_id", "rep"), "members")
-    reps = known.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    entries = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"),
-                                       F.max("rep").alias("hi")).where("c > 1 and lo <> hi")
-    met = written(entries.join(lists.select("key"), "key"), "lists")
-    texts = written(docs.where("doc_id is not null").select("doc_id", text_of().alias("_text")).join(
-        met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    copies = members.where("doc_id <> rep")
+    reps = known.join(copies.select("doc_id").distinct(), "doc_id", "left_anti") \
+        .withColumnRenamed("doc_id", "rep")
+    entries = reps.select("rep", "n", F.explode_outer("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")) \
+        .where("lo <> hi").select("key")
+    met = written(entries.join(lists, "key"), "lists")
+    maps = reps.select("rep", "n", "bits")
 
     # first: every member against the smallest member of its list and size class
     size = F.floor(F.log("n") / float(np.log(100 / percent)))
@@ -213,9 +258,10 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = (classed.join(leaders, ["key", "size"]).where("rep <> _l.rep")
              .where(_sizes_fit(F.col("n"), F.col("_l.n"), percent))
              .select(F.col("_l.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    linked = written(_verify(stars, texts, percent), "links")
-    same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = components(linked.unionByName(same_id))
+    stars = written(_promising(stars, maps, percent), "stars")
+    linked = _verify(stars, docs, percent)
+    same_set = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    first = components(linked.unionByName(same_set))
 
     # then: members of lists that still hold several components
     parted = met.join(first, F.col("rep") == F.col("node"), "left").select(
@@ -228,11 +274,11 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = (rest.join(other, "key").where("rep < b and root <> rb")
              .where(_sizes_fit(F.col("n"), F.col("nb"), percent))
              .select(F.col("rep").alias("a"), "b").distinct())
-    # stars that failed need no second look
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    more = written(_verify(pairs, texts, percent), "links")
-    last = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) \
-        if not more.isEmpty() else first
+    more = written(_promising(pairs, maps, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    last = first
+    if not more.isEmpty():
+        last = components(first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                          .unionByName(_verify(more, docs, percent)))
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
         last, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
