@@ -1,6 +1,6 @@
 """Toxicity classifier with counterfactual regularisation (operator 6).
 
-A logistic model over the distinct words of a whole text. It is fitted on a
+A logistic model over the distinct words, and beginnings of words, of a whole text. It is fitted on a
 bounded sample of labelled rows: the ``TRAIN_ROWS`` rows with the smallest hash of
 their identifier, of those that may be learnt from. Besides the log-loss and an
 L1 term (which leaves out chance words) the loss has a counterfactual term: in
@@ -28,12 +28,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 40_000
 MAX_WORDS = 4_096
 MIN_ROWS = 5
-L1 = 3e-4
+#: L1 penalty: this, or the weight of ``L1_ROWS`` positive rows where that is more, so that
+#: a feature seen with fewer toxic texts stays out.
+L1 = 1e-3
+L1_ROWS = 3
+#: Steps of the fit and share of the L1 penalty: over all features, and over the chosen ones.
+STEPS = ((150, 1.0), (1500, 0.2))
+#: Lengths of the beginnings of words.
+STEMS = (4, 5, 6)
 COUNTERFACTUAL = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms that name a group, by kind.
@@ -51,8 +58,14 @@ IDENTITY_TERMS = [
 KIND = {term: i for i, terms in enumerate(IDENTITY_TERMS) for term in terms}
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def features_of(text: str) -> set[str]:
+    """The distinct words, and their beginnings (marked ``*``), which inflected forms
+    share; an identity term is a feature of its own and has no beginnings."""
+    words = set(WORD.findall(text.lower()))
+    out = set(words)
+    for n in STEMS:
+        out.update([w[:n] + "*" for w in words if len(w) > n and w not in KIND])
+    return out
 
 
 def swapped(words: set[str]) -> list[set[str]]:
@@ -80,16 +93,17 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         if self.empty:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(features_of(text)), -30, 30))))
 
 
 class _Rows:
-    """A sparse 0/1 matrix of word sets."""
+    """A sparse 0/1 matrix of feature sets."""
 
     def __init__(self, sets: list[set[str]], index: dict[str, int]):
-        cols = [[index[w] for w in s if w in index] for s in sets]
+        cols = [sorted(index[w] for w in s if w in index) for s in sets]
         self.n, self.width = len(sets), len(index)
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in cols])
+        self.size = np.asarray([len(c) for c in cols], dtype=float)
+        self.row = np.repeat(np.arange(self.n), self.size.astype(int))
         self.col = np.fromiter((j for c in cols for j in c), dtype=np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -99,57 +113,57 @@ class _Rows:
         return np.bincount(self.col, weights=r[self.row], minlength=self.width)
 
 
-def fit(texts: list[str], labels: list[int], counterfactual: float = COUNTERFACTUAL,
-        l1: float = L1, steps: int = 400) -> ToxicityModel:
-    """Fit by proximal gradient steps with momentum, on word sets."""
-    y = np.asarray(labels, dtype=float)
-    if not len(y):
-        return ToxicityModel(empty=True)
-    sets = [words_of(t) for t in texts]
-    rows, hits = Counter(), Counter()
-    for s, label in zip(sets, labels):
-        rows.update(s)
-        if label:
-            hits.update(s)
-    share = y.mean()
-    # words by the chi-square of their rows against the label
-    common = [w for w in rows if rows[w] >= MIN_ROWS]
-    gain = {w: (hits[w] - rows[w] * share) ** 2 / rows[w] for w in common}
-    chosen = sorted(common, key=lambda w: (-gain[w], w))[:MAX_WORDS]
-    index = {w: i for i, w in enumerate(dict.fromkeys([*chosen, *(t for t in KIND if t in rows)]))}
-    pairs = [(s, c) for s in sets for c in swapped(s)]
-    for _, c in pairs:
-        for w in c:
-            if w in KIND:
-                index.setdefault(w, len(index))
+def _descend(sets, pairs, words, y, weight, counterfactual, l1, steps) -> tuple[np.ndarray, float]:
+    """Weights of ``words`` and the bias: proximal gradient steps with momentum, each
+    coordinate with its own bound on the curvature (a row of s features adds at most
+    s + 1 times its own share)."""
+    index = {w: i for i, w in enumerate(words)}
     x = _Rows(sets, index)
     left, right = _Rows([p[0] for p in pairs], index), _Rows([p[1] for p in pairs], index)
-    # both classes weigh the same; the bias is put back to the class shares' middle
-    weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
+    pull = 2 * counterfactual / max(1, left.n)
+    # the two sides of a pair differ in their identity terms only
+    bound = x.back(0.25 * weight * (x.size + 1)) + 2 * len(KIND) * pull * (
+        left.back(np.ones(left.n)) + right.back(np.ones(right.n)))
+    step, step_b = 1 / np.maximum(bound, 1e-9), 1 / (0.25 * weight @ (x.size + 1))
     w, b = np.zeros(len(index)), 0.0
-    # a bound on the curvature for each coordinate: rows hold many words
-    many = max(1.0, float(np.sqrt(np.bincount(x.row, minlength=x.n).mean() + 1)))
-    scale = 1.0 / (0.25 * many * (x.back(weight) + 1e-3)
-                   + (2 * counterfactual / max(1, left.n)) * (left.back(np.ones(left.n))
-                                                              + right.back(np.ones(right.n))) * 2)
-    vw, vb = w.copy(), b
-    t = 1.0
+    vw, vb, t = w, b, 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.dot(vw) + vb, -30, 30)))
         r = (p - y) * weight
         g = x.back(r)
         if pairs:
             change = left.dot(vw) - right.dot(vw)
-            g = g + 2 * counterfactual / left.n * (left.back(change) - right.back(change))
-        new = vw - scale * g
-        new = np.sign(new) * np.maximum(np.abs(new) - scale * l1, 0)
-        nb = vb - 1.0 * r.sum()
+            g = g + pull * (left.back(change) - right.back(change))
+        new = vw - step * g
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        new_b = vb - step_b * r.sum()
+        if (vw - new) @ ((new - w) / step) + (vb - new_b) * (new_b - b) / step_b > 0:
+            t = 1.0  # the momentum leads uphill: start it again
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
-        if (new - w) @ (vw - new) < 0:  # restart the momentum
-            vw, vb, t2 = new.copy(), nb, 1.0
-        w, b, t = new, nb, t2
-    return ToxicityModel(float(b), {v: float(w[i]) for v, i in index.items() if w[i]})
+        vw, vb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
+        w, b, t = new, new_b, t2
+    return w, b
+
+
+def fit(sets: list[set[str]], labels: list[int],
+        counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
+    """Fit on the feature sets of texts: first all features, then those that have a
+    weight by then, to the end."""
+    y = np.asarray(labels, dtype=float)
+    if not len(y):
+        return ToxicityModel(empty=True)
+    share = y.mean()
+    # both classes weigh the same
+    weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
+    l1 = max(L1, L1_ROWS * 0.5 / max(y.sum(), 1))
+    pairs = [(s, c) for s in sets for c in swapped(s)]
+    words, w, b = sorted(set().union(*sets, *(c for _, c in pairs))), None, 0.0
+    for steps, share in STEPS:
+        w, b = _descend(sets, pairs, words, y, weight, counterfactual, l1 * share, steps)
+        words, w = zip(*[(v, u) for v, u in zip(words, w) if u]) if w.any() else ((), w[:0])
+        if not words:
+            break
+    return ToxicityModel(float(b), {v: float(u) for v, u in zip(words, w)})
 
 
 def bucket(column: str = "doc_id") -> Column:
@@ -158,13 +172,46 @@ def bucket(column: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on the bounded sample: labelled rows whose bucket is not 0."""
+    """Fit on the bounded sample: labelled rows whose bucket is not 0.
+
+    The sample's words are counted by Spark; the driver gets the chosen words, and
+    those of them that each sampled text holds.
+    """
     chosen = (labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null")
               .where(bucket() != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
-    sample = docs.select("doc_id", text_of().alias("_text")).join(
-        F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_text").toPandas()
-    sample = sample.sort_values(["doc_id", "toxic", "_text"])  # the same sum in every run
-    return fit(sample["_text"].tolist(), sample["toxic"].astype(int).tolist())
+    sample = written(docs.select("doc_id", text_of().alias("_text")).join(
+        F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"),
+                                              "_text"), "labelled")
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = positive / max(n, 1)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen, hits = Counter(), Counter()
+            for text, label in zip(batch["_text"], batch["toxic"]):
+                words = features_of(text)
+                seen.update(words)
+                if label:
+                    hits.update(words)
+            yield pd.DataFrame({"word": list(seen), "seen": list(seen.values()),
+                                "hits": [hits[w] for w in seen]})
+
+    counts = sample.mapInPandas(count, "word string, seen long, hits long").groupBy("word").agg(
+        F.sum("seen").alias("seen"), F.sum("hits").alias("hits")).where(F.col("seen") >= MIN_ROWS)
+    off = F.col("hits") - F.col("seen") * share  # chi-square of a word's rows against the label
+    words = [r[0] for r in counts.orderBy((off * off / F.col("seen")).desc(), "word")
+             .limit(MAX_WORDS).select("word").collect()]
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(words) | KIND.keys())
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["doc_id", "toxic"]].copy()
+            out["words"] = [sorted(features_of(t) & known.value) for t in batch["_text"]]
+            yield out
+
+    got = sample.mapInPandas(reduce, "doc_id long, toxic int, words array<string>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["words"]))  # the same sums in every run
+    return fit([set(r["words"]) for r in got], [r["toxic"] for r in got])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
