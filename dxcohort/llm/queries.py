@@ -26,6 +26,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digests, substring_dedup
+    return digests(substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
     return license_scan(table(spark, sf_dir, "documents"))
