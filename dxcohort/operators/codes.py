@@ -94,16 +94,15 @@ def codes_in_table(rows: DataFrame, codes: DataFrame, code: str = "diag") -> Dat
     return rows.join(F.broadcast(table), rows[code] == table["_code"], "left_semi")
 
 
-def rows_with_listed_code(df: DataFrame, codes: DataFrame, keys: Sequence[str],
+def rows_with_listed_code(df: DataFrame, codes: DataFrame,
                           diagnosis: str = "diagnosis") -> DataFrame:
     """Rows of ``df`` whose array holds a code of a code-list table
     (``diagnosis && list`` with the list as a table).
 
-    The codes are exploded, matched map-side against the broadcast list, and
-    the matching ``keys`` (which must identify a row) are semi-joined back.
-    The literal form (:func:`dxcohort.functions.has_any`) needs no shuffle
-    and is used by the queries; this form serves lists that live in tables.
+    The list is read (its size is checked, as for every code list) and becomes
+    literals of the array test, so the rows of ``df`` are neither exploded nor
+    shuffled.
     """
-    exploded = df.select(*keys, F.explode(diagnosis).alias("_diag"))
-    matched = codes_in_table(exploded, codes, "_diag").select(*keys).distinct()
-    return df.join(matched, list(keys), "left_semi")
+    from dxcohort.functions.expr import has_any
+    listed = [r["_code"] for r in checked_code_table(codes).collect()]
+    return df.where(has_any(diagnosis, sorted(listed)))

@@ -3,9 +3,8 @@
 All joins are equi-joins on ``bene_id`` (and ``year``). No broadcast hint is
 placed on a claims table: Spark broadcasts a side only when its measured size is
 under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at run time), and
-otherwise shuffles both sides on the key. Joins of admissions to people or
-enrollments are salted (``dxcohort.operators.skew``), so a person holding a
-large share of the admissions is spread over many tasks.
+otherwise shuffles both sides on the key. A person holding a large share of the
+admissions is split over many tasks at run time (``dxcohort.operators.skew``).
 """
 
 from __future__ import annotations
@@ -16,24 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dxcohort.functions.expr import age_at_admission
-from dxcohort.operators.skew import salted_join
 
 Band = tuple[int, int]
 
 
 def with_person(admissions: DataFrame, beneficiaries: DataFrame,
-                columns: Sequence[str] | None = None,
-                hot_source: DataFrame | None = None) -> DataFrame:
+                columns: Sequence[str] | None = None) -> DataFrame:
     """Inner join admissions to people on ``bene_id`` (admissions without a
-    person row are dropped), salted so a person with a large share of the
-    admissions is spread over many tasks. ``columns`` limits the person
-    columns carried (``bene_id`` is always kept). Pass the unfiltered
-    admissions as ``hot_source`` when ``admissions`` is an expensive filter
-    of them, so hot keys are counted on the key column alone."""
+    person row are dropped). ``columns`` limits the person columns carried
+    (``bene_id`` is always kept)."""
     people = beneficiaries if columns is None else beneficiaries.select(
         "bene_id", *[c for c in columns if c != "bene_id"])
-    source = (hot_source if hot_source is not None else admissions).select("bene_id")
-    return salted_join(admissions, people, ["bene_id"], hot_source=source)
+    return admissions.join(people, "bene_id")
 
 
 def with_age(df: DataFrame, name: str = "age") -> DataFrame:
@@ -43,8 +36,7 @@ def with_age(df: DataFrame, name: str = "age") -> DataFrame:
 
 def with_enrollment(admissions: DataFrame, enrollments: DataFrame,
                     year: int | None = None) -> DataFrame:
-    """Join each admission to the enrollment rows of its own year (salted on
-    ``(bene_id, year)``).
+    """Join each admission to the enrollment rows of its own year.
 
     With ``year`` set, both tables are first restricted to that year (the
     constraint reaches both Parquet scans). Several enrollment rows for one
@@ -54,16 +46,13 @@ def with_enrollment(admissions: DataFrame, enrollments: DataFrame,
     if year is not None:
         admissions = admissions.where(F.col("year") == int(year))
         enrollments = enrollments.where(F.col("year") == int(year))
-    return salted_join(admissions, enrollments, ["bene_id", "year"],
-                       hot_source=admissions.select("bene_id", "year"))
+    return admissions.join(enrollments, ["bene_id", "year"])
 
 
 def enrolled_people(enrollments: DataFrame, beneficiaries: DataFrame,
                     year: int) -> DataFrame:
-    """Enrollment rows of ``year`` with the person's columns (salted on
-    ``bene_id``, like the admission joins)."""
-    enr = enrollments.where(F.col("year") == int(year))
-    return salted_join(enr, beneficiaries, ["bene_id"], hot_source=enr.select("bene_id"))
+    """Enrollment rows of ``year`` with the person's columns."""
+    return enrollments.where(F.col("year") == int(year)).join(beneficiaries, "bene_id")
 
 
 def one_enrollment_per_year(enrollments: DataFrame) -> DataFrame:
@@ -86,7 +75,7 @@ def with_bands(df: DataFrame, bands: Sequence[Band], age: str = "age") -> DataFr
     never a join. The overall range is applied first as a plain filter, which
     Catalyst pushes below joins and into scans.
     """
-    bands = [(int(lo), int(hi)) for lo, hi in bands]
+    bands = list(dict.fromkeys((int(lo), int(hi)) for lo, hi in bands))
     if not bands:
         raise ValueError("at least one age band is required")
     lo_all = min(lo for lo, _ in bands)
@@ -105,7 +94,7 @@ def with_bands(df: DataFrame, bands: Sequence[Band], age: str = "age") -> DataFr
 
 
 def normalize_bands(bands: Band | Sequence[Band]) -> list[Band]:
-    """Accept one ``(low, high)`` pair or a list of them."""
+    """Accept one ``(low, high)`` pair or a list of them (a band given twice counts once)."""
     if len(bands) == 2 and all(isinstance(x, int) for x in bands):
         return [(int(bands[0]), int(bands[1]))]
-    return [(int(lo), int(hi)) for lo, hi in bands]
+    return list(dict.fromkeys((int(lo), int(hi)) for lo, hi in bands))

@@ -86,11 +86,11 @@ def expand_children(codes: DataFrame, parents: DataFrame) -> DataFrame:
     """Every code of the dimension that is a parent or lies below one.
 
     ``parents`` has a ``parent`` column and may carry more columns (such as
-    ``list_name``), which are kept. It is a list definition, small by nature,
-    and is broadcast; the join is an equi-join on the prefix.
+    ``list_name``), which are kept. The join is an equi-join on the prefix;
+    Spark broadcasts the parents when they are small, which it measures.
     """
     return (code_prefixes(codes)
-            .join(F.broadcast(parents), F.col("prefix") == F.col("parent"), "inner")
+            .join(parents, F.col("prefix") == F.col("parent"), "inner")
             .drop("prefix", "parent"))
 
 

@@ -11,14 +11,11 @@ person may hold a large share of all rows. Instead:
    at most one row per calendar day before the shuffle;
 2. run the cumulative sum over those day rows (per person, bounded by the
    number of days in the data span);
-3. join the day totals back on (person, date). This equi-join spreads a person
-   over their distinct dates, and it is salted: a person-day with a large
-   share of the rows is split over many tasks (the day side holds one row per
-   key, replicated per salt for hot keys only).
-
-The result is identical to the RANGE window, including ties. When the input
-has no more rows than the hot-key threshold in all, no window can exceed that
-bound and the plain window is used.
+3. join the day totals back on (person, date), nulls matching nulls. The join spreads
+   a person over their dates; a single day with very many rows is split by adaptive
+   execution (``dxcohort.operators.skew``).
+
+The result is that of the RANGE window for every input, ties and nulls included.
 """
 
 from __future__ import annotations
@@ -26,29 +23,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxcohort.operators.skew import cannot_hold_hot_key, hot_keys_from_counts, salted_join
-
 
 def running_count(df: DataFrame, key: str = "bene_id", order: str = "admission_date",
                   out: str = "n_th_admission") -> DataFrame:
     """Add ``out``: rows of the same ``key`` with ``order`` at or before this
-    row's (PostgreSQL's ``ORDER BY ... ASC`` puts a NULL ``order`` last).
-
-    ``order`` must be a date column.
-    """
-    if cannot_hold_hot_key(df):
-        # At most HOT_KEY_ROWS rows in all, so no person's window can exceed
-        # that: the plain RANGE window (one shuffle) is bounded and exact.
-        w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
-        return df.withColumn(out, F.count(F.lit(1)).over(w))
-    # NULL-safe day key: (is NULL, date or a fixed stand-in).
-    marked = (df.withColumn("_on", F.col(order).isNull())
-              .withColumn("_od", F.coalesce(F.col(order), F.lit("0001-01-01").cast("date"))))
-    day_keys = [key, "_on", "_od"]
-    per_day = marked.groupBy(*day_keys).agg(F.count(F.lit(1)).alias("_n_day"))
-    w = (Window.partitionBy(key).orderBy("_on", "_od")
+    row's (a NULL ``order`` comes last, a NULL ``key`` is a person of its own)."""
+    per_day = df.groupBy(F.col(key).alias("_rk"), F.col(order).alias("_ro")).agg(
+        F.count(F.lit(1)).alias("_n_day"))
+    w = (Window.partitionBy("_rk").orderBy(F.col("_ro").asc_nulls_last())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = per_day.select(*day_keys, F.sum("_n_day").over(w).cast("long").alias(out))
-    # The per-day counts are the join-back's key counts: hot keys come free.
-    hot = hot_keys_from_counts(per_day, day_keys, "_n_day")
-    return salted_join(marked, totals, day_keys, hot=hot).drop("_on", "_od")
+    totals = per_day.select("_rk", "_ro", F.sum("_n_day").over(w).cast("long").alias(out))
+    same = F.col(key).eqNullSafe(F.col("_rk")) & F.col(order).eqNullSafe(F.col("_ro"))
+    return df.join(totals, same).drop("_rk", "_ro")

@@ -1,124 +1,33 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Keys that hold a large share of the rows.
 
-:func:`salted_join` joins a large table to a table with few rows per key. Keys
-of the large side with more than ``min_rows`` rows are found by a count over
-the key columns only (partial aggregation, so the count itself is balanced);
-the hottest ``max_keys`` of them are broadcast, a bounded table. Each hot key's
-rows are spread over up to ``max_salts`` salts by a hash of the row, and the
-small side's rows for that key are replicated once per salt, so the hot key
-is joined by many tasks. Every other key (cold, or hot beyond ``max_keys``)
-joins with salt 0 exactly as in a plain join: the result is the same rows.
+Joins of claims tables are plain equi-joins. When both sides are shuffled, adaptive
+execution splits a reducer that is far larger than the others into several tasks, each
+of which reads some map outputs of the large side and the whole matching side
+(``spark.sql.adaptive.skewJoin``). The split goes by map output, not by value, so equal
+rows spread as well, no key needs to be found or counted first, and nothing is capped.
 
-AQE's skew-join split cannot be relied on here: it is skipped when the join
-feeds a per-key aggregation in the same stage, which is the common shape.
+It applies where the stage above the join does not need a key's rows together. So
+everything that groups by a join key is reduced before the join (per person and year,
+per person and day), or groups by other columns after it, as the count per code does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dxcohort.session import app_id
-
-# A key above this many rows is split; far above any one person's claims.
-HOT_KEY_ROWS = 1_000_000
-# Bound on the broadcast table of hot keys (rows); more keys stay unsalted.
-MAX_HOT_KEYS = 10_000
-MAX_SALTS = 256
-
-
-def _limits(min_rows, max_keys, max_salts):
-    return (HOT_KEY_ROWS if min_rows is None else int(min_rows),
-            MAX_HOT_KEYS if max_keys is None else int(max_keys),
-            MAX_SALTS if max_salts is None else int(max_salts))
-
-
-def hot_keys_from_counts(counts: DataFrame, keys: Sequence[str], count: str,
-                         min_rows: int | None = None, max_keys: int | None = None,
-                         max_salts: int | None = None) -> DataFrame:
-    """``keys..., _salts`` from a table of row counts per key: the hottest
-    keys and how many salts each gets (one per ``min_rows`` rows, at most
-    ``max_salts``). At most ``max_keys`` rows, so it is safe to broadcast."""
-    min_rows, max_keys, max_salts = _limits(min_rows, max_keys, max_salts)
-    top = counts.where(F.col(count) > min_rows).orderBy(F.col(count).desc()).limit(max_keys)
-    salts = F.least(F.ceil(F.col(count) / F.lit(min_rows)), F.lit(max_salts))
-    return top.select(*keys, salts.cast("int").alias("_salts"))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None,
-             max_keys: int | None = None, max_salts: int | None = None) -> DataFrame:
-    """Count rows per key of ``df`` (reading the key columns only) and keep
-    the hot ones, see :func:`hot_keys_from_counts`."""
-    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return hot_keys_from_counts(counts, keys, "_rows", min_rows, max_keys, max_salts)
+# Session settings the plans count on; on by default in Spark, stated for clarity.
+SKEW_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
 
 
-# Row counts of key sources already measured, per application and plan. A
-# count only chooses between a salted and a plain join (both exact), so a
-# stale entry can cost balance, never correctness.
-_ROW_COUNTS: dict[tuple[str, int], int] = {}
-
-
-def cannot_hold_hot_key(source: DataFrame, min_rows: int | None = None) -> bool:
-    """True when ``source`` has at most ``min_rows`` rows, so no key of it can
-    be hot and a plain join is exact and balanced. On a table scan the count
-    reads file metadata only; it is taken once per plan and application."""
-    min_rows = _limits(min_rows, None, None)[0]
-    key = (app_id(source.sparkSession), source.semanticHash())
-    if key not in _ROW_COUNTS:
-        _ROW_COUNTS[key] = source.count()
-    return _ROW_COUNTS[key] <= min_rows
-
-
-def _holds_map(dt: T.DataType) -> bool:
+def holds_map(dt: T.DataType) -> bool:
+    """Whether a type has a map in it (maps cannot be hashed)."""
     if isinstance(dt, T.MapType):
         return True
     if isinstance(dt, T.ArrayType):
-        return _holds_map(dt.elementType)
+        return holds_map(dt.elementType)
     if isinstance(dt, T.StructType):
-        return any(_holds_map(f.dataType) for f in dt.fields)
+        return any(holds_map(f.dataType) for f in dt.fields)
     return False
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                min_rows: int | None = None, max_keys: int | None = None,
-                max_salts: int | None = None, hot_source: DataFrame | None = None,
-                hot: DataFrame | None = None) -> DataFrame:
-    """``big.join(small, keys, how)`` with hot keys of ``big`` split.
-
-    ``how`` is ``inner`` or ``left`` (rows of ``big`` kept). ``small`` must
-    have few rows per key (a person, a person-year): it is replicated per salt
-    for hot keys only. ``hot_source`` (default ``big``) is where keys are
-    counted: pass the unfiltered table's key columns when ``big`` is an
-    expensive filter of it - its counts bound ``big``'s, so no hot key is
-    missed, and only the key columns are read. ``hot`` skips the counting:
-    a bounded table ``keys..., _salts`` the caller already has. When the
-    source has no more than ``min_rows`` rows in all, no key can be hot and
-    the plain join is returned.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins")
-    keys = list(keys)
-    if hot is None:
-        source = hot_source if hot_source is not None else big
-        if cannot_hold_hot_key(source, min_rows):
-            return big.join(small, keys, how)
-        hot = hot_keys(source, keys, min_rows, max_keys, max_salts)
-    hot = F.broadcast(hot)
-    # A deterministic salt per row (stable across task retries): a hash of the
-    # row's hashable columns (map columns cannot be hashed; keys always can).
-    hashable = [f.name for f in big.schema.fields if not _holds_map(f.dataType)]
-    row_hash = F.xxhash64(*[F.col(c) for c in hashable])
-    big_s = (big.join(hot, keys, "left")
-             .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-                         .otherwise(F.pmod(row_hash, F.col("_salts")).cast("int")))
-             .drop("_salts"))
-    small_s = (small.join(hot, keys, "left")
-               .withColumn("_salt", F.explode(
-                   F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
-                   .otherwise(F.sequence(F.lit(0), F.col("_salts") - 1))))
-               .drop("_salts"))
-    return big_s.join(small_s, [*keys, "_salt"], how).drop("_salt")

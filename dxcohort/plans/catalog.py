@@ -1,6 +1,8 @@
 """Named queries over the claims tables derived from a test-data folder.
 
-Each builder takes ``(spark, claims)`` and returns a DataFrame (no action);
+Each builder takes ``(spark, claims)`` and returns a DataFrame. Building starts no job
+but bounded reads of code lists; only the round trips through files (``FILE_QUERIES``)
+write while they are built.
 ``queries()`` binds them to the claims derived from a test-data folder.
 Parameters follow the source queries' own runs: year 1998 for the zip queries (a
 year present in the data), bands 0-18, 0-12 and 13-18, the current lists for
@@ -43,6 +45,7 @@ from dxcohort.operators.running import running_count
 from dxcohort.plans import counts as C
 from dxcohort.plans import extract as X
 from dxcohort.plans import rates as R
+from dxcohort.schema import FLAG_LISTS
 from dxcohort.sources.codelists import standard_lists
 from dxcohort.sources.fixture import Claims, claims_from_testdata
 
@@ -53,6 +56,12 @@ ALL_BANDS = [(0, 18), (0, 12), (13, 18)]
 COHORT_LIST = "icd9_all"
 RANGE_LIST = "icd9"
 
+# Queries that write files (or a sorted table) while they are built.
+FILE_QUERIES = {"csv_round_trip", "run_and_export", "export_individual_records",
+                "scan_admissions", "scan_beneficiaries", "scan_enrollments", "code_list_file",
+                "one_named_list", "parent_codes", "code_table_round_trip",
+                "disease_flags_from_file", "code_counts_order", "zip_share_order", "extract_order"}
+
 Query = Callable[[SparkSession, str], DataFrame]
 Builder = Callable[[SparkSession, Claims], DataFrame]
 
@@ -108,7 +117,7 @@ def _extract(band, blank: bool = False) -> Builder:
     def run(spark: SparkSession, c: Claims) -> DataFrame:
         lists = _lists(spark)
         return X.individual_extract(c.admissions, c.beneficiaries, c.enrollments, *band,
-                                    lists[COHORT_LIST], lists, blank_ambiguous=blank)
+                                    lists[COHORT_LIST], lists, FLAG_LISTS, blank)
     return run
 
 
@@ -130,7 +139,7 @@ def _first_counts_all_bands(position: str, list_name: str | None) -> Builder:
 def _extract_all_bands(spark: SparkSession, c: Claims) -> DataFrame:
     lists = _lists(spark)
     return X.individual_extract_bands(c.admissions, c.beneficiaries, c.enrollments,
-                                      lists[COHORT_LIST], lists, ALL_BANDS)
+                                      lists[COHORT_LIST], lists, ALL_BANDS, FLAG_LISTS)
 
 
 # --- operator-level queries --------------------------------------------------------
@@ -166,7 +175,7 @@ def _has_any_code(spark, c):
 
 
 def _disease_flags(spark, c):
-    return X.admission_flags(c.admissions, _lists(spark))
+    return X.admission_flags(c.admissions, _lists(spark), FLAG_LISTS)
 
 
 def _running_admission_number(spark, c):
@@ -182,7 +191,9 @@ def _first_per_person(spark, c):
 
 
 def _suppress_small_cells(spark, c):
-    counts = C.code_counts_in_band(c.admissions, c.beneficiaries, *FULL_BAND, "all")
+    """Counts of one year in the older band, many of which are small."""
+    counts = C.code_counts_in_band(c.admissions, c.beneficiaries, *BANDS["_13_18"], "all",
+                                   year_range=(ZIP_YEAR, ZIP_YEAR))
     return suppress_small_cells(counts, "diag_count", 10)
 
 
@@ -204,6 +215,136 @@ def _code_lists(spark, c):
     return build_code_lists(spark, _data_codes(spark, c), STANDARD_RULES)
 
 
+def _code_list_usage(spark, c):
+    """The packaged lists with the number of code rows of each code in the claims."""
+    from dxcohort.sources.codelists import icd9_codes
+    used = (c.admissions.select(F.explode("diagnosis").alias("code")).groupBy("code")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+    lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
+    return lists.join(used, "code", "left").select(
+        "list_name", "code", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+# --- tables and lists written to files and read again
+
+def _scanned(name: str) -> Builder:
+    def run(spark: SparkSession, c: Claims) -> DataFrame:
+        from dxcohort.session import scratch_path
+        from dxcohort.sources.tables import read_claims, write_claims
+        root = scratch_path(spark, "claims")
+        write_claims(c, root)
+        return getattr(read_claims(spark, root), name)
+    return run
+
+
+def _list_file(spark, c, own: DataFrame | None = None) -> str:
+    """The lists over the data's codes (and ``own`` ones) as one double-encoded JSON file."""
+    from dxcohort.session import scratch_path
+    from dxcohort.sources.codelists import LISTS_KEY
+    path = scratch_path(spark, "lists-json")
+    lists = _code_lists(spark, c)
+    if own is not None:
+        lists = lists.unionByName(own)
+    lists = lists.groupBy("list_name").agg(
+        F.sort_array(F.collect_list("code")).alias("codes"))      # bounded by the classification
+    whole = lists.agg(F.map_from_entries(F.collect_list(F.struct("list_name", "codes"))).alias("m"))
+    text = F.to_json(F.array(F.to_json(F.struct(F.col("m").alias(LISTS_KEY)))))
+    whole.select(text.alias("value")).write.text(path)
+    return path
+
+
+def _code_list_file(spark, c):
+    from dxcohort.sources.codelists import read_code_lists
+    return read_code_lists(spark, _list_file(spark, c))
+
+
+def _one_named_list(spark, c):
+    from dxcohort.sources.codelists import code_list, read_code_lists
+    codes = code_list(read_code_lists(spark, _list_file(spark, c)), "depression")
+    return spark.createDataFrame([(x,) for x in codes], "code string")
+
+
+def _flags_from_file(spark, c):
+    """A flag for every list of a file but the cohorts': the five, and one of our own."""
+    from dxcohort.sources.codelists import code_list_dict, read_code_lists
+    own = expand_range(_data_codes(spark, c), "E950", "E959").select(
+        F.lit("self_harm").alias("list_name"), "code")
+    lists = code_list_dict(read_code_lists(spark, _list_file(spark, c, own)))
+    return X.admission_flags(c.admissions, lists)
+
+
+def _parent_codes(spark, c):
+    """The categories of the data's codes as comma-separated text, read again."""
+    from dxcohort.session import scratch_path
+    from dxcohort.sources.codelists import read_parent_codes
+    path = scratch_path(spark, "parents-txt")
+    parents = _data_codes(spark, c).select(F.substring("code", 1, 3).alias("p")).distinct()
+    parents.agg(F.array_join(F.sort_array(F.collect_list("p")), ", ").alias("value")).write.text(path)
+    return read_parent_codes(spark, path)
+
+
+def _code_table_round_trip(spark, c):
+    from dxcohort.session import scratch_path
+    from dxcohort.sources.codelists import read_code_table, write_code_lists
+    path = scratch_path(spark, "lists-table")
+    write_code_lists(_code_lists(spark, c), path)
+    return read_code_table(spark, path)
+
+
+# --- sorted results with the place of each row
+
+def _placed(ordered: DataFrame, name: str) -> DataFrame:
+    """Add ``place``: a row's place (from 1) in the order of a sorted result.
+
+    The sorted rows are written with their partition; a partition's rows come after
+    all of the partitions before it.
+    """
+    from pyspark.sql import Window
+
+    from dxcohort.session import scratch_path
+    spark = ordered.sparkSession
+    path = scratch_path(spark, name)
+    ordered.withColumns({"_part": F.spark_partition_id(),
+                         "_row": F.monotonically_increasing_id()}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))                # a row for each partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_row"))
+    return (rows.withColumn("_w", within).join(counts.withColumn("_b", before), "_part")
+            .withColumn("place", F.col("_b") + F.col("_w")).drop("_part", "_row", "_n", "_b", "_w"))
+
+
+def _code_counts_order(spark, c):
+    return _placed(_counts("secondary", FULL_BAND)(spark, c), "counts-order")
+
+
+def _zip_share_order(spark, c):
+    return _placed(_zip_query(R.diag_share_of_admissions)(spark, c), "zip-order").select(
+        "zip", "diag_vs_all_diag", "place")
+
+
+def _extract_order(spark, c):
+    """First place and rows of each person and day in the sorted extract."""
+    rows = X.order_extract(_extract(FULL_BAND)(spark, c).select("bene_id", "admission_date", "zip"))
+    return _placed(rows, "extract-order").groupBy("bene_id", "admission_date").agg(
+        F.min("place").alias("place"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- keys that are no numbers, and keys that are missing
+
+def _extract_text_ids(spark, c):
+    tables = [t.withColumn("bene_id", F.concat(F.lit("P"), F.col("bene_id"))) for t in c]
+    return _extract(FULL_BAND)(spark, Claims(*tables))
+
+
+def _running_number_null_keys(spark, c):
+    rows = c.admissions.select(
+        "admission_id", F.when(F.col("admission_id") % 13 != 0, F.col("bene_id")).alias("person"),
+        F.when(F.col("admission_id") % 11 != 0, F.col("admission_date")).alias("day"))
+    return running_count(rows, "person", "day")
+
+
 def _standard_code_table(spark, name: str):
     from dxcohort.sources.codelists import icd9_codes
     lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
@@ -217,8 +358,8 @@ def _code_counts_by_table(spark, c):
 
 def _listed_admissions_by_table(spark, c):
     from dxcohort.operators.codes import rows_with_listed_code
-    return rows_with_listed_code(c.admissions, _standard_code_table(spark, COHORT_LIST),
-                                 ["admission_id"]).select("admission_id", "bene_id")
+    return rows_with_listed_code(c.admissions, _standard_code_table(spark, COHORT_LIST)).select(
+        "admission_id", "bene_id")
 
 
 def _blank_sex(spark, c):
@@ -279,8 +420,8 @@ def _export_individual_records(spark, c):
     lists = _lists(spark)
     path = scratch_path(spark, "records-csv")
     export_individual_records(c.admissions, c.beneficiaries, c.enrollments,
-                              lists[COHORT_LIST], lists, ALL_BANDS, path,
-                              blank_ambiguous=True, null_value="NA")
+                              lists[COHORT_LIST], {n: lists[n] for n in FLAG_LISTS}, ALL_BANDS,
+                              path, blank_ambiguous=True, null_value="NA")
     return read_individual_records(spark, path, null_value="NA")
 
 
@@ -316,7 +457,7 @@ def builders() -> dict[str, Builder]:
         "blank_ambiguous_demographics": _extract(FULL_BAND, blank=True),
         "blank_beneficiaries": _blank_beneficiaries,
         "code_lists": _code_lists,
-        "build_code_lists": _code_lists,
+        "build_code_lists": _code_list_usage,
         "code_counts_290_319": _code_counts_290_319,
         "run_and_export": _run_and_export,
         "export_individual_records": _export_individual_records,
@@ -336,6 +477,19 @@ def builders() -> dict[str, Builder]:
         "blank_sex": _blank_sex,
         "blank_race": _blank_race,
         "csv_round_trip": _csv_round_trip,
+        "scan_admissions": _scanned("admissions"),
+        "scan_beneficiaries": _scanned("beneficiaries"),
+        "scan_enrollments": _scanned("enrollments"),
+        "code_list_file": _code_list_file,
+        "one_named_list": _one_named_list,
+        "parent_codes": _parent_codes,
+        "code_table_round_trip": _code_table_round_trip,
+        "disease_flags_from_file": _flags_from_file,
+        "code_counts_order": _code_counts_order,
+        "zip_share_order": _zip_share_order,
+        "extract_order": _extract_order,
+        "individual_extract_text_ids": _extract_text_ids,
+        "running_number_null_keys": _running_number_null_keys,
     })
     return q
 

@@ -8,9 +8,10 @@ all bands (the bands overlap, so rows fan out to each band they fall in).
 The ``*_in_band`` wrappers run one band and return the source queries' columns.
 
 Skew and shuffles. Per-code counts join the admission rows (arrays intact,
-the most compact form) to people with a salted join - hot persons spread over
-many tasks - and explode after the join; the per-code count is combined
-map-side and bounded by distinct codes. First-admission queries and totals
+the most compact form) to people - hot persons are split at run time, as the
+counts above the join group by code - and explode after the join. Each code row is
+counted once, per age and position; that small table is rolled up to bands and
+positions. First-admission queries and totals
 exploit that age is a calendar-year difference, fixed for a person within one
 admission year: they first reduce rows per (person, admission year) - a
 ``groupBy`` Spark combines on the map side, one row per person-year per task
@@ -136,6 +137,30 @@ def _with_person_bands(per_year: DataFrame, beneficiaries: DataFrame,
     return with_bands(joined, normalize_bands(bands))
 
 
+def _counts_by_age(admissions: DataFrame, beneficiaries: DataFrame, bands: Sequence[Band],
+                   codes, year_range: YearRange | None) -> DataFrame:
+    """``age, first, element, diag, n``: code rows counted once, for the ages that any
+    band holds.
+
+    ``first`` marks the first code of an admission (or its lack), ``element`` a
+    row that is an array element. The table has at most ages x codes x 3 rows,
+    however many admissions there are.
+    """
+    cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
+    aged = with_age(with_person(_in_years(admissions, year_range).select(*cols), beneficiaries,
+                                ["dob"]))
+    low, high = min(lo for lo, _ in bands), max(hi for _, hi in bands)
+    rows = aged.where(F.col("age").between(low, high)).select(
+        "age", F.posexplode_outer("diagnosis").alias("pos", "diag"))
+    if isinstance(codes, DataFrame):
+        rows = codes_in_table(rows, codes, "diag")
+    elif codes is not None:
+        rows = rows.where(code_in("diag", codes))
+    return rows.groupBy("age", (F.coalesce("pos", F.lit(0)) == 0).alias("first"),
+                        F.col("pos").isNotNull().alias("element"), "diag").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
                 bands: Band | Sequence[Band], position: str = "all",
                 codes: Iterable[str] | DataFrame | None = None, limit: int | None = None,
@@ -145,29 +170,15 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     diag_count``. ``limit`` keeps the top codes per band (ties by code).
 
     Admissions (arrays intact, pre-filtered by the list) are joined to the
-    person's birth year with a salted join on ``bene_id``: one shuffle of the
-    compact array rows, and a person holding a large share of them is spread
-    over many tasks. Codes are exploded after the join and counted per band
-    and code with partial aggregation, so the last shuffle is bounded by the
-    number of distinct codes.
+    person's birth year and exploded after the join. Codes are counted per age
+    with partial aggregation and then rolled up to the bands, so a code row is
+    counted once however many bands it falls in.
     """
     codes = _normalize_codes(codes)
-    admissions = _in_years(admissions, year_range)
-    cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
-    adm = admissions.select(*cols)
-    if not isinstance(codes, DataFrame):
-        adm = _prefilter(adm, position, codes)
-    aged = with_age(with_person(adm, beneficiaries, ["dob"], hot_source=admissions))
-    rows = explode_codes(with_bands(aged, normalize_bands(bands)).select(
-        *BAND_COLS, "diagnosis"), position).drop("diagnosis")
-    if isinstance(codes, DataFrame):
-        rows = codes_in_table(rows, codes, "diag")
-    elif codes is not None:
-        rows = rows.where(code_in("diag", codes))
+    adm = admissions if isinstance(codes, DataFrame) else _prefilter(admissions, position, codes)
     keep = KEEP_NULL_DEFAULT[position] if keep_null is None else keep_null
-    if not keep:
-        rows = rows.where(F.col("diag").isNotNull())
-    counts = _count_codes(rows, BAND_COLS)
+    counts = _rolled_up(adm, beneficiaries, bands, codes, [position], {position: keep},
+                        year_range).drop("position")
     return top_k(counts, limit, BAND_COLS) if limit else counts
 
 
@@ -178,39 +189,27 @@ def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
                             year_range: YearRange | None = None) -> DataFrame:
     """Counts for several positions in one pass: ``position, age_low,
     age_high, diag, diag_count``, equal to :func:`code_counts` run once per
-    position (with each position's NULL-code rule).
-
-    One scan, one salted join, one ``posexplode_outer``: each code row is
-    tagged with the positions it belongs to (every code is in ``all``, the
-    first also in ``primary``, the rest in ``secondary``; a NULL or empty
-    array gives the NULL ``primary`` code) and counted per position, band and
-    code.
-    """
+    position (with each position's NULL-code rule)."""
     codes = _normalize_codes(codes)
-    admissions = _in_years(admissions, year_range)
-    cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
-    adm = admissions.select(*cols)
-    if codes is not None:
-        adm = adm.where(has_any("diagnosis", codes))
-    aged = with_age(with_person(adm, beneficiaries, ["dob"], hot_source=admissions))
-    banded = with_bands(aged, normalize_bands(bands)).select(*BAND_COLS, "diagnosis")
-    rows = banded.select(*BAND_COLS, F.posexplode_outer("diagnosis").alias("pos", "diag"))
-    pos = F.col("pos")
-    tags = F.array(*[
-        F.when(pos.isNotNull(), F.lit("all")) if p == "all" else
-        F.when(pos.isNull() | (pos == 0), F.lit("primary")) if p == "primary" else
-        F.when(pos >= 1, F.lit("secondary"))
-        for p in positions])
-    rows = rows.select(*BAND_COLS, "diag",
-                       F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("position"))
-    keep = F.lit(False)
-    for p in positions:
-        if KEEP_NULL_DEFAULT[p]:
-            keep = keep | (F.col("position") == p)
-    rows = rows.where(F.col("diag").isNotNull() | keep)
-    if codes is not None:
-        rows = rows.where(code_in("diag", codes))
-    return _count_codes(rows, ["position", *BAND_COLS])
+    adm = admissions if codes is None else admissions.where(has_any("diagnosis", codes))
+    return _rolled_up(adm, beneficiaries, bands, codes, positions, KEEP_NULL_DEFAULT, year_range)
+
+
+def _rolled_up(admissions, beneficiaries, bands, codes, positions, keep_null,
+               year_range) -> DataFrame:
+    """Bands and positions from the counts by age: every element is in ``all``, the
+    first (or its lack) in ``primary``, the others in ``secondary``."""
+    bands = normalize_bands(bands)
+    rows = with_bands(_counts_by_age(admissions, beneficiaries, bands, codes, year_range), bands)
+    member = {"all": F.col("element"), "primary": F.col("first"),
+              "secondary": F.col("element") & ~F.col("first")}
+    null_ok = F.col("diag").isNotNull()
+    tags = F.array(*[F.when(member[p] & (F.lit(True) if keep_null[p] else null_ok), F.lit(p))
+                     for p in positions])
+    return (rows.select(*BAND_COLS, "diag", "n",
+                        F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("position"))
+            .groupBy("position", *BAND_COLS, "diag")
+            .agg(F.sum(F.when(null_ok, F.col("n")).otherwise(0)).cast("long").alias("diag_count")))
 
 
 def first_admission_rows(admissions: DataFrame, beneficiaries: DataFrame,

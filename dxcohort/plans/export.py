@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dxcohort.plans.extract import EXTRACT_COLUMNS
-from dxcohort.schema import EXTRACT, EXTRACT_CSV
+from dxcohort.schema import EXTRACT, EXTRACT_CSV, with_person_type
 
 
 def _encode_arrays(df: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def _tiebreak(df: DataFrame):
     """A deterministic row hash used as the last sort key: rows that tie on
     the sort keys (one person-day with a large share of the rows) can then
     fall into different range partitions instead of one task."""
-    from dxcohort.operators.skew import _holds_map
+    from dxcohort.operators.skew import holds_map
     return F.xxhash64(*[F.col(f.name) for f in df.schema.fields
-                        if not _holds_map(f.dataType)])
+                        if not holds_map(f.dataType)])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (),
@@ -60,10 +60,12 @@ def write_extract(extract: DataFrame, path: str, sort: bool = True,
               sort_by=("bene_id", "admission_date") if sort else ())
 
 
-def read_extract(spark: SparkSession, path: str, null_value: str | None = None) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, null_value: str | None = None,
+                 person_type: T.DataType | None = None) -> DataFrame:
     """Read an extract CSV with the explicit schema (never inferred: zips keep
-    leading zeros, an all-``F`` sex column stays text)."""
-    reader = spark.read.schema(EXTRACT_CSV).option("header", True)
+    leading zeros, an all-``F`` sex column stays text). ``person_type`` is the type
+    of the person key where it is no number."""
+    reader = spark.read.schema(with_person_type(EXTRACT_CSV, person_type)).option("header", True)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     df = reader.csv(path)
@@ -117,10 +119,10 @@ def export_individual_records(admissions: DataFrame, beneficiaries: DataFrame,
     write_csv(out, path, ("age_low", "age_high"), null_value)
 
 
-def read_individual_records(spark: SparkSession, path: str,
-                            null_value: str | None = None) -> DataFrame:
+def read_individual_records(spark: SparkSession, path: str, null_value: str | None = None,
+                            person_type: T.DataType | None = None) -> DataFrame:
     """Read an output of :func:`export_individual_records` (bands as columns)."""
-    schema = T.StructType(EXTRACT_CSV.fields + [T.StructField("age_low", T.IntegerType()),
+    schema = T.StructType(with_person_type(EXTRACT_CSV, person_type).fields + [T.StructField("age_low", T.IntegerType()),
                                                 T.StructField("age_high", T.IntegerType())])
     df = read_csv(spark, path, schema, null_value)
     diag_type = EXTRACT["diagnosis"].dataType

@@ -26,10 +26,11 @@ from dxcohort.functions.expr import age_at_admission, disease_flags, has_any, po
 from dxcohort.operators.clean import blank_ambiguous_demographics
 from dxcohort.operators.cohort import Band, normalize_bands, with_bands
 from dxcohort.operators.running import running_count
-from dxcohort.operators.skew import salted_join
 from dxcohort.schema import EXTRACT, FLAG_LISTS
 from dxcohort.sources.tables import stage_table
 
+# Lists that choose the cohort and so give no flag: the current and the older one.
+COHORT_LISTS = ("icd9_all", "icd9")
 EXTRACT_COLUMNS = [f.name for f in EXTRACT.fields]
 
 
@@ -38,15 +39,25 @@ def _standard(df: DataFrame) -> dict[str, list[str]]:
     return standard_lists(df.sparkSession)
 
 
+def _flags(admissions: DataFrame, flag_lists: Mapping[str, Sequence[str]] | None,
+           flag_names: Sequence[str] | None):
+    """Lists and names of the flags: one for every list but the cohorts', the five
+    diseases first."""
+    if flag_lists is None:
+        flag_lists = _standard(admissions)
+    names = [n for n in flag_lists if n not in COHORT_LISTS]
+    return flag_lists, flag_names or sorted(
+        names, key=lambda n: FLAG_LISTS.index(n) if n in FLAG_LISTS else len(FLAG_LISTS))
+
+
 def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
                       enrollments: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
     """Step 1: listed admissions x people x enrollments of the same year.
 
     Enrollments are joined to people first (on ``bene_id``), so the large
-    admissions side is shuffled once, on ``(bene_id, year)``. Both joins are
-    salted (``dxcohort.operators.skew``): a person or person-year holding a
-    large share of the rows is spread over many tasks; hot keys are counted
-    on the key columns alone.
+    admissions side is shuffled once, on ``(bene_id, year)``. A person or
+    person-year holding a large share of the rows is split at run time
+    (``dxcohort.operators.skew``).
     """
     if codes is None:
         codes = _standard(admissions)["icd9_all"]
@@ -54,33 +65,30 @@ def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
         has_any("diagnosis", codes))
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
     enr = enrollments.select("bene_id", "year", "zip")
-    person_years = salted_join(enr, people, ["bene_id"], hot_source=enr.select("bene_id"))
-    return salted_join(adm, person_years, ["bene_id", "year"],
-                       hot_source=admissions.select("bene_id", "year"))
+    return adm.join(enr.join(people, "bene_id"), ["bene_id", "year"])
 
 
 def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
                              enrollments: DataFrame, codes: Iterable[str] | None,
                              flag_lists: Mapping[str, Sequence[str]] | None,
                              bands: Band | Sequence[Band],
-                             flag_names: Sequence[str] = FLAG_LISTS,
+                             flag_names: Sequence[str] | None = None,
                              blank_ambiguous: bool = False,
-                             stage: bool | str = True) -> DataFrame:
+                             stage: str | None = None) -> DataFrame:
     """The extract for several bands in one pass: the 23 columns plus
     ``age_low``, ``age_high`` (a row appears once per band it falls in).
 
-    ``stage`` writes the listed rows once as a Parquet table (``True``: a new
-    folder under the shared checkpoint folder; a string: that path) before
-    numbering them: both the per-day totals and the rows then read that table
-    instead of scanning and joining the admissions twice, and the lineage is
-    cut. ``False`` keeps one lazy plan. ``codes`` and ``flag_lists`` default
-    (``None``) to the standard lists (``icd9_all`` and the five diseases).
+    The plan is lazy: the per-day totals and the rows both scan and join the
+    admissions. ``stage`` names a shared folder to write the listed rows to
+    first (an action); both branches then read that table. The caller removes
+    the folder. ``codes`` and ``flag_lists`` default (``None``) to the standard
+    lists (``icd9_all`` and the five diseases); ``flag_names`` to every list
+    given but the cohorts'.
     """
-    if flag_lists is None:
-        flag_lists = _standard(admissions)
+    flag_lists, flag_names = _flags(admissions, flag_lists, flag_names)
     rows = listed_admissions(admissions, beneficiaries, enrollments, codes)
     if stage:
-        rows = stage_table(rows, "extract-rows", stage if isinstance(stage, str) else None)
+        rows = stage_table(rows, stage)
     rows = running_count(rows)
     rows = with_bands(rows.withColumn("age", age_at_admission()), normalize_bands(bands))
     out = rows.select(
@@ -94,8 +102,8 @@ def individual_extract(admissions: DataFrame, beneficiaries: DataFrame,
                        enrollments: DataFrame, age_low: int, age_high: int,
                        codes: Iterable[str] | None = None,
                        flag_lists: Mapping[str, Sequence[str]] | None = None,
-                       flag_names: Sequence[str] = FLAG_LISTS,
-                       blank_ambiguous: bool = False, stage: bool | str = True) -> DataFrame:
+                       flag_names: Sequence[str] | None = None,
+                       blank_ambiguous: bool = False, stage: str | None = None) -> DataFrame:
     """The 23-column extract for one band."""
     return individual_extract_bands(admissions, beneficiaries, enrollments, codes,
                                     flag_lists, (age_low, age_high), flag_names,
@@ -104,10 +112,9 @@ def individual_extract(admissions: DataFrame, beneficiaries: DataFrame,
 
 def admission_flags(admissions: DataFrame,
                     flag_lists: Mapping[str, Sequence[str]] | None = None,
-                    flag_names: Sequence[str] = FLAG_LISTS) -> DataFrame:
-    """The five 0/1 disease flags of every admission (key columns kept)."""
-    if flag_lists is None:
-        flag_lists = _standard(admissions)
+                    flag_names: Sequence[str] | None = None) -> DataFrame:
+    """The 0/1 disease flags of every admission (key columns kept)."""
+    flag_lists, flag_names = _flags(admissions, flag_lists, flag_names)
     keys = [c for c in ("admission_id", "bene_id", "admission_date") if c in admissions.columns]
     return admissions.select(*keys, *disease_flags(flag_lists, flag_names))
 

@@ -50,16 +50,19 @@ def _enrollment_counts(enrollments: DataFrame, year: int) -> DataFrame:
 
 def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
                 enrollments: DataFrame, year: int, age_low: int, age_high: int,
-                codes: Iterable[str] | None) -> DataFrame:
+                codes: Iterable[str] | None, listed_only: bool = False) -> DataFrame:
     """Per zip: ``_admissions`` (all) and ``_listed`` (with a listed code),
     counting admission x enrollment rows of ``year`` with age at admission in
     band.
 
     Admissions are first counted per (person, calendar year of admission) -
     the age is fixed within it - so at most a few rows per person reach the
-    joins, whatever the skew; the joins are then on ``bene_id`` alone.
+    joins, whatever the skew (``listed_only`` drops the other admissions in the
+    scan); the joins are then on ``bene_id`` alone.
     """
     adm = admissions.where(F.col("year") == int(year))
+    if listed_only:
+        adm = adm.where(has_any("diagnosis", codes))
     listed = (F.coalesce(has_any("diagnosis", codes), F.lit(False)) if codes is not None
               else F.lit(False))
     per_year = (adm.groupBy("bene_id", F.year("admission_date").alias("adm_year"))
@@ -79,8 +82,8 @@ def diag_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,
     """``diag_count, zip``: admissions carrying a listed code (zips with at
     least one)."""
     totals = _zip_totals(admissions, beneficiaries, enrollments, year, age_low, age_high,
-                         _cohort_codes(admissions, codes))
-    return totals.where(F.col("_listed") > 0).select(F.col("_listed").alias("diag_count"), "zip")
+                         _cohort_codes(admissions, codes), listed_only=True)
+    return totals.select(F.col("_listed").alias("diag_count"), "zip")
 
 
 def admission_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,

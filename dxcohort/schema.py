@@ -66,3 +66,12 @@ EXTRACT_CSV = T.StructType([
     T.StructField(f.name, T.StringType(), True) if f.name == "diagnosis" else f
     for f in EXTRACT.fields
 ])
+
+
+def with_person_type(schema: T.StructType, person_type: T.DataType | None = None) -> T.StructType:
+    """``schema`` with another type of the person key ``bene_id``, which is opaque:
+    it is only compared and sorted, and text keys serve as well as numbers."""
+    if person_type is None:
+        return schema
+    return T.StructType([T.StructField(f.name, person_type, f.nullable) if f.name == "bene_id" else f
+                         for f in schema.fields])

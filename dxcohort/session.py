@@ -50,8 +50,10 @@ def app_id(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (as in unit tests) is a scratch folder created for this run.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset and
+    the master is local (as in unit tests) is a scratch folder created for this
+    run. On a cluster an unset folder is an error: executors would write to
+    folders that the others cannot read.
     """
     try:
         sc = spark.sparkContext
@@ -62,6 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dxcohort-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None:
@@ -73,4 +78,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

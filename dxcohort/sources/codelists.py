@@ -36,12 +36,15 @@ _NESTED = f"struct<{LISTS_KEY}:map<string,array<string>>>"
 
 def read_code_lists(spark: SparkSession, path: str) -> DataFrame:
     """Read list files (double-encoded or plain nested JSON) into
-    ``(list_name, code)``; several files may match ``path``."""
+    ``(list_name, code)``; several files may match ``path``. A file of another
+    form fails the read."""
     raw = spark.read.text(path, wholetext=True)
     text = F.trim(F.col("value"))
     # A leading '[' marks the double encoding: unwrap the one string first.
     inner = F.when(text.startswith("["), F.from_json(text, "array<string>")[0]).otherwise(text)
-    parsed = raw.select(F.from_json(inner, _NESTED)[LISTS_KEY].alias("lists"))
+    lists = F.from_json(inner, _NESTED)[LISTS_KEY]
+    parsed = raw.select(F.when(lists.isNotNull(), lists).otherwise(F.raise_error(F.concat(
+        F.lit("not a code-list file: "), F.substring(text, 1, 80)))).alias("lists"))
     return (parsed.select(F.explode("lists").alias("list_name", "codes"))
             .select("list_name", F.explode("codes").alias("code"))
             .where(F.col("code").isNotNull()))
@@ -83,11 +86,16 @@ def icd9_codes(spark: SparkSession) -> DataFrame:
 
 def code_list(code_lists: DataFrame, name: str,
               max_codes: int = MAX_LIST_CODES) -> list[str]:
-    """The codes of one named list as a sorted Python list (size-checked)."""
+    """The codes of one named list as a sorted Python list (size-checked).
+
+    A name without codes in the table is an error, as a lookup of it would be.
+    """
     rows = (code_lists.where(F.col("list_name") == name).select("code").distinct()
             .limit(max_codes + 1).collect())
     if len(rows) > max_codes:
         raise ValueError(f"list {name!r} holds more than {max_codes} codes")
+    if not rows:
+        raise KeyError(f"no code list named {name!r}")
     return sorted(r.code for r in rows)
 
 
@@ -95,7 +103,8 @@ def code_list_dict(code_lists: DataFrame, names: Sequence[str] | None = None,
                    max_codes: int = MAX_LIST_CODES) -> dict[str, list[str]]:
     """Several named lists at once (one small job), size-checked per list.
 
-    At most ``max_codes`` codes per list and ``MAX_LISTS`` lists are read.
+    At most ``max_codes`` codes per list and ``MAX_LISTS`` lists are read; one of
+    ``names`` that the table lacks is an error.
     """
     df = code_lists.select("list_name", "code").distinct()
     if names is not None:
@@ -110,6 +119,8 @@ def code_list_dict(code_lists: DataFrame, names: Sequence[str] | None = None,
     for n, codes in out.items():
         if len(codes) > max_codes:
             raise ValueError(f"list {n!r} holds more than {max_codes} codes")
+        if not codes:
+            raise KeyError(f"no code list named {n!r}")
         codes.sort()
     return out
 

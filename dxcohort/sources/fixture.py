@@ -74,7 +74,7 @@ def _code(p: Column, s: Column) -> Column:
 
 def admissions_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     # collect_list drops NULL elements, so collect structs (never NULL) and
-    # project the code out after sorting by line number. An order holds 1 to 7
+    # project the code out after sorting by line number. An order of the test tables holds 1 to 13
     # line items by the generator's design, so each collected array is bounded.
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey",
                     _code(F.col("l_partkey"), F.col("l_suppkey")).alias("code"))

@@ -5,22 +5,25 @@ Physical layout for scale (``write_claims``):
 * ``admissions`` and ``enrollments`` partitioned by ``year``: the zip queries
   read one year, so the other years are pruned at planning time;
 * optionally all three tables bucketed by ``bene_id`` into the same number of
-  buckets (``buckets=N``, saved as tables): the person join, the enrollment
-  join, the first-admission reduction and the running admission number all key
-  on ``bene_id`` and then run without a shuffle.
+  buckets (``buckets=N``, saved as tables): joins and reductions on ``bene_id``
+  alone then run without a shuffle (those on person and year, or person and
+  day, still shuffle).
+
+Before writing, rows are dealt out by year and a range of ``bene_id`` (bucketed
+tables: by bucket), so that a year or bucket is written by few tasks.
 
 Readers never infer a schema.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dxcohort.schema import ADMISSIONS, BENEFICIARIES, ENROLLMENTS
-from dxcohort.session import scratch_path
+from dxcohort.schema import ADMISSIONS, BENEFICIARIES, ENROLLMENTS, with_person_type
 from dxcohort.sources.fixture import Claims
 
 NAMES = ("admissions", "beneficiaries", "enrollments")
@@ -29,12 +32,16 @@ SCHEMAS = {"admissions": ADMISSIONS, "beneficiaries": BENEFICIARIES,
 PARTITION_BY = {"admissions": ("year",), "enrollments": ("year",), "beneficiaries": ()}
 
 
+def table_schema(name: str, person_type: T.DataType | None = None) -> T.StructType:
+    """A table's schema; ``person_type`` is the type of its person key."""
+    return with_person_type(SCHEMAS[name], person_type)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Project and cast a table to its schema (column order and types)."""
-    from pyspark.sql import functions as F
-    schema = SCHEMAS[name]
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields
-            if f.name in df.columns]
+    """Project and cast a table to its schema (column order and types). The person
+    key is opaque and keeps the type it has."""
+    cols = [F.col(f.name) if f.name == "bene_id" else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in SCHEMAS[name].fields if f.name in df.columns]
     return df.select(*cols)
 
 
@@ -49,8 +56,15 @@ def write_claims(claims: Claims, root: str, mode: str = "overwrite",
         # Within each task, rows sorted by partition column then person: one
         # open file at a time per task, and tight bene_id min/max statistics
         # in every row group (no shuffle; the sort is local to the task).
-        df = conform(df, name).sortWithinPartitions(*PARTITION_BY[name], "bene_id")
-        path = os.path.join(root, name)
+        df = conform(df, name)
+        if buckets:
+            df = df.repartition(int(buckets), "bene_id")
+        else:
+            # ties of a person are split by a row hash: no person fills a task
+            df = df.repartitionByRange(*PARTITION_BY[name], "bene_id",
+                                       F.xxhash64(*df.columns))
+        df = df.sortWithinPartitions(*PARTITION_BY[name], "bene_id")
+        path = f"{root.rstrip('/')}/{name}"
         writer = df.write.mode(mode)
         if PARTITION_BY[name]:
             writer = writer.partitionBy(*PARTITION_BY[name])
@@ -61,9 +75,10 @@ def write_claims(claims: Claims, root: str, mode: str = "overwrite",
             writer.parquet(path)
 
 
-def read_claims(spark: SparkSession, root: str) -> Claims:
+def read_claims(spark: SparkSession, root: str,
+                person_type: T.DataType | None = None) -> Claims:
     """Read tables written by :func:`write_claims` (path layout)."""
-    return Claims(*[spark.read.schema(SCHEMAS[n]).parquet(os.path.join(root, n))
+    return Claims(*[spark.read.schema(table_schema(n, person_type)).parquet(f"{root.rstrip('/')}/{n}")
                     .select(*[f.name for f in SCHEMAS[n].fields]) for n in NAMES])
 
 
@@ -73,24 +88,22 @@ def read_claims_tables(spark: SparkSession, table_prefix: str = "") -> Claims:
                     .select(*[f.name for f in SCHEMAS[n].fields]) for n in NAMES])
 
 
-def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
+               person_type: T.DataType | None = None) -> DataFrame:
     """One claims table from Parquet, ORC or JSON with its explicit schema."""
-    return spark.read.schema(SCHEMAS[name]).format(fmt).load(path)
+    return spark.read.schema(table_schema(name, person_type)).format(fmt).load(path)
 
 
-def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet and return a DataFrame reading it back.
+def stage_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once as Parquet to ``path`` (shared storage) and return a
+    DataFrame reading it back.
 
     Used where one intermediate result feeds two branches of a plan: it is
-    computed once, later stages read columnar files from the shared folder,
-    and a lost executor costs a re-read rather than a recomputation from the
-    source tables. ``path`` defaults to a new folder under the shared
-    checkpoint folder (``spark.checkpoint.dir``).
+    computed once, and a lost executor costs a re-read. The caller owns the
+    folder.
     """
-    spark = df.sparkSession
-    target = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def jdbc_ranges(lower: int, upper: int, parts: int) -> list[tuple[int, int]]:
@@ -103,37 +116,43 @@ def jdbc_ranges(lower: int, upper: int, parts: int) -> list[tuple[int, int]]:
 
 
 def read_claims_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
-                     schema_name: str = "medicaid", key_bounds: tuple[int, int] | None = None,
-                     partitions: int = 64, years: Sequence[int] | None = None) -> Claims:
+                     schema_name: str, key_bounds: tuple[int, int],
+                     partitions: int = 64, years: Sequence[int] = ()) -> Claims:
     """Read the claims tables from a relational warehouse through Spark's JDBC
     source, in parallel: each table is split into ``partitions`` ranges of
-    ``bene_id`` (``key_bounds`` = its min and max) and, for the tables with a
+    ``bene_id`` (``key_bounds`` = about its min and max) and, for the tables with a
     ``year`` column, also by each of ``years`` - so a person with a large
     share of the admissions is read by as many tasks as they have years, and
-    no single connection carries a table. Columns are cast to the explicit
-    schemas; a ``text[]`` diagnosis column arrives as an array.
+    no single connection carries a table. The arguments only split the read:
+    every row is read once, whatever its id and year, nulls included. Columns are
+    cast to the explicit schemas; a ``text[]`` diagnosis column arrives as an array.
 
     Needs the database's JDBC driver on the classpath. The tests do not
     exercise it, since no database is started here.
     """
     claims = []
     for name in NAMES:
-        table = f"{schema_name}.{name}" if schema_name else name
-        if key_bounds is None and not years:
-            df = spark.read.jdbc(url, table, properties=properties)
-        else:
-            predicates = jdbc_predicates(key_bounds, partitions,
-                                         years if "year" in PARTITION_BY[name] else None)
-            df = spark.read.jdbc(url, table, predicates=predicates, properties=properties)
+        predicates = jdbc_predicates(key_bounds, partitions,
+                                     years if "year" in PARTITION_BY[name] else ())
+        df = spark.read.jdbc(url, f"{schema_name}.{name}" if schema_name else name,
+                             predicates=predicates, properties=properties)
         claims.append(conform(df, name))
     return Claims(*claims)
 
 
-def jdbc_predicates(key_bounds: tuple[int, int] | None, partitions: int,
-                    years: Sequence[int] | None) -> list[str]:
-    """One WHERE clause per read task: ``bene_id`` ranges, times years."""
-    ranges = ([f"bene_id >= {lo} AND bene_id < {hi}"
-               for lo, hi in jdbc_ranges(*key_bounds, partitions)] if key_bounds else ["1 = 1"])
+def jdbc_predicates(key_bounds: tuple[int, int], partitions: int,
+                    years: Sequence[int] = ()) -> list[str]:
+    """One WHERE clause per read task, which together hold every row once:
+    ``bene_id`` ranges (the first and the last open, NULL with the first), times
+    each of ``years`` and any other year."""
+    ranges = jdbc_ranges(*key_bounds, partitions)
+    inner = [hi for _, hi in ranges[:-1]]
+    keys = [" AND ".join([f"bene_id >= {lo}"] * (lo is not None) + [f"bene_id < {hi}"] * (hi is not None))
+            for lo, hi in zip([None, *inner], [*inner, None])]
+    keys[0] = f"({keys[0]} OR bene_id IS NULL)" if keys[0] else "1 = 1"
     if not years:
-        return ranges
-    return [f"{r} AND year = {int(y)}" for r in ranges for y in years]
+        return keys
+    listed = ", ".join(str(int(y)) for y in sorted(set(years)))
+    when = [f"year = {int(y)}" for y in sorted(set(years))] \
+        + [f"(year NOT IN ({listed}) OR year IS NULL)"]
+    return [f"{k} AND {w}" for k in keys for w in when]

@@ -24,8 +24,7 @@ def summarise(text: str) -> dict[str, object]:
         "partition filter": "yes" if re.search(r"PartitionFilters: \[[^\]]*= ", text) else "",
         "python": "yes" if re.search(r"(BatchEval|ArrowEval)Python|InPandas", text) else "no",
         "top-k": "yes" if "TakeOrderedAndProject" in text else "",
-        "salted": "yes" if "_salt" in text else "",
-    }
+            }
 
 
 def main() -> None:

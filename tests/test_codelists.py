@@ -84,6 +84,19 @@ def test_code_list_size_bound(spark):
         code_list(df, "a", max_codes=3)
 
 
+def test_unknown_names_and_malformed_files_fail(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1")], "list_name string, code string")
+    with pytest.raises(KeyError):
+        code_list(df, "b")
+    with pytest.raises(KeyError):
+        code_list_dict(df, ["a", "b"])
+    for i, text in enumerate(["{}", "not json", "[1]", '["{}"]']):
+        path = tmp_path / f"bad{i}.json"
+        path.write_text(text)
+        with pytest.raises(Exception, match="not a code-list file"):
+            read_code_lists(spark, str(path)).collect()
+
+
 def test_code_table_round_trip(spark):
     lists = build_code_lists(spark, icd9_codes(spark), STANDARD_RULES)
     path = scratch_path(spark, "lists")

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from conftest import rows
 from dxcohort.plans import export
 from dxcohort.plans import extract as X
@@ -113,9 +115,31 @@ def test_jdbc_ranges_cover_the_key_space():
         assert len(ranges) <= max(1, parts)
 
 
-def test_jdbc_predicates_split_by_key_and_year():
+def test_jdbc_predicates_hold_every_row_once():
+    import sqlite3
     from dxcohort.sources.tables import jdbc_predicates
-    p = jdbc_predicates((1, 100), 4, [1999, 2000])
-    assert len(p) == 8 and p[0] == "bene_id >= 1 AND bene_id < 26 AND year = 1999"
-    assert jdbc_predicates(None, 4, [2000]) == ["1 = 1 AND year = 2000"]
-    assert len(jdbc_predicates((1, 100), 4, None)) == 4
+    ids = [None, -5, 0, 1, 5, 6, 10, 11, 10**9]
+    years = [None, 1990, 1999, 2000, 2050]
+    con = sqlite3.connect(":memory:")                      # in this process only
+    con.execute("CREATE TABLE t (bene_id, year)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, y) for i in ids for y in years])
+    for predicates in (jdbc_predicates((1, 10), 2, [1999, 2000]), jdbc_predicates((1, 10), 4),
+                       jdbc_predicates((1, 10), 1), jdbc_predicates((5, 5), 3, [2000])):
+        got = [r for p in predicates for r in con.execute(f"SELECT rowid FROM t WHERE {p}")]
+        assert len(got) == len(set(got)) == len(ids) * len(years)
+
+
+def test_partitioned_write_makes_few_files(spark, small_claims, tmp_path):
+    from dxcohort.sources.tables import write_claims
+    write_claims(small_claims, str(tmp_path))
+    for year in (tmp_path / "admissions").glob("year=*"):
+        assert len(list(year.glob("part-*"))) <= 4
+
+
+def test_no_scratch_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+    from dxcohort.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from dxcohort.operators.clean import AMBIGUOUS_RACE_PATTERN, AMBIGUOUS_SEX
 from dxcohort.functions import (
     age_at_admission,
     age_in_year,
@@ -104,8 +105,8 @@ def test_share_is_a_fraction(spark):
 def test_blanking(spark):
     df = spark.createDataFrame(
         [("M,U", "10"), ("F", "1"), (None, None), ("F,M,U", "1,2"), ("U", "0")], "sex string, race string")
-    out = df.select(blank_if_in("sex", ["M,U", "F,U", "F,M", "F,M,U"]).alias("sex"),
-                    blank_if_matches("race", ",|0").alias("race")).collect()
+    out = df.select(blank_if_in("sex", AMBIGUOUS_SEX).alias("sex"),
+                    blank_if_matches("race", AMBIGUOUS_RACE_PATTERN).alias("race")).collect()
     assert [tuple(r) for r in out] == [(None, None), ("F", "1"), (None, None), (None, None), ("U", None)]
 
 

@@ -11,7 +11,7 @@ from dxcohort.operators.running import running_count
 from dxcohort.plans import counts as C
 from dxcohort.plans import extract as X
 from dxcohort.plans import rates as R
-from dxcohort.schema import EXTRACT
+from dxcohort.schema import EXTRACT, FLAG_LISTS
 
 
 def _extract(claims, lists, low=0, high=18, **kw):
@@ -61,8 +61,39 @@ def test_extract_flags_and_positions(claims, lists):
     assert r[6].adole_reaction == 1
 
 
-def test_extract_lazy_and_staged_agree(claims, lists):
-    assert rows(_extract(claims, lists, stage=False)) == rows(_extract(claims, lists, stage=True))
+def test_extract_lazy_and_staged_agree(claims, lists, tmp_path):
+    staged = _extract(claims, lists, stage=str(tmp_path / "rows"))
+    assert rows(_extract(claims, lists)) == rows(staged)
+
+
+def test_a_band_given_twice_counts_once(claims):
+    a, b, _ = claims
+    once = C.code_counts(a, b, [(0, 18)], "all")
+    assert rows(C.code_counts(a, b, [(0, 18), (0, 18)], "all"), *once.columns) == rows(once)
+
+
+def test_a_flag_for_every_given_list(claims, lists):
+    given = {"icd9_all": lists["icd9_all"], "one": ["311"], "two": ["2962"]}
+    got = X.admission_flags(claims.admissions, given)
+    assert got.columns[-2:] == ["one", "two"]
+    assert X.admission_flags(claims.admissions).columns[-5:] == list(FLAG_LISTS)
+
+
+def test_text_person_keys_survive_files(spark, claims, lists, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from dxcohort.plans import export
+    from dxcohort.sources.fixture import Claims
+    from dxcohort.sources.tables import read_claims, write_claims
+    text = Claims(*[t.withColumn("bene_id", F.concat(F.lit("AB"), "bene_id")) for t in claims])
+    write_claims(text, str(tmp_path / "claims"))
+    back = read_claims(spark, str(tmp_path / "claims"), T.StringType())
+    assert [rows(x) for x in back] == [rows(x.select(y.columns)) for x, y in zip(text, back)]
+    df = X.individual_extract(*back, 0, 18, lists["icd9_all"], lists, FLAG_LISTS)
+    export.write_extract(df, str(tmp_path / "csv"))
+    got = export.read_extract(spark, str(tmp_path / "csv"), person_type=T.StringType())
+    assert rows(got) == rows(df) and {r.bene_id[:2] for r in got.collect()} == {"AB"}
 
 
 def test_blank_ambiguous_demographics_in_extract(claims, lists):

@@ -1,116 +1,114 @@
-"""Skewed keys: salting must return exactly the rows of a plain join, and
-every query must give the same answer when one person is very hot."""
+"""One person with most of the rows: the joins are split at run time, and every
+query gives the rows of the plain computation."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
-from dxcohort.operators import skew
-from dxcohort.operators.skew import hot_keys, salted_join
+from dxcohort.operators.cohort import enrolled_people, with_enrollment, with_person
+from dxcohort.operators.running import running_count
+from dxcohort.plans import catalog
 from dxcohort.plans import counts as C
 from dxcohort.plans import extract as X
-from dxcohort.plans import rates as R
 
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
 
-@pytest.fixture
-def low_threshold(monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEY_ROWS", 3)
-    monkeypatch.setattr(skew, "MAX_SALTS", 4)
-
-
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("k"))
-    hot = hot_keys(df, ["k"], min_rows=100, max_keys=2, max_salts=8).collect()
-    assert len(hot) == 2 and all(r._salts == 4 for r in hot)
 
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_plain_join(spark, how):
-    big = spark.range(2000).select(
-        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("k"),
-        F.col("id").alias("v"))
-    small = spark.createDataFrame([(k, f"s{k}", j) for k in range(0, 60, 2) for j in range(2)],
-                                  "k long, s string, j int")
-    plain = big.join(small, "k", how)
-    salted = salted_join(big, small, ["k"], how, min_rows=20, max_keys=3, max_salts=16)
-    assert rows(salted, "k", "v", "s", "j") == rows(plain, "k", "v", "s", "j")
+@pytest.fixture
+def splitting(spark):
+    """Thresholds at which the test tables count as skewed."""
+    old = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_cap_on_hot_keys_keeps_all_rows(spark):
-    big = spark.range(3000).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
-    small = spark.createDataFrame([(k, k * 10) for k in range(10)], "k long, s long")
-    # ten keys are hot but only two are salted: the rest join unsalted
-    salted = salted_join(big, small, ["k"], min_rows=10, max_keys=2, max_salts=8)
-    assert salted.count() == 3000
-    assert rows(salted, "k", "v", "s") == rows(big.join(small, "k"), "k", "v", "s")
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def _hot(claims):
     a, b, e = claims
     # person 1 takes over two thirds of all admissions (and keeps their enrollments)
     hot = a.withColumn("bene_id", F.when(F.col("admission_id") % 3 != 0, F.lit(1))
-                       .otherwise(F.col("bene_id")))
+                       .otherwise(F.col("bene_id"))).repartition(24)
     return hot, b, e
 
 
-def test_queries_identical_with_salting(spark, small_claims, lists, low_threshold):
-    a, b, e = _hot(small_claims)
-    codes = lists["icd9_all"]
-    salted = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
-              rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
-              rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)),
-              rows(C.code_counts(a, b, [(0, 18), (0, 12), (13, 18)], "all")))
-    skew.HOT_KEY_ROWS = 10 ** 12                       # nothing is hot
-    plain = (rows(X.individual_extract(a, b, e, 0, 18, codes, lists)),
-             rows(R.diag_share_of_admissions(a, b, e, 1998, 0, 18, codes)),
-             rows(C.first_admission_counts_in_band(a, b, 0, 18, "secondary", None, None)),
-             rows(C.code_counts(a, b, [(0, 18), (0, 12), (13, 18)], "all")))
-    assert salted == plain
-    assert len(salted[0]) > 100
-
-
-def test_salting_shows_in_plan(spark, small_claims, lists, low_threshold):
-    a, b, e = _hot(small_claims)
-    for df in (X.individual_extract(a, b, e, 0, 18, lists["icd9_all"], lists, stage=False),
-               C.code_counts(a, b, (0, 18), "all")):
-        text = df._jdf.queryExecution().executedPlan().toString()
-        assert "_salt" in text and "xxhash64" in text
+def test_a_hot_person_is_split_with_the_same_rows(spark, small_claims, splitting):
+    a, b, _ = _hot(small_claims)
+    df = with_person(a, b)
+    assert "skew=true" in final_plan(df)
+    assert rows(df) == rows(a.hint("broadcast").join(b, "bene_id").select(df.columns))
+
+
+def test_equal_rows_of_one_key_are_split(spark, splitting):
+    big = spark.range(0, 20000, 1, 24).select(F.lit(7).alias("bene_id"), F.lit("x").alias("v"))
+    other = spark.range(200).select(F.col("id").alias("bene_id"), F.lit("y").alias("v"))
+    people = spark.range(100).select(F.col("id").alias("bene_id"), F.lit("M").alias("sex"))
+    df = with_person(big.unionByName(other), people)
+    assert "skew=true" in final_plan(df)
+    assert df.count() == 20000 + 100
 
 
-def test_small_tables_skip_detection(spark, small_claims):
-    a, b, _ = small_claims
-    text = C.code_counts(a, b, (0, 18), "all")._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" not in text
+def test_code_counts_split_their_join(spark, small_claims, splitting):
+    a, b, _ = _hot(small_claims)
+    df = C.code_counts(a, b, [(0, 18), (0, 12), (13, 18)], "all")
+    assert "skew=true" in final_plan(df)
 
 
-def test_cohort_joins_equal_plain_joins(spark, small_claims, low_threshold):
-    from dxcohort.operators.cohort import enrolled_people, with_enrollment, with_person
+def test_cohort_joins_equal_plain_joins(spark, small_claims, splitting):
     a, b, e = _hot(small_claims)
-    assert rows(with_person(a, b)) == rows(a.join(b, "bene_id"))
     assert rows(with_enrollment(a, e, 1998)) == rows(
         a.where("year = 1998").join(e.where("year = 1998"), ["bene_id", "year"]))
     assert rows(enrolled_people(e, b, 1998)) == rows(e.where("year = 1998").join(b, "bene_id"))
 
 
-def test_salted_join_with_map_column(spark):
-    big = spark.range(400).select((F.col("id") % 2).alias("k"),
-                                  F.create_map(F.lit("a"), F.col("id")).alias("m"))
-    small = spark.createDataFrame([(0, "x"), (1, "y")], "k long, s string")
-    got = salted_join(big, small, ["k"], min_rows=50, max_salts=4)
-    assert got.count() == 400
-    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
-
-
-def test_running_count_paths_agree(spark, small_claims, lists, monkeypatch):
-    from pyspark.sql import Window
-    from dxcohort.operators.running import running_count
-    a, b, e = _hot(small_claims)
-    q = X.listed_admissions(a, b, e, lists["icd9_all"])
+def test_running_count_equals_the_window(spark, small_claims, lists):
+    q = X.listed_admissions(*_hot(small_claims), lists["icd9_all"])
     w = Window.partitionBy("bene_id").orderBy("admission_date")
-    expect = rows(q.withColumn("n_th_admission", F.count(F.lit(1)).over(w)))
-    cols = q.columns + ["n_th_admission"]
-    assert rows(running_count(q), *cols) == expect                 # plain window (small)
-    monkeypatch.setattr(skew, "HOT_KEY_ROWS", 50)                  # pre-aggregated + salted
-    salted = running_count(q)
-    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
-    assert rows(salted, *cols) == expect
+    want = q.withColumn("n_th_admission", F.count(F.lit(1)).over(w))
+    assert rows(running_count(q), *want.columns) == rows(want)
+
+
+def test_running_count_keeps_rows_without_key_or_day(spark):
+    df = spark.createDataFrame([(1, "2000-01-01"), (None, "2000-01-01"), (None, None), (1, None),
+                                (None, "2000-01-01")], "k long, d string").withColumn(
+        "d", F.col("d").cast("date"))
+    got = rows(running_count(df, "k", "d", "n").withColumn("d", F.col("d").cast("string")))
+    assert got == sorted([(1, "2000-01-01", 1), (1, None, 2), (None, "2000-01-01", 2),
+                          (None, "2000-01-01", 2), (None, None, 3)], key=repr)
+
+
+def test_running_number_scans_each_claims_table_twice_at_most(spark, small_claims, tmp_path, lists):
+    from dxcohort.sources.tables import read_claims, write_claims
+    root = str(tmp_path / "claims")
+    write_claims(small_claims, root)
+    c = read_claims(spark, root)
+    text = catalog.builders()["running_admission_number"](spark, c)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert 3 <= text.count("FileScan parquet") <= 6      # three tables, for the rows and the totals
+
+
+def test_building_a_query_starts_no_job(spark, small_claims, lists):
+    """Reads of code lists, which are small and checked, aside."""
+    tracker = spark.sparkContext.statusTracker()
+    reads_a_list = {"listed_admissions_by_table", "code_counts_290_319_secondary_by_table"}
+    for name, build in catalog.builders().items():
+        if name in catalog.FILE_QUERIES | reads_a_list:
+            continue
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        build(spark, small_claims)
+        assert not tracker.getJobIdsForGroup(f"build-{name}"), name
+    spark.sparkContext.setJobGroup("rest", "rest")
