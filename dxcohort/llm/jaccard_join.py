@@ -15,12 +15,13 @@ are first reduced to one representative, their smallest id.
   below it against inverted-list entries scanned above it.
 
 The order of shingles may be any, for right results; frequent shingles are put
-last as far as a sample of ``SAMPLE`` documents shows them. Lists are scanned
-without emitting all pairs: every member is first held against the smallest
-member of its list (and size class); what then lies in one component needs no further
-pairs, and only members of different components are paired. Candidates pass an exact
-bound on their bitmaps (about one bit for each shingle) and are verified on the whole
-texts; no link between different components is left out.
+last as far as a sample shows them. Lists are scanned without emitting all
+pairs: every member is first held against one leader of its list and size class,
+the member that meets others under the most keys (in a group of near copies the
+text that the others come from); what then lies in one component needs no further
+pairs, and only members of different components are paired. Candidates pass two exact
+bounds, on the places of a shared shingle and on bitmaps (about four bits for each
+shingle), and are verified on the whole texts; no link between different components is left out.
 
 Defined results: null and empty texts have no shingles and link with nothing, not
 even each other; a text of one to three words is one shingle; rows with the same
@@ -37,17 +38,17 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, text_of, written
 
 WIDTH = 4
 PERCENT = 85
-#: Documents that the order of shingles and the cost boundary are learnt from.
-SAMPLE = 2_000
-#: Frequent shingles that are known as such: at most so many, by their count.
-FREQUENT = 50_000
+#: One document in so many teaches the order of shingles and the cost boundary.
+SAMPLE = 16
+#: Frequent shingles that are known as such: at most so many (4 MB), by their count.
+FREQUENT = 500_000
 MAX_LIGHT = 20
 #: Identifiers whose texts are fetched by a broadcast join (8 MB); more by a shuffle.
 BROADCAST_IDS = 500_000
@@ -97,13 +98,12 @@ def subsets(n: int, boundary: int, percent: int = PERCENT) -> int:
     return sum(comb(n, c) for c in subset_sizes(n, boundary, percent))
 
 
-def choose_boundary(sizes: list[int], list_length: float, percent: int = PERCENT) -> int:
-    """The largest light size, by cost over a sample of set sizes."""
-    count = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=MAX_LIGHT + 1)[:MAX_LIGHT + 1]
+def choose_boundary(count: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
+    """The largest light size with the least cost, for the numbers of sets by size."""
     best, least = 0, None
     for boundary in range(MAX_LIGHT + 1):
-        cost = sum(count[n] * subsets(n, boundary, percent) for n in range(1, boundary + 1))
-        cost += sum(count[n] * prefix_size(n, percent) * list_length
+        cost = sum(count.get(n, 0) * subsets(n, boundary, percent) for n in range(1, boundary + 1))
+        cost += sum(count.get(n, 0) * prefix_size(n, percent) * list_length
                     for n in range(max(1, least_share(boundary + 1, percent)), MAX_LIGHT + 1))
         if least is None or cost < least:
             best, least = boundary, cost
@@ -111,8 +111,9 @@ def choose_boundary(sizes: list[int], list_length: float, percent: int = PERCENT
 
 
 def signatures(found: np.ndarray, boundary: int, frequent: np.ndarray,
-               percent: int = PERCENT) -> np.ndarray:
-    """Keys under which linked sets meet: subset hashes, and list keys."""
+               percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """Keys under which linked sets meet: subset hashes, then list keys in the order of
+    all shingles; and the number of the former."""
     n, out = len(found), []
     if n <= boundary:
         for c in subset_sizes(n, boundary, percent):
@@ -127,39 +128,35 @@ def signatures(found: np.ndarray, boundary: int, frequent: np.ndarray,
             known = frequent[at] == found
             found = np.concatenate([found[~known], found[known]])
         keys = np.concatenate([keys, found[:size]])
-    return keys
+    return keys, len(out)
 
 
 def _learn(docs: DataFrame, percent: int) -> tuple[int, np.ndarray]:
-    """Boundary and frequent shingles, from a bounded sample of documents."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    texts = docs.select("doc_id", text_of().alias("_text")).join(
-        F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    """Boundary and frequent shingles, from one document in ``SAMPLE``."""
+    texts = docs.where("doc_id is not null").where(
+        F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(text_of().alias("_text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["_text"]:
-                s = shingles(text)
-                yield pd.DataFrame({"n": [len(s)], "s": [s.tobytes()]})
-
-    rows = texts.mapInPandas(sets, "n int, s binary")
-    counted = written(rows, "sample")
-    exploded = counted.mapInPandas(
-        lambda batches: (pd.DataFrame({"k": np.frombuffer(s, dtype=np.int64)})
-                         for batch in batches for s in batch["s"]), "k long")
-    often = exploded.groupBy("k").count().where("count >= 3") \
-        .orderBy(F.col("count").desc(), "k").limit(FREQUENT)
-    keys = [r[0] for r in often.select("k").collect()]
-    frequent = np.sort(np.asarray(keys, dtype=np.int64).view(np.uint64))
-    sizes = [r[0] for r in counted.select("n").collect()]
-    mean = exploded.groupBy("k").count().agg(
-        F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
-    return choose_boundary(sizes, float(mean or 1.0), percent), frequent
+            found = [shingles(text) for text in batch["_text"]]
+            yield pd.DataFrame({"n": [len(s) for s in found], "keys": [s.view(np.int64) for s in found]})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"b": [batch["key"].to_numpy(dtype=np.int64).tobytes()]})
+
+    sample = written(texts.mapInPandas(sets, "n int, keys array<long>"), "sample")
+    counts = sample.select(F.explode("keys").alias("key")).groupBy("key").count()
+    often = counts.where("count >= 3").orderBy(F.col("count").desc(), "key").limit(FREQUENT)
+    raw = b"".join(r[0] for r in often.select("key").mapInPandas(packed, "b binary").collect())
+    sizes = {r[0]: r[1] for r in sample.groupBy(F.least("n", F.lit(MAX_LIGHT + 1))).count().collect()}
+    mean = counts.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
+    return choose_boundary(sizes, float(mean or 1.0), percent), np.sort(np.frombuffer(raw, np.uint64))
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """One bit for each shingle, in the power of two of bits that holds the set."""
-    bits = max(64, 1 << max(0, len(found) - 1).bit_length())
+    """One bit for each shingle, of about four times as many (a power of two)."""
+    bits = max(64, 1 << (2 + max(0, len(found) - 1).bit_length()))
     out = np.zeros(bits, dtype=np.uint8)
     out[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -225,18 +222,21 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, digest, keys, bits = [], [], [], []
+            n, digest, keys, bits, light = [], [], [], [], []
             for text in batch["_text"]:
                 found = shingles(text)
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()))
-                keys.append(signatures(found, boundary, shared.value, percent).view(np.int64))
+                signature, subset_keys = signatures(found, boundary, shared.value, percent)
+                keys.append(signature.view(np.int64))
+                light.append(subset_keys)
                 bits.append(bitmap(found))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n,
-                                "digest": digest, "keys": keys, "bits": bits})
+                                "digest": digest, "keys": keys, "light": light, "bits": bits})
 
     sets = written(docs.select("doc_id", text_of().alias("_text")).mapInPandas(
-        describe, "doc_id long, n long, digest binary, keys array<long>, bits binary"), "sets")
+        describe, "doc_id long, n long, digest binary, keys array<long>, light int, bits binary"),
+        "sets")
     known = sets.where("doc_id is not null and n > 0")
     # one representative of each set; copies are links to it
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -245,19 +245,24 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = members.where("doc_id <> rep")
     reps = known.join(copies.select("doc_id").distinct(), "doc_id", "left_anti") \
         .withColumnRenamed("doc_id", "rep")
-    entries = reps.select("rep", "n", F.explode_outer("keys").alias("key"))
+    # place: of the key in the set's order; negative for subset hashes
+    entries = reps.select("rep", "n", "light", F.posexplode_outer("keys").alias("_p", "key")) \
+        .select("rep", "n", (F.col("_p") - F.col("light")).alias("place"), "key")
     lists = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")) \
         .where("lo <> hi").select("key")
     met = written(entries.join(lists, "key"), "lists")
     maps = reps.select("rep", "n", "bits")
 
-    # first: every member against the smallest member of its list and size class
+    # first: every member against the leader of its list and size class
     size = F.floor(F.log("n") / float(np.log(100 / percent)))
-    classed = met.withColumn("size", size)
-    leaders = classed.groupBy("key", "size").agg(F.min(F.struct("rep", "n")).alias("_l"))
+    share = met.groupBy("rep").agg(F.count("*").alias("met"))
+    classed = met.join(share, "rep").withColumn("size", size)
+    leaders = classed.groupBy("key", "size").agg(
+        F.max(F.struct("met", (-F.col("rep")).alias("_o"), "rep", "n", "place")).alias("_l"))
     stars = (classed.join(leaders, ["key", "size"]).where("rep <> _l.rep")
-             .where(_sizes_fit(F.col("n"), F.col("_l.n"), percent))
-             .select(F.col("_l.rep").alias("a"), F.col("rep").alias("b")).distinct())
+             .where(_may_link("n", "place", "_l.n", "_l.place", percent))
+             .select(F.least("rep", "_l.rep").alias("a"), F.greatest("rep", "_l.rep").alias("b"))
+             .distinct())
     stars = written(_promising(stars, maps, percent), "stars")
     linked = _verify(stars, docs, percent)
     same_set = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -265,14 +270,14 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # then: members of lists that still hold several components
     parted = met.join(first, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+        "key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
     open_lists = parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo <> hi").select("key")
     rest = written(parted.join(open_lists, "key"), "open")
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"),
-                        F.col("root").alias("rb"))
+                        F.col("place").alias("pb"), F.col("root").alias("rb"))
     pairs = (rest.join(other, "key").where("rep < b and root <> rb")
-             .where(_sizes_fit(F.col("n"), F.col("nb"), percent))
+             .where(_may_link("n", "place", "nb", "pb", percent))
              .select(F.col("rep").alias("a"), "b").distinct())
     more = written(_promising(pairs, maps, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     last = first
@@ -284,8 +289,17 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _sizes_fit(n, m, percent: int):
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+def _may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Whether two sets that share the key at places p and q may link.
+
+    If it is their first common shingle, all common ones stand from there on in both;
+    so a pair that can link passes by its first common shingle, and a later one
+    drops none that passes there. A shared subset always passes.
+    """
+    n, p, m, q = (F.col(c) for c in (n, p, m, q))
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    rest = F.least(n - p, m - q) * (100 + percent) >= (n + m) * percent
+    return sizes & ((p < 0) | rest)
 
 
 def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
