@@ -126,9 +126,28 @@ def logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def trust(view: View, columns: np.ndarray, y: np.ndarray) -> float:
+    """How far a view's labels deserve to be taken: the square of its balanced accuracy
+    over chance, each half of the labelled rows judged by a fit on the other."""
+    kept, right = view.weights, np.zeros(len(y), dtype=bool)
+    half = np.arange(len(y)) % 2 == 0
+    for own in (half, ~half):
+        if len(set(y[own])) < 2:
+            return 0.0
+        view.fit(columns[own], y[own])
+        right[~own] = (view.logit(columns[~own]) > 0) == (y[~own] == 1)
+    view.weights = kept
+    balanced = (right[y == 1].mean() + right[y == 0].mean()) / 2
+    return max(0.0, 2 * balanced - 1) ** 2
+
+
 def co_train(views: list[View], labelled: list[np.ndarray], y: np.ndarray,
              pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> None:
-    """Fit two views; ``labelled`` and ``pool`` hold each view's columns of the same rows."""
+    """Fit two views; ``labelled`` and ``pool`` hold each view's columns of the same rows.
+
+    A view that does little better than chance on labelled rows hands over little.
+    """
+    shares = [share * trust(view, own, y) for view, own in zip(views, labelled)]
     given: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0)) for _ in views]
     free = np.ones(len(pool[0]), dtype=bool)
     for turn in range(rounds + 1):
@@ -140,7 +159,7 @@ def co_train(views: list[View], labelled: list[np.ndarray], y: np.ndarray,
             z = view.logit(pool[i])
             left = np.flatnonzero(free)
             left = left[np.argsort(z[left], kind="stable")]
-            take = min(len(left), max(2, int(share * len(free))))
+            take = min(len(left), int(shares[i] * len(free)))
             low = min(take, int(round(take * (1 - y.mean()))))
             bad, good = left[:low], left[len(left) - (take - low):]
             rows, labels = given[1 - i]
