@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -68,12 +68,12 @@ def features_of(text: str) -> set[str]:
     return out
 
 
-def swapped(words: set[str]) -> list[set[str]]:
+def swapped(words: Iterable[str]) -> list[set[str]]:
     """The word set with every identity term moved on by one, two, ... in its kind."""
     present = [w for w in words if w in KIND]
     if not present:
         return []
-    rest = words - set(present)
+    rest = set(words) - set(present)
     out = []
     for step in range(1, max(len(IDENTITY_TERMS[KIND[w]]) for w in present)):
         terms = [(IDENTITY_TERMS[KIND[w]], IDENTITY_TERMS[KIND[w]].index(w)) for w in present]
@@ -97,20 +97,30 @@ class ToxicityModel:
 
 
 class _Rows:
-    """A sparse 0/1 matrix of feature sets."""
+    """A sparse 0/1 matrix of feature sets, worked on a block of rows at a time."""
 
-    def __init__(self, sets: list[set[str]], index: dict[str, int]):
-        cols = [sorted(index[w] for w in s if w in index) for s in sets]
+    BLOCK = 2_000
+
+    def __init__(self, sets: Sequence[Iterable[str]], index: dict[str, int]):
         self.n, self.width = len(sets), len(index)
-        self.size = np.asarray([len(c) for c in cols], dtype=float)
-        self.row = np.repeat(np.arange(self.n), self.size.astype(int))
-        self.col = np.fromiter((j for c in cols for j in c), dtype=np.int64)
+        cols = [np.asarray(sorted(index[w] for w in s if w in index), dtype=np.int32) for s in sets]
+        self.size = np.asarray([len(c) for c in cols], dtype=np.int64)
+        self.blocks = [(a, np.concatenate(cols[a:a + self.BLOCK])) for a in range(0, self.n, self.BLOCK)]
+
+    def _rows(self, a: int) -> np.ndarray:
+        size = self.size[a:a + self.BLOCK]
+        return np.repeat(np.arange(len(size)), size)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
+        return np.concatenate([np.empty(0), *(
+            np.bincount(self._rows(a), weights=w[col], minlength=len(self.size[a:a + self.BLOCK]))
+            for a, col in self.blocks)])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=r[self.row], minlength=self.width)
+        out = np.zeros(self.width)
+        for a, col in self.blocks:
+            out += np.bincount(col, weights=r[a + self._rows(a)], minlength=self.width)
+        return out
 
 
 def _descend(sets, pairs, words, y, weight, counterfactual, l1, steps) -> tuple[np.ndarray, float]:
@@ -145,7 +155,7 @@ def _descend(sets, pairs, words, y, weight, counterfactual, l1, steps) -> tuple[
     return w, b
 
 
-def fit(sets: list[set[str]], labels: list[int],
+def fit(sets: Sequence[Iterable[str]], labels: list[int],
         counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
     """Fit on the feature sets of texts: first all features, then those that have a
     weight by then, to the end."""
@@ -201,17 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     off = F.col("hits") - F.col("seen") * share  # chi-square of a word's rows against the label
     words = [r[0] for r in counts.orderBy((off * off / F.col("seen")).desc(), "word")
              .limit(MAX_WORDS).select("word").collect()]
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(words) | KIND.keys())
+    names = sorted({*words, *KIND})
+    place = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = place.value
         for batch in batches:
             out = batch[["doc_id", "toxic"]].copy()
-            out["words"] = [sorted(features_of(t) & known.value) for t in batch["_text"]]
+            out["features"] = [np.asarray(sorted(known[w] for w in features_of(t) & known.keys()),
+                                          dtype="<i4").tobytes() for t in batch["_text"]]
             yield out
 
-    got = sample.mapInPandas(reduce, "doc_id long, toxic int, words array<string>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["words"]))  # the same sums in every run
-    return fit([set(r["words"]) for r in got], [r["toxic"] for r in got])
+    # four bytes a feature on the way to the driver; there, names are shared
+    got = [tuple(r) for r in sample.mapInPandas(
+        reduce, "doc_id long, toxic int, features binary").toLocalIterator()]
+    got.sort()  # the same sums in every run
+    return fit([tuple(names[i] for i in np.frombuffer(f, "<i4")) for _, _, f in got],
+               [toxic for _, toxic, _ in got])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
