@@ -24,6 +24,7 @@ sequences. A very long text gives as many pieces as it fills windows.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,28 +38,49 @@ from .common import text_of, written
 
 CAPACITY = 2048
 END_ID = 1
+#: Runs of so many white-space characters go through the tokenizer file.
+LONG_SPACE = 10_000
 
 
 class Encoder:
-    """Byte-level BPE ids of a text, as little-endian unsigned 32-bit bytes."""
+    """Byte-level BPE ids of a text, as little-endian unsigned 32-bit bytes: those of the
+    tokenizer file without the special tokens of its post-processor.
 
-    def __init__(self, ranks_file: str):
+    Texts go through the ranks file, which is faster. Those for which it is no equal go through
+    the tokenizer file itself: texts that hold an added token (one id there, spelt out
+    here) and texts with a long run of white space (too deep for this split).
+    """
+
+    def __init__(self, ranks_file: str, json_file: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
-                                         mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(json_file, encoding="utf-8") as f:
+            added = [token["content"] for token in json.load(f)["added_tokens"]]
+        self._fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
+                                       mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._other = re.compile("|".join([*map(re.escape, added), rf"\s{{{LONG_SPACE}}}"])).search
+        self._json_file = json_file
+        self._exact = None
 
     def __call__(self, text: str) -> bytes:
-        return np.asarray(self._encode(text), dtype="<u4").tobytes()
+        ids = self._by_file(text) if self._other(text) else self._fast(text)
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+    def _by_file(self, text: str) -> list[int]:
+        if self._exact is None:
+            from tokenizers import Tokenizer
+            self._exact = Tokenizer.from_file(self._json_file)
+        return self._exact.encode(text, add_special_tokens=False).ids
 
 
-def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """The ranks of the vocabulary of ``byte_bpe_50k.json``: the same ids, several times
-    faster than through the JSON file (tests hold them against each other)."""
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; ``byte_bpe_50k.tiktoken`` holds the ranks of
+    ``byte_bpe_50k.json`` (tests hold them against each other)."""
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -66,11 +88,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None,
+           json_file: str | None = None) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids): the pieces of every document, the
     end id included; ``ids`` are little-endian unsigned 32-bit numbers."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(ranks_file or tokenizer_file())
+        encode = Encoder(ranks_file or tokenizer_file("byte_bpe_50k.tiktoken"),
+                         json_file or tokenizer_file())
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out = []
@@ -223,9 +247,10 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*kept, "_rank").mapInPandas(place, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None,
+         json_file: str | None = None) -> DataFrame:
     """The pieces of all documents with their ids, sequence and offset."""
-    return assign(pieces(docs, capacity, ranks_file), capacity)
+    return assign(pieces(docs, capacity, ranks_file, json_file), capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

@@ -369,7 +369,6 @@ def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     want = {}
     for r in rows():
         ids = known.encode(r[1] or "", add_special_tokens=False).ids + [packing.END_ID]
@@ -402,6 +401,23 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny", "<|endoftext", "\u2003<|endoftext|>é",
+           *("x" + c * n + "y" for c in (" ", "\n", " \t") for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, 1_050_000)),
+           *(c * 1_050_000 for c in "a1!é")]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {}
+    for r in packing.pieces(docs).orderBy("doc_id", "start").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], b"") + r["ids"]
+    want = {i: np.asarray(known.encode(t, add_special_tokens=False).ids + [packing.END_ID], "<u4").tobytes()
+            for i, t in enumerate(odd)}
+    assert got == want
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275, packing.END_ID]
+
+
 def brute_fill(counts, first, capacity):
     sums = {first}
     for length, c in counts.items():
