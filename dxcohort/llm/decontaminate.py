@@ -7,6 +7,13 @@ of all pieces finds every exact piece hit in one pass over the whole document; t
 window around each hit is verified by Myers' bit-parallel edit distance, which
 also gives the passage's end, and, run backwards, its start.
 
+Such short pieces hit often, so a lossless count goes before. Cut into ``k + t`` pieces of
+``q`` characters, an item has at least ``t`` that stand unchanged in a passage, and
+their shifts (place in the text less place in the item) differ by ``k`` at most. And ``k``
+edits spoil at most ``k r`` of the item's ``m - r + 1`` runs of ``r`` characters. Items
+without ``t`` hits of neighbouring shifts in a document, or without the other runs near
+them, are not sought in it.
+
 Texts are compared as lower-case words joined by one blank. The items are a stated
 query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, each block
 is broadcast and all documents pass it; no shuffle.
@@ -21,15 +28,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-MAX_ERROR_RATE = 0.08
+#: Most copies with two words dropped, swapped or replaced are within it (README).
+MAX_ERROR_RATE = 0.15
 BLOCK_CHARS = 2_000_000
 WORD = re.compile(r"\w+")
+#: Shifts of a cell, in which piece hits are counted, and (cell, item) counters at a time.
+CELL = 16
+COUNTERS = 100_000
+#: Characters of documents that are counted together (a longer document alone).
+GROUP_CHARS = 250_000
 SPANS = "doc_id long, item_id long, distance int, max_distance int, start long, end long"
 
 
@@ -88,6 +102,110 @@ def best_passage(item: str, window: str, k: int) -> tuple[int, int, int] | None:
     return edits, start, end
 
 
+class PieceCounts:
+    """Tells which items may have a passage in which texts, by hits of equal pieces."""
+
+    def __init__(self, items: list[tuple[int, str, int]], rate: float):
+        self.q = min(max(int(0.75 / rate), 2), 16) if rate > 0 else 16
+        k = np.asarray([k for *_, k in items], np.int64)
+        self.budgets = k.tolist()
+        self.sizes = [len(text) for _, text, _ in items]
+        self.r = max(self.q - 1, 1)
+        self.least = np.asarray(self.sizes, np.int64) // self.q - k
+        self.slack = int(k.max(initial=0))
+        #: cells that the shifts of a passage can touch
+        self.cells = (k - 1) // CELL + 2
+        self.bits = max(16, 4 + sum(len(text) // self.q for _, text, _ in items).bit_length())
+        self.runs = [np.unique(self._hashes(text, self.r)) for _, text, _ in items]
+        pieces = [self._hashes(text, self.q)[::self.q] for _, text, _ in items]
+        hashed = np.concatenate([*pieces, np.empty(0, np.int64)]).astype(np.int64)
+        ordered = np.argsort(hashed, kind="stable")
+        self.owner = np.repeat(np.arange(len(items)), [len(p) for p in pieces])[ordered]
+        place = np.concatenate([*(np.arange(len(p)) * self.q for p in pieces), np.empty(0, np.int64)])
+        self.place = place.astype(np.int64)[ordered]
+        self.reach = int(self.place.max(initial=0))
+        self.first = np.searchsorted(hashed[ordered], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _hashes(self, text: str, size: int) -> np.ndarray:
+        """A number of ``bits`` bits for the ``size`` characters from each place on."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = max(len(chars) - size + 1, 0)
+        h = np.zeros(n, np.uint64)
+        for i in range(size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + chars[i:i + n] + np.uint64(1)
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def possible(self, texts: list[str]) -> list[dict[int, list[tuple[int, int]]]]:
+        """Per text, the items that may have a passage in it, and where. Pieces that share a number count
+        as equal, and hits beyond a text's end as its own: that only adds items."""
+        always = np.flatnonzero(self.least <= 0).tolist()
+        out = [{i: [(0, len(text))] for i in always} for text in texts]
+        near: dict[tuple[int, int], list[int]] = {}
+        counted = np.flatnonzero(self.least > 0)
+        if not len(counted) or not texts:
+            return out
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        joined = "\0".join(texts)
+        hashes = self._hashes(joined, self.q)
+        items, most = len(self.least), int(self.cells[counted].max())
+        groups = [(int(n), counted[self.cells[counted] == n]) for n in np.unique(self.cells[counted])]
+        step = max(COUNTERS // items, most, self.reach // CELL)
+        for low in range(-self.reach - CELL, len(hashes), step * CELL):
+            # the shifts from low on, of this step's cells and those that may follow
+            rows = step + most
+            begin = max(low, 0)
+            part = hashes[begin:max(low + rows * CELL + self.reach, 0)]
+            first = self.first[part]
+            number = self.first[part + 1] - first
+            hit = np.flatnonzero(number)
+            first, number = first[hit], number[hit]
+            ends = np.cumsum(number)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - number), number)
+            cell = (np.repeat(hit + (begin - low), number) - self.place[at]) // CELL
+            inside = (cell >= 0) & (cell < rows)
+            table = np.bincount(cell[inside] * items + self.owner[at[inside]],
+                                minlength=rows * items).astype(np.int32).reshape(rows, items)
+            for n, same in groups:
+                own = table[:, same]
+                shared = sum(own[i:i + step] for i in range(n))
+                found = np.argwhere(shared >= self.least[same])
+                shift = low + found[:, 0] * CELL
+                from_ = np.searchsorted(starts, np.maximum(shift - self.slack, 0), "right") - 1
+                to = np.searchsorted(starts, shift + n * CELL + self.slack, "right")
+                for a, b, c, i in zip(from_.tolist(), to.tolist(), shift.tolist(), same[found[:, 1]].tolist()):
+                    for d in range(a, min(b, len(texts))):
+                        near.setdefault((d, i), []).append(c)
+        runs = self._hashes(joined, self.r)
+        for (d, i), shifts in near.items():
+            begin, end = int(starts[d]), int(starts[d + 1]) - 1
+            for low, high in self._near(runs, i, shifts, begin, end):
+                out[d].setdefault(i, []).append((low - begin, high - begin))
+        return out
+
+    def _near(self, hashes: np.ndarray, i: int, shifts: list[int], begin: int, end: int
+              ) -> Iterator[tuple[int, int]]:
+        """Places from ``begin`` to ``end`` around the shifts, overlapping ones joined, where a
+        passage's length shares enough runs."""
+        m, k, runs = self.sizes[i], self.budgets[i], self.runs[i]
+        least, width = m - self.r + 1 - k * self.r, m + k - self.r + 1
+        after = int(self.cells[i]) * CELL + m + 2 * k
+        regions: list[tuple[int, int]] = []
+        for shift in sorted(shifts):
+            low, high = max(shift - k, begin), min(shift + after, end)
+            if regions and low <= regions[-1][1]:
+                regions[-1] = (regions[-1][0], max(high, regions[-1][1]))
+            elif low < high:
+                regions.append((low, high))
+        for low, high in regions:
+            part = hashes[low:high]
+            sums = np.cumsum(runs[np.minimum(np.searchsorted(runs, part), len(runs) - 1)] == part)
+            if least <= 0 or len(sums) and (sums[-1] >= least and (
+                    len(sums) <= width or sums[width - 1] >= least
+                    or (sums[width:] - sums[:-width]).max() >= least)):
+                yield low, high
+
+
 class Matcher:
     """Finds the passages of a block of items in a document."""
 
@@ -103,12 +221,23 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
-
-    def windows(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end): windows around piece hits, overlapping ones joined."""
+        self.counts = PieceCounts(self.items, rate)
+
+    def windows(self, text: str, among: dict[int, list[tuple[int, int]]] | None = None
+                ) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end): windows around piece hits, overlapping ones joined; of all items,
+        or those that meet the places ``among``."""
+        for i, low, high in self._joined(text, among):
+            if among is None or any(a < high and low < b for a, b in among[i]):
+                yield i, low, high
+
+    def _joined(self, text: str, among: dict[int, list[tuple[int, int]]] | None
+                ) -> Iterator[tuple[int, int, int]]:
         spans: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for i, offset in where:
+                if among is not None and i not in among:
+                    continue
                 _, item, k = self.items[i]
                 begin = end + 1 - size - offset
                 spans.setdefault(i, []).append((max(0, begin - k), min(len(text), begin + len(item) + k)))
@@ -123,11 +252,24 @@ class Matcher:
                     high = max(high, b)
             yield i, low, high
 
-    def passages(self, text: str) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item_id, edits, budget, start, end) in the normalised text."""
-        if not self.items or not text:
+    def passages_of(self, texts: list[str]) -> Iterator[Iterator[tuple[int, int, int, int, int]]]:
+        """The passages of each normalised text."""
+        group, size = [], 0
+        for text in [*texts, None]:
+            if group and (text is None or size + len(text) > GROUP_CHARS):
+                for one, among in zip(group, self.counts.possible(group)):
+                    yield self.passages(one, among)
+                group, size = [], 0
+            if text is not None:
+                group.append(text)
+                size += len(text)
+
+    def passages(self, text: str, among: dict[int, list[tuple[int, int]]] | None = None
+                 ) -> Iterator[tuple[int, int, int, int, int]]:
+        """(item_id, edits, budget, start, end) in the normalised text, of all items or ``among``."""
+        if not self.items or not text or among is not None and not among:
             return
-        for i, low, high in self.windows(text):
+        for i, low, high in self.windows(text, among):
             item_id, item, k = self.items[i]
             todo = [(low, high)]
             while todo:  # the best passage, then what lies before and after it
@@ -165,8 +307,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame,
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             matcher = Matcher(shared.value, rate)
             for batch in batches:
-                rows = [(doc, *found) for doc, text in zip(batch["doc_id"], batch["_text"])
-                        for found in matcher.passages(normalise(text))]
+                texts = [normalise(text) for text in batch["_text"]]
+                rows = [(doc, *found) for doc, passages in zip(batch["doc_id"], matcher.passages_of(texts))
+                        for found in passages]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance",
                                                     "max_distance", "start", "end"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -192,7 +335,7 @@ def _clean(spark, block: list[tuple[int, str]], rate: float):
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(shared.value, rate)
         for texts in batches:
-            yield texts.map(lambda t: next(matcher.passages(normalise(t or "")), None) is None
-                            ).astype(bool)
+            found = matcher.passages_of([normalise(t or "") for t in texts])
+            yield pd.Series([next(passages, None) is None for passages in found], dtype=bool)
 
     return clean

@@ -299,6 +299,41 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminated(empty(spark), b).count() == 0
 
 
+def test_decontamination_finds_reworded_copies(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from the angry bear today"
+    long = "a completely different question about rivers and lakes, the seas of the wide north, and who sails on them now"
+    noise = " ".join(f"word{i % 17} filler{i % 5}" for i in range(60))
+    copies = [item.replace("quick", "quikc").replace("lazy ", ""),
+              long.replace("rivers", "gdansk").replace("north", "equip")]
+    d = spark.createDataFrame([(i, f"{noise} {c} {noise}") for i, c in enumerate(copies)] + [(9, noise)],
+                              "doc_id long, text string")
+    b = spark.createDataFrame([(0, item), (1, long)], "item_id long, text string")
+    assert collected(decontaminate.contaminated_spans(d, b), "doc_id", "item_id") == [(0, 0), (1, 1)]
+    assert collected(decontaminate.decontaminated(d, b), "doc_id") == [(9,)]
+
+
+@pytest.mark.parametrize("counters", [1, 500, 1_000_000])
+def test_piece_counts_lose_no_passage(monkeypatch, counters):
+    """Edits up to the budget, spread evenly or at random, in texts of one small alphabet."""
+    monkeypatch.setattr(decontaminate, "COUNTERS", counters)
+    rnd = np.random.default_rng(2)
+    some = lambda n: "".join(rnd.choice(list("abcdefghij klmn\u4e2d"), n))
+    items = [(i, some(int(n))) for i, n in enumerate([3, 6, 12, 40, 81, 90, 200, 334])]
+    texts = ["", "ab"]
+    for i, item in items * 6:
+        k = decontaminate.budget(len(item))
+        at = np.linspace(0, len(item) - 1, k).astype(int) if len(texts) % 2 else rnd.integers(0, len(item), k)
+        copy = list(item)
+        for a in at:
+            copy[a] = ["", "z", copy[a] + "z"][rnd.integers(3)]
+        texts.append(some(int(rnd.integers(0, 400))) + "".join(copy) + some(int(rnd.integers(0, 90))))
+    matcher = decontaminate.Matcher(items)
+    got = [sorted(found) for found in matcher.passages_of(texts)]
+    assert got == [sorted(matcher.passages(t)) for t in texts]
+    assert all(any(f[0] == i for f in found) for (i, _), found in zip(items * 6, got[2:]))
+    assert any(len(p) < len(items) for p in matcher.counts.possible(texts))
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (10,))
     d = spark.createDataFrame([(1, "x one two three four five y"), (2, "six seven eight nine")],
