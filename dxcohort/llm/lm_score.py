@@ -9,7 +9,7 @@ The model is the corpus itself, and every document is scored by the n-grams of a
 
 and a document's score is the sum of ``ln S`` over its words. It is computed as
 relations, in packed form: a row holds the sorted n-gram hashes of one chunk of
-documents and one hash partition.
+documents and one hash partition, as differences with their bytes by rank.
 
 1. Documents are spread over chunks by a hash; each chunk counts its n-grams
    (so a frequent n-gram leaves a chunk once, whatever its frequency);
@@ -92,6 +92,16 @@ def _by_partition(keys: np.ndarray, partitions: int) -> tuple[np.ndarray, np.nda
     return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=partitions))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones: the high ones are mostly 0, and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def document_scores(grams: Grams, keys: np.ndarray, total: np.ndarray,
                     alpha: float = ALPHA) -> np.ndarray:
     """The sum of ln S of every document, with its own n-grams taken off."""
@@ -124,21 +134,22 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, number = Grams(rows["_text"].tolist(), order).counts()
         ordered, ends = _by_partition(keys, parts)
-        keys, number = keys[ordered], number[ordered].astype("<u4")
+        # in a partition, keys differ by multiples of parts
+        keys, number = keys[ordered] // np.uint64(parts), number[ordered].astype("<u4")
         starts = [0, *ends[:-1]]
         return pd.DataFrame({
             "_part": np.arange(parts, dtype="int32"), "_chunk": np.int32(key[0]),
-            "_keys": [keys[a:b].tobytes() for a, b in zip(starts, ends)],
-            "_number": [number[a:b].tobytes() for a, b in zip(starts, ends)]})
+            "_keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)],
+            "_number": [_packed(number[a:b]) for a, b in zip(starts, ends)]})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in rows["_keys"]]
-        number = np.concatenate([np.frombuffer(c, "<u4") for c in rows["_number"]])
+        keys = [np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64) for k in rows["_keys"]]
+        number = np.concatenate([_unpacked(c, "<u4") for c in rows["_number"]])
         table, back = np.unique(np.concatenate(keys), return_inverse=True)  # the count table
         total = np.bincount(back, weights=number, minlength=len(table)).astype("<u8")[back]
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"],
-                             "_total": [total[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]})
+                             "_total": [_packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends)]})
 
     def score(rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(rows["_text"].tolist(), order)
@@ -146,7 +157,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
         ordered, _ = _by_partition(keys, parts)
         total = np.empty(len(keys), np.int64)
         if len(counted):
-            total[ordered] = np.frombuffer(b"".join(counted.sort_values("_part")["_total"]), "<u8")
+            total[ordered] = np.concatenate([_unpacked(t, "<u8") for t in
+                                             counted.sort_values("_part")["_total"]])
         sums = document_scores(grams, keys, total, alpha)
         n = grams.sizes
         return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": n,

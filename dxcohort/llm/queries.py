@@ -18,12 +18,14 @@ URL_RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
+#: Words of the longest n-gram that scores.
+LM_ORDER = 3
 SPAM_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_scores
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), LM_ORDER)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,19 @@ def test_lm_scores_of_no_documents_and_of_one(spark):
     assert alone["log_score"] == pytest.approx((alone["n_words"] - 1) * log(lm_score.ALPHA))
 
 
+def test_query_scores_use_trigrams(spark, tmp_path):
+    from dxcohort.llm import queries
+    # the same words and word pairs are known, but only the first text's trigram
+    texts = ["p a b c q", "r a b c s", "t a b d", "u e b c", "v a b", "w b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in queries.op1_lm_score(spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for order, same in ((3, True), (2, False)):
+        want = {r["doc_id"]: r["log_score"] for r in lm_score.lm_scores(docs, order).collect()}
+        assert (got == pytest.approx(want)) == same
+
+
 # --- 2: substring dedup -------------------------------------------------------------
 def test_substring_dedup_equals_brute_force(spark):
     order = sorted((i for i, r in enumerate(rows())),
