@@ -80,6 +80,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules, listed)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import digests, periodic_runs, with_repetitions
+    return digests(periodic_runs(with_repetitions(table(spark, sf_dir, "documents"))))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, pii_spans, train
+    docs = table(spark, sf_dir, "documents")
+    return digests(pii_spans(docs, train(docs)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import digests, fill_in_middle
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
