@@ -179,10 +179,9 @@ def _disease_flags(spark, c):
 
 
 def _running_admission_number(spark, c):
-    rows = X.listed_admissions(c.admissions, c.beneficiaries, c.enrollments,
-                               _lists(spark)[COHORT_LIST])
-    return running_count(rows).select("bene_id", "year", "admission_date", "zip",
-                                      "n_th_admission")
+    rows = X.numbered_admissions(c.admissions, c.beneficiaries, c.enrollments,
+                                 _lists(spark)[COHORT_LIST])
+    return rows.select("bene_id", "year", "admission_date", "zip", "n_th_admission")
 
 
 def _first_per_person(spark, c):

@@ -9,6 +9,7 @@ those columns instead of one file name per run.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from dxcohort.plans.extract import EXTRACT_COLUMNS
 from dxcohort.schema import EXTRACT, EXTRACT_CSV, with_person_type
+from dxcohort.sources.tables import stage_table, staged
 
 
 def _encode_arrays(df: DataFrame) -> DataFrame:
@@ -40,16 +42,20 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     """Header row, no index column. ``null_value='NA'`` writes R-style
     missing values. ``sort_by`` orders rows globally (a range shuffle; ties
     are split by a row hash so no sort key can pin a third of the rows on one
-    task)."""
+    task). The rows are staged first, so that the range shuffle samples a table and
+    ``df`` is evaluated once."""
     out = _encode_arrays(df)
-    if sort_by:
-        out = out.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by], _tiebreak(out))
+    with staged(out, "csv-rows") if sort_by else nullcontext(out) as out:
+        if sort_by:
+            out = out.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by], _tiebreak(out))
+        _csv_writer(out, partition_by, null_value, mode).csv(path)
+
+
+def _csv_writer(out: DataFrame, partition_by: Sequence[str], null_value: str | None, mode: str):
     writer = out.write.mode(mode).option("header", True)
     if null_value is not None:
         writer = writer.option("nullValue", null_value)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.csv(path)
+    return writer.partitionBy(*partition_by) if partition_by else writer
 
 
 def write_extract(extract: DataFrame, path: str, sort: bool = True,
@@ -104,19 +110,21 @@ def export_individual_records(admissions: DataFrame, beneficiaries: DataFrame,
                               enrollments: DataFrame, codes: Sequence[str],
                               flag_lists: Mapping[str, Sequence[str]],
                               bands: Sequence[tuple[int, int]], path: str,
-                              blank_ambiguous: bool = False,
-                              null_value: str | None = None) -> None:
+                              blank_ambiguous: bool = False, null_value: str | None = None,
+                              stage: str | None = None) -> None:
     """The individual extract for several bands from one pass, written as one
     output ``age_low=.../age_high=...``; rows in each band ordered by person
     and admission date (a range shuffle on the band and sort keys, so no
-    task holds a whole band)."""
+    task holds a whole band). The extract is staged in the shared checkpoint folder, so it
+    is evaluated once; ``stage`` names another folder, which then stays."""
     from dxcohort.plans.extract import individual_extract_bands
     out = individual_extract_bands(admissions, beneficiaries, enrollments, codes, flag_lists,
                                    bands, blank_ambiguous=blank_ambiguous)
-    keys = [F.col("age_low"), F.col("age_high"), F.col("bene_id").asc_nulls_last(),
-            F.col("admission_date").asc_nulls_last(), _tiebreak(out)]
-    out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    write_csv(out, path, ("age_low", "age_high"), null_value)
+    with nullcontext(stage_table(out, stage)) if stage else staged(out, "records") as out:
+        keys = [F.col("age_low"), F.col("age_high"), F.col("bene_id").asc_nulls_last(),
+                F.col("admission_date").asc_nulls_last(), _tiebreak(out)]
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        write_csv(out, path, ("age_low", "age_high"), null_value)
 
 
 def read_individual_records(spark: SparkSession, path: str, null_value: str | None = None,

@@ -7,7 +7,8 @@ Order of steps matters (as in the source SQL):
 1. admissions with a listed code, joined to people and to the enrollments of
    the admission's own year (several enrollments multiply a row);
 2. ``n_th_admission`` over those rows, **before** the age filter, so in band
-   13-18 it still counts a person's earlier admissions at ages 0-12;
+   13-18 it still counts a person's earlier admissions at ages 0-12. Both steps are one
+   join, to one history per person (``dxcohort.operators.history``);
 3. the age filter (NULL age out), then positional codes and flags.
 
 The result is not sorted: sorting the whole extract is a range shuffle, which
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from dxcohort.functions.expr import age_at_admission, disease_flags, has_any, positional_codes
 from dxcohort.operators.clean import blank_ambiguous_demographics
 from dxcohort.operators.cohort import Band, normalize_bands, with_bands
-from dxcohort.operators.running import running_count
+from dxcohort.operators.history import histories, with_history
 from dxcohort.schema import EXTRACT, FLAG_LISTS
 from dxcohort.sources.tables import stage_table
 
@@ -50,24 +51,40 @@ def _flags(admissions: DataFrame, flag_lists: Mapping[str, Sequence[str]] | None
         names, key=lambda n: FLAG_LISTS.index(n) if n in FLAG_LISTS else len(FLAG_LISTS))
 
 
+def _listed(admissions: DataFrame, codes: Iterable[str] | None) -> DataFrame:
+    if codes is None:
+        codes = _standard(admissions)["icd9_all"]
+    return admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
+        has_any("diagnosis", codes))
+
+
 def listed_admissions(admissions: DataFrame, beneficiaries: DataFrame,
                       enrollments: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
-    """Step 1: listed admissions x people x enrollments of the same year.
+    """Step 1 alone: listed admissions x people x enrollments of the same year.
 
     Enrollments are joined to people first (on ``bene_id``), so the large
     admissions side is shuffled once, on ``(bene_id, year)``. A person or
     person-year holding a large share of the rows is split at run time
     (``dxcohort.operators.skew``).
     """
-    if codes is None:
-        codes = _standard(admissions)["icd9_all"]
-    adm = admissions.select("bene_id", "year", "admission_date", "diagnosis").where(
-        has_any("diagnosis", codes))
+    adm = _listed(admissions, codes)
     people = beneficiaries.select("bene_id", "dob", "sex", "race_ethnicity_code")
     enr = enrollments.select("bene_id", "year", "zip")
     return adm.join(enr.join(people, "bene_id"), ["bene_id", "year"])
 
 
+def numbered_admissions(admissions: DataFrame, beneficiaries: DataFrame,
+                        enrollments: DataFrame, codes: Iterable[str] | None = None) -> DataFrame:
+    """Steps 1 and 2: the rows of :func:`listed_admissions` with ``n_th_admission``.
+
+    Admissions are read twice, once without their arrays for the histories, the other
+    tables once; the rows themselves are shuffled once, by person (on tables bucketed by
+    person not at all).
+    """
+    adm = _listed(admissions, codes)
+    return with_history(adm, histories(adm, beneficiaries, enrollments))
+
+
 def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
                              enrollments: DataFrame, codes: Iterable[str] | None,
                              flag_lists: Mapping[str, Sequence[str]] | None,
@@ -78,18 +95,16 @@ def individual_extract_bands(admissions: DataFrame, beneficiaries: DataFrame,
     """The extract for several bands in one pass: the 23 columns plus
     ``age_low``, ``age_high`` (a row appears once per band it falls in).
 
-    The plan is lazy: the per-day totals and the rows both scan and join the
-    admissions. ``stage`` names a shared folder to write the listed rows to
-    first (an action); both branches then read that table. The caller removes
+    The plan is lazy. ``stage`` names a shared folder to write the numbered rows to
+    first (an action), for a result that is read several times. The caller removes
     the folder. ``codes`` and ``flag_lists`` default (``None``) to the standard
     lists (``icd9_all`` and the five diseases); ``flag_names`` to every list
     given but the cohorts'.
     """
     flag_lists, flag_names = _flags(admissions, flag_lists, flag_names)
-    rows = listed_admissions(admissions, beneficiaries, enrollments, codes)
+    rows = numbered_admissions(admissions, beneficiaries, enrollments, codes)
     if stage:
         rows = stage_table(rows, stage)
-    rows = running_count(rows)
     rows = with_bands(rows.withColumn("age", age_at_admission()), normalize_bands(bands))
     out = rows.select(
         *positional_codes("diagnosis"), "diagnosis", "year", "admission_date", "bene_id",

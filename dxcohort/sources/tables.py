@@ -6,8 +6,9 @@ Physical layout for scale (``write_claims``):
   read one year, so the other years are pruned at planning time;
 * optionally all three tables bucketed by ``bene_id`` into the same number of
   buckets (``buckets=N``, saved as tables): joins and reductions on ``bene_id``
-  alone then run without a shuffle (those on person and year, or person and
-  day, still shuffle).
+  then run without a shuffle, and so do the reductions on person and year, zip or day
+  that the person histories are made of (``dxcohort.operators.history``). A bucket is
+  read by one task: this layout is for keys without very hot ones.
 
 Before writing, rows are dealt out by year and a range of ``bene_id`` (bucketed
 tables: by bucket), so that a year or bucket is written by few tasks.
@@ -17,13 +18,15 @@ Readers never infer a schema.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dxcohort.schema import ADMISSIONS, BENEFICIARIES, ENROLLMENTS, with_person_type
+from dxcohort.session import scratch_path
 from dxcohort.sources.fixture import Claims
 
 NAMES = ("admissions", "beneficiaries", "enrollments")
@@ -106,6 +109,24 @@ def stage_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written once to a new folder under the shared checkpoint folder, for plans that
+    read it several times (a range shuffle reads its input twice, to sample and to
+    deal out). The folder goes at the end, so results must be written inside."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        yield stage_table(df, path)
+    finally:
+        remove_folder(df.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark writes it with."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def jdbc_ranges(lower: int, upper: int, parts: int) -> list[tuple[int, int]]:
     """``parts`` contiguous ``[lo, hi)`` ranges covering ``[lower, upper]``."""
     parts = max(1, int(parts))

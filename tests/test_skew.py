@@ -91,14 +91,14 @@ def test_running_count_keeps_rows_without_key_or_day(spark):
                           (None, "2000-01-01", 2), (None, None, 3)], key=repr)
 
 
-def test_running_number_scans_each_claims_table_twice_at_most(spark, small_claims, tmp_path, lists):
+def test_running_number_scans_only_admissions_twice(spark, small_claims, tmp_path, lists):
     from dxcohort.sources.tables import read_claims, write_claims
     root = str(tmp_path / "claims")
     write_claims(small_claims, root)
     c = read_claims(spark, root)
     text = catalog.builders()["running_admission_number"](spark, c)._jdf.queryExecution() \
         .executedPlan().toString()
-    assert 3 <= text.count("FileScan parquet") <= 6      # three tables, for the rows and the totals
+    assert text.count("FileScan parquet") == 4      # admissions for the rows and for the histories
 
 
 def test_building_a_query_starts_no_job(spark, small_claims, lists):
