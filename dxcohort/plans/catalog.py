@@ -31,7 +31,7 @@ from dxcohort.operators.clean import (
     blank_matching,
     blank_values,
 )
-from dxcohort.operators.codes import suppress_small_cells
+from dxcohort.operators.codes import code_counts as count_codes, explode_codes, suppress_small_cells
 from dxcohort.operators.cohort import enrolled_people, with_person
 from dxcohort.operators.hierarchy import (
     ICD9_ALL_PARENTS,
@@ -190,10 +190,10 @@ def _first_per_person(spark, c):
 
 
 def _suppress_small_cells(spark, c):
-    """Counts of one year in the older band, many of which are small."""
-    counts = C.code_counts_in_band(c.admissions, c.beneficiaries, *BANDS["_13_18"], "all",
-                                   year_range=(ZIP_YEAR, ZIP_YEAR))
-    return suppress_small_cells(counts, "diag_count", 10)
+    """Cells of code and age over all admissions, many of which are small."""
+    rows = explode_codes(with_person(c.admissions, c.beneficiaries, ["dob"]), "all").select(
+        "diag", age_at_admission().alias("age"))
+    return suppress_small_cells(count_codes(rows, ["age"]), "diag_count", 10)
 
 
 def _data_codes(spark, c):

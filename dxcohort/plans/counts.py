@@ -25,7 +25,14 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dxcohort.functions.expr import code_in, has_any, primary_code_in, secondary_has_any
+from dxcohort.functions.expr import (
+    code_in,
+    has_any,
+    primary_code,
+    primary_code_in,
+    secondary_codes,
+    secondary_has_any,
+)
 from dxcohort.operators.codes import (
     POSITIONS,
     code_counts as _count_codes,
@@ -137,8 +144,48 @@ def _with_person_bands(per_year: DataFrame, beneficiaries: DataFrame,
     return with_bands(joined, normalize_bands(bands))
 
 
+def _aged(admissions: DataFrame, beneficiaries: DataFrame, bands: Sequence[Band]) -> DataFrame:
+    """``admissions`` with the age, for the ages that any band holds."""
+    low, high = min(lo for lo, _ in bands), max(hi for _, hi in bands)
+    return with_age(with_person(admissions, beneficiaries, ["dob"])).where(
+        F.col("age").between(low, high))
+
+
+def _listed(rows: DataFrame, codes) -> DataFrame:
+    if isinstance(codes, DataFrame):
+        return codes_in_table(rows, codes, "diag")
+    return rows if codes is None else rows.where(code_in("diag", codes))
+
+
+def _position_counts(admissions, beneficiaries, bands, codes, position: str,
+                     keep_null: bool) -> DataFrame:
+    """``age_low, age_high, diag, diag_count`` at one position.
+
+    The primary code is an index into the array, which then never leaves the scan and is
+    not exploded; the others are exploded after the join to people, in which the arrays
+    are the most compact form. One band is counted at once, several ones per age first.
+    """
+    cols = ["bene_id", "admission_date"]
+    if position == "primary":
+        rows = _aged(admissions.select(*cols, primary_code().alias("diag")), beneficiaries, bands)
+    else:
+        codes_at = F.col("diagnosis") if position == "all" else secondary_codes()
+        held = admissions.where(F.size("diagnosis") > (1 if position == "secondary" else 0))
+        rows = _aged(held.select(*cols, codes_at.alias("diagnosis")), beneficiaries, bands).select(
+            "age", F.explode("diagnosis").alias("diag"))
+    rows = _listed(rows, codes)
+    if not keep_null:
+        rows = rows.where(F.col("diag").isNotNull())
+    if len(bands) == 1:
+        return with_bands(rows, bands).groupBy(*BAND_COLS, "diag").agg(
+            F.count("diag").alias("diag_count"))
+    by_age = rows.groupBy("age", "diag").agg(F.count("diag").alias("n"))
+    return with_bands(by_age, bands).groupBy(*BAND_COLS, "diag").agg(
+        F.sum("n").cast("long").alias("diag_count"))
+
+
 def _counts_by_age(admissions: DataFrame, beneficiaries: DataFrame, bands: Sequence[Band],
-                   codes, year_range: YearRange | None) -> DataFrame:
+                   codes) -> DataFrame:
     """``age, first, element, diag, n``: code rows counted once, for the ages that any
     band holds.
 
@@ -146,16 +193,8 @@ def _counts_by_age(admissions: DataFrame, beneficiaries: DataFrame, bands: Seque
     row that is an array element. The table has at most ages x codes x 3 rows,
     however many admissions there are.
     """
-    cols = [c for c in ("bene_id", "admission_date", "diagnosis") if c in admissions.columns]
-    aged = with_age(with_person(_in_years(admissions, year_range).select(*cols), beneficiaries,
-                                ["dob"]))
-    low, high = min(lo for lo, _ in bands), max(hi for _, hi in bands)
-    rows = aged.where(F.col("age").between(low, high)).select(
-        "age", F.posexplode_outer("diagnosis").alias("pos", "diag"))
-    if isinstance(codes, DataFrame):
-        rows = codes_in_table(rows, codes, "diag")
-    elif codes is not None:
-        rows = rows.where(code_in("diag", codes))
+    aged = _aged(admissions.select("bene_id", "admission_date", "diagnosis"), beneficiaries, bands)
+    rows = _listed(aged.select("age", F.posexplode_outer("diagnosis").alias("pos", "diag")), codes)
     return rows.groupBy("age", (F.coalesce("pos", F.lit(0)) == 0).alias("first"),
                         F.col("pos").isNotNull().alias("element"), "diag").agg(
         F.count(F.lit(1)).alias("n"))
@@ -170,15 +209,16 @@ def code_counts(admissions: DataFrame, beneficiaries: DataFrame,
     diag_count``. ``limit`` keeps the top codes per band (ties by code).
 
     Admissions (arrays intact, pre-filtered by the list) are joined to the
-    person's birth year and exploded after the join. Codes are counted per age
-    with partial aggregation and then rolled up to the bands, so a code row is
+    person's birth year and exploded after the join; the primary code needs no
+    explode. Several bands are rolled up from counts per age, so a code row is
     counted once however many bands it falls in.
     """
     codes = _normalize_codes(codes)
-    adm = admissions if isinstance(codes, DataFrame) else _prefilter(admissions, position, codes)
+    adm = _in_years(admissions, year_range)
+    if not isinstance(codes, DataFrame):
+        adm = _prefilter(adm, position, codes)
     keep = KEEP_NULL_DEFAULT[position] if keep_null is None else keep_null
-    counts = _rolled_up(adm, beneficiaries, bands, codes, [position], {position: keep},
-                        year_range).drop("position")
+    counts = _position_counts(adm, beneficiaries, normalize_bands(bands), codes, position, keep)
     return top_k(counts, limit, BAND_COLS) if limit else counts
 
 
@@ -191,16 +231,12 @@ def code_counts_by_position(admissions: DataFrame, beneficiaries: DataFrame,
     age_high, diag, diag_count``, equal to :func:`code_counts` run once per
     position (with each position's NULL-code rule)."""
     codes = _normalize_codes(codes)
-    adm = admissions if codes is None else admissions.where(has_any("diagnosis", codes))
-    return _rolled_up(adm, beneficiaries, bands, codes, positions, KEEP_NULL_DEFAULT, year_range)
-
-
-def _rolled_up(admissions, beneficiaries, bands, codes, positions, keep_null,
-               year_range) -> DataFrame:
-    """Bands and positions from the counts by age: every element is in ``all``, the
-    first (or its lack) in ``primary``, the others in ``secondary``."""
-    bands = normalize_bands(bands)
-    rows = with_bands(_counts_by_age(admissions, beneficiaries, bands, codes, year_range), bands)
+    adm = _in_years(admissions, year_range)
+    if codes is not None:
+        adm = adm.where(has_any("diagnosis", codes))
+    bands, keep_null = normalize_bands(bands), KEEP_NULL_DEFAULT
+    # every element is in "all", the first (or its lack) in "primary", the others in "secondary"
+    rows = with_bands(_counts_by_age(adm, beneficiaries, bands, codes), bands)
     member = {"all": F.col("element"), "primary": F.col("first"),
               "secondary": F.col("element") & ~F.col("first")}
     null_ok = F.col("diag").isNotNull()

@@ -11,26 +11,20 @@ zip of that year; a NULL zip is a group of its own but never matches in the
 left join of the source, so its share is NULL (admissions) or 0 (enrolled).
 
 Every query reduces admissions per person (and admission year) and
-enrollments per (person, zip) before joining, so no person - however many rows
-they hold - sends more than a few rows through a join; the joins are on
-``bene_id`` alone (the year is a literal on both sides) and share one
-distribution; a per-zip ``groupBy`` with partial aggregation ends each query, so
-a hot zip sends one row per task.
+enrollments per (person, zip) first, so no person - however many rows they hold -
+sends more than a few rows through a shuffle, and joins on ``bene_id`` alone (the
+year is a literal on both sides). A per-zip ``groupBy`` with
+partial aggregation ends each query, so a hot zip sends one row per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dxcohort.functions.expr import (
-    dob_for_age_in_year,
-    has_any,
-    in_band,
-    share,
-)
+from dxcohort.functions.expr import dob_for_age_in_year, has_any, in_band, share
 
 
 def _cohort_codes(admissions: DataFrame, codes: Iterable[str] | None) -> Iterable[str]:
@@ -55,25 +49,40 @@ def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
     counting admission x enrollment rows of ``year`` with age at admission in
     band.
 
-    Admissions are first counted per (person, calendar year of admission) -
-    the age is fixed within it - so at most a few rows per person reach the
-    joins, whatever the skew (``listed_only`` drops the other admissions in the
-    scan); the joins are then on ``bene_id`` alone.
+    Admissions and enrollments become facts of a person - admitted in a calendar year
+    (the age is fixed within it) or living in a zip - counted in one aggregation with
+    partial counts, so what a person sends is bounded by years and zips, whatever the
+    skew (``listed_only`` drops the other admissions in the scan; one without a date has no
+    age, and no band holds it). One distribution by person then serves the join to people
+    and the window that gives each zip of a person the admissions in the band.
     """
     adm = admissions.where(F.col("year") == int(year))
     if listed_only:
         adm = adm.where(has_any("diagnosis", codes))
     listed = (F.coalesce(has_any("diagnosis", codes), F.lit(False)) if codes is not None
               else F.lit(False))
-    per_year = (adm.groupBy("bene_id", F.year("admission_date").alias("adm_year"))
-                .agg(F.count(F.lit(1)).alias("_n_adm"), F.count_if(listed).alias("_n_listed")))
-    people = beneficiaries.select("bene_id", F.year("dob").alias("_birth_year"))
-    rows = (per_year.join(_enrollment_counts(enrollments, year), "bene_id", "inner")
-            .join(people, "bene_id", "inner")
-            .where(in_band(F.col("adm_year") - F.col("_birth_year"), age_low, age_high)))
+    admitted = adm.where(F.col("admission_date").isNotNull()).select(
+        "bene_id", F.year("admission_date").alias("adm_year"),
+        F.lit(None).cast("string").alias("zip"), listed.cast("long").alias("listed"))
+    lives = enrollments.where(F.col("year") == int(year)).select(
+        "bene_id", F.lit(None).cast("int").alias("adm_year"), "zip", F.lit(0).cast("long").alias("listed"))
+    facts = admitted.unionAll(lives).groupBy("bene_id", "adm_year", "zip").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("listed").alias("n_listed"))
+    # a row of the people table is told apart from its like: each multiplies the result
+    people = beneficiaries.select("bene_id", F.year("dob").alias("birth_year"),
+                                  F.monotonically_increasing_id().alias("person_row"))
+    counts = in_band(F.col("adm_year") - F.col("birth_year"), age_low, age_high)
+    one = Window.partitionBy("bene_id", "person_row")
+    lives_here = F.col("adm_year").isNull()
+    rows = (facts.join(people, "bene_id")
+            .where(lives_here | counts)
+            .select("adm_year", "zip", "n",
+                    F.sum(F.when(~lives_here, F.col("n"))).over(one).alias("_n"),
+                    F.sum("n_listed").over(one).alias("_l"))
+            .where(lives_here & F.col("_n").isNotNull()))
     return rows.groupBy("zip").agg(
-        F.sum(F.col("_n_adm") * F.col("_n_enr")).cast("long").alias("_admissions"),
-        F.sum(F.col("_n_listed") * F.col("_n_enr")).cast("long").alias("_listed"))
+        F.sum(F.col("_n") * F.col("n")).cast("long").alias("_admissions"),
+        F.sum(F.col("_l") * F.col("n")).cast("long").alias("_listed"))
 
 
 def diag_count_by_zip(admissions: DataFrame, beneficiaries: DataFrame,

@@ -110,3 +110,23 @@ def test_listed_admissions_by_table_do_not_shuffle(spark, tmp_path):
     write_claims(catalog.claims(spark, SF_SMALL), root)
     codes = spark.createDataFrame([("311",), ("3004",)], "code string")
     assert "Exchange" not in plan_text(rows_with_listed_code(read_claims(spark, root).admissions, codes))
+
+
+@pytest.mark.parametrize("name", ["diag_count_by_zip", "admission_count_by_zip", "diag_share_of_admissions"])
+def test_zip_counts_take_four_shuffles(spark, small_claims, tmp_path, name):
+    from dxcohort.sources.tables import read_claims, write_claims
+    from plan_summary import summarise
+    write_claims(small_claims, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(catalog.builders()[name](spark, read_claims(spark, str(tmp_path))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert summarise(text)["shuffles"] <= 4
+
+
+@pytest.mark.parametrize("name", ["code_counts_primary", "code_counts_290_319_primary", "top_codes_primary",
+                                  "top_codes_primary_in_list"])
+def test_primary_counts_explode_nothing(spark, name):
+    text = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert "Generate" not in text
