@@ -5,6 +5,12 @@ combinable, so each map task reduces its rows to one per key before the shuffle
 (partial aggregation): a person holding a third of all rows still sends one row
 per task, never their whole history to one reducer.
 
+A struct has no fixed width, so Spark sorts for this aggregate instead of hashing. Packing
+the order (day, admission id, place) into one decimal would let it hash, but measured on
+9M admissions that is no faster (2.83 s against 2.91 s) and leaves out the code, which
+would have to be joined back; with the code's number in the list packed as well it took
+4.99 s (scan and explode alone: 1.58 s).
+
 Ordering follows PostgreSQL's ``ASC`` (NULLS LAST): each order column is
 preceded by its ``IS NULL`` flag inside the struct.
 """

@@ -58,7 +58,8 @@ RANGE_LIST = "icd9"
 
 # Queries that write files (or a sorted table) while they are built.
 FILE_QUERIES = {"csv_round_trip", "run_and_export", "export_individual_records",
-                "scan_admissions", "scan_beneficiaries", "scan_enrollments", "code_list_file",
+                "scan_admissions", "scan_beneficiaries", "scan_enrollments",
+                "listed_admissions_from_files", "code_list_file",
                 "one_named_list", "parent_codes", "code_table_round_trip",
                 "disease_flags_from_file", "code_counts_order", "zip_share_order", "extract_order"}
 
@@ -236,6 +237,16 @@ def _scanned(name: str) -> Builder:
     return run
 
 
+def _listed_from_files(spark, c):
+    """Admissions with a code of a rare list, from the files that hold one."""
+    from dxcohort.session import scratch_path
+    from dxcohort.sources.tables import read_claims, write_claims
+    root, codes = scratch_path(spark, "claims"), _lists(spark)["depression"]
+    write_claims(c, root, code_summary=True)
+    found = read_claims(spark, root, codes=codes).admissions
+    return found.where(has_any("diagnosis", codes)).select("admission_id", "bene_id", "year")
+
+
 def _list_file(spark, c, own: DataFrame | None = None) -> str:
     """The lists over the data's codes (and ``own`` ones) as one double-encoded JSON file."""
     from dxcohort.session import scratch_path
@@ -479,6 +490,7 @@ def builders() -> dict[str, Builder]:
         "scan_admissions": _scanned("admissions"),
         "scan_beneficiaries": _scanned("beneficiaries"),
         "scan_enrollments": _scanned("enrollments"),
+        "listed_admissions_from_files": _listed_from_files,
         "code_list_file": _code_list_file,
         "one_named_list": _one_named_list,
         "parent_codes": _parent_codes,

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from dxcohort.plans import export
@@ -129,6 +130,52 @@ def test_jdbc_predicates_hold_every_row_once():
         assert len(got) == len(set(got)) == len(ids) * len(years)
 
 
+def test_jdbc_predicates_of_text_keys():
+    import sqlite3
+    from dxcohort.sources.tables import jdbc_predicates
+    ids = [None, "", "A", "P1", "P2", "P25", "O'Neil", "p1", "z"]
+    con = sqlite3.connect(":memory:")                      # in this process only
+    con.execute("CREATE TABLE t (bene_id TEXT COLLATE NOCASE, year)")     # not the order of the bounds
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(i, y) for i in ids for y in (None, 1999, 2000)])
+    for bounds in (["P2", "O'N"], ["P1"], ["a", "P1", "P1", "~"]):
+        predicates = jdbc_predicates(bounds, 99, [1999])
+        assert len(predicates) == 2 * (len(set(bounds)) + 1)
+        got = [r for p in predicates for r in con.execute(f"SELECT rowid FROM t WHERE {p}")]
+        assert len(got) == len(set(got)) == 3 * len(ids)
+
+
+def test_code_summary_skips_files(spark, small_claims, tmp_path):
+    from dxcohort.functions.expr import has_any
+    from dxcohort.sources.tables import read_claims, write_claims
+    a, b, e = small_claims
+    rare = a.limit(3).select("admission_id", "bene_id", "year", "admission_date",
+                             F.array(F.lit("V999"), F.lit(None)).alias("diagnosis"))
+    odd = spark.createDataFrame([(-1, 1, 1998, None, None), (-2, 1, 1998, None, []), (-3, 1, 1998, None, [None])],
+                                a.schema)
+    root = str(tmp_path / "claims")
+    write_claims(type(small_claims)(a.unionByName(rare).unionByName(odd), b, e), root, code_summary=True)
+    every = read_claims(spark, root).admissions
+
+    def read(codes):
+        return read_claims(spark, root, codes=codes).admissions
+
+    for codes in (["V999"], ["V999", "nothing"], ["2962", "29620"], ["nothing"], []):
+        want = every.where(has_any("diagnosis", codes))
+        assert rows(read(codes).where(has_any("diagnosis", codes))) == rows(want)
+    assert 0 < len(read(["V999"]).inputFiles()) < len(every.inputFiles())
+    assert read(["nothing"]).count() == 0 and read(["V999"]).columns == every.columns
+    # the year still prunes folders, and files that the summary does not know are read
+    year = rare.first()["year"]
+    assert read(["V999"]).where(F.col("year") == year).count() > 0
+    odd.withColumn("diagnosis", F.array(F.lit("V888"))).write.mode("append").partitionBy("year").parquet(
+        f"{root}/admissions")
+    assert read(["V888"]).where(has_any("diagnosis", ["V888"])).count() == 3
+    # without a summary, everything is read
+    write_claims(small_claims, str(tmp_path / "plain"))
+    plain = read_claims(spark, str(tmp_path / "plain"), codes=["V999"]).admissions
+    assert plain.count() == a.count()
+
+
 def test_partitioned_write_makes_few_files(spark, small_claims, tmp_path):
     from dxcohort.sources.tables import write_claims
     write_claims(small_claims, str(tmp_path))
