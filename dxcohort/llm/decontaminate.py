@@ -10,16 +10,18 @@ also gives the passage's end, and, run backwards, its start.
 Such short pieces hit often, so a lossless count goes before. Cut into ``k + t`` pieces of
 ``q`` characters, an item has at least ``t`` that stand unchanged in a passage, and
 their shifts (place in the text less place in the item) differ by ``k`` at most. And ``k``
-edits spoil at most ``k r`` of the item's ``m - r + 1`` runs of ``r`` characters. Items
-without ``t`` hits of neighbouring shifts in a document, or without the other runs near
-them, are not sought in it.
+edits spoil at most ``k r`` of the item's ``m - r + 1`` runs of ``r`` characters, a run that
+occurs several times counting as often as both have it. Items without ``t`` hits of
+neighbouring shifts in a document, or without the other runs near them, are not sought
+in it, and the others only there.
 
 Texts are compared as lower-case words joined by one blank. The items are a stated
 query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, each block
 is broadcast and all documents pass it; no shuffle.
 
 Defined results: null and empty texts have no passage; items without a word are
-ignored, repeated items are found each; of overlapping passages of an item the
+ignored; items so short that they have no edit budget (under 7 characters at 15 %) are found
+as whole words only; texts of any length are searched as a whole; repeated items are found each; of overlapping passages of an item the
 one with the fewest edits counts, then the first; an empty benchmark finds nothing.
 """
 
@@ -102,6 +104,16 @@ def best_passage(item: str, window: str, k: int) -> tuple[int, int, int] | None:
     return edits, start, end
 
 
+def whole_words(item: str, text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Places of ``item`` between ``low`` and ``high`` that begin and end with words."""
+    while (at := text.find(item, low, high)) >= 0:
+        low = at + len(item)
+        if text[at - 1:at] in ("", " ") and text[low:low + 1] in ("", " "):
+            yield at, low
+        else:
+            low = at + 1
+
+
 class PieceCounts:
     """Tells which items may have a passage in which texts, by hits of equal pieces."""
 
@@ -113,16 +125,19 @@ class PieceCounts:
         self.r = max(self.q - 1, 1)
         self.least = np.asarray(self.sizes, np.int64) // self.q - k
         self.slack = int(k.max(initial=0))
-        #: cells that the shifts of a passage can touch
+        #: cells that the shifts of a passage can touch; items are counted in its order
         self.cells = (k - 1) // CELL + 2
+        self.order = np.argsort(self.cells, kind="stable")
+        column = np.empty(len(items), np.int32)
+        column[self.order] = np.arange(len(items))
         self.bits = max(16, 4 + sum(len(text) // self.q for _, text, _ in items).bit_length())
-        self.runs = [np.unique(self._hashes(text, self.r)) for _, text, _ in items]
+        self.runs = [np.unique(self._hashes(text, self.r), return_counts=True) for _, text, _ in items]
         pieces = [self._hashes(text, self.q)[::self.q] for _, text, _ in items]
         hashed = np.concatenate([*pieces, np.empty(0, np.int64)]).astype(np.int64)
         ordered = np.argsort(hashed, kind="stable")
-        self.owner = np.repeat(np.arange(len(items)), [len(p) for p in pieces])[ordered]
+        self.owner = np.repeat(column, [len(p) for p in pieces])[ordered]
         place = np.concatenate([*(np.arange(len(p)) * self.q for p in pieces), np.empty(0, np.int64)])
-        self.place = place.astype(np.int64)[ordered]
+        self.place = place.astype(np.int32)[ordered]
         self.reach = int(self.place.max(initial=0))
         self.first = np.searchsorted(hashed[ordered], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
@@ -149,7 +164,12 @@ class PieceCounts:
         joined = "\0".join(texts)
         hashes = self._hashes(joined, self.q)
         items, most = len(self.least), int(self.cells[counted].max())
-        groups = [(int(n), counted[self.cells[counted] == n]) for n in np.unique(self.cells[counted])]
+        # columns of the items that touch as many cells, which more hits suffice for (all, if none does)
+        cells, least = self.cells[self.order], self.least[self.order]
+        enough = np.where(least > 0, least, np.iinfo(np.int32).max).astype(np.int32)
+        top = int(self.least.max())
+        counter = np.uint8 if top * most < 256 else np.int32
+        groups = [(int(n), *np.searchsorted(cells, [n, n + 1]).tolist()) for n in np.unique(cells)]
         step = max(COUNTERS // items, most, self.reach // CELL)
         for low in range(-self.reach - CELL, len(hashes), step * CELL):
             # the shifts from low on, of this step's cells and those that may follow
@@ -158,22 +178,30 @@ class PieceCounts:
             part = hashes[begin:max(low + rows * CELL + self.reach, 0)]
             first = self.first[part]
             number = self.first[part + 1] - first
-            hit = np.flatnonzero(number)
+            hit = np.flatnonzero(number).astype(np.int32)
             first, number = first[hit], number[hit]
-            ends = np.cumsum(number)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - number), number)
-            cell = (np.repeat(hit + (begin - low), number) - self.place[at]) // CELL
+            ends = np.cumsum(number, dtype=np.int32)
+            at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+            at += np.repeat(first - (ends - number), number)
+            shifts = np.repeat(hit + np.int32(begin - low), number)
+            shifts -= self.place[at]
+            cell = shifts // np.int32(CELL)
             inside = (cell >= 0) & (cell < rows)
-            table = np.bincount(cell[inside] * items + self.owner[at[inside]],
-                                minlength=rows * items).astype(np.int32).reshape(rows, items)
-            for n, same in groups:
-                own = table[:, same]
-                shared = sum(own[i:i + step] for i in range(n))
-                found = np.argwhere(shared >= self.least[same])
-                shift = low + found[:, 0] * CELL
+            table = np.bincount(cell[inside] * np.int32(items) + self.owner[at[inside]],
+                                minlength=rows * items)
+            # more hits than any item needs count as that many
+            table = np.minimum(table, top).astype(counter).reshape(rows, items)
+            for n, left, right in groups:
+                shared = table[:step, left:right].copy()
+                for i in range(1, n):
+                    shared += table[i:i + step, left:right]
+                found = np.flatnonzero(shared >= enough[left:right])
+                found, item = np.divmod(found, max(right - left, 1))
+                shift = low + found * CELL
                 from_ = np.searchsorted(starts, np.maximum(shift - self.slack, 0), "right") - 1
                 to = np.searchsorted(starts, shift + n * CELL + self.slack, "right")
-                for a, b, c, i in zip(from_.tolist(), to.tolist(), shift.tolist(), same[found[:, 1]].tolist()):
+                same = self.order[left:right]
+                for a, b, c, i in zip(from_.tolist(), to.tolist(), shift.tolist(), same[item].tolist()):
                     for d in range(a, min(b, len(texts))):
                         near.setdefault((d, i), []).append(c)
         runs = self._hashes(joined, self.r)
@@ -185,10 +213,10 @@ class PieceCounts:
 
     def _near(self, hashes: np.ndarray, i: int, shifts: list[int], begin: int, end: int
               ) -> Iterator[tuple[int, int]]:
-        """Places from ``begin`` to ``end`` around the shifts, overlapping ones joined, where a
-        passage's length shares enough runs."""
-        m, k, runs = self.sizes[i], self.budgets[i], self.runs[i]
-        least, width = m - self.r + 1 - k * self.r, m + k - self.r + 1
+        """Places from ``begin`` to ``end`` around the shifts, overlapping ones joined, that
+        share enough runs."""
+        m, k = self.sizes[i], self.budgets[i]
+        least = m - self.r + 1 - k * self.r
         after = int(self.cells[i]) * CELL + m + 2 * k
         regions: list[tuple[int, int]] = []
         for shift in sorted(shifts):
@@ -197,14 +225,29 @@ class PieceCounts:
                 regions[-1] = (regions[-1][0], max(high, regions[-1][1]))
             elif low < high:
                 regions.append((low, high))
-        for low, high in regions:
-            part = hashes[low:high]
-            sums = np.cumsum(runs[np.minimum(np.searchsorted(runs, part), len(runs) - 1)] == part)
-            if least <= 0 or len(sums) and (sums[-1] >= least and (
-                    len(sums) <= width or sums[width - 1] >= least
-                    or (sums[width:] - sums[:-width]).max() >= least)):
+        for region in regions:
+            kept = [(low, high) for low, high in self._overlapping(*region, m + k)
+                    if least <= 0 or self._shared(hashes[low:high], i) >= least]
+            while kept:
+                low, high = kept.pop(0)
+                while kept and kept[0][0] <= high:
+                    high = kept.pop(0)[1]
                 yield low, high
 
+    @staticmethod
+    def _overlapping(low: int, high: int, longest: int) -> Iterator[tuple[int, int]]:
+        """Parts of a region, each passage of at most ``longest`` characters whole in one."""
+        while high - low > 3 * longest:
+            yield low, low + 2 * longest
+            low += longest
+        yield low, high
+
+    def _shared(self, hashes: np.ndarray, i: int) -> int:
+        """Runs that the item and a part of the text have in common, each as often as both."""
+        runs, times = self.runs[i]
+        at = np.minimum(np.searchsorted(runs, hashes), len(runs) - 1)
+        return int(np.minimum(np.bincount(at[runs[at] == hashes], minlength=len(runs)), times).sum())
+
 
 class Matcher:
     """Finds the passages of a block of items in a document."""
@@ -226,21 +269,26 @@ class Matcher:
     def windows(self, text: str, among: dict[int, list[tuple[int, int]]] | None = None
                 ) -> Iterator[tuple[int, int, int]]:
         """(item, start, end): windows around piece hits, overlapping ones joined; of all items,
-        or those that meet the places ``among``."""
-        for i, low, high in self._joined(text, among):
-            if among is None or any(a < high and low < b for a, b in among[i]):
-                yield i, low, high
-
-    def _joined(self, text: str, among: dict[int, list[tuple[int, int]]] | None
+        or those ``among``, within the places where alone a passage can be."""
+        whole = [(0, len(text))]
+        anywhere = {i for i, places in among.items() if places == whole} if among is not None else None
+        if anywhere is None or anywhere:
+            yield from self._joined(text, 0, len(text), anywhere)
+        for i, places in (among or {}).items():
+            if i not in anywhere:
+                for low, high in places:
+                    yield from self._joined(text, low, high, {i})
+
+    def _joined(self, text: str, first: int, last: int, only: set[int] | None
                 ) -> Iterator[tuple[int, int, int]]:
         spans: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, where) in self.automaton.iter(text):
+        for end, (size, where) in self.automaton.iter(text, first, last):
             for i, offset in where:
-                if among is not None and i not in among:
+                if only is not None and i not in only:
                     continue
                 _, item, k = self.items[i]
                 begin = end + 1 - size - offset
-                spans.setdefault(i, []).append((max(0, begin - k), min(len(text), begin + len(item) + k)))
+                spans.setdefault(i, []).append((max(first, begin - k), min(last, begin + len(item) + k)))
         for i, found in spans.items():
             found.sort()
             low, high = found[0]
@@ -271,7 +319,9 @@ class Matcher:
             return
         for i, low, high in self.windows(text, among):
             item_id, item, k = self.items[i]
-            todo = [(low, high)]
+            todo = [(low, high)] if k else []
+            for a, b in whole_words(item, text, low, high) if not k else ():
+                yield item_id, 0, k, a, b
             while todo:  # the best passage, then what lies before and after it
                 a, b = todo.pop()
                 best = best_passage(item, text[a:b], k) if b - a >= len(item) - k else None

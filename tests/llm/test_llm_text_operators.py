@@ -343,10 +343,47 @@ def test_piece_counts_lose_no_passage(monkeypatch, counters):
     matcher = decontaminate.Matcher(items)
     got = [sorted(found) for found in matcher.passages_of(texts)]
     assert got == [sorted(matcher.passages(t)) for t in texts]
-    assert all(any(f[0] == i for f in found) for (i, _), found in zip(items * 6, got[2:]))
+    assert all(any(f[0] == i for f in found) for (i, item), found in zip(items * 6, got[2:])
+               if decontaminate.budget(len(item)))
     assert any(len(p) < len(items) for p in matcher.counts.possible(texts))
 
 
+def test_items_without_budget_match_whole_words(spark):
+    items = ["no", "yes", "a b", "tiny"]
+    texts = ["another eyeshadow", "oh no", "No!", "yes yes no", "a bc ca b", "x a  b y", "tiny", "atiny tinyb", "",
+             "noyes " * 50 + "yes"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        words = decontaminate.normalise(t).split()
+        for j, item in enumerate(items):
+            n = len(item.split())
+            want += [(i, j)] * sum(words[k:k + n] == item.split() for k in range(len(words)))
+    assert collected(decontaminate.contaminated_spans(d, b), "doc_id", "item_id") == sorted(want)
+    assert collected(decontaminate.decontaminated(d, b), "doc_id") == [(0,), (4,), (7,), (8,)]
+
+
+def test_decontamination_of_awkward_rows(spark):
+    docs = documents(spark)
+    long = max((r[1] for r in rows() if r[1]), key=len)
+    items = [" ".join(long.split()[-30:]), rows()[0][1], None]
+    b = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    want = set()
+    for r in rows():
+        t = decontaminate.normalise(r[1] or "")
+        for i, item in enumerate(items):
+            p = decontaminate.normalise(item or "")
+            if p and (p in t or len(t) < 2000 and edit_distance_to_substring(p, t) <= decontaminate.budget(len(p))):
+                want.add((r[0], i))
+    got = decontaminate.contaminated_spans(docs, b)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and want
+    clean = decontaminate.decontaminated(docs, b)
+    assert clean.columns == docs.columns
+    assert collected(clean) == sorted((tuple(r) for r in docs.collect() if r["doc_id"] not in {d for d, _ in want}
+                                       or r["text"] == "another text of the same identifier"), key=repr)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (10,))
     d = spark.createDataFrame([(1, "x one two three four five y"), (2, "six seven eight nine")],
