@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import remove_folder
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,15 +25,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, spent: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives
-    the loss of any executor."""
+    the loss of any executor. The folder's name is added to ``spent``, for ``discard``."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if spent is not None:
+        spent.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A working column's name that no column of the caller has (Spark ignores case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def discard(spark: SparkSession, spent: list[str]) -> None:
+    """Remove written tables that no later step reads."""
+    while spent:
+        remove_folder(spark, spent.pop())
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -49,10 +66,11 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Returns ``(node, root)`` for every node that has a link; ``root`` is the
     smallest id of its component, itself included.
     """
+    spark, spent = links.sparkSession, []
     edges = written(links.select(F.col(left).cast("long").alias("u"),
                                  F.col(right).cast("long").alias("v"))
                     .where("u is not null and v is not null and u <> v").distinct(),
-                    "links")
+                    "links", spent)
 
     def sign(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -66,14 +84,17 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         # large star: link every larger neighbour to the smallest one
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
                  .where("u <> v").distinct())
-        large = written(large, "large")
+        large = written(large, "large", spent)
         # small star: every smaller neighbour, and the node, to the smallest one
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small_low = down.groupBy("u").agg(F.min("v").alias("_m"))
         small = (down.join(small_low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
                  .unionByName(small_low.select("u", F.col("_m").alias("v")))
                  .where("u <> v").distinct())
-        edges = written(small, "small")
+        last: list[str] = []
+        edges = written(small, "small", last)
+        discard(spark, spent)
+        spent = last
         after = sign(edges)
         if after == before:
             break
@@ -82,4 +103,4 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["SPACE", "UPPER", "LOWER", "table", "scratch", "written", "text_of", "components"]
+__all__ = ["SPACE", "UPPER", "LOWER", "table", "scratch", "written", "fresh", "discard", "text_of", "components"]

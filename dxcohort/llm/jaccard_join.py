@@ -14,6 +14,9 @@ are first reduced to one representative, their smallest id.
 * **The boundary** is the size with the least cost on a sample: subsets enumerated
   below it against inverted-list entries scanned above it.
 
+Before any list is made, keys that only one set has are taken out: chunks of sets send
+their sorted keys, packed, to hash partitions, which answer with a bit for each key.
+
 The order of shingles may be any, for right results; frequent shingles are put
 last as far as a sample shows them. Lists are scanned without emitting all
 pairs: every member is first held against one leader of its list and size class,
@@ -25,8 +28,9 @@ shingle), and are verified on the whole texts; no link between different compone
 
 Defined results: null and empty texts have no shingles and link with nothing, not
 even each other; a text of one to three words is one shingle; rows with the same
-``doc_id`` are one node, rows with a null ``doc_id`` are counted but not linked
-(their component is null); an empty table gives an empty result.
+``doc_id`` are one node, which has the links of each of its texts; rows with a null
+``doc_id`` are counted but not linked (their component is null); an empty table gives an
+empty result; other columns, whatever their names, are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, text_of, written
+from .common import components, discard, text_of, written
 
 WIDTH = 4
 PERCENT = 85
@@ -52,6 +56,8 @@ FREQUENT = 500_000
 MAX_LIGHT = 20
 #: Identifiers whose texts are fetched by a broadcast join (8 MB); more by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of keys in a chunk of sets and in a hash partition.
+CHUNK_BYTES = 6 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,13 +151,19 @@ def _learn(docs: DataFrame, percent: int) -> tuple[int, np.ndarray]:
         for batch in batches:
             yield pd.DataFrame({"b": [batch["key"].to_numpy(dtype=np.int64).tobytes()]})
 
-    sample = written(texts.mapInPandas(sets, "n int, keys array<long>"), "sample")
+    spent: list[str] = []
+    sample = written(texts.mapInPandas(sets, "n int, keys array<long>"), "sample", spent)
     counts = sample.select(F.explode("keys").alias("key")).groupBy("key").count()
-    often = counts.where("count >= 3").orderBy(F.col("count").desc(), "key").limit(FREQUENT)
+    several = written(counts.where("count > 1"), "counts", spent)
+    often = several.where("count >= 3").orderBy(F.col("count").desc(), "key").limit(FREQUENT)
     raw = b"".join(r[0] for r in often.select("key").mapInPandas(packed, "b binary").collect())
     sizes = {r[0]: r[1] for r in sample.groupBy(F.least("n", F.lit(MAX_LIGHT + 1))).count().collect()}
-    mean = counts.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0]
-    return choose_boundary(sizes, float(mean or 1.0), percent), np.sort(np.frombuffer(raw, np.uint64))
+    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside, square = several.agg(F.coalesce(F.sum("count"), F.lit(0)),
+                                 F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()
+    mean = (square + total - inside) / total if total else 1.0  # length of the list of a shingle met at random
+    discard(docs.sparkSession, spent)
+    return choose_boundary(sizes, float(mean), percent), np.sort(np.frombuffer(raw, np.uint64))
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -189,13 +201,14 @@ def _promising(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(check, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the whole texts; only texts of pairs are moved."""
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, spent: list[str]) -> DataFrame:
+    """The pairs (a, b) that link, by the whole texts (of a repeated id, by any of its
+    texts); only texts of pairs are moved."""
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(
-        pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        pairs.select(F.col("b").alias("id"))).distinct(), "ids", spent)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = written(docs.select("doc_id", text_of().alias("_text")).join(
-        wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+        wanted, F.col("doc_id") == F.col("id"), "left_semi").distinct(), "texts", spent)
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("_tb")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("_ta")), "a"))
 
@@ -212,13 +225,108 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * union)
             yield batch.loc[keep, ["a", "b"]]
 
-    return written(both.select("a", "b", "_ta", "_tb").mapInPandas(check, "a long, b long"), "links")
+    return written(both.select("a", "b", "_ta", "_tb").mapInPandas(check, "a long, b long"), "links", spent)
+
+
+MET = "key long, rep long, n long, place long, met long"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones: the high ones of differences are mostly 0."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+class _Keys:
+    """The distinct keys of a chunk of sets, by hash partition, and where each set has them."""
+
+    def __init__(self, rows: pd.DataFrame, gone: pd.DataFrame, parts: int):
+        rows = rows[~rows["_row"].isin(gone["_row"])]
+        self.rows, self.parts = rows, parts
+        self.sizes = np.asarray([len(k) for k in rows["keys"]], np.int64)
+        flat = np.concatenate([*rows["keys"], np.empty(0, np.int64)]).astype(np.int64)
+        keys, self.at, count = np.unique(flat.view(np.uint64), return_inverse=True, return_counts=True)
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
+        self.keys, self.twice, self.flat = keys[self.order], count[self.order] > 1, flat
+
+    def slices(self) -> pd.DataFrame:
+        found = [(i, a, b) for i, (a, b) in enumerate(zip([0, *self.ends[:-1]], self.ends)) if a < b]
+        apart = self.keys // np.uint64(self.parts)
+        return pd.DataFrame({
+            "_part": np.array([i for i, *_ in found], "int32"),
+            "_keys": [_packed(np.diff(apart[a:b], prepend=np.uint64(0))) for _, a, b in found],
+            "_twice": [np.packbits(self.twice[a:b]).tobytes() for _, a, b in found]})
+
+    def met(self, told: pd.DataFrame) -> pd.DataFrame:
+        """The entries whose key another set has, too."""
+        known = np.zeros(len(self.keys), bool)
+        for part, bits in zip(told["_part"], told["_bits"]):
+            a, b = ([0, *self.ends])[int(part)], self.ends[int(part)]
+            known[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        hit = np.flatnonzero(known[self.at])
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        mine, light = owner[hit], self.rows["light"].to_numpy(dtype=np.int64)
+        return pd.DataFrame({
+            "key": self.flat[hit], "rep": self.rows["rep"].to_numpy(dtype=np.int64)[mine],
+            "n": self.rows["n"].to_numpy(dtype=np.int64)[mine],
+            "place": hit - first[mine] - light[mine],
+            "met": np.bincount(mine, minlength=len(self.sizes))[mine]})
+
+
+def shared_entries(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, rep, n, place, met): the keys of each set that another set has as well, their
+    place in the set's order (negative for subset hashes), and how many of them the set has.
+
+    ``sets`` holds (_row, rep, n, keys, light); rows of ``copies`` (_row) are left out. Each
+    set is moved once, to a chunk; a key leaves a chunk once.
+    """
+    least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sets.agg(F.coalesce(F.sum(8 * F.size("keys")), F.lit(0))).first()[0]
+    parts = max(least, -(-size // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_chunk")
+    chunks = sets.select("_row", "rep", "n", "keys", "light", chunk).groupBy("_chunk")
+    gone = copies.select("_row", chunk)
+
+    def ask(rows: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=["_chunk", "_part", "_keys", "_twice"])
+        return _Keys(rows, gone, parts).slices().assign(_chunk=rows["_chunk"].iloc[0])
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in rows["_keys"]]
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(k))
+                                for t, k in zip(rows["_twice"], keys)])
+        table, at = np.unique(np.concatenate(keys), return_inverse=True)
+        several = (np.bincount(at, weights=1 + twice, minlength=len(table)) > 1)[at]
+        return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"], "_bits": [
+            np.packbits(several[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]})
+
+    def tell(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=["key", "rep", "n", "place", "met"])
+        told = side["_part"].notna()
+        return _Keys(rows, side[~told], parts).met(side[told])
+
+    asked = chunks.cogroup(gone.groupBy("_chunk")).applyInPandas(
+        ask, "_chunk int, _part int, _keys binary, _twice binary")
+    told = asked.groupBy("_part").applyInPandas(join, "_chunk int, _part int, _bits binary")
+    side = told.withColumn("_row", F.lit(None).cast("long")).unionByName(gone.select(
+        "_chunk", "_row", F.lit(None).cast("int").alias("_part"), F.lit(None).cast("binary").alias("_bits")))
+    return chunks.cogroup(side.groupBy("_chunk")).applyInPandas(tell, MET)
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    spark, spent = docs.sparkSession, []
     boundary, frequent = _learn(docs, percent)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,41 +339,39 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 keys.append(signature.view(np.int64))
                 light.append(subset_keys)
                 bits.append(bitmap(found))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n,
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "_row": batch["_row"], "n": n,
                                 "digest": digest, "keys": keys, "light": light, "bits": bits})
 
-    sets = written(docs.select("doc_id", text_of().alias("_text")).mapInPandas(
-        describe, "doc_id long, n long, digest binary, keys array<long>, light int, bits binary"),
+    # a row's number is fixed once the table is written
+    sets = written(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("_row"),
+                               text_of().alias("_text")).mapInPandas(
+        describe, "doc_id long, _row long, n long, digest binary, keys array<long>, light int, bits binary"),
         "sets")
     known = sets.where("doc_id is not null and n > 0")
-    # one representative of each set; copies are links to it
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = written(known.select("doc_id", "digest").join(firsts, "digest")
-                      .select("doc_id", "rep"), "members")
-    copies = members.where("doc_id <> rep")
-    reps = known.join(copies.select("doc_id").distinct(), "doc_id", "left_anti") \
-        .withColumnRenamed("doc_id", "rep")
-    # place: of the key in the set's order; negative for subset hashes
-    entries = reps.select("rep", "n", "light", F.posexplode_outer("keys").alias("_p", "key")) \
-        .select("rep", "n", (F.col("_p") - F.col("light")).alias("place"), "key")
-    lists = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")) \
-        .where("lo <> hi").select("key")
-    met = written(entries.join(lists, "key"), "lists")
-    maps = reps.select("rep", "n", "bits")
-
-    # first: every member against the leader of its list and size class
-    size = F.floor(F.log("n") / float(np.log(100 / percent)))
-    share = met.groupBy("rep").agg(F.count("*").alias("met"))
-    classed = met.join(share, "rep").withColumn("size", size)
-    leaders = classed.groupBy("key", "size").agg(
-        F.max(F.struct("met", (-F.col("rep")).alias("_o"), "rep", "n", "place")).alias("_l"))
-    stars = (classed.join(leaders, ["key", "size"]).where("rep <> _l.rep")
+    # one representative row of each set; the others are links to it
+    groups = written(known.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_rows"))
+        .where("_rows > 1").select("digest", F.col("_keep.doc_id").alias("rep"),
+                                   F.col("_keep._row").alias("_kept")), "groups", spent)
+    copies = written(known.select("doc_id", "_row", "digest").join(groups, "digest")
+                     .where("_row <> _kept").select("_row", "doc_id", "rep"), "copies", spent)
+    met = written(shared_entries(known.withColumnRenamed("doc_id", "rep"), copies).withColumn(
+        "size", F.floor(F.log("n") / float(np.log(100 / percent)))), "lists", spent)
+    maps = known.select(F.col("doc_id").alias("rep"), "n", "bits")
+
+    # first: every member against the leader of its list and size class (keys from an
+    # aggregate, so the join shuffles both sides and a long list can be split)
+    leaders = met.groupBy("key", "size").agg(
+        F.max(F.struct("met", (-F.col("rep")).alias("_o"), "rep", "n", "place")).alias("_l"),
+        F.max("key").alias("_key"), F.max("size").alias("_size")).drop("key", "size")
+    stars = (met.join(leaders, (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")))
+             .where("rep <> _l.rep")
              .where(_may_link("n", "place", "_l.n", "_l.place", percent))
              .select(F.least("rep", "_l.rep").alias("a"), F.greatest("rep", "_l.rep").alias("b"))
              .distinct())
-    stars = written(_promising(stars, maps, percent), "stars")
-    linked = _verify(stars, docs, percent)
-    same_set = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    stars = written(_promising(stars, maps, percent).distinct(), "stars", spent)
+    linked = _verify(stars, docs, percent, spent)
+    same_set = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = components(linked.unionByName(same_set))
 
     # then: members of lists that still hold several components
@@ -273,17 +379,19 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "key", "rep", "n", "place", F.coalesce("root", "rep").alias("root"))
     open_lists = parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")) \
         .where("lo <> hi").select("key")
-    rest = written(parted.join(open_lists, "key"), "open")
+    rest = written(parted.join(open_lists, "key"), "open", spent)
     other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"),
                         F.col("place").alias("pb"), F.col("root").alias("rb"))
     pairs = (rest.join(other, "key").where("rep < b and root <> rb")
              .where(_may_link("n", "place", "nb", "pb", percent))
              .select(F.col("rep").alias("a"), "b").distinct())
-    more = written(_promising(pairs, maps, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(_promising(pairs, maps, percent).distinct().join(stars, ["a", "b"], "left_anti"),
+                   "pairs", spent)
     last = first
     if not more.isEmpty():
         last = components(first.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                          .unionByName(_verify(more, docs, percent)))
+                          .unionByName(_verify(more, docs, percent, spent)))
+    discard(spark, spent)
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(
         last, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
@@ -303,7 +411,20 @@ def _may_link(n: str, p: str, m: str, q: str, percent: int) -> Column:
 
 
 def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, with all columns."""
-    dropped = jaccard_classes(docs, percent).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` that are the smallest of their component, with all columns.
+
+    Each text is judged by itself: texts that share a ``doc_id`` are documents of their own
+    here, which come after those with an id to themselves; rows alike in both stay or go
+    together. Rows without an id or without a word stay.
+    """
+    spent: list[str] = []
+    repeated = written(docs.groupBy(F.col("doc_id").cast("long").alias("id")).count()
+                       .where("id is not null and count > 1").select("id"), "repeated", spent)
+    own = F.lit(1 << 62) + F.xxhash64("r.doc_id", text_of("r.text")).bitwiseAND(F.lit((1 << 61) - 1))
+    rows = docs.select(F.struct("*").alias("r")).join(
+        repeated, F.col("r.doc_id").cast("long") == F.col("id"), "left").select(
+        "r", F.when(F.col("id").isNull(), F.col("r.doc_id").cast("long")).otherwise(own).alias("node"))
+    classes = jaccard_classes(rows.select(F.col("node").alias("doc_id"), F.col("r.text").alias("text")), percent)
+    dropped = written(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(),
+                      "dropped")
+    return rows.join(dropped, F.col("node") == F.col("gone"), "left_anti").select("r.*")
