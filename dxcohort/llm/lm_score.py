@@ -11,24 +11,34 @@ and a document's score is the sum of ``ln S`` over its words. It is computed as
 relations, in packed form: a row holds the sorted n-gram hashes of one chunk of
 documents and one hash partition, as differences with their bytes by rank.
 
-1. Documents are spread over chunks by a hash; each chunk counts its n-grams
-   (so a frequent n-gram leaves a chunk once, whatever its frequency);
+1. Documents are packed where they are read (compressed, ``PACK_BYTES`` at a time) and the
+   packs spread over chunks; each chunk counts its n-grams (so a frequent n-gram leaves
+   a chunk once, whatever its frequency);
 2. the counts are partitioned by n-gram hash; a partition sums them: the n-gram count
    tables; it joins them back to the n-grams of each chunk;
-3. every chunk meets its joined counts and sums the scores per document.
+3. words and pairs go first. A longer n-gram is only sent where other documents hold both
+   n-grams of one word less, without which none can hold it: a third of the trigrams;
+4. every chunk meets its joined counts and sums the scores per document.
 
-Partitions and chunks grow in number with the text, not in size. Hashes have 64 bits.
+Partitions and chunks grow in number with the text, not in size. A chunk sends only the
+slices of it that hold an n-gram, so there are never more rows than n-grams, and far fewer
+while a chunk has more n-grams than there are partitions. Hashes have 64 bits.
 
 Defined results: null and empty texts have no words, score 0 and a null mean; repeated
 rows are documents of their own and so know each other's n-grams; a sole document knows
-nothing (N = 0); an empty table gives an empty result.
+nothing (N = 0); an empty table gives an empty result; other columns, whatever their names,
+are not read. A text longer than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +46,11 @@ from .common import text_of
 
 ORDER = 2
 ALPHA = 0.4
-#: Bytes of text in a chunk, and n-grams of a chunk's worth in a hash partition.
-CHUNK_BYTES = 12 << 20
+#: Bytes of text in a chunk, of text whose n-grams one hash partition holds, and in a pack.
+CHUNK_BYTES = 6 << 20
+PART_BYTES = 8 << 20
+PACK_BYTES = 512 << 10
+LEVEL = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: The key under which the number of words is counted.
 TOTAL = np.uint64(0)
@@ -49,16 +62,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: bytes | str) -> list[bytes]:
     """Lower-case (A-Z) words between ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    return (text.encode("utf-8") if isinstance(text, str) else text).lower().split()
 
 
 class Grams:
     """All n-grams of some texts: per order, the hash at each position (0 where a
     document's first words have no such n-gram)."""
 
-    def __init__(self, texts: list[str], order: int):
+    def __init__(self, texts: list[bytes], order: int):
         hashes, sizes = [], []
         for text in texts:
             words = words_of(text)
@@ -79,11 +92,67 @@ class Grams:
                 level[1:] = np.where(self.place[1:] >= n - 1, joined, np.uint64(0))
             self.levels.append(level)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes and their numbers; the number of words under TOTAL."""
-        every = np.concatenate([level[level != 0] for level in self.levels])
-        keys, number = np.unique(every, return_counts=True)
-        return np.concatenate([[TOTAL], keys]), np.concatenate([[self.sizes.sum()], number])
+    def numbered(self, orders: range, where: list[np.ndarray]
+                 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Distinct hashes of the n-grams at the places ``where`` (by order) and their numbers;
+        per order and position, which one it is (-1 for none), and how often it stands in
+        its document."""
+        keys, at, count = np.unique(np.concatenate([self.levels[n - 1][h] for n, h in zip(orders, where)]),
+                                    return_inverse=True, return_counts=True)
+        which, own, begin = [], [], 0
+        for held in where:
+            number, times = np.full(len(self.doc), -1), np.ones(len(self.doc), np.int64)
+            number[held] = at[begin:begin + len(held)]
+            begin += len(held)
+            # an n-gram that the chunk holds once stands once in its document
+            several = held[count[number[held]] > 1]
+            _, back, n = np.unique(number[several] * np.int64(len(self.sizes)) + self.doc[several],
+                                   return_inverse=True, return_counts=True)
+            times[several] = n[back]
+            which.append(number)
+            own.append(times)
+        return keys, count, which, own
+
+
+class Rounds:
+    """What a chunk asks and knows, round by round: words and pairs first, then one order each.
+
+    ``keys`` and ``counts`` are the hashes that this round asks for, sorted (the first round has
+    TOTAL in front; none are left after the last one); ``rest`` holds, per order known so far,
+    the count in other documents at each position, and ``words`` the number of all words.
+    """
+
+    def __init__(self, grams: Grams, order: int):
+        self.grams, self.order = grams, order
+        self.rest: list[np.ndarray] = []
+        self.words = 0.0
+        self._prepare(range(1, min(2, order) + 1))
+        self.keys = np.concatenate([[TOTAL], self.keys])
+        self.counts = np.concatenate([[grams.sizes.sum()], self.counts])
+
+    def _prepare(self, orders: range) -> None:
+        levels = [self.grams.levels[n - 1] for n in orders]
+        where = [np.flatnonzero(level) for level in levels]
+        if orders[0] > 1:
+            before = self.rest[-1] > 0
+            where = [np.flatnonzero(before[1:] & before[:-1] & (levels[0][1:] != 0)) + 1]
+        self.keys, self.counts, self._which, self._own = self.grams.numbered(orders, where)
+
+    def answer(self, total: np.ndarray) -> None:
+        """Take the joined counts of ``keys``, and go on to the next round that asks for any."""
+        if not self.rest:
+            self.words, total = float(total[0]), total[1:]
+        while True:
+            total = np.append(total, 0)
+            self.rest += [np.where(at >= 0, total[at] - times, 0)
+                          for at, times in zip(self._which, self._own)]
+            if len(self.rest) == self.order:
+                self.keys = self.keys[:0]
+                return
+            self._prepare(range(len(self.rest) + 1, len(self.rest) + 2))
+            if len(self.keys):
+                return
+            total = np.empty(0, np.int64)
 
 
 def _by_partition(keys: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,71 +171,120 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def document_scores(grams: Grams, keys: np.ndarray, total: np.ndarray,
-                    alpha: float = ALPHA) -> np.ndarray:
-    """The sum of ln S of every document, with its own n-grams taken off."""
-    documents = len(grams.sizes)
-    others = float(total[0]) - grams.sizes[grams.doc]
-    rest = []  # per order: count in other documents at each position
-    for level in grams.levels:
-        at = np.searchsorted(keys, level)
-        pair, back, own = np.unique(grams.doc * np.int64(len(keys)) + at, return_inverse=True,
-                                    return_counts=True)
-        rest.append(np.where(level != 0, total[at] - own[back], 0))
+def document_scores(rounds: Rounds, alpha: float = ALPHA) -> np.ndarray:
+    """The sum of ln S of every document, from the counts in all others."""
+    grams, rest = rounds.grams, rounds.rest
+    others = rounds.words - grams.sizes[grams.doc]
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(rest[0] > 0, rest[0] / np.maximum(others, 1), 1 / (others + 1))
         for n in range(1, len(rest)):
             context = np.concatenate([[0], rest[n - 1][:-1]])
             score = np.where(rest[n] > 0, rest[n] / np.maximum(context, 1),
                              np.where(grams.place >= n, alpha, 1.0) * score)
-        return np.bincount(grams.doc, weights=np.log(score), minlength=documents)
+        return np.bincount(grams.doc, weights=np.log(score), minlength=len(grams.sizes))
+
+
+_PACKS = pa.schema([("_pack", pa.int64()), ("_ids", pa.list_(pa.int64())),
+                    ("_sizes", pa.list_(pa.int32())), ("_texts", pa.binary())])
+
+
+def packs(texts: DataFrame) -> DataFrame:
+    """Documents in compressed packs of about ``PACK_BYTES``, made where they are read."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, held, size = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            raw = b"".join(held)
+            number = xxhash.xxh3_64_intdigest(raw, seed=len(ids)) >> 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, f.type) for x, f in zip(
+                    ([number], [ids], [sizes], [zstandard.ZstdCompressor(level=LEVEL).compress(raw)]), _PACKS)],
+                schema=_PACKS)
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()):
+                raw = text.encode("utf-8")
+                if held and size + len(raw) > PACK_BYTES:
+                    yield row()
+                    ids, sizes, held, size = [], [], [], 0
+                ids.append(doc)
+                sizes.append(len(raw))
+                held.append(raw)
+                size += len(raw)
+        if held:
+            yield row()
+
+    return texts.mapInArrow(pack, "_pack long, _ids array<long>, _sizes array<int>, _texts binary")
+
+
+def _unpack(rows: pd.DataFrame) -> Iterator[bytes]:
+    """The texts of some packs, in the order of the packs' contents."""
+    for sizes, raw in zip(rows["_sizes"], rows["_texts"]):
+        raw, at = zstandard.ZstdDecompressor().decompress(raw), 0
+        for size in sizes:
+            yield raw[at:at + size]
+            at += size
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score for every row."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", text_of().alias("_text"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("_text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
-    chunks = texts.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(parts)).cast("int")) \
-        .repartition(parts, "_chunk")
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, number = Grams(rows["_text"].tolist(), order).counts()
-        ordered, ends = _by_partition(keys, parts)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number, parts = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // PART_BYTES))
+    chunks = packs(texts).withColumn("_chunk", F.pmod("_pack", F.lit(number)).cast("int")) \
+        .repartition(number, "_chunk")
+
+    def rounds_of(rows: pd.DataFrame, joined: pd.DataFrame) -> Rounds:
+        """A chunk's rounds after those that are joined."""
+        rounds = Rounds(Grams(list(_unpack(rows)), order), order)
+        for _, answer in joined.sort_values(["_round", "_part"]).groupby("_round"):
+            ordered, _ = _by_partition(rounds.keys, parts)
+            total = np.empty(len(ordered), np.int64)
+            total[ordered] = np.concatenate([_unpacked(t, "<u8") for t in answer["_total"]])
+            rounds.answer(total)
+        return rounds
+
+    def ask(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
+        rounds = rounds_of(rows, joined)
+        ordered, ends = _by_partition(rounds.keys, parts)
         # in a partition, keys differ by multiples of parts
-        keys, number = keys[ordered] // np.uint64(parts), number[ordered].astype("<u4")
-        starts = [0, *ends[:-1]]
+        keys, times = rounds.keys[ordered] // np.uint64(parts), rounds.counts[ordered].astype("<u4")
+        slices = [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if a < b]
         return pd.DataFrame({
-            "_part": np.arange(parts, dtype="int32"), "_chunk": np.int32(key[0]),
-            "_keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)],
-            "_number": [_packed(number[a:b]) for a, b in zip(starts, ends)]})
+            "_part": np.array([i for i, *_ in slices], "int32"), "_chunk": np.int32(rows["_chunk"].iloc[0]),
+            "_keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in slices],
+            "_number": [_packed(times[a:b]) for _, a, b in slices]})
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64) for k in rows["_keys"]]
-        number = np.concatenate([_unpacked(c, "<u4") for c in rows["_number"]])
-        table, back = np.unique(np.concatenate(keys), return_inverse=True)  # the count table
-        total = np.bincount(back, weights=number, minlength=len(table)).astype("<u8")[back]
+        times = np.concatenate([_unpacked(c, "<u4") for c in rows["_number"]])
         ends = np.cumsum([len(k) for k in keys])
+        table, back = np.unique(np.concatenate(keys), return_inverse=True)  # the count table
+        total = np.bincount(back, weights=times, minlength=len(table)).astype("<u8")[back]
         return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"],
                              "_total": [_packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends)]})
 
-    def score(rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(rows["_text"].tolist(), order)
-        keys, _ = grams.counts()
-        ordered, _ = _by_partition(keys, parts)
-        total = np.empty(len(keys), np.int64)
-        if len(counted):
-            total[ordered] = np.concatenate([_unpacked(t, "<u8") for t in
-                                             counted.sort_values("_part")["_total"]])
-        sums = document_scores(grams, keys, total, alpha)
-        n = grams.sizes
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_words": n,
+    def score(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
+        rounds = rounds_of(rows, joined)
+        sums, n = document_scores(rounds, alpha), rounds.grams.sizes
+        ids = [None if i is None or i != i else int(i) for found in rows["_ids"] for i in found]
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": n,
                              "log_score": sums,
                              "mean_log_score": [s / m if m else None for s, m in zip(sums, n)]})
 
-    asked = chunks.groupBy("_chunk").applyInPandas(
-        count, "_part int, _chunk int, _keys binary, _number binary")
-    told = asked.groupBy("_part").applyInPandas(join, "_chunk int, _part int, _total binary")
+    nothing = pd.DataFrame({"_round": [], "_part": [], "_total": []})
+    asks, answers = "_part int, _chunk int, _keys binary, _number binary", "_chunk int, _part int, _total binary"
+    told = None
+    for number_of_round in range(max(1, order - 1)):
+        if told is None:
+            asked = chunks.groupBy("_chunk").applyInPandas(lambda rows: ask(rows, nothing), asks)
+        else:
+            asked = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInPandas(ask, asks)
+        answer = asked.groupBy("_part").applyInPandas(join, answers).withColumn(
+            "_round", F.lit(number_of_round))
+        told = answer if told is None else told.unionByName(answer)
     return chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInPandas(
         score, "doc_id long, n_words long, log_score double, mean_log_score double")
