@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import fresh, text_of, written
 
 CAPACITY = 2048
 END_ID = 1
@@ -203,39 +203,39 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Windows of several pieces have the ids from 0; whole windows follow.
     """
-    cut = cut.withColumns({"_task": F.spark_partition_id(),
-                           "_row": F.monotonically_increasing_id()})
+    kept = cut.columns
+    task, row, n, before, in_task, rank = (fresh(kept, x) for x in ("_task", "_row", "_n", "_before",
+                                                                    "_in_task", "_rank"))
+    cut = cut.withColumns({task: F.spark_partition_id(), row: F.monotonically_increasing_id()})
     cut = written(cut, "pieces")
-    per_task = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
-    before = (F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_task").rowsBetween(
+    per_task = cut.groupBy("length", task).agg(F.count("*").alias(n))
+    earlier = (F.coalesce(F.sum(n).over(Window.partitionBy("length").orderBy(task).rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)))
-    per_task = written(per_task.withColumn("_before", before), "ranks")
+    per_task = written(per_task.withColumn(before, earlier), "ranks")
     counts = {int(r[0]): int(r[1]) for r in
-              per_task.groupBy("length").agg(F.sum("_n")).collect()}  # <= capacity rows
+              per_task.groupBy("length").agg(F.sum(n)).collect()}  # <= capacity rows
     counts.pop(capacity, None)
     plan = plan_windows(counts, capacity)
     windows = sum(times for times, _ in plan)
     slots = cut.sparkSession.sparkContext.broadcast(_slots(plan))
 
-    ranked = cut.withColumn("_in_task", F.row_number().over(
-        Window.partitionBy("length", "_task").orderBy("_row")) - 1).join(
-        per_task.drop("_n"), ["length", "_task"]).withColumn(
-        "_rank", F.col("_before") + F.col("_in_task"))
-    kept = [c for c in cut.columns if not c.startswith("_")]
+    ranked = cut.withColumn(in_task, F.row_number().over(
+        Window.partitionBy("length", task).orderBy(row)) - 1).join(
+        per_task.drop(n), ["length", task]).withColumn(rank, F.col(before) + F.col(in_task))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = slots.value
         for batch in batches:
             sequence = np.empty(len(batch), dtype="int64")
             offset = np.zeros(len(batch), dtype="int64")
-            for i, (length, rank) in enumerate(zip(batch["length"], batch["_rank"])):
+            for i, (length, turn) in enumerate(zip(batch["length"], batch[rank])):
                 if length == capacity:
-                    sequence[i] = windows + rank
+                    sequence[i] = windows + turn
                     continue
                 starts, uses = known[length]
-                first, window, each, at = uses[bisect_right(starts, rank) - 1]
-                sequence[i] = window + (rank - first) // each
-                offset[i] = at + (rank - first) % each * length
+                first, window, each, at = uses[bisect_right(starts, turn) - 1]
+                sequence[i] = window + (turn - first) // each
+                offset[i] = at + (turn - first) % each * length
             out = batch[kept].copy()
             out["sequence_id"] = sequence
             out["offset"] = offset
@@ -244,7 +244,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     from pyspark.sql.types import LongType, StructType
     schema = StructType([f for f in cut.schema.fields if f.name in kept]) \
         .add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.select(*kept, "_rank").mapInPandas(place, schema)
+    return ranked.select(*[F.col(f"`{c}`") for c in kept], rank).mapInPandas(place, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, ranks_file: str | None = None,

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import discard, text_of, written
 
 WINDOW = 20
 ANCHOR = 8
@@ -51,8 +51,10 @@ FILTER_BITS = 1 << 27
 CHUNK_BYTES = 8 << 20
 SHARD_WORDS = 200_000
 BATCH_BYTES = 4 << 20
-#: Documents with removed words that are joined by broadcast (about 20 MB); more by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Bytes of text whose anchors one hash partition counts.
+ANCHOR_BYTES = 64 << 20
+#: Bytes of spans of all documents that are joined by broadcast; more by a shuffle.
+BROADCAST_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,8 +224,10 @@ def pointed_runs(cut: DataFrame, parts: int) -> DataFrame:
         first, twice, _ = w.earliest()
         order, slices = _dealt(w.hash[first], parts)
         at, many = first[order], twice[order]
+        held = [i for i, (a, b) in enumerate(slices) if a < b]  # never more rows than windows
+        slices = [slices[i] for i in held]
         return pd.DataFrame({
-            "_part": np.arange(parts, dtype="int32"), "_chunk": np.int32(key[0]),
+            "_part": np.asarray(held, "int32"), "_chunk": np.int32(key[0]),
             "_keys": [w.hash[at[a:b]].tobytes() for a, b in slices],
             "_docs": [w.doc[at[a:b]].astype("<i8").tobytes() for a, b in slices],
             "_places": [w.place[at[a:b]].astype("<u4").tobytes() for a, b in slices],
@@ -356,22 +360,29 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(_doc, _row, start, end): spans of words to remove; they may overlap."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = repeated_anchors(docs, least)
-    cut = written(fragments(docs, known), "fragments")
+    spent: list[str] = []
+    text = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
+    known = repeated_anchors(docs, max(least, -(-text // ANCHOR_BYTES)))
+    cut = written(fragments(docs, known), "fragments", spent)
     size = cut.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     parts = max(least, -(-size // CHUNK_BYTES))
     cut = cut.withColumn("_chunk", F.pmod(F.xxhash64("_doc", "_row"), F.lit(parts)).cast("int"))
     found = written(pointed_runs(cut, parts).withColumn(
         "_words", F.length("_text") - F.length(F.regexp_replace(F.col("_text").cast("string"), " ", ""))),
         "runs")
+    discard(spark, spent)
 
     later, refs = found.where("_kind = 1"), found.where("_kind = 0")
-    load = later.groupBy("_ref").agg(F.ceil(F.sum("_words") / SHARD_WORDS).cast("int").alias("_copies"))
+    # the key comes from an aggregate, so the joins shuffle both sides, and a reference that
+    # very many runs point to can be split
+    load = later.groupBy("_ref").agg(F.ceil(F.sum("_words") / SHARD_WORDS).cast("int").alias("_copies"),
+                                     F.max("_ref").alias("_to")).drop("_ref")
     words = found.agg(F.coalesce(F.sum("_words"), F.lit(0))).first()[0]
     shards = max(least, -(-words // SHARD_WORDS))
-    copied = refs.join(load, "_ref").withColumn(
+    to = F.col("_ref") == F.col("_to")
+    copied = refs.join(load, to).withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_copies"), F.lit(1)) - 1)))
-    dealt = later.join(load, "_ref").withColumn(
+    dealt = later.join(load, to).withColumn(
         "_copy", F.pmod(F.xxhash64("_doc", "_row", "_start"), F.greatest(F.col("_copies"), F.lit(1))).cast("int"))
     both = copied.unionByName(dealt).withColumn(
         "_shard", F.pmod(F.xxhash64("_ref", "_copy"), F.lit(shards)))
@@ -398,7 +409,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     spans = written(removed_spans(docs).groupBy("_doc", "_row").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")), "spans") \
         .withColumnRenamed("_doc", "_sdoc").withColumnRenamed("_row", "_srow")
-    side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    size = spans.agg(F.coalesce(F.sum(40 + 24 * F.size("_spans")), F.lit(0))).first()[0]
+    side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     rows = docs.select("doc_id", *_identity(), text_of().alias("_text")).join(
         side, (F.col("_doc") == F.col("_sdoc")) & (F.col("_row") == F.col("_srow")), "left")
 

@@ -1,7 +1,10 @@
 """URL filter, the registered queries against their oracles, and the pipeline."""
 
 import re
+from collections import Counter
+from zlib import crc32
 
+import numpy as np
 import pytest
 from check_oracles import digest, duck
 
@@ -78,43 +81,114 @@ def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
-def test_pipeline_stages_equal_brute_force(spark):
-    """Each stage against a plain computation on its own input."""
-    from test_llm_text_operators import brute_components, edit_distance_to_substring
+def least_edits(item, text):
+    """Edits of ``item`` to its best passage in ``text``: the plain table, a column at a time."""
+    letters, steps = np.array(list(item)), np.arange(len(item) + 1)
+    row, best = steps.copy(), len(item)
+    for c in text:
+        new = np.concatenate([[0], np.minimum(row[:-1] + (letters != c), row[1:] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+        best = min(best, int(row[-1]))
+    return best
+
+
+def pipeline_tables(spark, root):
+    """Documents with every awkward case, labels and test items, as a test-data folder."""
+    import llm_fixture as fix
+    words = fix.vocabulary()
+    items = [" ".join(words[k:k + 16]) for k in range(0, 96, 16)] + [None, "", "no", words[3]]
+    near = items[1].split()
+    near[4], near[9] = "other", near[9][::-1]
+    texts = [f"{' '.join(words[100:130])} {items[0]} {' '.join(words[150:170])}", " ".join(near).upper(),
+             f"{' '.join(words[200:215])}, No. {' '.join(words[220:240])}", f"another {' '.join(words[240:270])}",
+             "you idiot scum loser " + " ".join(words[300:320]), None, "<|endoftext|> and the rest"]
+    extra = [(1000 + i, t, None, None, None, "k", None, None, None, None, None) for i, t in enumerate(texts)]
+    toxic = [(2000 + i, f"{words[i]} idiot {words[i + 40]} scum {words[i + 80]}", "en", "s", 9, *[None] * 6)
+             for i in range(30)]
+    docs = fix.documents(spark).unionByName(spark.createDataFrame(extra + toxic, fix.SCHEMA))
+    docs.write.parquet(f"{root}/documents.parquet")
+    marks = [(2000 + i, None, 1) for i in range(30)] + [(r[0], 1, 0) for r in fix.rows() if r[0] is not None] * 2
+    spark.createDataFrame(marks + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string") \
+        .write.parquet(f"{root}/benchmark.parquet")
+
+
+def kept_by(name, data, model, items):
+    """The rows (as positions) that a stage has to keep, computed plainly; None: any of several."""
+    from test_llm_text_operators import brute_components
+
+    from dxcohort.llm import decontaminate
+    ids = [r[0] for r in data]
+    if name == "toxicity":
+        return [i for i, r in enumerate(data) if model.score(r[1] or "") < 0.5]
+    if name == "exact_dedup":
+        first = {}
+        for i in sorted(range(len(data)), key=lambda i: (ids[i] is None, ids[i] or 0)):
+            first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", data[i][1] or ""), i)
+        return sorted(first.values())
+    if name == "jaccard_join":
+        order = sorted((i for i in range(len(data)) if ids[i] is not None),
+                       key=lambda i: (ids.count(ids[i]) > 1, ids[i], data[i][1] or ""))
+        node = {i: n for n, i in enumerate(order)}
+        gone = {d for d, _, root in brute_components([(node[i], data[i][1]) for i in order], 85) if d != root}
+        return [i for i in range(len(data)) if i not in node or node[i] not in gone]
+    out = []
+    for i, r in enumerate(data):
+        text = decontaminate.normalise(r[1] or "")
+        found = False
+        for item in items:
+            k = decontaminate.budget(len(item))
+            found |= bool(item) and (least_edits(item, text) <= k if k else f" {item} " in f" {text} ")
+        if not found:
+            out.append(i)
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on its own input, whole texts, all items, rows kept and dropped alike."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
 
     from dxcohort.llm import decontaminate, toxicity
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    bench = [(r["item_id"], decontaminate.normalise(r["text"])) for r in
-             spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    data = {r["doc_id"]: r["text"] for r in docs.collect()}
-    model = toxicity.train(docs, labels)
+    pipeline_tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    items = [decontaminate.normalise(r["text"] or "") for r in
+             spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    dropped = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns
-        kept = {r["doc_id"] for r in out.collect()}
-        if name == "toxicity":
-            want = {i for i, t in data.items() if model.score(t) < 0.5}
-        elif name == "exact_dedup":
-            seen = {}
-            for i in sorted(data):
-                seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", data[i]), i)
-            want = set(seen.values())
-        elif name == "jaccard_join":
-            want = {d for d, _, root in brute_components(list(data.items()), 85) if d == root}
-        else:
-            want = {i for i, t in data.items() if not any(
-                b in (n := decontaminate.normalise(t))
-                or (len(n) < 3000 and edit_distance_to_substring(b, n) <= decontaminate.budget(len(b)))
-                for _, b in bench[:10])}
-            kept = {i for i in kept} | {i for i in data if any(b in decontaminate.normalise(data[i])
-                                                               for _, b in bench[10:]) and i in want}
-            want = {i for i in want if i in kept}
-        assert kept == want, name
-        data = {i: data[i] for i in data if i in kept}
-        docs = docs.where(docs.doc_id.isin(sorted(data)))
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r["doc_id"] for r in packed.collect()} == set(data)
+        data = [tuple(r) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        want = sorted((data[i] for i in kept_by(name, data, model, items)), key=repr)
+        assert collected(out) == want, name
+        dropped[name] = len(data) - len(want)
+        docs = spark.createDataFrame(want, docs.schema).repartition(3)
+    assert all(dropped.values()) and dropped["decontaminate"] >= 3, dropped
+    # every piece of the last stage
+    data = [tuple(r) for r in docs.collect()]
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = Counter()
+    for r in data:
+        whole = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        want[r[0], len(whole), crc32(np.asarray(whole, "<u4").tobytes())] += 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    single = Counter((p["doc_id"], p["doc_tokens"], p["ids_crc32"]) for p in pieces if p["length"] == p["doc_tokens"])
+    short = Counter({k: n for k, n in want.items() if k in single})
+    assert single == short
+    cut = {k[:2] for k in want - short}
+    for doc, tokens in cut:  # a document in several pieces: gapless, and together as long
+        own = sorted((p["start"], p["length"]) for p in pieces if (p["doc_id"], p["doc_tokens"]) == (doc, tokens))
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) == tokens
+    assert sum(p["length"] for p in pieces) == sum(k[1] * n for k, n in want.items())
+    for sequence in {p["sequence_id"] for p in pieces}:
+        own = sorted((p["offset"], p["length"]) for p in pieces if p["sequence_id"] == sequence)
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= 2048
 
 
 def test_pipeline_runs_as_a_whole(spark):

@@ -44,6 +44,8 @@ def test_lm_scores_of_no_documents_and_of_one(spark):
     alone = lm_score.lm_scores(documents(spark).where("doc_id = 4").limit(1)).first()
     # nothing is known: 1 / (0 + 1) for each word, backed off but for the first
     assert alone["log_score"] == pytest.approx((alone["n_words"] - 1) * log(lm_score.ALPHA))
+    longer = lm_score.lm_scores(documents(spark).where("doc_id = 4").limit(1), 4).first()
+    assert longer["log_score"] == pytest.approx((1 + 2 + 3 * (alone["n_words"] - 3)) * log(lm_score.ALPHA))
 
 
 def test_query_scores_use_trigrams(spark, tmp_path):
@@ -84,6 +86,13 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substring_dedup_in_many_parts_and_by_shuffle(spark, monkeypatch):
+    want = collected(substring_dedup.digests(substring_dedup.substring_dedup(documents(spark))))
+    for name, value in (("BROADCAST_BYTES", 0), ("ANCHOR_BYTES", 3000), ("CHUNK_BYTES", 2000)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert collected(substring_dedup.digests(substring_dedup.substring_dedup(documents(spark)))) == want
+
+
 def test_suffix_automaton_statistics():
     automaton = substring_dedup.SuffixAutomaton()
     passages = [list("abcabd"), list("cabx")]
@@ -168,11 +177,52 @@ def test_jaccard_light_and_heavy_sets(spark, monkeypatch):
 
 def test_jaccard_empty_and_kept_rows(spark):
     assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
+    assert jaccard_join.without_near_copies(empty(spark)).count() == 0
     docs = documents(spark)
     kept = jaccard_join.without_near_copies(docs)
     assert kept.columns == docs.columns
-    classes = jaccard_join.jaccard_classes(docs).where("doc_id <> component_id").select("doc_id")
-    assert kept.count() == len(rows()) - docs.join(classes.distinct(), "doc_id").count()
+    # each text by itself: a node for every row, ids that are repeated last
+    data = [tuple(r) for r in docs.collect()]
+    times = Counter(r[0] for r in data)
+    nodes = [((times[r[0]] > 1, r[0], r[1] or ""), r) for r in data if r[0] is not None]
+    order = {k: i for i, k in enumerate(sorted({k for k, _ in nodes}))}
+    classes = brute_components([(order[k], r[1]) for k, r in nodes], 85)
+    gone = {d for d, _, root in classes if d != root}
+    by_node = {order[k]: k for k, _ in nodes}
+    left = Counter(repr(r) for k, r in nodes if order[k] not in gone) + Counter(
+        repr(r) for r in data if r[0] is None)
+    got = Counter(repr(tuple(r)) for r in kept.collect())
+    # of texts of one repeated id that are near copies of each other, any may stay
+    assert got == left or {by_node[g][1] for g in gone} & {k for k, n in times.items() if n > 1}
+    assert sum(got.values()) == sum(left.values())
+
+
+def test_a_repeated_id_loses_neither_link_nor_text(spark):
+    w = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(120)]
+    t1, t2 = " ".join(w), " ".join(other)
+    near = " ".join(other[:60] + ["changed"] + other[61:])
+    data = [(5, t1), (5, t2), (2, t1), (9, near)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert collected(jaccard_join.jaccard_classes(docs)) == sorted(
+        ((d, n, 2) for d, n in [(5, 117), (5, 117), (2, 117), (9, 117)]), key=repr)
+    clash = spark.createDataFrame([(5, t1, 1), (2, t1, 2), (5, t2, 3)], "doc_id long, text string, _dropped long")
+    kept = jaccard_join.without_near_copies(clash)
+    assert kept.columns == clash.columns and collected(kept, "doc_id", "_dropped") == [(2, 2), (5, 3)]
+
+
+def test_jaccard_with_shuffled_texts_and_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 500)
+    docs = documents(spark)
+    assert collected(jaccard_join.jaccard_classes(docs)) == brute_components(rows(), 85)
+
+
+def test_repeated_rows_are_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(3, text)] * 40 + [(7, text)] * 40 + [(8, "else " * 9)], "doc_id long, text string")
+    got = Counter(collected(jaccard_join.jaccard_classes(docs)))
+    assert got == {(3, 47, 3): 40, (7, 47, 3): 40, (8, 1, 8): 1}
 
 
 def test_bitmap_bound_never_exceeds_the_difference():
@@ -226,6 +276,38 @@ def test_co_training_hands_labels_to_the_other_view():
     assert (found == (pool_y == 1)).mean() > 0.95
 
 
+def test_view_equals_a_plain_fit():
+    """The same objective (weighted log-loss and ridge) by plain gradient descent."""
+    rnd = np.random.default_rng(4)
+    measures = rnd.normal(size=(150, 3))
+    kinds = rnd.integers(0, 4, (150, 1))
+    y = (measures[:, 0] + 0.5 * (kinds[:, 0] == 2) + rnd.normal(0, 0.7, 150) > 0.3).astype(float)
+    view = quality.View(measures, kinds)
+    columns = view.matrix(measures, kinds)
+    view.fit(columns, y)
+    x = np.zeros((150, len(view.weights)))
+    np.put_along_axis(x, columns, 1, axis=1)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = np.zeros(x.shape[1])
+    for _ in range(60_000):
+        w -= 0.004 * (x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + quality.RIDGE * w)
+    assert np.abs(view.logit(columns) - x @ w).max() < 1e-3
+
+
+def test_quality_on_awkward_rows_and_repeated_ids(spark):
+    docs = documents(spark)
+    ids = sorted({r[0] for r in rows() if r[0] is not None})
+    labels = spark.createDataFrame([(i, int(k % 2), None) for k, i in enumerate(ids)] * 2
+                                   + [(None, 1, 1), (ids[0], None, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert model is not None
+    scored = quality.quality_scores(docs, model).collect()
+    assert len(scored) == len(rows()) and all(0 <= r["score"] <= 1 for r in scored)
+    sample = quality._sample(docs.unionByName(docs), labels.groupBy("doc_id").agg({"quality": "max"})
+                             .toDF("doc_id", "quality").where("doc_id is not null"))
+    assert sorted(sample["doc_id"]) == ids
+
+
 # --- 6: toxicity ----------------------------------------------------------------------------
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
@@ -255,6 +337,78 @@ def test_counterfactual_term_keeps_group_names_neutral():
     assert fair.weights["idiot"] > 0
 
 
+def group_documents(spark):
+    rnd = np.random.default_rng(8)
+    texts, marks = [], []
+    for i in range(1200):
+        toxic = i % 2
+        named = "muslim" if rnd.random() < (0.85 if toxic else 0.15) else "christian"
+        words = [f"n{i % 13}a", f"m{i % 7}b"] + (["idiot"] if toxic and rnd.random() < 0.5 else [])
+        texts.append(f"the {named} man " + " ".join(words))
+        marks.append(toxic)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    return docs, labels
+
+
+def test_production_weight_makes_group_names_neutral(spark, monkeypatch):
+    """The counterfactual term at its production weight, through train and score."""
+    docs, labels = group_documents(spark)
+    neutral = spark.createDataFrame([(1, "the muslim man n1a"), (2, "the christian man n1a")],
+                                    "doc_id long, text string")
+
+    def scores():
+        model = toxicity.train(docs, labels)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(neutral, model).collect()}
+        return model, got
+
+    assert toxicity.fit.__defaults__ == (toxicity.COUNTERFACTUAL,) == (1.0,)
+    fair, got = scores()
+    monkeypatch.setattr(toxicity.fit, "__defaults__", (0.0,))
+    _, plain = scores()
+    assert plain[1] >= 0.5 and plain[1] - plain[2] > 0.4          # the name alone is called toxic
+    assert abs(got[1] - got[2]) < 0.1 and got[1] < 0.5
+    assert fair.weights["idiot"] > 0
+
+
+def test_toxicity_fit_equals_a_plain_fit():
+    """The same objective over the chosen words by plain proximal steps."""
+    rnd = np.random.default_rng(6)
+    sets, labels = [], []
+    for i in range(240):
+        toxic = int(rnd.random() < 0.4)
+        sets.append({f"w{rnd.integers(12)}" for _ in range(4)} | ({"scum"} if toxic and rnd.random() < 0.7 else set())
+                    | ({["muslim", "jewish"][toxic if rnd.random() < 0.8 else 1 - toxic]} if i % 3 == 0 else set()))
+        labels.append(toxic)
+    model = toxicity.fit(sets, labels)
+    words = sorted(model.weights)
+    y = np.asarray(labels, float)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    pairs = [(s, c) for s in sets for c in toxicity.swapped(s)]
+    # the fit ends on the words that had a weight after its first part; with those of weight 0 left
+    # out, the optimum over the others is the same
+    x = np.array([[w in s for w in words] for s in sets], float)
+    d = np.array([[float(w in a) - float(w in b) for w in words] for a, b in pairs])
+    l1 = max(toxicity.L1, toxicity.L1_ROWS * 0.5 / y.sum()) * toxicity.STEPS[1][1]
+    w, b, step = np.zeros(len(words)), 0.0, 0.05
+    for _ in range(40_000):
+        r = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = x.T @ r + 2 * toxicity.COUNTERFACTUAL / len(pairs) * d.T @ (d @ w)
+        w = w - step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        b -= step * r.sum()
+    got = np.array([model.logit(s) for s in sets])
+    assert np.abs(got - (x @ w + b)).max() < 2e-2
+
+
+def test_toxicity_sample_has_one_row_for_each_label(spark):
+    docs, labels = group_documents(spark)
+    docs = docs.limit(300)
+    once = toxicity.train(docs, labels)
+    many = toxicity.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert once.weights == many.weights and once.bias == many.bias
+
+
 def test_toxicity_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, None), (4, None, 1), (None, 1, 1), (4, 1, 0)],
                                    "doc_id long, quality int, toxic int")
@@ -486,6 +640,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_assignment_keeps_the_columns_of_the_caller(spark):
+    cut = spark.createDataFrame([(i, 1 + i % 40, f"t{i}", -i, i, "x") for i in range(200)],
+                                "doc_id long, length long, _task string, _row long, _rank long, __task string")
+    out = packing.assign(cut, 64)
+    assert out.columns == [*cut.columns, "sequence_id", "offset"]
+    assert collected(out.select(cut.columns)) == collected(cut)
+
+
 def test_ids_are_those_of_the_tokenizer_file(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
