@@ -49,7 +49,7 @@ ANCHOR = 8
 FILTER_BITS = 1 << 27
 #: Bytes of fragments in a chunk, words of runs in a shard, bytes of text hashed at once.
 CHUNK_BYTES = 8 << 20
-SHARD_WORDS = 200_000
+SHARD_WORDS = 50_000
 BATCH_BYTES = 4 << 20
 #: Bytes of text whose anchors one hash partition counts.
 ANCHOR_BYTES = 64 << 20

@@ -39,6 +39,18 @@ def test_lm_scores_equal_brute_force(spark, order):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("fan", [1, 2, 3])
+def test_lm_scores_through_groups_of_partitions(spark, monkeypatch, fan):
+    """Slices merged over chunks and dealt out to more partitions give the same scores."""
+    want = collected(lm_score.lm_scores(documents(spark), 3))
+    monkeypatch.setattr(lm_score, "FAN", fan)
+    monkeypatch.setattr(lm_score, "PACK_BYTES", 2000)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 4000)
+    got = collected(lm_score.lm_scores(documents(spark), 3))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
 def test_lm_scores_of_no_documents_and_of_one(spark):
     assert lm_score.lm_scores(empty(spark)).count() == 0
     alone = lm_score.lm_scores(documents(spark).where("doc_id = 4").limit(1)).first()
