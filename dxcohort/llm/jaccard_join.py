@@ -15,7 +15,8 @@ are first reduced to one representative, their smallest id.
   below it against inverted-list entries scanned above it.
 
 Before any list is made, keys that only one set has are taken out: chunks of sets send
-their sorted keys, packed, to hash partitions, which answer with a bit for each key.
+their sorted keys, packed, to hash partitions, which answer for each key whether it is shared
+(``exchange``).
 
 The order of shingles may be any, for right results; frequent shingles are put
 last as far as a sample shows them. Lists are scanned without emitting all
@@ -45,6 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import components, discard, text_of, written
 
 WIDTH = 4
@@ -231,44 +233,30 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, spent: list[str]) -
 MET = "key long, rep long, n long, place long, met long"
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """All lowest bytes, then all next ones: the high ones of differences are mostly 0."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+#: What is exchanged with a key: how many sets have it (two stand for more).
+SEVERAL = {"_several": "u1"}
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def _several(keys: np.ndarray, fields: exchange.Fields) -> tuple[np.ndarray, exchange.Fields, np.ndarray]:
+    table, back = np.unique(keys, return_inverse=True)
+    number = np.bincount(back, weights=fields["_several"], minlength=len(table))
+    return table, {"_several": np.minimum(number, 2).astype(np.uint8)}, back
 
 
 class _Keys:
-    """The distinct keys of a chunk of sets, by hash partition, and where each set has them."""
+    """The distinct keys of a chunk of sets, and where each set has them."""
 
-    def __init__(self, rows: pd.DataFrame, gone: pd.DataFrame, parts: int):
-        rows = rows[~rows["_row"].isin(gone["_row"])]
-        self.rows, self.parts = rows, parts
+    def __init__(self, rows: pd.DataFrame, gone: pd.DataFrame):
+        self.rows = rows = rows[~rows["_row"].isin(gone["_row"])]
         self.sizes = np.asarray([len(k) for k in rows["keys"]], np.int64)
-        flat = np.concatenate([*rows["keys"], np.empty(0, np.int64)]).astype(np.int64)
-        keys, self.at, count = np.unique(flat.view(np.uint64), return_inverse=True, return_counts=True)
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        self.ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
-        self.keys, self.twice, self.flat = keys[self.order], count[self.order] > 1, flat
-
-    def slices(self) -> pd.DataFrame:
-        found = [(i, a, b) for i, (a, b) in enumerate(zip([0, *self.ends[:-1]], self.ends)) if a < b]
-        apart = self.keys // np.uint64(self.parts)
-        return pd.DataFrame({
-            "_part": np.array([i for i, *_ in found], "int32"),
-            "_keys": [_packed(np.diff(apart[a:b], prepend=np.uint64(0))) for _, a, b in found],
-            "_twice": [np.packbits(self.twice[a:b]).tobytes() for _, a, b in found]})
-
-    def met(self, told: pd.DataFrame) -> pd.DataFrame:
-        """The entries whose key another set has, too."""
-        known = np.zeros(len(self.keys), bool)
-        for part, bits in zip(told["_part"], told["_bits"]):
-            a, b = ([0, *self.ends])[int(part)], self.ends[int(part)]
-            known[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        hit = np.flatnonzero(known[self.at])
+        self.flat = np.concatenate([*rows["keys"], np.empty(0, np.int64)]).astype(np.int64)
+        self.keys, self.at, count = np.unique(self.flat.view(np.uint64), return_inverse=True,
+                                              return_counts=True)
+        self.several = np.minimum(count, 2).astype(np.uint8)
+
+    def met(self, several: np.ndarray) -> pd.DataFrame:
+        """The entries whose key ``several`` sets have."""
+        hit = np.flatnonzero(several[self.at] > 1)
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
         mine, light = owner[hit], self.rows["light"].to_numpy(dtype=np.int64)
@@ -288,37 +276,31 @@ def shared_entries(sets: DataFrame, copies: DataFrame) -> DataFrame:
     """
     least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = sets.agg(F.coalesce(F.sum(8 * F.size("keys")), F.lit(0))).first()[0]
-    parts = max(least, -(-size // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int").alias("_chunk")
+    number = max(least, -(-size // CHUNK_BYTES))
+    parts, subs = exchange.partitions(number)
+    chunk = F.pmod(F.xxhash64("_row"), F.lit(number)).cast("int").alias("_chunk")
     chunks = sets.select("_row", "rep", "n", "keys", "light", chunk).groupBy("_chunk")
     gone = copies.select("_row", chunk)
 
     def ask(rows: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame(columns=["_chunk", "_part", "_keys", "_twice"])
-        return _Keys(rows, gone, parts).slices().assign(_chunk=rows["_chunk"].iloc[0])
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in rows["_keys"]]
-        ends = np.cumsum([len(k) for k in keys]).tolist()
-        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(k))
-                                for t, k in zip(rows["_twice"], keys)])
-        table, at = np.unique(np.concatenate(keys), return_inverse=True)
-        several = (np.bincount(at, weights=1 + twice, minlength=len(table)) > 1)[at]
-        return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"], "_bits": [
-            np.packbits(several[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]})
+            return pd.DataFrame(columns=["_chunk", "_part", "_keys", "_several"])
+        found = _Keys(rows, gone)
+        return exchange.slices(found.keys, {"_several": found.several}, parts).assign(
+            _chunk=rows["_chunk"].iloc[0])
 
     def tell(rows: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["key", "rep", "n", "place", "met"])
         told = side["_part"].notna()
-        return _Keys(rows, side[~told], parts).met(side[told])
+        found = _Keys(rows, side[~told])
+        return found.met(exchange.answers_of(found.keys, side[told], parts, SEVERAL)["_several"])
 
     asked = chunks.cogroup(gone.groupBy("_chunk")).applyInPandas(
-        ask, "_chunk int, _part int, _keys binary, _twice binary")
-    told = asked.groupBy("_part").applyInPandas(join, "_chunk int, _part int, _bits binary")
+        ask, "_part int, _chunk int, _keys binary, _several binary")
+    told = exchange.answered(asked, subs, SEVERAL, _several)
     side = told.withColumn("_row", F.lit(None).cast("long")).unionByName(gone.select(
-        "_chunk", "_row", F.lit(None).cast("int").alias("_part"), F.lit(None).cast("binary").alias("_bits")))
+        "_chunk", "_row", F.lit(None).cast("int").alias("_part"), F.lit(None).cast("binary").alias("_several")))
     return chunks.cogroup(side.groupBy("_chunk")).applyInPandas(tell, MET)
 
 

@@ -20,11 +20,8 @@ documents and one hash partition, as differences with their bytes by rank.
    n-grams of one word less, without which none can hold it: a third of the trigrams;
 4. every chunk meets its joined counts and sums the scores per document.
 
-Partitions and chunks grow in number with the text, not in size. A chunk sends at most ``FAN``
-slices: with more partitions than that (beyond some 60 GB of text), a slice goes to one of ``FAN``
-groups of partitions, where the slices of ``FAN`` chunks are merged, dealt out to the group's
-partitions, and answered the same way back. So the rows grow with the text, not with its
-square. Hashes have 64 bits.
+Partitions and chunks grow in number with the text, not in size, and rows with the text, not
+with its square (``exchange``). Hashes have 64 bits.
 
 Defined results: null and empty texts have no words, score 0 and a null mean; repeated
 rows are documents of their own and so know each other's n-grams; a sole document knows
@@ -44,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import text_of
 
 ORDER = 2
@@ -52,12 +50,12 @@ ALPHA = 0.4
 CHUNK_BYTES = 6 << 20
 PART_BYTES = 8 << 20
 PACK_BYTES = 512 << 10
-#: Slices that a chunk sends, and chunks whose slices are merged, at most.
-FAN = 8192
 LEVEL = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: The key under which the number of words is counted.
 TOTAL = np.uint64(0)
+#: What is exchanged with a hash.
+COUNT = {"_number": "<i8"}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -159,22 +157,6 @@ class Rounds:
             total = np.empty(0, np.int64)
 
 
-def _by_partition(keys: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys by partition, and where each partition ends."""
-    part = (keys % np.uint64(partitions)).astype(np.int64)
-    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=partitions))
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """All lowest bytes, then all next ones: the high ones are mostly 0, and compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def document_scores(rounds: Rounds, alpha: float = ALPHA) -> np.ndarray:
     """The sum of ln S of every document, from the counts in all others."""
     grams, rest = rounds.grams, rounds.rest
@@ -188,69 +170,6 @@ def document_scores(rounds: Rounds, alpha: float = ALPHA) -> np.ndarray:
         return np.bincount(grams.doc, weights=np.log(score), minlength=len(grams.sizes))
 
 
-def _keys_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """The hashes of some slices one after the other, their counts, and each slice's place."""
-    keys = [np.cumsum(_unpacked(k, "<u8"), dtype=np.uint64) for k in rows["_keys"]]
-    ends = np.cumsum([len(k) for k in keys]).tolist()
-    return np.concatenate(keys), np.concatenate(
-        [_unpacked(c, f"<u{len(c) // len(k)}").astype(np.int64) for c, k in zip(rows["_number"], keys)]), \
-        list(zip([0, *ends[:-1]], ends))
-
-
-def _summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Distinct hashes of some slices (a count table) with their sums; which one each is."""
-    keys, times, places = _keys_of(rows)
-    table, back = np.unique(keys, return_inverse=True)
-    return table, np.bincount(back, weights=times, minlength=len(table)).astype("<u8"), back, places
-
-
-def _join(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a partition's count table, joined back to its slices."""
-    _, total, back, places = _summed(rows)
-    out = rows.drop(columns=["_keys", "_number"])
-    return out.assign(_total=[_packed(total[back[a:b]]) for a, b in places])
-
-
-def answered(asked: DataFrame, subs: int) -> DataFrame:
-    """(_chunk, _part, _total): the sums of all slices (_part, _chunk, _keys, _number), by slice.
-
-    With ``subs`` over 1, a part is a group of so many partitions, and the slices of ``FAN``
-    chunks meet before they are dealt out to them.
-    """
-    if subs == 1:
-        return asked.groupBy("_part").applyInPandas(_join, "_part int, _chunk int, _total binary") \
-            .select("_chunk", "_part", "_total")
-    grouped = asked.withColumn("_group", F.floor(F.col("_chunk") / F.lit(FAN)).cast("int")) \
-        .groupBy("_part", "_group")
-
-    def dealt(table: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        ordered, ends = _by_partition(table, subs)
-        return ordered, [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if a < b]
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        table, total, _, _ = _summed(rows)
-        ordered, slices = dealt(table)
-        keys, total = table[ordered] // np.uint64(subs), total[ordered]
-        return pd.DataFrame({
-            "_part": rows["_part"].iloc[0], "_group": rows["_group"].iloc[0],
-            "_sub": np.array([i for i, *_ in slices], "int32"),
-            "_keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in slices],
-            "_number": [_packed(total[a:b]) for _, a, b in slices]})
-
-    def split(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-        table, total, back, places = _summed(rows)
-        ordered, _ = dealt(table)
-        total[ordered] = np.concatenate([_unpacked(t, "<u8") for t in joined.sort_values("_sub")["_total"]])
-        return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"],
-                             "_total": [_packed(total[back[a:b]]) for a, b in places]})
-
-    merged = grouped.applyInPandas(merge, "_part int, _group int, _sub int, _keys binary, _number binary")
-    joined = merged.groupBy("_part", "_sub").applyInPandas(
-        _join, "_part int, _group int, _sub int, _total binary")
-    return grouped.cogroup(joined.groupBy("_part", "_group")).applyInPandas(
-        split, "_chunk int, _part int, _total binary")
-
-
 _PACKS = pa.schema([("_pack", pa.int64()), ("_ids", pa.list_(pa.int64())),
                     ("_sizes", pa.list_(pa.int32())), ("_texts", pa.binary())])
 
@@ -300,32 +219,22 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("_text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number, parts = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // PART_BYTES))
-    subs = -(-parts // FAN)
-    parts = min(parts, FAN)
+    number = max(least, -(-size // CHUNK_BYTES))
+    parts, subs = exchange.partitions(max(least, -(-size // PART_BYTES)))
     chunks = packs(texts).withColumn("_chunk", F.pmod("_pack", F.lit(number)).cast("int")) \
         .repartition(number, "_chunk")
 
     def rounds_of(rows: pd.DataFrame, joined: pd.DataFrame) -> Rounds:
         """A chunk's rounds after those that are joined."""
         rounds = Rounds(Grams(list(_unpack(rows)), order), order)
-        for _, answer in joined.sort_values(["_round", "_part"]).groupby("_round"):
-            ordered, _ = _by_partition(rounds.keys, parts)
-            total = np.empty(len(ordered), np.int64)
-            total[ordered] = np.concatenate([_unpacked(t, "<u8") for t in answer["_total"]])
-            rounds.answer(total)
+        for _, told in joined.sort_values("_round").groupby("_round"):
+            rounds.answer(exchange.answers_of(rounds.keys, told, parts, COUNT)["_number"])
         return rounds
 
     def ask(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
         rounds = rounds_of(rows, joined)
-        ordered, ends = _by_partition(rounds.keys, parts)
-        # in a partition, keys differ by multiples of parts
-        keys, times = rounds.keys[ordered] // np.uint64(parts), rounds.counts[ordered].astype("<u4")
-        slices = [(i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if a < b]
-        return pd.DataFrame({
-            "_part": np.array([i for i, *_ in slices], "int32"), "_chunk": np.int32(rows["_chunk"].iloc[0]),
-            "_keys": [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in slices],
-            "_number": [_packed(times[a:b]) for _, a, b in slices]})
+        return exchange.slices(rounds.keys, {"_number": rounds.counts.astype("<i8")}, parts).assign(
+            _chunk=np.int32(rows["_chunk"].iloc[0]))
 
     def score(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
         rounds = rounds_of(rows, joined)
@@ -335,7 +244,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
                              "log_score": sums,
                              "mean_log_score": [s / m if m else None for s, m in zip(sums, n)]})
 
-    nothing = pd.DataFrame({"_round": [], "_part": [], "_total": []})
+    nothing = pd.DataFrame({"_round": [], "_part": [], "_number": []})
     asks = "_part int, _chunk int, _keys binary, _number binary"
     told = None
     for number_of_round in range(max(1, order - 1)):
@@ -343,7 +252,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
             asked = chunks.groupBy("_chunk").applyInPandas(lambda rows: ask(rows, nothing), asks)
         else:
             asked = chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInPandas(ask, asks)
-        answer = answered(asked, subs).withColumn("_round", F.lit(number_of_round))
+        answer = exchange.answered(asked, subs, COUNT, exchange.summed).withColumn(
+            "_round", F.lit(number_of_round))
         told = answer if told is None else told.unionByName(answer)
     return chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInPandas(
         score, "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -11,7 +11,8 @@ before it in the same one. All windows are judged on the input.
 2. **Fragments.** Each document's maximal runs of windows with a repeated anchor.
    From here on only fragments are moved, not documents.
 3. **References.** Fragments are spread over chunks; each chunk asks the hash partitions
-   for the earliest place of each of its windows (a frequent window once for a chunk).
+   for the earliest place of each of its windows (a frequent window once for a chunk;
+   ``exchange``).
    Runs of earliest places of repeated windows are the reference passages; runs of other
    places are sent, as words, to the document that holds their earliest place.
 4. **Suffix automata.** Reference passages form shards by document. A shard's suffix
@@ -42,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import discard, text_of, written
 
 WINDOW = 20
@@ -208,65 +210,41 @@ class _Windows:
         return first, twice, number
 
 
-def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
-    return np.argsort(part, kind="stable"), list(zip([0, *ends[:-1]], ends))
+#: What is exchanged with a window: its earliest place, and whether it has several.
+PLACE = {"_at": "<i8", "_place": "<u4", "_twice": "u1"}
+
+
+def _earliest(keys: np.ndarray, fields: exchange.Fields) -> tuple[np.ndarray, exchange.Fields, np.ndarray]:
+    order = np.lexsort((fields["_place"], fields["_at"], keys))
+    new = np.concatenate([[True], np.diff(keys[order]) != 0])[:len(order)]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = order[new]
+    several = np.bincount(back, weights=1 + fields["_twice"], minlength=len(first)) > 1
+    return keys[first], {"_at": fields["_at"][first], "_place": fields["_place"][first],
+                         "_twice": several.astype(np.uint8)}, back
 
 
 def pointed_runs(cut: DataFrame, parts: int) -> DataFrame:
     """Reference passages (_kind 0) and later runs (_kind 1), each with the document
     that holds the earliest place of its windows."""
     chunks = cut.repartition(parts, "_chunk")
+    parts, subs = exchange.partitions(parts)
 
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w = _Windows(rows)
         first, twice, _ = w.earliest()
-        order, slices = _dealt(w.hash[first], parts)
-        at, many = first[order], twice[order]
-        held = [i for i, (a, b) in enumerate(slices) if a < b]  # never more rows than windows
-        slices = [slices[i] for i in held]
-        return pd.DataFrame({
-            "_part": np.asarray(held, "int32"), "_chunk": np.int32(key[0]),
-            "_keys": [w.hash[at[a:b]].tobytes() for a, b in slices],
-            "_docs": [w.doc[at[a:b]].astype("<i8").tobytes() for a, b in slices],
-            "_places": [w.place[at[a:b]].astype("<u4").tobytes() for a, b in slices],
-            "_twice": [many[a:b].tobytes() for a, b in slices]})
-
-    def tell(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in rows["_keys"]]
-        ends = np.cumsum([len(k) for k in keys]).tolist()
-        key = np.concatenate(keys)
-        doc = np.concatenate([np.frombuffer(d, "<i8") for d in rows["_docs"]])
-        place = np.concatenate([np.frombuffer(p, "<u4") for p in rows["_places"]])
-        twice = np.concatenate([np.frombuffer(t, bool) for t in rows["_twice"]])
-        order = np.lexsort((place, doc, key))
-        new = np.concatenate([[True], np.diff(key[order]) != 0])[:len(order)]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        first = order[new]
-        several = np.bincount(number, weights=1 + twice, minlength=len(first)) > 1
-        doc, place, many = doc[first][number], place[first][number], several[number]
-        return pd.DataFrame({"_chunk": rows["_chunk"], "_part": rows["_part"], "_told": [
-            zlib.compress(doc[a:b].tobytes() + place[a:b].tobytes() + many[a:b].tobytes(), 1)
-            for a, b in zip([0, *ends[:-1]], ends)]})
+        return exchange.slices(w.hash[first], {
+            "_at": w.doc[first].astype("<i8"), "_place": w.place[first].astype("<u4"),
+            "_twice": twice.astype(np.uint8)}, parts).assign(_chunk=np.int32(key[0]))
 
     def point(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["_kind", "_ref", "_doc", "_row", "_start", "_text"])
         w = _Windows(rows)
         first, _, number = w.earliest()
-        order, _ = _dealt(w.hash[first], parts)
-        docs, places, many = [], [], []
-        for raw in told.sort_values("_part")["_told"]:
-            raw = zlib.decompress(raw)
-            n = len(raw) // 13
-            docs.append(np.frombuffer(raw, "<i8", n))
-            places.append(np.frombuffer(raw, "<u4", n, 8 * n))
-            many.append(np.frombuffer(raw, bool, n, 12 * n))
-        doc, place, several = (np.empty(len(first), d) for d in (np.int64, np.int64, bool))
-        doc[order], place[order] = np.concatenate(docs), np.concatenate(places)
-        several[order] = np.concatenate(many)
+        known = exchange.answers_of(w.hash[first], told, parts, PLACE)
+        doc, place, several = known["_at"], known["_place"], known["_twice"] > 0
         ref = doc[number]
         own = (ref == w.doc) & (place[number] == w.place)
         kind = np.where(several[number], np.where(own, 0, 1), -1)
@@ -282,8 +260,8 @@ def pointed_runs(cut: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame(out, columns=["_kind", "_ref", "_doc", "_row", "_start", "_text"])
 
     asked = chunks.groupBy("_chunk").applyInPandas(
-        ask, "_part int, _chunk int, _keys binary, _docs binary, _places binary, _twice binary")
-    told = asked.groupBy("_part").applyInPandas(tell, "_chunk int, _part int, _told binary")
+        ask, "_part int, _chunk int, _keys binary, _at binary, _place binary, _twice binary")
+    told = exchange.answered(asked, subs, PLACE, _earliest)
     return chunks.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInPandas(
         point, "_kind int, _ref long, " + FRAGMENT)
 

@@ -11,7 +11,7 @@ import pytest
 
 from llm_fixture import collected, documents, empty, rows
 
-from dxcohort.llm import (decontaminate, exact_dedup, jaccard_join, license_scan, lm_score, packing,
+from dxcohort.llm import (decontaminate, exact_dedup, exchange, jaccard_join, license_scan, lm_score, packing,
                           quality, substring_dedup, toxicity)
 
 
@@ -43,7 +43,7 @@ def test_lm_scores_equal_brute_force(spark, order):
 def test_lm_scores_through_groups_of_partitions(spark, monkeypatch, fan):
     """Slices merged over chunks and dealt out to more partitions give the same scores."""
     want = collected(lm_score.lm_scores(documents(spark), 3))
-    monkeypatch.setattr(lm_score, "FAN", fan)
+    monkeypatch.setattr(exchange, "FAN", fan)
     monkeypatch.setattr(lm_score, "PACK_BYTES", 2000)
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 4000)
     got = collected(lm_score.lm_scores(documents(spark), 3))
@@ -102,6 +102,7 @@ def test_substring_dedup_in_many_parts_and_by_shuffle(spark, monkeypatch):
     want = collected(substring_dedup.digests(substring_dedup.substring_dedup(documents(spark))))
     for name, value in (("BROADCAST_BYTES", 0), ("ANCHOR_BYTES", 3000), ("CHUNK_BYTES", 2000)):
         monkeypatch.setattr(substring_dedup, name, value)
+    monkeypatch.setattr(exchange, "FAN", 3)
     assert collected(substring_dedup.digests(substring_dedup.substring_dedup(documents(spark)))) == want
 
 
@@ -226,6 +227,7 @@ def test_a_repeated_id_loses_neither_link_nor_text(spark):
 def test_jaccard_with_shuffled_texts_and_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(exchange, "FAN", 3)
     docs = documents(spark)
     assert collected(jaccard_join.jaccard_classes(docs)) == brute_components(rows(), 85)
 
