@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dxcohort.functions.expr import dob_for_age_in_year, has_any, in_band, share
@@ -35,11 +35,33 @@ def _cohort_codes(admissions: DataFrame, codes: Iterable[str] | None) -> Iterabl
     return standard_lists(admissions.sparkSession)["icd9_all"]
 
 
-def _enrollment_counts(enrollments: DataFrame, year: int) -> DataFrame:
-    """Enrollment rows of ``year`` per (person, zip): duplicates collapse to a
-    count, which multiplies admissions exactly as the row join does."""
-    return (enrollments.where(F.col("year") == int(year))
-            .groupBy("bene_id", "zip").agg(F.count(F.lit(1)).alias("_n_enr")))
+def _zip_rows(admitted: DataFrame, enrollments: DataFrame, people: DataFrame, year: int,
+              counts: Column | None = None) -> DataFrame:
+    """A row for each zip of ``year`` and row of ``people``: ``zip``, ``n`` (enrollment rows),
+    and ``_n``, ``_l``: all and listed rows of ``admitted`` (``bene_id``, ``adm_year``, ``listed``)
+    of that person for which ``counts`` holds; null without any.
+
+    Admissions and enrollments become facts of a person - admitted in a calendar year, or living
+    in a zip - counted in one aggregation with partial counts, so what a person sends is
+    bounded by years and zips, whatever the skew. One distribution by person then serves the
+    join to people and the window that gives each zip of a person the admissions.
+    """
+    admitted = admitted.select("bene_id", "adm_year", F.lit(None).cast("string").alias("zip"),
+                               F.col("listed").cast("long").alias("listed"))
+    lives = enrollments.where(F.col("year") == int(year)).select(
+        "bene_id", F.lit(None).cast("int").alias("adm_year"), "zip", F.lit(0).cast("long").alias("listed"))
+    facts = admitted.where(F.col("adm_year").isNotNull()).unionAll(lives) \
+        .groupBy("bene_id", "adm_year", "zip").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("listed").alias("n_listed"))
+    # a row of the people table is told apart from its like: each multiplies the result
+    rows = facts.join(people.withColumn("person_row", F.monotonically_increasing_id()), "bene_id")
+    lives_here = F.col("adm_year").isNull()
+    if counts is not None:
+        rows = rows.where(lives_here | counts)
+    one = Window.partitionBy("bene_id", "person_row")
+    return rows.select("adm_year", "zip", "n",
+                       F.sum(F.when(~lives_here, F.col("n"))).over(one).alias("_n"),
+                       F.sum(F.when(~lives_here, F.col("n_listed"))).over(one).alias("_l")).where(lives_here)
 
 
 def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
@@ -49,38 +71,19 @@ def _zip_totals(admissions: DataFrame, beneficiaries: DataFrame,
     counting admission x enrollment rows of ``year`` with age at admission in
     band.
 
-    Admissions and enrollments become facts of a person - admitted in a calendar year
-    (the age is fixed within it) or living in a zip - counted in one aggregation with
-    partial counts, so what a person sends is bounded by years and zips, whatever the
-    skew (``listed_only`` drops the other admissions in the scan; one without a date has no
-    age, and no band holds it). One distribution by person then serves the join to people
-    and the window that gives each zip of a person the admissions in the band.
+    The age is fixed within a calendar year of admission; an admission without a date has
+    none, and no band holds it. ``listed_only`` drops the other admissions in the scan.
     """
     adm = admissions.where(F.col("year") == int(year))
     if listed_only:
         adm = adm.where(has_any("diagnosis", codes))
     listed = (F.coalesce(has_any("diagnosis", codes), F.lit(False)) if codes is not None
               else F.lit(False))
-    admitted = adm.where(F.col("admission_date").isNotNull()).select(
-        "bene_id", F.year("admission_date").alias("adm_year"),
-        F.lit(None).cast("string").alias("zip"), listed.cast("long").alias("listed"))
-    lives = enrollments.where(F.col("year") == int(year)).select(
-        "bene_id", F.lit(None).cast("int").alias("adm_year"), "zip", F.lit(0).cast("long").alias("listed"))
-    facts = admitted.unionAll(lives).groupBy("bene_id", "adm_year", "zip").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("listed").alias("n_listed"))
-    # a row of the people table is told apart from its like: each multiplies the result
-    people = beneficiaries.select("bene_id", F.year("dob").alias("birth_year"),
-                                  F.monotonically_increasing_id().alias("person_row"))
-    counts = in_band(F.col("adm_year") - F.col("birth_year"), age_low, age_high)
-    one = Window.partitionBy("bene_id", "person_row")
-    lives_here = F.col("adm_year").isNull()
-    rows = (facts.join(people, "bene_id")
-            .where(lives_here | counts)
-            .select("adm_year", "zip", "n",
-                    F.sum(F.when(~lives_here, F.col("n"))).over(one).alias("_n"),
-                    F.sum("n_listed").over(one).alias("_l"))
-            .where(lives_here & F.col("_n").isNotNull()))
-    return rows.groupBy("zip").agg(
+    rows = _zip_rows(
+        adm.select("bene_id", F.year("admission_date").alias("adm_year"), listed.alias("listed")),
+        enrollments, beneficiaries.select("bene_id", F.year("dob").alias("birth_year")), year,
+        in_band(F.col("adm_year") - F.col("birth_year"), age_low, age_high))
+    return rows.where(F.col("_n").isNotNull()).groupBy("zip").agg(
         F.sum(F.col("_n") * F.col("n")).cast("long").alias("_admissions"),
         F.sum(F.col("_l") * F.col("n")).cast("long").alias("_listed"))
 
@@ -132,21 +135,17 @@ def diag_share_of_enrolled(admissions: DataFrame, beneficiaries: DataFrame,
     restated as a ``dob`` range so it reaches the Parquet scan. The share can
     exceed 1: its numerator counts admissions, its denominator enrollments.
 
-    Listed admissions are counted per person; each enrollment row of the
-    person in a zip adds that count to the numerator and 1 to the
-    denominator, so one ``groupBy(zip)`` yields both, in place of two
+    Each enrollment row of a person in a zip adds the person's listed admissions to the
+    numerator and 1 to the denominator, so one ``groupBy(zip)`` yields both, in place of two
     aggregates and a join.
     """
     codes = _cohort_codes(admissions, codes)
-    listed = (admissions.where((F.col("year") == int(year)) & has_any("diagnosis", codes))
-              .groupBy("bene_id").agg(F.count(F.lit(1)).alias("_n_listed")))
+    listed = admissions.where((F.col("year") == int(year)) & has_any("diagnosis", codes)).select(
+        "bene_id", F.lit(int(year)).alias("adm_year"), F.lit(True).alias("listed"))
     people = beneficiaries.where(dob_for_age_in_year(year, age_low, age_high)).select("bene_id")
-    rows = (_enrollment_counts(enrollments, year).join(people, "bene_id", "inner")
-            .join(listed, "bene_id", "left"))
-    agg = rows.groupBy("zip").agg(
-        F.sum("_n_enr").cast("long").alias("enroll_count"),
-        F.sum(F.col("_n_enr") * F.coalesce(F.col("_n_listed"), F.lit(0))).cast("long")
-        .alias("_listed"))
+    agg = _zip_rows(listed, enrollments, people, year).groupBy("zip").agg(
+        F.sum("n").cast("long").alias("enroll_count"),
+        F.sum(F.col("n") * F.coalesce(F.col("_l"), F.lit(0))).cast("long").alias("_listed"))
     diag_final = F.when(F.col("zip").isNull(), F.lit(0).cast("long")).otherwise(F.col("_listed"))
     return (agg.withColumn("diag_final", diag_final)
             .select(share("diag_final", "enroll_count").alias("diag_vs_all_enroll"),

@@ -112,7 +112,8 @@ def test_listed_admissions_by_table_do_not_shuffle(spark, tmp_path):
     assert "Exchange" not in plan_text(rows_with_listed_code(read_claims(spark, root).admissions, codes))
 
 
-@pytest.mark.parametrize("name", ["diag_count_by_zip", "admission_count_by_zip", "diag_share_of_admissions"])
+@pytest.mark.parametrize("name", ["diag_count_by_zip", "admission_count_by_zip", "diag_share_of_admissions",
+                                  "diag_share_of_enrolled"])
 def test_zip_counts_take_four_shuffles(spark, small_claims, tmp_path, name):
     from dxcohort.sources.tables import read_claims, write_claims
     from plan_summary import summarise
