@@ -53,6 +53,17 @@ def test_url_filter_equals_brute_force(spark):
     assert url_filter.filter_urls(pages.limit(0), r, listed).count() == 0
 
 
+def test_url_filter_by_shuffle_gives_the_same_rows(spark, monkeypatch):
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block")],
+                                  "host string, path string, verdict string")
+    pages = awkward_pages(spark)
+    listed = pages.where("url like '%free-bets%'")
+    want = collected(url_filter.filter_urls(pages, rules, listed))
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", 0)
+    assert collected(url_filter.filter_urls(pages, rules, listed)) == want
+    assert sum(r[4] == "block" for r in want) > 4
+
+
 def test_bloom_filter_passes_all_listed_and_few_others(spark):
     listed = spark.range(2000).selectExpr("concat('in', id) AS key")
     bloom, blocks = url_filter.bloom_filter(listed, 2000)
