@@ -8,6 +8,8 @@ share one distribution, by person, and the running number is worked out inside a
 the admissions themselves are joined once, to one row per person, and need no second
 evaluation for day totals and no shuffle on (person, day).
 
+Working the numbers out takes the square of a person's days (not rows), once a person.
+
 On tables bucketed by person nothing here is shuffled but the finished histories.
 """
 
