@@ -59,7 +59,9 @@ MAX_LIGHT = 20
 #: Identifiers whose texts are fetched by a broadcast join (8 MB); more by a shuffle.
 BROADCAST_IDS = 500_000
 #: Bytes of keys in a chunk of sets and in a hash partition.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
+#: Sets that a task hands on together.
+DESCRIBED = 1_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -311,18 +313,20 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, digest, keys, bits, light = [], [], [], [], []
-            for text in batch["_text"]:
-                found = shingles(text)
-                n.append(len(found))
-                digest.append(xxhash.xxh3_128_digest(found.tobytes()))
-                signature, subset_keys = signatures(found, boundary, shared.value, percent)
-                keys.append(signature.view(np.int64))
-                light.append(subset_keys)
-                bits.append(bitmap(found))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "_row": batch["_row"], "n": n,
-                                "digest": digest, "keys": keys, "light": light, "bits": bits})
+        for whole in batches:
+            for begin in range(0, len(whole), DESCRIBED):
+                batch = whole[begin:begin + DESCRIBED]
+                n, digest, keys, bits, light = [], [], [], [], []
+                for text in batch["_text"]:
+                    found = shingles(text)
+                    n.append(len(found))
+                    digest.append(xxhash.xxh3_128_digest(found.tobytes()))
+                    signature, subset_keys = signatures(found, boundary, shared.value, percent)
+                    keys.append(signature.view(np.int64))
+                    light.append(subset_keys)
+                    bits.append(bitmap(found))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "_row": batch["_row"], "n": n,
+                                    "digest": digest, "keys": keys, "light": light, "bits": bits})
 
     # a row's number is fixed once the table is written
     sets = written(docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("_row"),

@@ -198,19 +198,18 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def _sample(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
     """The measures (not the texts) of some documents, one row for each identifier (of a
-    repeated one, the smallest row)."""
+    repeated one, the smallest measures)."""
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             (words, page), (_, kinds) = measures_of(batch)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"],
                                 "words": list(words), "page": list(page), "kinds": list(kinds)})
 
-    chosen = _columns(docs).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    single = chosen.groupBy("doc_id").agg(F.min(F.struct("_text", "lang", "source", "n_chars")).alias("_r")) \
-        .select("doc_id", "_r.*")
-    return single.join(F.broadcast(ids), "doc_id").mapInPandas(
-        measure, "doc_id long, quality int, words array<double>, page array<double>, kinds array<long>"
-    ).toPandas().sort_values("doc_id", kind="stable")
+    measured = _columns(docs).join(F.broadcast(ids), "doc_id").mapInPandas(
+        measure, "doc_id long, quality int, words array<double>, page array<double>, kinds array<long>")
+    single = measured.groupBy("doc_id", "quality").agg(
+        F.min(F.struct("words", "page", "kinds")).alias("_m")).select("doc_id", "quality", "_m.*")
+    return single.toPandas().sort_values("doc_id", kind="stable")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel | None:

@@ -32,6 +32,8 @@ from .common import text_of, written
 
 TRAIN_ROWS = 40_000
 MAX_WORDS = 4_096
+#: Texts whose words are counted together in a task.
+COUNT_ROWS = 2_000
 MIN_ROWS = 5
 #: L1 penalty: this, or the weight of ``L1_ROWS`` positive rows where that is more, so that
 #: a feature seen with fewer toxic texts stays out.
@@ -190,24 +192,29 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     """
     chosen = (labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null")
               .where(bucket() != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
-    texts = docs.select("doc_id", text_of().alias("_text")).join(
-        F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi") \
-        .groupBy("doc_id").agg(F.min("_text").alias("_text"))
+    texts = docs.select("doc_id", text_of().alias("_text"))
     sample = written(texts.join(F.broadcast(chosen), "doc_id").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), "_text"), "labelled")
+    labels_held = chosen.join(sample.select("doc_id").distinct(), "doc_id", "left_semi").count()
+    if sample.count() > labels_held:
+        # identifiers repeat: only then their texts are brought together
+        first = sample.groupBy("doc_id").agg(F.min("_text").alias("_text"))
+        sample = written(first.join(F.broadcast(chosen), "doc_id").select(
+            "doc_id", F.col("toxic").cast("int").alias("toxic"), "_text"), "labelled")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = positive / max(n, 1)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen, hits = Counter(), Counter()
-            for text, label in zip(batch["_text"], batch["toxic"]):
-                words = features_of(text)
-                seen.update(words)
-                if label:
-                    hits.update(words)
-            yield pd.DataFrame({"word": list(seen), "seen": list(seen.values()),
-                                "hits": [hits[w] for w in seen]})
+            for begin in range(0, len(batch), COUNT_ROWS):
+                part, seen, hits = batch[begin:begin + COUNT_ROWS], Counter(), Counter()
+                for text, label in zip(part["_text"], part["toxic"]):
+                    words = features_of(text)
+                    seen.update(words)
+                    if label:
+                        hits.update(words)
+                yield pd.DataFrame({"word": list(seen), "seen": list(seen.values()),
+                                    "hits": [hits[w] for w in seen]})
 
     counts = sample.mapInPandas(count, "word string, seen long, hits long").groupBy("word").agg(
         F.sum("seen").alias("seen"), F.sum("hits").alias("hits")).where(F.col("seen") >= MIN_ROWS)
