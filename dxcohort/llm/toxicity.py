@@ -11,8 +11,9 @@ names a group so cannot raise the score, while the other words explain the label
 The fitted model (at most ``MAX_WORDS`` words and the identity terms) is broadcast;
 scoring is one pass over all documents without a shuffle.
 
-Defined results: null and empty texts get the score of a text without known words;
-labels that are null are ignored, repeated labels count each; without labelled rows
+Defined results: null and empty texts get the score of a text without known words, which is not
+toxic while fewer than half of the labelled rows are (the share of toxic rows, if the fit leaves
+it at one half or more); labels that are null are ignored, repeated labels count each; without labelled rows
 every score is 0; ties in the sample are taken by identifier.
 """
 
@@ -164,7 +165,7 @@ def fit(sets: Sequence[Iterable[str]], labels: list[int],
     y = np.asarray(labels, dtype=float)
     if not len(y):
         return ToxicityModel(empty=True)
-    share = y.mean()
+    positive = share = y.mean()
     # both classes weigh the same
     weight = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
     l1 = max(L1, L1_ROWS * 0.5 / max(y.sum(), 1))
@@ -175,6 +176,9 @@ def fit(sets: Sequence[Iterable[str]], labels: list[int],
         words, w = zip(*[(v, u) for v, u in zip(words, w) if u]) if w.any() else ((), w[:0])
         if not words:
             break
+    if b > -1e-6 and positive < 0.5:
+        # no evidence is none: what the classes' equal weight leaves open, their rows decide
+        b = np.log(max(positive, 1e-9) / (1 - positive))
     return ToxicityModel(float(b), {v: float(u) for v, u in zip(words, w)})
 
 

@@ -415,6 +415,16 @@ def test_toxicity_fit_equals_a_plain_fit():
     assert np.abs(got - (x @ w + b)).max() < 2e-2
 
 
+def test_a_text_without_evidence_is_not_toxic(spark):
+    docs = spark.createDataFrame([(i, f"w{i}q other{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert not model.weights and 0 < model.score("") < 0.5
+    assert toxicity.without_toxic(docs, model).count() == 60
+    most = toxicity.train(docs, labels.selectExpr("doc_id", "1 - toxic as toxic"))
+    assert most.score("") >= 0.5
+
+
 def test_toxicity_sample_has_one_row_for_each_label(spark):
     docs, labels = group_documents(spark)
     docs = docs.limit(300)
