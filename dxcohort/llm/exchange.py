@@ -31,12 +31,18 @@ Combine = Callable[[np.ndarray, Fields], tuple[np.ndarray, Fields, np.ndarray]]
 
 def packed(values: np.ndarray) -> bytes:
     """All lowest bytes, then all next ones: the high ones are mostly 0, and compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    planes = np.empty((values.itemsize, len(values)), np.uint8)
+    for i, plane in enumerate(planes):
+        plane[:] = values.view(np.uint8)[i::values.itemsize]
+    return planes.tobytes()
 
 
 def unpacked(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    values = np.empty(len(data) // size, kind)
+    for i, plane in enumerate(np.frombuffer(data, np.uint8).reshape(size, -1)):
+        values.view(np.uint8)[i::size] = plane
+    return values
 
 
 def partitions(wanted: int) -> tuple[int, int]:
@@ -44,9 +50,34 @@ def partitions(wanted: int) -> tuple[int, int]:
     return min(wanted, FAN), -(-wanted // FAN)
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys (uint64) and where each was (of equal keys, the first first): one plain
+    sort of the keys' high bits with the places below them, a third of an argsort's time."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    low = np.uint64(len(keys).bit_length())
+    up = np.uint64(64 - int(keys.max()).bit_length())
+    held = (keys << up if up < 64 else keys) >> low << low
+    held |= np.arange(len(keys), dtype=np.uint64)
+    held.sort()
+    held &= (np.uint64(1) << low) - np.uint64(1)
+    places = held.view(np.int64)
+    found = keys[places]
+    if (found[1:] < found[:-1]).any():  # keys that differ in their low bits alone
+        places = np.argsort(keys, kind="stable")
+        found = keys[places]
+    return found, places
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value is another one than the one before; the first one is."""
+    return np.append(True, values[1:] != values[:-1])[:len(values)]
+
+
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of the keys by part, and (part, begin, end) of each part that has any."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
+    # numpy sorts numbers of 8 and 16 bits by radix
+    part = (keys % np.uint64(parts)).astype(np.min_scalar_type(parts))
     ends = np.cumsum(np.bincount(part, minlength=parts)).tolist()
     return np.argsort(part, kind="stable"), [
         (i, a, b) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends)) if a < b]
@@ -118,6 +149,10 @@ def answered(asked: DataFrame, subs: int, kinds: dict[str, str], combine: Combin
 
 def summed(keys: np.ndarray, fields: Fields) -> tuple[np.ndarray, Fields, np.ndarray]:
     """Adds up all fields."""
-    table, back = np.unique(keys, return_inverse=True)
-    return table, {name: np.bincount(back, weights=values, minlength=len(table)).astype(values.dtype)
-                   for name, values in fields.items()}, back
+    found, places = in_order(keys)
+    new = changes(found)
+    begin = np.flatnonzero(new)
+    back = np.empty(len(keys), np.int64)
+    back[places] = np.cumsum(new) - 1
+    return found[begin], {name: np.add.reduceat(values[places], begin) if len(begin) else values
+                          for name, values in fields.items()}, back

@@ -13,7 +13,8 @@ documents and one hash partition, as differences with their bytes by rank.
 
 1. Documents are packed where they are read (compressed, ``PACK_BYTES`` at a time) and the
    packs spread over chunks; each chunk counts its n-grams (so a frequent n-gram leaves
-   a chunk once, whatever its frequency);
+   a chunk once, whatever its frequency): a pack's words are hashed all at once, and one sort
+   of each order's hashes gives the counts, in the chunk and in each document;
 2. the counts are partitioned by n-gram hash; a partition sums them: the n-gram count
    tables; it joins them back to the n-grams of each chunk;
 3. words and pairs go first. A longer n-gram is only sent where other documents hold both
@@ -51,6 +52,8 @@ CHUNK_BYTES = 6 << 20
 PART_BYTES = 8 << 20
 PACK_BYTES = 512 << 10
 LEVEL = 5
+#: Bytes of a word that is hashed by itself.
+LONG_WORD = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: The key under which the number of words is counted.
 TOTAL = np.uint64(0)
@@ -69,51 +72,80 @@ def words_of(text: bytes | str) -> list[bytes]:
     return (text.encode("utf-8") if isinstance(text, str) else text).lower().split()
 
 
+def _hashed(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (``words_of``) of some texts, which stand one after the other in
+    ``raw`` (UTF-8, ``lengths`` bytes each), and the number of words of each text."""
+    raw = raw.lower()
+    data = np.frombuffer(raw, np.uint8)
+    held = (data != 32) & (data - np.uint8(9) > 4)
+    edges = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    apart = np.append(True, ~held)  # whether this byte and the one before are of two words
+    apart[edges] = True
+    begin = np.flatnonzero(held & apart[:-1])
+    apart[:-1] |= ~held
+    length = np.flatnonzero(held & apart[1:]) + 1 - begin
+    # eight bytes at a time
+    eights = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    hashes = length.astype(np.uint64)
+    rest = np.flatnonzero(length <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        rest = rest[length[rest] > k]
+        if not len(rest):
+            break
+        block = eights[begin[rest] + k] & masks[np.minimum(length[rest] - k, 8)]
+        hashes[rest] = _mix(hashes[rest] * _P + block)
+    for i in np.flatnonzero(length > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[begin[i]:begin[i] + length[i]])
+    return hashes, np.diff(np.searchsorted(begin, edges))
+
+
+class Words:
+    """The words of some packs of texts: each one's hash, document and place there."""
+
+    def __init__(self, packs: list[tuple[bytes, np.ndarray]]):
+        hashes, sizes = zip(*[_hashed(*pack) for pack in packs])
+        self.hash, self.sizes = np.concatenate(hashes), np.concatenate(sizes)
+        kind = "int32" if len(self.hash) < 1 << 31 else "int64"
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=kind), self.sizes)
+        self.place = np.arange(len(self.hash), dtype=kind)
+        self.place -= (np.cumsum(self.sizes) - self.sizes).astype(kind)[self.doc]
+
+    def level(self, n: int, shorter: np.ndarray | None) -> np.ndarray:
+        """The hash of the n-gram that ends at each position (0 where a document's first words have
+        none), from those of one word less."""
+        if shorter is None:
+            return np.maximum(_mix(self.hash + np.uint64(1)), np.uint64(1))
+        level = np.zeros(len(self.hash), np.uint64)
+        # the n-gram that ends here: the shorter one before, and this word
+        level[1:] = np.maximum(_mix(shorter[:-1] * _P + self.hash[1:] + np.uint64(n)), np.uint64(1))
+        level[self.place < n - 1] = 0
+        return level
+
+
 class Grams:
-    """All n-grams of some texts: per order, the hash at each position (0 where a
-    document's first words have no such n-gram)."""
-
-    def __init__(self, texts: list[bytes], order: int):
-        hashes, sizes = [], []
-        for text in texts:
-            words = words_of(text)
-            sizes.append(len(words))
-            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.sizes = np.asarray(sizes, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(flat)) - first[self.doc]
-        self.levels = [np.maximum(_mix(flat + np.uint64(1)), np.uint64(1))]
-        for n in range(2, order + 1):
-            level = np.zeros(len(flat), np.uint64)
-            if len(flat) >= n:
-                # the n-gram that ends here: the shorter one before, and this word
-                joined = np.maximum(_mix(self.levels[-1][:-1] * _P + flat[1:] + np.uint64(n)),
-                                    np.uint64(1))
-                level[1:] = np.where(self.place[1:] >= n - 1, joined, np.uint64(0))
-            self.levels.append(level)
-
-    def numbered(self, orders: range, where: list[np.ndarray]
-                 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Distinct hashes of the n-grams at the places ``where`` (by order) and their numbers;
-        per order and position, which one it is (-1 for none), and how often it stands in
-        its document."""
-        keys, at, count = np.unique(np.concatenate([self.levels[n - 1][h] for n, h in zip(orders, where)]),
-                                    return_inverse=True, return_counts=True)
-        which, own, begin = [], [], 0
-        for held in where:
-            number, times = np.full(len(self.doc), -1), np.ones(len(self.doc), np.int64)
-            number[held] = at[begin:begin + len(held)]
-            begin += len(held)
-            # an n-gram that the chunk holds once stands once in its document
-            several = held[count[number[held]] > 1]
-            _, back, n = np.unique(number[several] * np.int64(len(self.sizes)) + self.doc[several],
-                                   return_inverse=True, return_counts=True)
-            times[several] = n[back]
-            which.append(number)
-            own.append(times)
-        return keys, count, which, own
+    """The distinct n-grams of one order: ``keys`` (hashes, sorted) and ``counts``, from the hashes
+    at each position (0: none)."""
+
+    def __init__(self, words: Words, level: np.ndarray):
+        where = np.flatnonzero(level)
+        keys, order = exchange.in_order(level[where])
+        self._doc, self._at = words.doc, where.astype(words.doc.dtype)[order]
+        self._new = exchange.changes(keys)
+        begin = np.flatnonzero(self._new)
+        self.keys, self.counts = keys[begin], np.diff(begin, append=len(keys))
+
+    def others(self, total: np.ndarray) -> np.ndarray:
+        """At each position, how often its n-gram stands in other documents (0 for none), from the
+        ``total`` counts of the keys."""
+        # equal n-grams are sorted by place, so those of one document stand together
+        begin = np.flatnonzero(self._new | exchange.changes(self._doc[self._at]))
+        times = np.diff(begin, append=len(self._at))
+        found = np.zeros(len(self._doc), np.int64)
+        rest = np.repeat(total, self.counts)
+        rest -= np.repeat(times, times)
+        found[self._at] = rest
+        return found
 
 
 class Rounds:
@@ -121,53 +153,64 @@ class Rounds:
 
     ``keys`` and ``counts`` are the hashes that this round asks for, sorted (the first round has
     TOTAL in front; none are left after the last one); ``rest`` holds, per order known so far,
-    the count in other documents at each position, and ``words`` the number of all words.
+    the count in other documents at each position, and ``total`` the number of all words.
     """
 
-    def __init__(self, grams: Grams, order: int):
-        self.grams, self.order = grams, order
+    def __init__(self, words: Words, order: int):
+        self.words, self.order = words, order
         self.rest: list[np.ndarray] = []
-        self.words = 0.0
+        self.total = 0.0
+        self._level: np.ndarray | None = None
         self._prepare(range(1, min(2, order) + 1))
-        self.keys = np.concatenate([[TOTAL], self.keys])
-        self.counts = np.concatenate([[grams.sizes.sum()], self.counts])
 
     def _prepare(self, orders: range) -> None:
-        levels = [self.grams.levels[n - 1] for n in orders]
-        where = [np.flatnonzero(level) for level in levels]
-        if orders[0] > 1:
-            before = self.rest[-1] > 0
-            where = [np.flatnonzero(before[1:] & before[:-1] & (levels[0][1:] != 0)) + 1]
-        self.keys, self.counts, self._which, self._own = self.grams.numbered(orders, where)
-
-    def answer(self, total: np.ndarray) -> None:
-        """Take the joined counts of ``keys``, and go on to the next round that asks for any."""
+        self._grams = []
+        for n in orders:
+            asked = self._level = self.words.level(n, self._level)
+            if self.rest:
+                known = self.rest[-1] > 0
+                asked = np.where(known & np.append(False, known[:-1]), asked, np.uint64(0))
+            self._grams.append(Grams(self.words, asked))
+        keys, counts = [g.keys for g in self._grams], [g.counts for g in self._grams]
         if not self.rest:
-            self.words, total = float(total[0]), total[1:]
+            keys, counts = [np.array([TOTAL]), *keys], [np.array([len(self.words.hash)]), *counts]
+        self.keys, self._order = exchange.in_order(np.concatenate(keys))
+        self.counts = np.concatenate(counts)[self._order]
+
+    def answer(self, told: np.ndarray) -> None:
+        """Take the joined counts of ``keys``, and go on to the next round that asks for any."""
         while True:
-            total = np.append(total, 0)
-            self.rest += [np.where(at >= 0, total[at] - times, 0)
-                          for at, times in zip(self._which, self._own)]
+            total = np.empty(len(told), np.int64)
+            total[self._order] = told
+            del self.keys, self.counts, self._order  # these are as large as the n-grams themselves
+            if not self.rest:
+                self.total, total = float(total[0]), total[1:]
+            while self._grams:
+                grams = self._grams.pop(0)
+                self.rest.append(grams.others(total[:len(grams.keys)]))
+                total = total[len(grams.keys):]
             if len(self.rest) == self.order:
-                self.keys = self.keys[:0]
+                self.keys, self.counts, self._level = np.empty(0, np.uint64), np.empty(0, np.int64), None
                 return
             self._prepare(range(len(self.rest) + 1, len(self.rest) + 2))
             if len(self.keys):
                 return
-            total = np.empty(0, np.int64)
+            told = np.empty(0, np.int64)
 
 
 def document_scores(rounds: Rounds, alpha: float = ALPHA) -> np.ndarray:
     """The sum of ln S of every document, from the counts in all others."""
-    grams, rest = rounds.grams, rounds.rest
-    others = rounds.words - grams.sizes[grams.doc]
+    words, rest = rounds.words, rounds.rest
+    others = rounds.total - words.sizes[words.doc]
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(rest[0] > 0, rest[0] / np.maximum(others, 1), 1 / (others + 1))
+        del others
         for n in range(1, len(rest)):
             context = np.concatenate([[0], rest[n - 1][:-1]])
-            score = np.where(rest[n] > 0, rest[n] / np.maximum(context, 1),
-                             np.where(grams.place >= n, alpha, 1.0) * score)
-        return np.bincount(grams.doc, weights=np.log(score), minlength=len(grams.sizes))
+            score[words.place >= n] *= alpha
+            known = rest[n] > 0
+            score[known] = rest[n][known] / np.maximum(context[known], 1)
+        return np.bincount(words.doc, weights=np.log(score), minlength=len(words.sizes))
 
 
 _PACKS = pa.schema([("_pack", pa.int64()), ("_ids", pa.list_(pa.int64())),
@@ -204,13 +247,10 @@ def packs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pack, "_pack long, _ids array<long>, _sizes array<int>, _texts binary")
 
 
-def _unpack(rows: pd.DataFrame) -> Iterator[bytes]:
-    """The texts of some packs, in the order of the packs' contents."""
-    for sizes, raw in zip(rows["_sizes"], rows["_texts"]):
-        raw, at = zstandard.ZstdDecompressor().decompress(raw), 0
-        for size in sizes:
-            yield raw[at:at + size]
-            at += size
+def _unpack(rows: pd.DataFrame) -> Words:
+    """The words of some packs, in the order of the packs' contents."""
+    return Words([(zstandard.ZstdDecompressor().decompress(raw), sizes)
+                  for sizes, raw in zip(rows["_sizes"], rows["_texts"])])
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
@@ -226,7 +266,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
 
     def rounds_of(rows: pd.DataFrame, joined: pd.DataFrame) -> Rounds:
         """A chunk's rounds after those that are joined."""
-        rounds = Rounds(Grams(list(_unpack(rows)), order), order)
+        rounds = Rounds(_unpack(rows), order)
         for _, told in joined.sort_values("_round").groupby("_round"):
             rounds.answer(exchange.answers_of(rounds.keys, told, parts, COUNT)["_number"])
         return rounds
@@ -238,7 +278,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> Data
 
     def score(rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
         rounds = rounds_of(rows, joined)
-        sums, n = document_scores(rounds, alpha), rounds.grams.sizes
+        sums, n = document_scores(rounds, alpha), rounds.words.sizes
         ids = [None if i is None or i != i else int(i) for found in rows["_ids"] for i in found]
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": n,
                              "log_score": sums,

@@ -73,6 +73,45 @@ def test_query_scores_use_trigrams(spark, tmp_path):
         assert (got == pytest.approx(want)) == same
 
 
+def test_lm_words_are_hashed_together(monkeypatch):
+    """As words_of has them, and without a call for each word, which was most of the query's time."""
+    texts = [" \t Ab  ab\x0b\x0cAB\r\n", "", "   ", "x\x1cy \u00c0B \u00e0b", "cd", "ef 12345678 123456789 1234567",
+             "12345678", "w" * lm_score.LONG_WORD, "W" * (lm_score.LONG_WORD + 1) + " \u2003 \x00 \x00\x00 0", "0"]
+    raw = [text.encode() for text in texts]
+    called, whole = [], lm_score.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(lm_score.xxhash, "xxh3_64_intdigest", lambda word: called.append(word) or whole(word))
+    words = lm_score.Words([(b"".join(raw[a:b]), np.array([len(x) for x in raw[a:b]])) for a, b in ((0, 3), (3, 10))])
+    assert called == [b"w" * (lm_score.LONG_WORD + 1)]
+    want = [lm_score.words_of(text) for text in texts]
+    assert words.sizes.tolist() == [len(x) for x in want]
+    assert words.doc.tolist() == [i for i, x in enumerate(want) for _ in x]
+    assert words.place.tolist() == [i for x in want for i in range(len(x))]
+    flat = [word for x in want for word in x]
+    assert len(set(zip(flat, words.hash.tolist()))) == len(set(flat)) == len(set(words.hash.tolist()))
+
+
+@pytest.mark.parametrize("keys", [
+    [], [0], [0, 0, 0], [5, 3, 5, 1], [2**64 - 1, 0, 2**64 - 2, 2**63],
+    # equal but for low bits, which the first sort does not see
+    [2**63 + 3, 2**63 + 1, 7, 2**63 + 2, 2**63 + 1, 7]])
+def test_exchange_sorts_as_numpy_does(keys):
+    keys = np.array(keys * 3, np.uint64)
+    found, places = exchange.in_order(keys)
+    assert places.tolist() == np.argsort(keys, kind="stable").tolist()
+    assert found.tolist() == np.sort(keys).tolist()
+    table, fields, back = exchange.summed(keys, {"_n": np.arange(len(keys))})
+    assert table.tolist() == sorted(set(keys.tolist())) and table[back].tolist() == keys.tolist()
+    assert fields["_n"].tolist() == [int(np.flatnonzero(keys == k).sum()) for k in table]
+
+
+@pytest.mark.parametrize("kind", ["<u8", "<i8", "<i4", "<u2", "u1"])
+def test_exchange_packs_and_unpacks(kind):
+    values = np.arange(300).astype(kind) * np.array(977).astype(kind)
+    assert exchange.unpacked(exchange.packed(values), kind).tolist() == values.tolist()
+    assert exchange.packed(values) == values.view(np.uint8).reshape(300, -1).T.tobytes()
+    assert not len(exchange.unpacked(exchange.packed(values[:0]), kind))
+
+
 # --- 2: substring dedup -------------------------------------------------------------
 def test_substring_dedup_equals_brute_force(spark):
     order = sorted((i for i, r in enumerate(rows())),
