@@ -14,6 +14,9 @@ from ..sources.tables import remove_folder
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Rows that go to Python together hold about so many bytes (a longer row goes alone).
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,13 @@ def written(df: DataFrame, name: str, spent: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Limit the bytes that the session hands to Python at once, unless it has a limit set. It
+    stays set: a result is planned and run after the function that returned it."""
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A working column's name that no column of the caller has (Spark ignores case)."""
     known = {c.lower() for c in taken}
@@ -103,4 +113,5 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["SPACE", "UPPER", "LOWER", "table", "scratch", "written", "fresh", "discard", "text_of", "components"]
+__all__ = ["SPACE", "UPPER", "LOWER", "table", "scratch", "written", "limit_batches", "fresh", "discard",
+           "text_of", "components"]

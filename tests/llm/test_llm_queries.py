@@ -5,6 +5,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from check_oracles import digest, duck
 
@@ -237,6 +238,31 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
         assert sum(n for _, n in own) <= 2048
 
 
+def test_pipeline_hands_python_small_batches(spark):
+    """Whole texts in batches of Spark's 64 MB took more than 3000 MB of an executor."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    # 16 MB in rows of 54 KB and one row of 6.3 MB, in one task
+    texts = spark.range(0, 300, 1, 1).selectExpr("repeat('abcdefgh ', if(id = 299, 700000, 6000)) as text")
+    few = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id <= 60").coalesce(2)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(limit)
+            whole = collected(stage(spark, few, SF))
+            found = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in found) == 300 and sum(r["bytes"] for r in found) > 22_000_000, name
+            assert all(r["bytes"] < 4_300_000 for r in found if r["bytes"] < 6_300_000), name
+            assert max(r["bytes"] for r in found) < 11_000_000, name
+            spark.conf.set(limit, "1k")  # a limit of the session's own stays, and rows are the same
+            assert collected(stage(spark, few, SF)) == whole and spark.conf.get(limit) == "1k", name
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_pipeline_runs_as_a_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
